@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwell.llm.near_dups import near_duplicates
 from tarnwell.llm.packing import pack
 from tarnwell.llm.ring import bounded_ring_shards
 
@@ -20,10 +21,14 @@ def op1_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounded_ring_shards(light, "doc_id").withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op5_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
     return pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_ring_shards": op1_ring_shards, "op8_cost_packing": op8_cost_packing}
+QUERIES = {"op1_ring_shards": op1_ring_shards, "op5_minhash_near_dups": op5_minhash_near_dups, "op8_cost_packing": op8_cost_packing}
 ORACLE_SQL: dict[str, str] = {}
