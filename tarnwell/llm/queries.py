@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.llm.near_dups import near_duplicates
 from tarnwell.llm.packing import pack
+from tarnwell.llm.repeats import remove_repeats
 from tarnwell.llm.ring import bounded_ring_shards
 
 
@@ -30,5 +31,9 @@ def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_ring_shards": op1_ring_shards, "op5_minhash_near_dups": op5_minhash_near_dups, "op8_cost_packing": op8_cost_packing}
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {"op1_ring_shards": op1_ring_shards, "op5_minhash_near_dups": op5_minhash_near_dups, "op8_cost_packing": op8_cost_packing, "op10_suffix_repeats": op10_suffix_repeats}
 ORACLE_SQL: dict[str, str] = {}
