@@ -20,6 +20,8 @@ COORDINATES, MATCHES = 48, 23
 PREFIX = COORDINATES - MATCHES + 1
 #: Members of a posting list that are compared in one piece; longer lists are cut into blocks of so many.
 BLOCK = 256
+#: Members of a posting list from which on they are first tested for shingles that no other member of such lists has.
+LONG = 64
 
 
 def _multipliers() -> np.ndarray:
@@ -63,6 +65,14 @@ def _sets(words: int):
     return rows
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), dtype="i8") for x in batch.column(1)]
+        if sets:
+            cls = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.concatenate(sets))], ["cls", "shingle"])
+
+
 def _confirmed(percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,7 +88,7 @@ def _confirmed(percent: int):
     return rows
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, block: int = BLOCK, long_list: int = LONG) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) and kept, for every row of docs.
 
     Rows whose sets are equal are one class, and one class takes part in the join whatever its number of copies.  Each class
@@ -122,6 +132,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full = near.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
         return full.select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a long, b long")
 
+    # long lists come from passages that many texts share: a text of which over 100 - percent shingles in 100 are in no
+    # other text of such lists cannot be linked with any of them, and leaves these lists
+    long = posted.where(F.col("df") > long_list)
+    each = sets.join(long.select("cls").distinct(), "cls", "left_semi").mapInArrow(_shingles, "cls long, shingle long")
+    alone = each.groupBy("shingle").agg(F.count("*").alias("k"), F.min("cls").alias("cls")).where("k = 1").groupBy("cls").agg(F.count("*").alias("alone"))
+    far = alone.join(classes.select("cls", "n"), "cls").where(100 * F.col("alone") > (100 - percent) * F.col("n")).select("cls")
+    posted = written(posted.where(F.col("df") <= long_list).union(long.join(far, "cls", "left_anti").select(*posted.columns)), "posted")
+
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
     lists = posted.withColumn("band", band)
