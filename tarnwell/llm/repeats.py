@@ -105,19 +105,24 @@ def _segments(length: int):
 
 
 def _contexts(length: int):
+    names = ["fp", "h1", "h2", "first", "ctx"]
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, h1, h2, firsts, ctx = [], [], [], [], []
+            held, size = [], 0
             for a, b, text, segments in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                data, fields = text.as_buffer().to_pybytes(), segments.values.flatten()
-                first, count, fp = (x.to_numpy(zero_copy_only=False) for x in fields)
-                fps.append(fp)
-                firsts.append(first)
-                h1.append(np.full(len(fp), a))
-                h2.append(np.full(len(fp), b))
-                ctx += [data[s:e] for s, e in zip(first.tolist(), (first + count + length - 1).tolist(), strict=True)]
-            flat = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
-            yield pa.RecordBatch.from_arrays([flat(fps, pa.int64()), flat(h1, pa.int64()), flat(h2, pa.int64()), flat(firsts, pa.int32()), pa.array(ctx, pa.binary())], ["fp", "h1", "h2", "first", "ctx"])
+                data = text.as_buffer().to_pybytes()
+                first, count, fp = (x.to_numpy(zero_copy_only=False) for x in segments.values.flatten())
+                for i in range(0, len(fp), 1024):
+                    f, c = first[i : i + 1024], count[i : i + 1024]
+                    ctx = pa.array([data[s:e] for s, e in zip(f.tolist(), (f + c + length - 1).tolist(), strict=True)], pa.binary())
+                    held.append(pa.RecordBatch.from_arrays([pa.array(fp[i : i + 1024]), pa.array(np.full(len(f), a)), pa.array(np.full(len(f), b)), pa.array(f), ctx], names))
+                    size += ctx.nbytes
+                    if size > 4 << 20:
+                        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                        held, size = [], 0
+            if held:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     return rows
 
@@ -158,32 +163,39 @@ def suffix_order(data: np.ndarray, end: np.ndarray, starts: np.ndarray) -> tuple
     return sa, np.concatenate(([0], lcp)) if len(sa) else lcp
 
 
-def intervals(lcp: np.ndarray, left: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """(common prefix, first, last) of the intervals of at least `length` bytes whose suffixes differ in the byte before.
+def intervals(lcp: np.ndarray, left: np.ndarray, length: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """The tree of intervals of at least `length` common bytes whose suffixes differ in the byte before them.
 
     lcp[i] belongs to suffixes i - 1 and i.  left: the byte before each suffix, or a negative number that is like no other.
-    The stack holds the open intervals of the tree, the longest common prefix on top.
+    Returns (common prefix, number of the enclosing interval or -1) of each interval, and for each suffix the number of the
+    smallest interval that holds it, or -1.  The stack holds the open intervals, the longest common prefix on top.
     """
     turns = np.concatenate(([0], np.cumsum((left[1:] != left[:-1]) | (left[1:] < 0) | (left[:-1] < 0)))) if len(left) else left
-    out: list[tuple[int, int, int]] = []
+    heights: list[int] = []
+    parents: list[int] = []
+    own = np.full(len(lcp), -1, dtype="i8")
     inside = np.concatenate((lcp >= length, [False]))
     edge = np.diff(inside.astype("i1"), prepend=0)
     for a, b in zip((np.flatnonzero(edge == 1) - 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist(), strict=True):
         if turns[a] == turns[b]:  # every suffix of the run has the same byte before it
             continue
-        if b == a + 1:
-            out.append((int(lcp[b]), a, b))
-            continue
-        stack = [(int(lcp[a + 1]), a)]
+        stack, closed = [(int(lcp[a + 1]), a)], []
         for i, value in enumerate([*lcp[a + 2 : b + 1].tolist(), 0], a + 2):
             first = i - 1
             while stack and stack[-1][0] > value:
                 height, first = stack.pop()
                 if turns[first] != turns[i - 1]:
-                    out.append((height, first, i - 1))
+                    number = len(heights)
+                    heights.append(height)
+                    parents.append(-1)
+                    part = own[first:i]
+                    part[part < 0] = number
+                    while closed and closed[-1][0] >= first:
+                        parents[closed.pop()[1]] = number
+                    closed.append((first, number))
             if value and (not stack or stack[-1][0] < value):
                 stack.append((value, first))
-    return out
+    return list(zip(heights, parents, strict=True)), own
 
 
 def _groups(length: int):
@@ -196,7 +208,7 @@ def _groups(length: int):
         variants: dict[int, int] = {}
         for f, _ in slots:
             variants[f] = variants.get(f, 0) + 1
-        rows, starts, lengths, numbers, number = [], [], [], [], 0
+        rows, starts, lengths, numbers, outer, number = [], [], [], [], [], 0
         strings, members = [], []
         for (f, c), at in slots.items():
             if len(at) > 1:  # a repeat as a whole, the context's ends being open
@@ -204,6 +216,7 @@ def _groups(length: int):
                 starts += [first[r] for r in at]
                 lengths += [len(c)] * len(at)
                 numbers += [number] * len(at)
+                outer += [None] * len(at)
                 number += 1
             if variants[f] > 1 or len(c) > 2 * length - GRAM or _regrams(c, length):
                 strings.append(c)
@@ -218,18 +231,20 @@ def _groups(length: int):
             sa, lcp = suffix_order(data, end, where)
             begin = (ends - size)[owner[sa]]
             left = np.where(sa == begin, -1, data[np.maximum(sa - 1, 0)].astype("i8"))
-            for height, a, b in intervals(lcp, left, length):
-                for s in sa[a : b + 1].tolist():
-                    o = owner[s]
-                    shift = s - int(ends[o] - size[o])
-                    for r in members[o]:
-                        rows.append(r)
-                        starts.append(first[r] + shift)
-                        lengths.append(height)
-                        numbers.append(number)
-                number += 1
+            tree, own = intervals(lcp, left, length)
+            for at in np.flatnonzero(own >= 0).tolist():
+                s, (height, parent) = int(sa[at]), tree[own[at]]
+                o = owner[s]
+                shift = s - int(ends[o] - size[o])
+                for r in members[o]:
+                    rows.append(r)
+                    starts.append(first[r] + shift)
+                    lengths.append(height)
+                    numbers.append(number + int(own[at]))
+                    outer.append(number + parent if parent >= 0 else None)
         pick = lambda x: pa.array([x[r] for r in rows], pa.int64())
-        return pa.RecordBatch.from_arrays([pick(fp), pa.array(numbers, pa.int64()), pa.array(lengths, pa.int64()), pick(h1), pick(h2), pa.array(starts, pa.int64())], ["fp", "number", "length", "h1", "h2", "start"])
+        cols = [pick(fp), pa.array(numbers, pa.int64()), pa.array(outer, pa.int64()), pa.array(lengths, pa.int64()), pick(h1), pick(h2), pa.array(starts, pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, ["fp", "number", "outer", "length", "h1", "h2", "start"])
 
     def _regrams(c: bytes, length: int) -> bool:
         """Whether a window can occur twice in a context of no more windows than grams: the last gram of its first window then does, too."""
@@ -275,8 +290,9 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def maximal_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", gathered: int = GATHERED) -> tuple[DataFrame, DataFrame]:
     """Maximal repeats of at least `length` bytes among the distinct texts, and the table of the texts themselves.
 
-    First table: fp, number (a repeat's name), length, h1, h2 (a text's key), start: one row for each occurrence.  Second:
-    doc_id, h1, h2, n_bytes of every row.  Every window of `length` bytes belongs to the fingerprint of its smallest gram, so
+    First table: fp, number (a repeat's name within fp and task), outer (the repeat of which it is an extension, or null),
+    length, h1, h2 (a text's key), start.  Each occurrence has one row, under the longest of its repeats; it is one of the
+    outer ones, too, so a repeat's occurrences are its own rows and those of the repeats inside it.  Second table: doc_id, h1, h2, n_bytes of every row.  Every window of `length` bytes belongs to the fingerprint of its smallest gram, so
     equal windows meet under one fingerprint wherever they stand.  Texts are cut into segments of neighbouring windows with
     one fingerprint; fingerprints that occur once are left out, and for the others the segments' bytes get suffix arrays
     whose interval trees yield the repeats.  A segment's ends count as left-diverse, so repeats that run over several
@@ -294,11 +310,11 @@ def maximal_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     texts = keyed(docs, id_col, text_col).join(small_side(lists), ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("rep")))
     context_type = "fp long, h1 long, h2 long, first int, ctx binary"
     part = lambda hot: texts.select("h1", "h2", "text", F.filter("segments", lambda s: s["hot"] == F.lit(hot)).alias("s")).where(F.size("s") > 0).select("h1", "h2", "text", F.transform("s", lambda s: F.struct(s["first"], s["windows"], s["fp"])).alias("s")).mapInArrow(_contexts(length), context_type)
-    found = part(False).repartition("fp").sortWithinPartitions("fp").mapInArrow(_groups(length), "fp long, number long, length long, h1 long, h2 long, start long")
+    found = part(False).repartition("fp").sortWithinPartitions("fp").mapInArrow(_groups(length), "fp long, number long, outer long, length long, h1 long, h2 long, start long")
     if not lists.where(F.exists("segments", lambda s: s["hot"])).isEmpty():
         windows = part(True).mapInArrow(_window_hashes(length), "fp long, h1 long, h2 long, w long, start long")
         twice = windows.groupBy("fp", "w").agg(F.count("*").alias("n"), F.min("start").alias("s0"), F.max("start").alias("s1"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi or s0 <> s1").select("fp", "w")
-        found = found.union(windows.join(twice, ["fp", "w"]).select("fp", F.col("w").alias("number"), F.lit(length).cast("long").alias("length"), "h1", "h2", "start"))
+        found = found.union(windows.join(twice, ["fp", "w"]).select("fp", F.col("w").alias("number"), F.lit(None).cast("long").alias("outer"), F.lit(length).cast("long").alias("length"), "h1", "h2", "start"))
     return found, base.select("doc_id", "h1", "h2", "n_bytes")
 
 
