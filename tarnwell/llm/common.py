@@ -75,3 +75,12 @@ def text_key(text: Column) -> Column:
 def prefixed(df: DataFrame, mark: str = "__in_") -> DataFrame:
     """df with all columns renamed, so that an operator's own columns cannot clash with them."""
     return df.select([F.col(f"`{c.replace('`', '``')}`").alias(mark + c) for c in df.columns])
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once, however often and in whatever lambda body uses it.
+
+    A column that only a lambda uses is moved into the lambda by Spark's optimizer and then computed for every element; an
+    element of a one-element array is a variable, which stays.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

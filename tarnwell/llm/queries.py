@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwell.llm.decontam import decontaminate
 from tarnwell.llm.near_dups import near_duplicates
 from tarnwell.llm.packing import pack
 from tarnwell.llm.repeats import remove_repeats
@@ -22,6 +23,11 @@ def op1_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounded_ring_shards(light, "doc_id").withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op5_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,5 +41,5 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {"op1_ring_shards": op1_ring_shards, "op5_minhash_near_dups": op5_minhash_near_dups, "op8_cost_packing": op8_cost_packing, "op10_suffix_repeats": op10_suffix_repeats}
+QUERIES = {"op1_ring_shards": op1_ring_shards, "op2_winnowing": op2_winnowing, "op5_minhash_near_dups": op5_minhash_near_dups, "op8_cost_packing": op8_cost_packing, "op10_suffix_repeats": op10_suffix_repeats}
 ORACLE_SQL: dict[str, str] = {}
