@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwell.llm import langid, quality
 from tarnwell.llm.chat import preference_pairs, runs_text
 from tarnwell.llm.decontam import decontaminate
 from tarnwell.llm.licenses import scan_licenses
@@ -34,10 +35,22 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op4_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    dictionaries = langid.train(docs.where(~held_out))
+    return langid.predict(docs, dictionaries).withColumn("held_out", held_out)
+
+
 def op5_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair."""
     turns = table(spark, sf_dir, "conversations").withColumns({"pair_id": F.shiftright("conv_id", 1), "side": F.col("conv_id").bitwiseAND(F.lit(1).cast("long"))})
@@ -80,5 +93,5 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {"op1_ring_shards": op1_ring_shards, "op2_winnowing": op2_winnowing, "op3_license_scan": op3_license_scan, "op5_minhash_near_dups": op5_minhash_near_dups, "op7_preference_pairs": op7_preference_pairs, "op8_cost_packing": op8_cost_packing, "op10_suffix_repeats": op10_suffix_repeats}
+QUERIES = {"op1_ring_shards": op1_ring_shards, "op2_winnowing": op2_winnowing, "op3_license_scan": op3_license_scan, "op4_compression_langid": op4_compression_langid, "op5_minhash_near_dups": op5_minhash_near_dups, "op6_quality_cotraining": op6_quality_cotraining, "op7_preference_pairs": op7_preference_pairs, "op8_cost_packing": op8_cost_packing, "op10_suffix_repeats": op10_suffix_repeats}
 ORACLE_SQL: dict[str, str] = {"op7_preference_pairs": OP7_SQL}
