@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tarnwell.llm import langid, quality
 from tarnwell.llm.chat import preference_pairs, runs_text
 from tarnwell.llm.decontam import decontaminate
+from tarnwell.llm.hnsw import near_vectors
 from tarnwell.llm.licenses import scan_licenses
 from tarnwell.llm.near_dups import near_duplicates
 from tarnwell.llm.packing import pack
@@ -89,9 +90,13 @@ def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_hnsw_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {"op1_ring_shards": op1_ring_shards, "op2_winnowing": op2_winnowing, "op3_license_scan": op3_license_scan, "op4_compression_langid": op4_compression_langid, "op5_minhash_near_dups": op5_minhash_near_dups, "op6_quality_cotraining": op6_quality_cotraining, "op7_preference_pairs": op7_preference_pairs, "op8_cost_packing": op8_cost_packing, "op10_suffix_repeats": op10_suffix_repeats}
+QUERIES = {"op1_ring_shards": op1_ring_shards, "op2_winnowing": op2_winnowing, "op3_license_scan": op3_license_scan, "op4_compression_langid": op4_compression_langid, "op5_minhash_near_dups": op5_minhash_near_dups, "op6_quality_cotraining": op6_quality_cotraining, "op7_preference_pairs": op7_preference_pairs, "op8_cost_packing": op8_cost_packing, "op9_hnsw_near_dups": op9_hnsw_near_dups, "op10_suffix_repeats": op10_suffix_repeats}
 ORACLE_SQL: dict[str, str] = {"op7_preference_pairs": OP7_SQL}
