@@ -171,3 +171,24 @@ def score_quality(docs: DataFrame, models: tuple[Logistic, Logistic] | None, id_
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 2] >= accept)], ["doc_id", "p_content", "p_metadata", "score", "accepted"])
 
     return _given(docs, id_col, text_col).mapInArrow(rows, "doc_id long, p_content double, p_metadata double, score double, accepted boolean")
+
+
+def keep_good(docs: DataFrame, models: tuple[Logistic, Logistic] | None, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
+    """The rows of docs that score_quality accepts, with all their columns."""
+    if not models:
+        return docs
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_columns - 5
+            given = pa.RecordBatch.from_arrays(batch.columns[n:], batch.schema.names[n:])
+            odds = [np.mean([m.logit(v[None, :].astype("f4"))[0] for m, v in zip(models, views, strict=True)]) for views in _views(given)]
+            kept = batch.filter(pa.array(1 / (1 + np.exp(-np.array(odds))) >= accept, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns[:n], [f"c{k}" for k in range(n)])
+
+    names = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    col = lambda c, kind: (F.col(c) if c in docs.columns else F.lit(None)).cast(kind)
+    views = [F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")), col("lang", "string"), col("source", "string"), col("n_chars", "long")]
+    both = docs.select(*names, *[v.alias(f"v{k}") for k, v in enumerate(views)])
+    kinds = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema))
+    return both.mapInArrow(rows, kinds).toDF(*docs.columns)

@@ -338,6 +338,27 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     return written(each.groupBy("h1", "h2").agg(_merged(F.sort_array(F.collect_list(F.struct("s", "e")))).alias("spans")), "spans")
 
 
+def _outside(data, runs):
+    """The bytes of data that lie in none of the runs."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").cast("binary").alias("out"))
+    until = lambda acc, to: F.concat(acc["out"], F.substring(data, (acc["at"] + 1).cast("int"), (to - acc["at"]).cast("int")))
+    step = lambda acc, x: F.struct(x["e"].alias("at"), until(acc, x["s"]).alias("out"))
+    return F.when(F.size(runs) == 0, data).otherwise(F.aggregate(runs, start, step, lambda acc: until(acc, F.octet_length(data))))
+
+
+def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", gathered: int = GATHERED) -> DataFrame:
+    """docs with the bytes that remove_repeats takes out gone from the text, and with them the rest of characters they cut.
+
+    All rows and other columns stay as they are; a null text stays null, a text that is one repeat becomes empty.
+    """
+    spans = small_side(repeated_spans(docs, length, id_col, text_col, gathered)).withColumnsRenamed({"h1": "__h1", "h2": "__h2", "spans": "__spans"})
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    both = docs.withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(7), text)}).join(spans, ["__h1", "__h2"], "left")
+    cut = F.make_valid_utf8(_outside(text.cast("binary"), F.col("__spans")).cast("string"))
+    cut = F.when(F.contains(F.col(text_col), F.lit("\ufffd")), cut).otherwise(F.replace(cut, F.lit("\ufffd"), F.lit("")))
+    return both.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+
+
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", gathered: int = GATHERED) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary) of every row of docs.
 
@@ -348,13 +369,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     """
     spans = repeated_spans(docs, length, id_col, text_col, gathered)
     both = keyed(docs, id_col, text_col).join(small_side(spans), ["h1", "h2"], "left")
-    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
-    runs = F.coalesce("spans", none)
+    runs = F.coalesce("spans", F.array().cast("array<struct<s:bigint,e:bigint>>"))
     n = F.octet_length("text")
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").cast("binary").alias("out"))
-    step = lambda acc, x: F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int"))).alias("out"))
-    tail = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (n - acc["at"]).cast("int")))
-    kept = F.when(F.size(runs) == 0, F.col("text")).otherwise(F.aggregate(runs, empty, step, tail))
+    kept = _outside(F.col("text"), runs)
     removed = F.aggregate(runs, F.lit(0).cast("long"), lambda t, x: t + x["e"] - x["s"])
     out = both.select("doc_id", n.cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size(runs).cast("long").alias("n_spans"), kept.alias("kept"))
     return out.withColumn("kept_sha256", F.sha2("kept", 256))
