@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwell.llm.common import small_side, written
@@ -20,7 +21,7 @@ COORDINATES, MATCHES = 48, 23
 PREFIX = COORDINATES - MATCHES + 1
 #: Members of a posting list that are compared in one piece; longer lists are cut into blocks of so many.
 BLOCK = 256
-#: Members of a posting list from which on they are first tested for shingles that no other member of such lists has.
+#: Members of a posting list beyond which they meet under their rarest shingles instead.
 LONG = 64
 
 
@@ -28,9 +29,27 @@ def _multipliers() -> np.ndarray:
     return mix(np.arange(1, COORDINATES + 1, dtype="u8")) | np.uint64(1)
 
 
+def _nibbles(sig) -> list:
+    """Four bits of each coordinate, in words of 16 coordinates."""
+    part = lambda k, i: F.shiftleft(F.element_at(sig, k + i + 1).cast("long").bitwiseAND(F.lit(15).cast("long")), 4 * i)
+    return [reduce(lambda x, y: x.bitwiseOR(y), [part(k, i) for i in range(16)]) for k in range(0, COORDINATES, 16)]
+
+
+def _differing(x: list, y: list):
+    """Coordinates whose four bits differ: no more than the coordinates that differ."""
+
+    def count(a, b):
+        d = a.bitwiseXOR(b)
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return reduce(lambda a, b: a + b, [count(a, b) for a, b in zip(x, y, strict=True)])
+
+
 def _class_of(shingles: np.ndarray) -> int:
-    total = np.add.reduce(mix(shingles)) + np.uint64(len(shingles)) * np.uint64(0x9E3779B97F4A7C15)
-    return int(mix(np.array([total], dtype="u8")).view("i8")[0])
+    total = np.add.reduce(mix(shingles), keepdims=True) + np.array([len(shingles)], dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
+    return int(mix(total).view("i8")[0])
 
 
 def _signatures(words: int):
@@ -69,8 +88,8 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.frombuffer(x.as_buffer(), dtype="i8") for x in batch.column(1)]
         if sets:
-            cls = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.concatenate(sets))], ["cls", "shingle"])
+            cls, n = (np.repeat(batch.column(k).to_numpy(), [len(s) for s in sets]) for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(n), pa.array(np.concatenate(sets))], ["cls", "n", "shingle"])
 
 
 def _confirmed(percent: int):
@@ -95,9 +114,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has a signature of COORDINATES minima; (coordinate, value) pairs that no other class has cannot match and are not posted,
     and of the others a class posts only the rarest, so that its MATCHES - 1 most frequent ones are skipped and merely counted
     when a pair is merged.  First every class is held against one leader of each of its posting lists, which already unites
-    groups of near copies at a cost in proportion to the postings; then all pairs of a list that are still in different
-    components are, with long lists cut into blocks that many tasks share.  So no list is dropped or capped, and only pairs
-    that could change a component are made.  Pairs with MATCHES equal coordinates are confirmed on their full sets.
+    groups of near copies at a cost in proportion to the postings; then come all pairs of a list that are still in different
+    components and agree in four bits of MATCHES coordinates, with long lists cut into blocks that many tasks share.  Members
+    of posting lists longer than long_list meet under the rarest shingles of their full sets instead, which every pair that
+    can be linked shares.  So no link is dropped or capped, and only pairs that could change a component are made.  Pairs with MATCHES equal coordinates are confirmed on their full sets.
 
     Null and empty texts, and texts of white space, have no shingles and are linked with nothing.  A null id is linked with
     nothing: its component_id is null and it is kept.  Repeated rows get equal results (they are one class).  Ties do not
@@ -132,13 +152,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full = near.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
         return full.select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a long, b long")
 
-    # long lists come from passages that many texts share: a text of which over 100 - percent shingles in 100 are in no
-    # other text of such lists cannot be linked with any of them, and leaves these lists
-    long = posted.where(F.col("df") > long_list)
-    each = sets.join(long.select("cls").distinct(), "cls", "left_semi").mapInArrow(_shingles, "cls long, shingle long")
-    alone = each.groupBy("shingle").agg(F.count("*").alias("k"), F.min("cls").alias("cls")).where("k = 1").groupBy("cls").agg(F.count("*").alias("alone"))
-    far = alone.join(classes.select("cls", "n"), "cls").where(100 * F.col("alone") > (100 - percent) * F.col("n")).select("cls")
-    posted = written(posted.where(F.col("df") <= long_list).union(long.join(far, "cls", "left_anti").select(*posted.columns)), "posted")
+    # long lists come from passages that many texts share.  Two sets that can be linked share one of the rarest
+    # 100 - percent in 100 shingles of each, so members of long lists meet under these instead: frequent ones are skipped
+    long = posted.where(F.col("df") > long_list).select("cls", "n").distinct()
+    each = written(sets.join(long, "cls").mapInArrow(_shingles, "cls long, n long, shingle long"), "each")
+    often = each.groupBy("shingle").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy("df", "shingle"))  # a text's own shingles
+    rare = each.join(often, "shingle").withColumn("k", rank).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    under = rare.where("df > 1").select("cls", F.col("shingle").alias("token"), "df", "n")
+    posted = written(posted.where(F.col("df") <= long_list).select("cls", "token", "df", "n").union(under), "posted")
 
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
@@ -148,16 +170,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = star.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
     links = written(confirmed(star), "links")
 
-    roots = written(components(links), "roots")
-    own = posted.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    open_ = own.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-    rest = own.join(open_, "token").withColumns({"nb": F.ceil(F.col("df") / block).cast("int"), "blk": F.pmod(F.xxhash64("cls"), F.ceil(F.col("df") / block)).cast("int")})
-    spread = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    left = rest.select("token", F.col("blk").alias("i"), spread.alias("j"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = rest.select("token", spread.alias("i"), F.col("blk").alias("j"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    cross = left.join(right, ["token", "i", "j"]).where("a < b and ra <> rb").where(fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    more = confirmed(cross)
-    final = written(components(links.union(more)), "roots")
+    def crossed(lists: DataFrame) -> DataFrame:
+        """Links between members of a list that are in different components so far."""
+        own = lists.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        several = own.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
+        rest = own.join(several, "token").withColumns({"nb": F.ceil(F.col("df") / block).cast("int"), "blk": F.pmod(F.xxhash64("cls"), F.ceil(F.col("df") / block)).cast("int")})
+        rest = rest.join(members.select("cls", *[x.alias(f"s{k}") for k, x in enumerate(_nibbles(F.col("sig")))]), "cls")
+        spread = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+        sketch = [f"s{k}" for k in range(COORDINATES // 16)]
+        left = rest.select("token", F.col("blk").alias("i"), spread.alias("j"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), *[F.col(c).alias(f"a{c}") for c in sketch])
+        right = rest.select("token", spread.alias("i"), F.col("blk").alias("j"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), *[F.col(c).alias(f"b{c}") for c in sketch])
+        alike = _differing([F.col(f"a{c}") for c in sketch], [F.col(f"b{c}") for c in sketch]) <= COORDINATES - MATCHES
+        cross = left.join(right, ["token", "i", "j"]).where("a < b and ra <> rb").where(fits(F.col("na"), F.col("nb"))).where(alike).select("a", "b").distinct()
+        return confirmed(cross)
+
+    final = written(components(links.union(crossed(posted))), "roots")
 
     known = classes.select("cls", "rep", "copies").join(final.withColumnRenamed("node", "cls"), "cls", "left")
     least = known.where("root is not null").groupBy("root").agg(F.min("rep").alias("component_id"))
