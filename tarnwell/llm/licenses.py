@@ -15,9 +15,9 @@ FAMILIES = [
     ("apache-1.1", "apache", r"apache (?:software )?licen[cs]e (?:version )?v?1 1"),
     ("apache-2.0", "apache", r"apache (?:software )?licen[cs]e (?:version )?v?2(?: 0)?"),
     ("apache", "apache", r"apache (?:software )?licen[cs]e"),
-    ("mit", "mit", r"(?:the )?mit licen[cs]e"),
-    ("x11", "x11", r"x11 licen[cs]e"),
-    ("isc", "isc", r"isc licen[cs]e"),
+    ("mit", "mit licen", r"(?:the )?mit licen[cs]e"),
+    ("x11", "x11 licen", r"x11 licen[cs]e"),
+    ("isc", "isc licen", r"isc licen[cs]e"),
     ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[cs]e)?"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: licen[cs]e)?"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[cs]e)?"),
@@ -43,30 +43,31 @@ FAMILIES = [
     ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e"),
     ("artistic-2.0", "artistic", r"artistic licen[cs]e(?: version)? 2(?: 0)?"),
     ("artistic", "artistic", r"artistic licen[cs]e"),
-    ("psf", "python", r"python software foundation licen[cs]e"),
-    ("php", "php", r"php licen[cs]e"),
-    ("ruby", "ruby", r"ruby licen[cs]e"),
+    ("psf", "python software", r"python software foundation licen[cs]e"),
+    ("php", "php licen", r"php licen[cs]e"),
+    ("ruby", "ruby licen", r"ruby licen[cs]e"),
     ("openssl", "openssl", r"openssl licen[cs]e"),
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "what the", r"do what the fuck you want to public licen[cs]e"),
-    ("ofl-1.1", "font", r"(?:sil )?open font licen[cs]e"),
+    ("wtfpl", "want to public licen", r"do what the fuck you want to public licen[cs]e"),
+    ("ofl-1.1", "open font licen", r"(?:sil )?open font licen[cs]e"),
     ("odbl", "database", r"open (?:data commons open )?database licen[cs]e"),
     ("odc-by", "data commons", r"open data commons attribution licen[cs]e"),
     ("ms-pl", "microsoft", r"microsoft public licen[cs]e"),
     ("ms-rl", "microsoft", r"microsoft reciprocal licen[cs]e"),
     ("sspl", "server side", r"server side public licen[cs]e"),
     ("busl", "business source", r"business source licen[cs]e"),
-    ("elastic", "elastic", r"elastic licen[cs]e"),
+    ("elastic", "elastic licen", r"elastic licen[cs]e"),
     ("commons-clause", "commons clause", r"commons clause"),
     ("cc0", "cc0", r"(?:creative commons )?cc0(?: 1 0)?"),
-    ("cc-by-nc-nd", "nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv\w+)(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "sa", r"cc by nc sa(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "share", r"creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?"),
-    ("cc-by-nc", "nc", r"cc by nc(?: [1-4] [05])?"),
-    ("cc-by-nc", "commercial", r"creative commons attribution non ?commercial(?: [1-4] [05])?"),
-    ("cc-by-nd", "nd", r"cc by nd(?: [1-4] [05])?"),
-    ("cc-by-sa", "sa", r"cc by sa(?: [1-4] [05])?"),
-    ("cc-by-sa", "share", r"creative commons attribution share ?alike(?: [1-4] [05])?"),
+    ("cc-by-nc-nd", "cc by nc nd", r"cc by nc nd(?: [1-4] [05])?"),
+    ("cc-by-nc-nd", "creative commons", r"creative commons attribution non ?commercial no ?deriv\w+(?: [1-4] [05])?"),
+    ("cc-by-nc-sa", "cc by nc sa", r"cc by nc sa(?: [1-4] [05])?"),
+    ("cc-by-nc-sa", "creative commons", r"creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?"),
+    ("cc-by-nc", "cc by nc", r"cc by nc(?: [1-4] [05])?"),
+    ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial(?: [1-4] [05])?"),
+    ("cc-by-nd", "cc by nd", r"cc by nd(?: [1-4] [05])?"),
+    ("cc-by-sa", "cc by sa", r"cc by sa(?: [1-4] [05])?"),
+    ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike(?: [1-4] [05])?"),
     ("cc-by-4.0", "4 0", r"(?:cc by|creative commons attribution) 4 0"),
     ("cc-any", "creative commons", r"creative commons(?: attribution)?(?: licen[cs]e)?"),
 ]
@@ -89,7 +90,7 @@ NOTICES = [
     (1, "gpl-any", "warranty", r"without even the implied warranty of merchantability or fitness for a particular purpose"),
     (1, "mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public licen[cs]e"),
     (1, "bsl-1.0", "boost", r"distributed under the boost software licen[cs]e version 1 0"),
-    (1, "zlib", "as is", r"this software is provided as is without any express or implied warranty"),
+    (1, "zlib", "provided as is", r"this software is provided as is without any express or implied warranty"),
     (1, "unlicense", "public domain", r"this is free and unencumbered software released into the public domain"),
     (1, "cc-any", "creative commons", r"this work is licen[cs]ed under (?:a|the) creative commons"),
     (2, "public-domain", "public domain", r"(?:dedicated|released|placed|in) (?:to|into|in)? ?the public domain"),
