@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries and rows that are compared at a time, when there are many queries.
+QUERY_BLOCK, ROW_BLOCK = 256, 2048
+
 
 def cosine(vector: Column, query: list[float]) -> Column:
     """Cosine in double precision; null for a null or zero vector, or one of another length."""
@@ -16,6 +23,80 @@ def cosine(vector: Column, query: list[float]) -> Column:
     return F.when((F.size(vector) == len(q)) & (own > 0) & F.lit(norm > 0), dot / (own * F.lit(norm)))
 
 
+def _packed(df: DataFrame, size: int, mark: str) -> DataFrame:
+    """Rows id, grp and v, in blocks of at most `size`, each block one row of arrays."""
+    each = df.withColumn("block", F.floor(F.monotonically_increasing_id() / size))
+    return each.groupBy("block").agg(F.collect_list(F.struct("id", "grp", "v")).alias("r")).select(*[F.col(f"r.{c}").alias(mark + c) for c in ("id", "grp", "v")])
+
+
+def _unit(vectors: pa.ListScalar) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors, in double precision, by length; without null, empty and zero vectors and those with a null."""
+    of: dict[int, list[int]] = {}
+    data = [None if v is None or any(x is None for x in v) else np.array(v, dtype="f8") for v in vectors.as_py()]
+    for i, v in enumerate(data):
+        if v is not None and v.any():
+            of.setdefault(len(v), []).append(i)
+    out = {}
+    for n, places in of.items():
+        m = np.stack([data[i] for i in places])
+        out[n] = np.array(places), m / np.sqrt((m * m).sum(1))[:, None]
+    return out
+
+
+def search_all(vectors: DataFrame, queries: DataFrame, k: int | None = 10, threshold: float = 0.0, filters: dict[str, object] | None = None, by: list[str] | None = None, vector: str = "embedding", id_col: str = "chunk_id", digits: int | None = None) -> DataFrame:
+    """search() for each row of queries (query_id and the vector), as query_id, id, the columns `by` and similarity.
+
+    Blocks of QUERY_BLOCK queries meet blocks of ROW_BLOCK rows, every pair once, as one matrix product; a pair of blocks
+    passes on the k best of each query (and collection), of which the k best of all are taken.  With `digits`, similarities
+    are rounded before they are ranked.
+    """
+    for c, v in (filters or {}).items():
+        if c in vectors.columns:
+            vectors = vectors.where(F.col(c).isin(*v) if isinstance(v, (list, tuple, set)) else F.col(c) == F.lit(v))
+    by = by or []
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    group = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
+    rows = _packed(vectors.select(F.col(id_col).alias("id"), group.alias("grp"), F.col(vector).alias("v")), ROW_BLOCK, "r")
+    asked = _packed(queries.select(F.col("query_id").alias("id"), F.lit("").alias("grp"), F.col(vector).alias("v")), QUERY_BLOCK, "q").drop("qgrp")
+    id_type, query_type = kinds[id_col], queries.schema["query_id"].dataType.simpleString()
+    fields = f"query_id {query_type}, id {id_type}, grp string, similarity double"
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {c: batch.column(c) for c in batch.schema.names}
+            schema = pa.schema([("query_id", at["qid"].type.value_type), ("id", at["rid"].type.value_type), ("grp", pa.string()), ("similarity", pa.float64())])
+            for i in range(batch.num_rows):
+                ids, groups = at["rid"][i].values, np.array(at["rgrp"][i].as_py(), dtype=object)
+                found = _unit(at["rv"][i])
+                for n, (asking, q) in _unit(at["qv"][i]).items():
+                    if n not in found:
+                        continue
+                    places, m = found[n]
+                    parts = [np.flatnonzero(groups[places] == g) for g in sorted(set(groups[places]))]
+                    sims = q @ m.T
+                    if digits is not None:
+                        sims = np.round(sims, digits) + 0.0
+                    for row, s in zip(asking, sims, strict=True):
+                        took = []
+                        for part in parts:
+                            p = part[s[part] >= threshold] if threshold > 0 else part[~np.isnan(s[part])]
+                            if k and len(p) > k:  # with all that tie with the k-th, whose ids decide later
+                                p = p[s[p] >= np.partition(s[p], len(p) - k)[len(p) - k]]
+                            took.append(p)
+                        t = np.concatenate(took)
+                        if len(t):
+                            where = pa.array(places[t])
+                            yield pa.RecordBatch.from_arrays([pa.array([at["qid"][i].values[int(row)].as_py()] * len(t), schema.field(0).type), ids.take(where), pa.array(groups[places[t]], pa.string()), pa.array(s[t])], schema=schema)
+
+    found = rows.crossJoin(asked).select("rid", "rgrp", "rv", "qid", "qv").mapInArrow(pairs, fields)
+    if k:
+        order = Window.partitionBy("query_id", "grp").orderBy(F.desc("similarity"), "id")
+        found = found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+    shape = ", ".join(f"`{c}` {kinds[c]}" for c in by)
+    named = [F.from_json("grp", shape).getField(c).alias(c) for c in by]
+    return found.select("query_id", F.col("id").alias(id_col), *named, "similarity")
+
+
 def search(vectors: DataFrame, query: list[float], k: int | None = 10, threshold: float = 0.0, filters: dict[str, object] | None = None, by: list[str] | None = None, vector: str = "embedding", id_col: str = "chunk_id") -> DataFrame:
     """Rows by falling similarity, those under a positive threshold left out; with `by`, the k best of each collection.
 
@@ -35,24 +116,24 @@ def search(vectors: DataFrame, query: list[float], k: int | None = 10, threshold
     return found.orderBy(*order).limit(k) if k else found
 
 
-def balanced(results: DataFrame, k: int, most: int, gran: str = "gran", id_col: str = "chunk_id", sim: str = "sim") -> DataFrame:
-    """k results spread over granularities.
+def balanced(results: DataFrame, k: int, most: int, gran: str = "gran", id_col: str = "chunk_id", sim: str = "sim", each: str | None = None) -> DataFrame:
+    """k results spread over granularities; with `each`, k results of each of its values (such as queries).
 
     Granularities rank by their number of results, best similarity and name.  With two or more, the best result of each of
     the first `most` comes first, and what is left of k is filled granularity by granularity; else the best k overall.
     The input is a search's result, k rows of each collection.
     """
-    grans = results.groupBy(gran).agg(F.count("*").alias("n"), F.max(sim).alias("best"))
-    grans = grans.withColumn("g", F.row_number().over(Window.orderBy(F.desc("n"), F.desc("best"), gran))).withColumn("t", F.least(F.lit(most), F.count("*").over(Window.partitionBy())))
-    x = results.join(grans.select(gran, "g", "t"), gran).withColumn("rn", F.row_number().over(Window.partitionBy(gran).orderBy(F.desc(sim), id_col)))
+    e = [each] if each else []
+    own = Window.partitionBy(*e)
+    grans = results.groupBy(*e, gran).agg(F.count("*").alias("n"), F.max(sim).alias("best"))
+    grans = grans.withColumn("g", F.row_number().over(own.orderBy(F.desc("n"), F.desc("best"), gran))).withColumn("t", F.least(F.lit(most), F.count("*").over(own)))
+    x = results.join(grans.select(*e, gran, "g", "t"), [*e, gran]).withColumn("rn", F.row_number().over(Window.partitionBy(*e, gran).orderBy(F.desc(sim), id_col)))
     lead = (F.col("t") >= 2) & (F.col("g") <= F.col("t")) & (F.col("rn") == 1)
-    x = x.withColumn("lead", lead).withColumn("led", F.max(F.col("lead").cast("int")).over(Window.partitionBy(id_col)))
-    x = x.withColumn("d", F.row_number().over(Window.partitionBy(id_col, "lead").orderBy("g", "rn")))
-    rest = x.where("not lead and (t < 2 or (led = 0 and d = 1))").withColumn("o", F.row_number().over(Window.orderBy(*[F.when(F.col("t") >= 2, F.col(c)) for c in ("g", "rn")], F.desc(sim), id_col)))
-    first = x.where("lead").withColumn("o", F.lit(0))
-    n = first.agg(F.count("*").alias("n"))
-    kept = rest.crossJoin(F.broadcast(n)).where(F.col("o") <= F.lit(k) - F.col("n")).drop("n")  # n is one row
-    return first.unionByName(kept).select(gran, id_col, sim)
+    x = x.withColumn("lead", lead).withColumn("led", F.max(F.col("lead").cast("int")).over(Window.partitionBy(*e, id_col)))
+    x = x.withColumn("d", F.row_number().over(Window.partitionBy(*e, id_col, "lead").orderBy("g", "rn")))
+    x = x.withColumn("n", F.count(F.when(F.col("lead"), 1)).over(own))
+    rest = x.where("not lead and (t < 2 or (led = 0 and d = 1))").withColumn("o", F.row_number().over(own.orderBy(*[F.when(F.col("t") >= 2, F.col(c)) for c in ("g", "rn")], F.desc(sim), id_col)))
+    return x.where("lead").unionByName(rest.where(F.col("o") <= F.lit(k) - F.col("n")).drop("o")).select(*e, gran, id_col, sim)
 
 
 def overlapping(collections: DataFrame, start: int, end: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarnwell import star
 from tarnwell.functions.json_chunks import dimensional_chunks, leaves, profile, text_hash
 from tarnwell.operators.merge import average_distinct, unpivoted
-from tarnwell.operators.vectors import balanced, collection_metadata, cosine, search
+from tarnwell.operators.vectors import balanced, collection_metadata, cosine, search, search_all
 from tarnwell.plans.compile import answer
 from tarnwell.plans.model import Having, Intent
 from tarnwell.streaming.events import windowed
@@ -151,6 +151,49 @@ def balanced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced(found.select("gran", "chunk_id", F.round("similarity", 6).alias("sim")), 8, 3)
 
 
+def _queries(vectors: DataFrame) -> DataFrame:
+    """The whole query set: every row whose id is divisible by 100."""
+    return vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+PAIRS = """ with s as (select q.vec_id as query_id, e.vec_id, e.label, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as similarity
+from embeddings e, embeddings q where q.vec_id % 100 = 0)"""
+
+
+@query(PAIRS + " select query_id, vec_id, similarity from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rn from s) where rn <= 20")
+def cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _table(spark, sf_dir, "embeddings")
+    return search_all(v, _queries(v), 20, id_col="vec_id", digits=6)
+
+
+@query(PAIRS + " select query_id, vec_id, similarity from s where similarity >= 0.1")
+def cosine_threshold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _table(spark, sf_dir, "embeddings")
+    return search_all(v, _queries(v), None, 0.1, id_col="vec_id", digits=6)
+
+
+@query(PAIRS + " select query_id, vec_id, label, similarity from (select *, row_number() over (partition by query_id, label order by similarity desc, vec_id) as rn from s where label in (1, 2, 3)) where rn <= 5")
+def cosine_topk_per_collection_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _table(spark, sf_dir, "embeddings")
+    found = search_all(v, _queries(v), 5, filters={"label": [1, 2, 3], "unknown": 1}, by=["label"], id_col="vec_id", digits=6)
+    return found.select("query_id", "vec_id", "label", "similarity")
+
+
+@query(
+    PAIRS
+    + """,
+     res as (select query_id, label as gran, vec_id as chunk_id, similarity as sim from (select *, row_number() over (partition by query_id, label order by similarity desc, vec_id) as k from s) where k <= 4),
+     g as (select query_id, gran, row_number() over (partition by query_id order by count(*) desc, max(sim) desc, gran) as g from res group by query_id, gran),
+     x as (select res.*, g.g, row_number() over (partition by res.query_id, res.gran order by sim desc, chunk_id) as rn from res join g using (query_id, gran))
+select query_id, gran, chunk_id, sim from x where g <= 3 and rn = 1
+union all select query_id, gran, chunk_id, sim from (select *, row_number() over (partition by query_id order by g, rn) as o from x where not (g <= 3 and rn = 1)) where o <= 5"""
+)
+def balanced_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _table(spark, sf_dir, "embeddings")
+    found = search_all(v.withColumnsRenamed({"label": "gran", "vec_id": "chunk_id"}), _queries(v), 4, by=["gran"], digits=6)
+    return balanced(found.withColumnRenamed("similarity", "sim"), 8, 3, each="query_id")
+
+
 COLLECTION = "'brand_qoq_2024010' || (label % 3 + 1) || '_20240331_vs_20240401_20240630'"
 
 
