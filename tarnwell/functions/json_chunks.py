@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnwell.llm.common import shared_dir
+
 
-def leaves(spark: SparkSession, docs: DataFrame, levels: int = 100) -> DataFrame:
+def leaves(spark: SparkSession, docs: DataFrame, stop: int | None = None) -> DataFrame:
     """document_id, path ($.a.b[0]), level and value (VARIANT) of every node below each root.
 
-    Each level is one explode of the level above; the loop ends with the deepest document.
+    Each level is one explode of the level above, as a written table; the loop ends with the deepest document, so that
+    neither the number of nodes nor their depth is bounded.  Arrays of `stop` or more items are nodes, but not entered.
     """
-    docs.createOrReplaceTempView("tarnwell_docs")
-    return spark.sql(f"""
-        with recursive nodes(document_id, path, level, value) max recursion level {levels} as (
-          select document_id, '$', 0, doc from tarnwell_docs where doc is not null
-          union all
-          select n.document_id, case when e.key is null then n.path || '[' || e.pos || ']' else n.path || '.' || e.key end, n.level + 1, e.value
-          from nodes n, lateral variant_explode_outer(n.value) e
-          where e.value is not null and (schema_of_variant(n.value) like 'OBJECT%' or schema_of_variant(n.value) like 'ARRAY%'))
-        select * from nodes""")
+    path = f"{shared_dir(spark)}/nodes-{uuid.uuid4().hex}"
+    nodes = docs.where("doc is not null").select("document_id", F.lit("$").alias("path"), F.lit(0).alias("level"), F.col("doc").alias("value"))
+    schema, level = nodes.schema, 0
+    nodes.write.parquet(f"{path}/level={level}")
+    while True:
+        above = spark.read.schema(schema).parquet(f"{path}/level={level}")
+        if above.isEmpty():
+            break
+        if stop:
+            above = above.where(F.coalesce(array_size(F.col("value")) < stop, F.lit(True)))
+        each = above.alias("n").lateralJoin(spark.tvf.variant_explode(F.col("n.value").outer()).alias("e"))
+        step = F.when(F.col("e.key").isNull(), F.concat(F.lit("["), F.col("e.pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("e.key")))
+        level += 1
+        below = each.where("e.value is not null").select("n.document_id", F.concat("n.path", step).alias("path"), F.lit(level).alias("level"), F.col("e.value").alias("value"))
+        below.write.parquet(f"{path}/level={level}")
+    return spark.read.schema(schema).parquet(f"{path}/*")
+
+
+def array_size(value: Column) -> Column:
+    """Items of a variant that is an array; null for any other."""
+    return F.when(F.schema_of_variant(value).startswith("ARRAY"), F.size(F.try_variant_get(value, "$", "array<variant>")))
 
 
 def _kind(value: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tarnwell.functions.json_chunks import leaves, profile
 from tarnwell.operators import vectors
 
 
@@ -19,3 +20,18 @@ def test_search_all_answers_every_query(spark, sf_dir, monkeypatch):
         for q, x in queries.items():
             want = sorted((r.vec_id, round(r.similarity, 9)) for r in vectors.search(v, x, 3, by=by, id_col="vec_id").collect())
             assert sorted((r.vec_id, round(r.similarity, 9)) for r in got if r.query_id == q) == want
+
+
+def test_leaves_have_no_row_or_depth_cap(spark):
+    deep = "1"
+    for _ in range(60):
+        deep = '{"a":[' + deep + "]}"
+    docs = spark.createDataFrame([(1, deep), (2, '{"b":{},"c":null}'), (3, None)], "document_id long, t string").select("document_id", F.try_parse_json("t").alias("doc"))
+    limit = "spark.sql.cteRecursionRowLimit"
+    old = spark.conf.get(limit)
+    spark.conf.set(limit, "20")
+    try:
+        got = {r.document_id: tuple(r)[1:] for r in profile(leaves(spark, docs)).collect()}
+    finally:
+        spark.conf.set(limit, old)
+    assert got == {1: (120, 60, 60, 1), 2: (1, 2, 0, 1)}
