@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import shared_dir
+from tarnwell.llm.common import shared_dir, written
 
 
 def leaves(spark: SparkSession, docs: DataFrame, stop: int | None = None) -> DataFrame:
@@ -72,6 +72,60 @@ def dimensional_chunks(docs: DataFrame, path: str, least: int = 50) -> DataFrame
     return each.groupBy("document_id", "slice").agg(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")).alias("content"), F.count("*").alias("items"))
 
 
+def whole_dimensional_chunks(spark: SparkSession, docs: DataFrame, least: int = 50, size: int = 10) -> DataFrame:
+    """document_id, kind, path, slice, items and content of all chunks of each document; every value is in one chunk.
+
+    kind `array`: the slices of each large array, wherever it stands (one inside of another goes with that).  kind
+    `remaining`: what is in no large array, `size` leaves to a chunk in path order, as the JSON object of their paths and
+    values; empty objects and arrays are leaves, and a large array leaves a reference.
+    """
+    nodes = leaves(spark, docs, least).withColumn("n", array_size(F.col("value")))
+    large = F.coalesce(F.col("n") >= least, F.lit(False))
+    step = F.least(F.lit(100), F.greatest(F.lit(10), F.floor(F.col("n") / 10)))
+    each = nodes.where(large).withColumn("size", step).alias("n").lateralJoin(spark.tvf.variant_explode(F.col("n.value").outer()).alias("e"))
+    items = each.select("n.document_id", "n.path", F.floor(F.col("e.pos") / F.col("n.size")).alias("slice"), "e.pos", F.to_json("e.value").alias("text"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+    arrays = items.groupBy("document_id", "path", "slice").agg(F.count("*").alias("items"), F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("content"))
+    text = F.to_json("value")
+    reference = F.to_json(F.struct(F.struct(F.col("path").alias("original_path"), F.col("n").alias("size")).alias("_large_array_reference")))
+    rest = nodes.where(large | ~_kind(F.col("value")).isin("object", "array") | text.isin("{}", "[]")).select("document_id", "path", F.when(large, reference).otherwise(text).alias("text"))
+    placed = positions(rest, ["document_id"], "path").withColumn("slice", F.floor(F.col("pos") / size))
+    quoted = F.to_json(F.array("path"))
+    pair = F.concat(quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(": "), F.col("text"))
+    pairs = F.transform(F.sort_array(F.collect_list(F.struct("pos", pair.alias("pair")))), lambda x: x["pair"])
+    remaining = placed.groupBy("document_id", "slice").agg(F.count("*").alias("items"), F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")).alias("content"))
+    shape = ["document_id", "kind", "path", "slice", "items", "content"]
+    return arrays.withColumn("kind", F.lit("array")).select(*shape).union(remaining.withColumns({"kind": F.lit("remaining"), "path": F.lit(None).cast("string")}).select(*shape))
+
+
+#: Rows of a range, on average, when positions in large groups are found.
+RANGE_ROWS = 50_000
+
+
+def positions(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """rows with pos, the place in its group by `order` (nulls last), and total, the group's rows.
+
+    No group is gathered: rows are counted by group and range of `order`, the counts are summed up, and only the rows of
+    one range of one group are put in order together.
+    """
+    rows = written(rows, "placed")
+    whole, ranges = Window.partitionBy(*by), max(1, -(-rows.count() // RANGE_ROWS))
+    bounds = rows.where(F.col(order).isNotNull()).select(order).repartitionByRange(ranges, order).groupBy(F.spark_partition_id().alias("p")).agg(F.max(order).alias("m")) if ranges > 1 else None
+    tops = sorted({r["m"] for r in bounds.collect()})[:-1] if bounds else []  # one value of each range
+    place = F.when(F.col(order).isNull(), F.lit(len(tops) + 1))
+    kind = rows.schema[order].dataType
+    if tops:
+        place = place.otherwise(F.size(F.filter(F.array(*[F.lit(t).cast(kind) for t in tops]), lambda t: t < F.col(order))))
+    rows = rows.withColumn("__range", F.coalesce(place, F.lit(0)))
+    counts = rows.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    counts = counts.withColumns({"__before": F.coalesce(F.sum("__n").over(whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("__n").over(whole)})
+    keys = [*by, "__range"]
+    at = counts.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(keys)], "__before", "total")
+    same = [F.col(c).eqNullSafe(F.col(f"__c{i}")) for i, c in enumerate(keys)]
+    found = rows.join(at, same).withColumn("pos", F.col("__before") + F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last(order))) - 1)
+    return found.drop("__range", "__before", *[f"__c{i}" for i in range(len(keys))])
+
+
 def dimension_value(path: Column) -> Column:
     """The name after `dimension_analyses` in a path, unless it is a number."""
     name = F.regexp_extract(path, r"dimension_analyses\.([^.\[]+)", 1)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell import star
-from tarnwell.functions.json_chunks import dimensional_chunks, leaves, profile, text_hash
+from tarnwell.functions.json_chunks import leaves, positions, profile, text_hash
 from tarnwell.operators.merge import average_distinct, unpivoted
 from tarnwell.operators.vectors import balanced, collection_metadata, cosine, search, search_all
 from tarnwell.plans.compile import answer
@@ -234,9 +234,29 @@ def json_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(" select user_id as document_id, floor((row_number() over (partition by user_id order by event_id) - 1) / least(100, greatest(10, floor(count(*) over (partition by user_id) / 10)))) as slice, event_id from events qualify count(*) over (partition by user_id) >= 50")
 def json_dimensional_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("rows"))
-    docs = e.select(F.col("user_id").alias("document_id"), F.parse_json(F.to_json(F.struct("rows"))).alias("doc"))
-    return dimensional_chunks(docs, "$.rows").select("document_id", F.col("slice").cast("double").alias("slice"), F.explode(F.from_json("content", "array<bigint>")).alias("event_id"))
+    e = positions(_table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), "event_id"), ["document_id"], "event_id").where("total >= 50")
+    size = F.least(F.lit(100), F.greatest(F.lit(10), F.floor(F.col("total") / 10)))
+    items = F.transform(F.sort_array(F.collect_list(F.struct("pos", "event_id"))), lambda x: x["event_id"])
+    chunks = e.withColumn("slice", F.floor(F.col("pos") / size)).groupBy("document_id", "slice").agg(F.to_json(items).alias("content"))  # 100 items at most
+    return chunks.select("document_id", F.col("slice").cast("double").alias("slice"), F.explode(F.from_json("content", "array<bigint>")).alias("event_id"))
+
+
+WHOLE_SQL = """
+with e as (select user_id, event_id, row_number() over (partition by user_id order by event_id) - 1 as pos, count(*) over (partition by user_id) as n from events),
+     p as (select *, '$.rows[' || pos || ']' as path from e where n < 50)
+select user_id as document_id, 'array' as kind, cast(floor(pos / least(100, greatest(10, floor(n / 10)))) as double) as slice, event_id from e where n >= 50
+union all select user_id, 'remaining', floor((row_number() over (partition by user_id order by path) - 1) / 10), event_id from p
+"""
+
+
+@query(WHOLE_SQL)
+def json_dimensional_chunks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of every user: in slices, or in remainder chunks by path where a user has too few for a large array."""
+    e = positions(_table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), "event_id"), ["document_id"], "event_id")
+    size = F.least(F.lit(100), F.greatest(F.lit(10), F.floor(F.col("total") / 10)))
+    of = lambda kind, x, slice_: x.select("document_id", F.lit(kind).alias("kind"), F.floor(slice_).cast("double").alias("slice"), "event_id")
+    by_path = F.row_number().over(Window.partitionBy("document_id").orderBy(F.concat(F.lit("$.rows["), F.col("pos").cast("string"), F.lit("]")))) - 1  # fewer than 50 rows
+    return of("array", e.where("total >= 50"), F.col("pos") / size).union(of("remaining", e.where("total < 50"), by_path / 10))
 
 
 @query(" select doc_id, sha256(text) as text_hash from documents where text is not null")

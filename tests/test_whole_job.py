@@ -1,8 +1,11 @@
 """Operators do the whole job: every query vector, every part of a document, documents of any depth and number."""
 
+import json
+
 from pyspark.sql import functions as F
 
-from tarnwell.functions.json_chunks import leaves, profile
+from tarnwell.functions import json_chunks
+from tarnwell.functions.json_chunks import leaves, positions, profile, whole_dimensional_chunks
 from tarnwell.operators import vectors
 
 
@@ -35,3 +38,35 @@ def test_leaves_have_no_row_or_depth_cap(spark):
     finally:
         spark.conf.set(limit, old)
     assert got == {1: (120, 60, 60, 1), 2: (1, 2, 0, 1)}
+
+
+def test_dimensional_chunks_cover_the_whole_document(spark):
+    doc = {"rows": list(range(120)), "x": {"deep": [{"i": i} for i in range(50)], "few": [1, 2], "none": {}}, "name": None, "list": [[*range(60)]]}
+    texts = [(1, json.dumps(doc)), (2, json.dumps({"rows": [7, 8]})), (3, json.dumps(list(range(55))))]
+    docs = spark.createDataFrame(texts, "document_id long, t string").select("document_id", F.parse_json("t").alias("doc"))
+    got = whole_dimensional_chunks(spark, docs).collect()
+    arrays = {}
+    for r in sorted((r for r in got if r.kind == "array"), key=lambda r: r.slice):
+        arrays.setdefault((r.document_id, r.path), []).append(json.loads(r.content))
+    assert {k: [x for part in v for x in part] for k, v in arrays.items()} == {(1, "$.rows"): doc["rows"], (1, "$.x.deep"): doc["x"]["deep"], (1, "$.list[0]"): doc["list"][0], (3, "$"): list(range(55))}
+    assert [len(part) for part in arrays[1, "$.rows"]] == [12] * 10
+    rest = {1: {}, 2: {}, 3: {}}
+    for r in got:
+        if r.kind == "remaining":
+            assert r.items <= 10
+            rest[r.document_id] |= json.loads(r.content)
+    reference = lambda path, n: {"_large_array_reference": {"original_path": path, "size": n}}
+    assert rest[1] == {"$.rows": reference("$.rows", 120), "$.x.deep": reference("$.x.deep", 50), "$.list[0]": reference("$.list[0]", 60), "$.x.few[0]": 1, "$.x.few[1]": 2, "$.x.none": {}, "$.name": None}
+    assert rest[2] == {"$.rows[0]": 7, "$.rows[1]": 8} and rest[3] == {"$": reference("$", 55)}
+
+
+def test_positions_without_gathering_a_group(spark, monkeypatch):
+    monkeypatch.setattr(json_chunks, "RANGE_ROWS", 30)
+    rows = [(u, None if i == 5 else i * 37 % 101) for u, n in ((1, 100), (2, 3), (None, 7)) for i in range(n)]
+    df = spark.createDataFrame(rows, "u long, x long")
+    got = sorted((tuple(r) for r in positions(df, ["u"], "x").select("u", "pos", "x", "total").collect()), key=repr)
+    want = []
+    for u in (1, 2, None):
+        xs = sorted((x for v, x in rows if v == u), key=lambda x: (x is None, x or 0))
+        want += [(u, k, x, len(xs)) for k, x in enumerate(xs)]
+    assert got == sorted(want, key=repr)
