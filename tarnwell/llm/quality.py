@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The bounded training sample: labelled and unlabelled documents at most.
-LABELLED, POOL = 3000, 3000
+from tarnwell.llm.common import dropped, small_side, written
+
+#: The bounded training sample of labelled documents; unlabelled ones all take part.
+LABELLED = 3000
+#: Passes over the taught documents in a refit, and the bins of margin in which all unlabelled documents are counted.
+PASSES, BIN, FAR = 20, 1 / 256, 60.0
 #: Hashed byte trigrams of the content view; buckets of language and source of the metadata view.
 TRIGRAMS, BUCKETS = 1024, 16
 ROUNDS, SHARE = 4, 0.05
@@ -84,33 +88,178 @@ class Logistic:
         return np.clip(self.slope * self.margin(x) + self.shift, -12, 12)
 
 
-def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> tuple[Logistic, Logistic]:
-    """y: 1 or 0, or -1 for the pool.  Each round, each view's most confident pool documents teach the other view.
+def _split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x[:, :-_N_META], x[:, -_N_META:]
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="f2").reshape(len(column), -1).astype("f4")
+
+
+#: The models of a round and, of each, the bins up to and from which documents are confident, with the shares taken of these two bins.
+Round = tuple[list[Logistic], list[tuple[int, float, int, float]]]
+
+
+def _taught(x: np.ndarray, u: np.ndarray, rounds: list[Round]) -> list[np.ndarray]:
+    """Labels that each view was taught by the other one in these rounds; -1 for none.  u: a fraction by the hash of the id."""
+    out = [np.full(len(x), -1.0) for _ in range(2)]
+    for models, cuts in rounds:
+        for k, v in enumerate(_split(x)):
+            m = models[k].margin(v)
+            b, (low, some_low, high, some_high), free = np.floor(np.clip(m, -FAR, FAR) / BIN), cuts[k], out[1 - k] < 0
+            out[1 - k][free & (m < 0) & ((b < low) | ((b == low) & (u < some_low)))] = 0
+            out[1 - k][free & (m > 0) & ((b > high) | ((b == high) & (u < some_high)))] = 1
+    return out
+
+
+def _cuts(counts: dict[int, int], n_low: int, n_high: int) -> tuple[int, float, int, float]:
+    """Bins at which the n_low smallest negative and the n_high largest positive margins end, with the shares of these bins."""
+
+    def cut(bins: list[int], n: int, end: int) -> tuple[int, float]:
+        for b in bins:
+            if counts[b] > n:
+                return b, n / counts[b]
+            n -= counts[b]
+        return end, 0.0
+
+    return *cut(sorted(b for b in counts if b < 0), n_low, 0), *cut(sorted((b for b in counts if b >= 0), reverse=True), n_high, -1)
+
+
+def _summed(table: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of part(labels, features) over a table of taught documents; each task passes on one vector."""
 
-    A quarter of the labelled documents is kept for calibration.  `share` of the pool is passed on in a round, with the two
-    classes in the proportion that the labels have.
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                found = part(np.column_stack([batch.column(k).to_numpy() for k in (0, 1)]), _matrix(batch.column(2)))
+                total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    return np.sum([np.frombuffer(r["total"], dtype="f8") for r in table.mapInArrow(rows, "total binary").collect()], axis=0)  # a vector of each task
+
+
+def _moments(t: np.ndarray, x: np.ndarray) -> np.ndarray:
+    out = []
+    for k, v in enumerate(_split(x)):
+        own, y = v[t[:, k] >= 0].astype("f8"), t[t[:, k] >= 0, k]
+        out += [[(y == 0).sum(), (y == 1).sum()], own.sum(0), (own * own).sum(0)]
+    return np.concatenate(out)
+
+
+def _loss(x: np.ndarray, y: np.ndarray, w: np.ndarray, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Loss and gradient of the standardized rows x under weights of the two classes."""
+    raw = w[:-1] / scale
+    m = x.astype("f8") @ raw + (w[-1] - mean @ raw)
+    weight = np.where(y > 0.5, weights[1], weights[0])
+    r = weight * (1 / (1 + np.exp(-np.clip(m, -30, 30))) - y)
+    return np.concatenate([[weight @ (np.logaddexp(0, m) - y * m)], (r @ x - mean * r.sum()) / scale, [r.sum()]])
+
+
+def _lbfgs(w: np.ndarray, memory: int = 10) -> Generator[np.ndarray, tuple[float, np.ndarray], None]:
+    """Points at which to evaluate; sent loss and gradient of each."""
+    f, g = yield w
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    while True:
+        d, back = -g, []
+        for s, y in reversed(pairs):
+            a = (s @ d) / (s @ y)
+            back.append(a)
+            d = d - a * y
+        if pairs:
+            d = d * (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1])
+        for (s, y), a in zip(pairs, reversed(back), strict=True):
+            d = d + s * (a - (y @ d) / (s @ y))
+        step = 1.0 if pairs else min(1.0, 1 / (float(np.linalg.norm(g)) or 1.0))
+        while True:
+            ahead = w + step * d
+            f_ahead, g_ahead = yield ahead
+            if f_ahead <= f + 1e-4 * step * (g @ d) or step < 1e-4:
+                break
+            step /= 2
+        if (ahead - w) @ (g_ahead - g) > 1e-12:
+            pairs = [*pairs, (ahead - w, g_ahead - g)][-memory:]
+        w, f, g = ahead, f_ahead, g_ahead
+
+
+def _refit(models: list[Logistic], x: np.ndarray, y: np.ndarray, taught: DataFrame, l2: float = 1e-4) -> list[Logistic]:
+    """Both models fitted to the labelled rows x, y and to all taught documents, by L-BFGS on gradients summed in Spark."""
+    views = _split(x)
+    own = np.column_stack([y, y]).astype("f8")
+    sums = _summed(taught, _moments) + _moments(own, x)
+    new, weights, at = [], [], 0
+    for k, v in enumerate(views):
+        d, model, old = v.shape[1], Logistic.__new__(Logistic), models[k]
+        n, total, squares = sums[at : at + 2], sums[at + 2 : at + 2 + d], sums[at + 2 + d : at + 2 + 2 * d]
+        at += 2 + 2 * d
+        model.mean = total / n.sum()
+        model.scale = np.sqrt(np.maximum(squares / n.sum() - model.mean**2, 0)) + 1e-3
+        raw = old.w[:-1] / old.scale
+        model.w = np.append(raw * model.scale, old.w[-1] + (model.mean - old.mean) @ raw)
+        model.slope, model.shift = 1.0, 0.0
+        new.append(model)
+        weights.append(0.5 / np.maximum(1, n))
+    given = [(m.mean, m.scale, c) for m, c in zip(new, weights, strict=True)]
+    steps = [_lbfgs(m.w) for m in new]
+    points = [next(s) for s in steps]
+    best = [np.inf, np.inf]
+    for _ in range(PASSES):
+
+        def part(t: np.ndarray, z: np.ndarray, points: list[np.ndarray] = points) -> np.ndarray:
+            return np.concatenate([_loss(v[t[:, k] >= 0], t[t[:, k] >= 0, k], points[k], *given[k]) for k, v in enumerate(_split(z))])
+
+        both = _summed(taught, part) + part(own, x)
+        cut = len(points[0]) + 1
+        after = []
+        for k, found in enumerate((both[:cut], both[cut:])):
+            loss = float(found[0] + l2 / 2 * points[k] @ points[k])
+            if loss < best[k]:
+                best[k], new[k].w = loss, points[k]
+            after.append(steps[k].send((loss, found[1:] + l2 * points[k])))
+        points = after
+    return new
+
+
+def co_train(x: np.ndarray, y: np.ndarray, pool: DataFrame, rounds: int = ROUNDS, share: float = SHARE) -> tuple[Logistic, Logistic]:
+    """x, y: the labelled documents; pool: u and v of all unlabelled ones, a written table.
+
+    In each round each view's most confident documents of the whole pool teach the other view.  A quarter of the labelled
+    documents is kept for calibration.  `share` of the pool is passed on in a round, with the two classes in the proportion
+    that the labels have.
     """
-    known, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    held = known[np.arange(len(known)) % 4 == 3]
-    base = np.setdiff1d(known, held)
-    views = (content, meta)
-    taught = [np.where(np.isin(np.arange(len(y)), base), y, -1).astype("f8") for _ in views]
-    good = float(y[base].mean()) if len(base) else 0.5
-    for _ in range(rounds):
-        models = [Logistic(v[t >= 0], t[t >= 0]) for v, t in zip(views, taught, strict=True)]
-        for k, other in ((0, 1), (1, 0)):
-            free = pool[taught[other][pool] < 0]
-            if not len(free):
-                continue
-            m = models[k].margin(views[k][free])
-            order = np.argsort(m, kind="stable")
-            n = max(1, int(share * len(pool)))
-            low, high = order[: int(n * (1 - good))], order[::-1][: int(n * good)]
-            taught[other][free[low[m[low] < 0]]] = 0
-            taught[other][free[high[m[high] > 0]]] = 1
-    models = [Logistic(v[t >= 0], t[t >= 0]) for v, t in zip(views, taught, strict=True)]
-    for model, v in zip(models, views, strict=True):
-        model.calibrate(v[held], y[held])
+    held = np.arange(len(y)) % 4 == 3
+    base, known = x[~held], y[~held].astype("f8")
+    models = [Logistic(v, known) for v in _split(base)]
+    good, size = float(known.mean()) if len(known) else 0.5, pool.count()
+    n = max(1, int(share * size))
+    history: list[Round] = []
+    for _ in range(rounds if size else 0):
+
+        def margins(batches: Iterator[pa.RecordBatch], models: list[Logistic] = models, before: list[Round] = tuple(history)) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                z = _matrix(batch.column(1)) if batch.num_rows else np.zeros((0, 1))
+                taught = _taught(z, batch.column(0).to_numpy(), before) if batch.num_rows else []
+                for k, v in enumerate(_split(z) if batch.num_rows else ()):
+                    b, c = np.unique(np.floor(np.clip(models[k].margin(v[taught[1 - k] < 0]), -FAR, FAR) / BIN).astype("i4"), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), k, dtype="i4")), pa.array(b), pa.array(c.astype("i8"))], ["k", "b", "c"])
+
+        counted = pool.mapInArrow(margins, "k int, b int, c long").groupBy("k", "b").agg(F.sum("c").alias("c")).collect()  # the bins of two views
+        history.append((models, [_cuts({r["b"]: r["c"] for r in counted if r["k"] == k}, int(n * (1 - good)), int(n * good)) for k in (0, 1)]))
+
+        def rows(batches: Iterator[pa.RecordBatch], before: list[Round] = tuple(history)) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    t = _taught(_matrix(batch.column(1)), batch.column(0).to_numpy(), before)
+                    some = pa.array((t[0] >= 0) | (t[1] >= 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(t[0]), pa.array(t[1]), batch.column(1)], ["t0", "t1", "v"]).filter(some)
+
+        taught = written(pool.mapInArrow(rows, "t0 double, t1 double, v binary"), "taught")
+        if not taught.isEmpty():
+            models = _refit(models, base, known, taught)
+        dropped(taught)
+    for model, v in zip(models, _split(x[held]), strict=True):
+        model.calibrate(v, y[held])
     return models[0], models[1]
 
 
@@ -126,30 +275,39 @@ def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), col("lang", "string"), col("source", "string"), col("n_chars", "long"))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> tuple[Logistic, Logistic] | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED) -> tuple[Logistic, Logistic] | None:
     """The two calibrated models, or None if the labels of these documents have fewer than two classes of four each.
 
-    The sample is the documents whose id has the smallest hash, chosen from ids alone.  Rows of labels with a null id or
-    label teach nothing; an id with several labels counts as the lowest.
+    The labelled sample is the documents whose id has the smallest hash, chosen from ids alone; all documents with an id
+    and no label are the pool.  Rows of labels with a null id or label teach nothing; an id with several labels counts as
+    the lowest.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).alias("y")).where("doc_id is not null")
-    first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    sample = first(ids.join(known, "doc_id"), labelled).select("doc_id", "y").union(first(ids.join(known, "doc_id", "left_anti"), pool).select("doc_id", F.lit(-1)))
-    sample = sample.sparkSession.createDataFrame(sample.collect(), "doc_id long, y int")  # labelled + pool rows at most
+    known = written(labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).alias("y")).where("doc_id is not null"), "labels")
+    sample = ids.join(small_side(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).select("doc_id", "y")
+    sample = sample.sparkSession.createDataFrame(sample.collect(), "doc_id long, y int")  # `labelled` rows at most
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = [np.concatenate(v).astype("f4").tobytes() for v in _views(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), pa.array(both, pa.binary())], ["doc_id", "y", "v"])
 
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [np.concatenate(v).astype("f2").tobytes() for v in _views(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(5), pa.array(both, pa.binary())], ["u", "v"])
+
     texts = _given(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")
     found = sorted({r["doc_id"]: (r["y"], r["v"]) for r in texts.mapInArrow(rows, "doc_id long, y int, v binary").collect()}.items())
     y = np.array([f[1][0] for f in found])
     if min((y == 0).sum(), (y == 1).sum()) < 4:
         return None
     x = np.stack([np.frombuffer(f[1][1], dtype="f4") for f in found])
-    return co_train(x[:, :-_N_META], x[:, -_N_META:], y)
+    free = _given(docs, id_col, text_col).where("doc_id is not null").join(small_side(known), "doc_id", "left_anti")
+    pool = written(free.withColumn("u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)).mapInArrow(features, "u double, v binary"), "pool")
+    models = co_train(x, y, pool)
+    dropped(pool, known)
+    return models
 
 
 def score_quality(docs: DataFrame, models: tuple[Logistic, Logistic] | None, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
