@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The bounded training sample: so many documents of each language, so many bytes of letters in a dictionary, so many
-#: characters of a document in it.
+#: characters of a document in it, cut into pieces from all over the document in this order.
 SAMPLE_DOCUMENTS, DICTIONARY_BYTES, DOCUMENT_CHARACTERS = 200, 64 << 10, 1024
+SPREAD = (0, 4, 2, 6, 1, 5, 3, 7)
 #: Bytes of a text that are compressed at a time, so that a dictionary counts through all of a long text.
 PIECE = 1024
 #: Compression level and shortest match: short matches are what tells languages apart.
@@ -25,23 +26,35 @@ def letters(text):
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}]+", " "))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCUMENTS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCUMENTS, size: int = DICTIONARY_BYTES, characters: int = DOCUMENT_CHARACTERS) -> dict[str, bytes]:
     """The dictionary of each language of docs: letters of `sample` documents at most, in the order of a hash of their id.
 
-    Ids are chosen from the id and language columns alone, each task passing on `sample` of a language at most; texts are
-    read for the chosen ones.  Rows without id, text or language teach nothing.
+    Each task passes on `sample` ids of a language at most.  Of a text, `characters` at most are looked at, in eight pieces
+    from its beginning to its end; a dictionary takes one piece of each document in turn until it is full.  Rows without id
+    or language and texts without letters teach nothing and take no place.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).where("id is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("id").distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # `sample` ids of each language
-    short = texts.where("lang is not null").select("lang", F.xxhash64("id").alias("h"), "id", F.substring(letters(F.col("text")), 1, DOCUMENT_CHARACTERS).alias("t"))
-    out: dict[str, bytearray] = {}
+    chosen = known.select("id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("id").distinct()
+    texts = known.join(F.broadcast(chosen), "id")  # `sample` ids of each language
+    whole, piece = F.col("t"), -(-characters // len(SPREAD))
+    spare = F.greatest(F.length("t") - piece, F.lit(0))
+    start = lambda k: F.floor(spare * k / (len(SPREAD) - 1)).cast("int")
+    pieces = [F.when(F.length("t") > characters, whole.substr(start(k) + 1, F.lit(piece))).otherwise(F.substring("t", k * piece + 1, piece)) for k in SPREAD]
+    short = texts.select("lang", F.xxhash64("id").alias("h"), "id", letters(F.col("text")).alias("t")).select("lang", "h", "id", F.array(*pieces).alias("pieces"))
+    of: dict[str, list[list[str]]] = {}
     for r in short.dropDuplicates(["lang", "id"]).orderBy("lang", "h", "id").collect():
-        d = out.setdefault(r["lang"], bytearray())
-        if len(d) < size and r["t"]:
-            d += r["t"].encode()[: size - len(d)] + b" "
-    return {lang: bytes(d) for lang, d in sorted(out.items()) if d}
+        of.setdefault(r["lang"], []).append(r["pieces"])
+    out: dict[str, bytes] = {}
+    for lang, found in sorted(of.items()):
+        d = bytearray()
+        for k in range(len(SPREAD)):
+            for own in found:
+                if len(d) < size and own[k]:
+                    d += own[k].encode()[: size - len(d)] + b" "
+        if d:
+            out[lang] = bytes(d)
+    return out
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions import json_chunks
 from tarnwell.functions.json_chunks import leaves, positions, profile, whole_dimensional_chunks
-from tarnwell.llm import quality
+from tarnwell.llm import langid, quality
 from tarnwell.operators import vectors
 
 
@@ -88,3 +88,11 @@ def test_every_unlabelled_document_takes_part(spark):
     assert any(a.w.shape != b.w.shape or abs(a.w - b.w).max() > 1e-6 for a, b in zip(one, two, strict=True))
     scored = quality.score_quality(docs, one).where("doc_id >= 80")
     assert scored.where("accepted = (doc_id % 2 = 0)").count() >= 0.99 * scored.count()
+
+
+def test_dictionaries_hold_every_sampled_document_and_its_end(spark):
+    rows = [(i, f"header{chr(97 + i % 26)} " * 400 + f"tail{chr(97 + i // 26)}{chr(97 + i % 26)}", "en") for i in range(100)]
+    rows += [(1000 + i, None if i % 2 else " 12 ", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    d = langid.train(docs, sample=100, size=128 << 10)["en"].decode()
+    assert all(f"tail{chr(97 + i // 26)}{chr(97 + i % 26)}" in d for i in range(100))
