@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 #: Words of the contamination and license contracts: runs of ASCII letters and digits or of any non-ASCII character.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A side of a join is broadcast only if it was written and its files are no larger than this.
+#: A side of a join is broadcast only if it was written and its rows are no larger than this in memory.
 BROADCAST_BYTES = 32 << 20
+#: Elements of a block of a running fold.
+RUN = 128
 
 _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the cluster names none."""
+    """The folder that all executors share; one of our own only where the session names none and runs on this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tarnwell-"))
     return _own_dir[0]
@@ -37,13 +41,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def written_bytes(df: DataFrame) -> int:
-    """Bytes of the files below a table made by written()."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._tarnwell_path)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-
-
 def dropped(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for df in tables:
@@ -52,9 +49,15 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def memory_bytes(df: DataFrame) -> int:
+    """Bytes that df's rows take in memory, counted over all rows."""
+    wide = [F.coalesce(F.octet_length(c) if kind in ("string", "binary") else 8 * F.size(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith("array")]
+    return df.agg(F.sum(sum(wide, F.lit(16 + 8 * len(df.columns))))).first()[0] or 0
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A table made by written(), with a broadcast hint if its files are within the limit; else Spark shuffles both sides."""
-    return F.broadcast(df) if written_bytes(df) <= limit else df
+    """A written table, with a broadcast hint if its rows are within the limit in memory; else Spark shuffles both sides."""
+    return F.broadcast(df) if memory_bytes(df) <= limit else df
 
 
 def lowered(text: Column) -> Column:
@@ -84,3 +87,35 @@ def let(value: Column, body) -> Column:
     element of a one-element array is a variable, which stays.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, zero: Column, step) -> Column:
+    """For each place of an array the fold of its elements up to there, by an associative step.
+
+    An array that grows by concat is copied at each step, so folds run over blocks, and each block starts from the fold of
+    the blocks before it.
+    """
+
+    def within(base: Column, block: Column) -> Column:
+        last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), base)
+        return F.aggregate(block, F.array().cast("array<bigint>"), lambda acc, v: F.concat(acc, F.array(step(last(acc), v))))
+
+    def folded(blocks: Column) -> Column:
+        tops = F.transform(blocks, lambda b: F.aggregate(b, zero, step))
+        return let(tops, lambda t: F.flatten(F.transform(blocks, lambda b, k: let(F.aggregate(F.slice(t, F.lit(1), k), zero, step), lambda base: within(base, b)))))
+
+    starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int"))
+    blocks = F.transform(starts, lambda k: F.slice(values, k * RUN + 1, RUN))
+    return F.when(F.size(values) > 0, let(blocks, folded)).otherwise(F.array().cast("array<bigint>"))
+
+
+def merged_runs(spans: Column) -> Column:
+    """Sorted (s, e) to maximal runs, in time linear in their number."""
+
+    def runs(x: Column, far: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: (i == 1) | (F.element_at(x, i)["s"] > F.element_at(far, F.greatest(i - 1, F.lit(1)))))
+        return let(first, lambda f: F.transform(f, lambda i, k: F.struct(F.element_at(x, i)["s"].cast("long").alias("s"), F.element_at(far, F.coalesce(F.try_element_at(f, k + 2) - 1, F.size(x))).alias("e"))))
+
+    longest = lambda x: running(F.transform(x, lambda d: d["e"].cast("long")), F.lit(-1).cast("long"), lambda a, b: F.greatest(a, b))
+    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    return F.when(F.size(spans) > 0, let(spans, lambda x: let(longest(x), lambda far: runs(x, far)))).otherwise(none)
