@@ -18,8 +18,13 @@ from tarnwell.llm.npwords import mix
 SHARD = 8192
 #: Neighbours of a node in upper layers (twice as many in the lowest), beam while building, first beam while searching.
 NEIGHBOURS, BUILD_BEAM, BEAM = 12, 48, 32
-#: Audited queries of a shard; of their nearest AUDIT_NEAREST vectors and of their links this share must be found.
-AUDIT, AUDIT_NEAREST, RECALL = 48, 3, 0.95
+#: The widest beam; a shard whose audit still fails with it is compared in whole blocks.
+WIDEST = 512
+#: Queries of a shard that are held against brute force, and of these the ones of which nearest vectors are audited, too.
+#: Of the links, and of the AUDIT_NEAREST nearest vectors, this share must be found, as a mean over the queries.
+AUDIT, AUDIT_PLAIN, AUDIT_NEAREST, RECALL = 192, 24, 3, 0.95
+#: Rows of a block that is compared as a matrix product.
+BLOCK = 256
 
 
 class Graph:
@@ -103,34 +108,40 @@ class Graph:
             at = [self.search(q, at, 1, level)[0][1]]
         return self.search(q, at, beam, 0)
 
-    def links(self, q: np.ndarray, beam: int, least: float) -> list[int]:
-        """Nodes of at least this cosine; the beam doubles until it holds others, too."""
-        while True:
-            found = self.nearest(q, beam)
-            if len(found) < beam or found[-1][0] < least:
-                return [n for c, n in found if c >= least]
-            beam *= 2
+    def links(self, q: np.ndarray, beam: int, least: float) -> list[int] | None:
+        """Nodes of at least this cosine; None if the beam holds nothing else, so that there may be more."""
+        found = self.nearest(q, beam)
+        return [n for c, n in found if c >= least] if len(found) < beam or found[-1][0] < least else None
+
+    def audited_beam(self, queries: np.ndarray, least: float, ids: np.ndarray) -> tuple[int, float]:
+        """The first beam, doubling from BEAM, with which audits against brute force pass, and its recall of links; 0: none.
 
-    def audited_beam(self, queries: np.ndarray, least: float, ids: np.ndarray) -> int:
-        """The first beam, doubling from BEAM, with which the audited queries find enough of what brute force finds."""
+        Links and nearest vectors are audited apart, each as a mean over queries, so that a large group counts no more than
+        others.  A query whose beam is full of links is compared in blocks later, so it has all of its links.
+        """
         pick = np.argsort(mix(ids.astype("u8")), kind="stable")[:AUDIT]
         exact = queries[pick] @ self.x.T
-        wanted = [set(np.flatnonzero(row >= least).tolist()) | set(np.argsort(-row, kind="stable")[:AUDIT_NEAREST].tolist()) for row in exact]
+        wanted = [(p, set(np.flatnonzero(row >= least).tolist())) for p, row in zip(pick, exact, strict=True)]
+        wanted = [(p, w) for p, w in wanted if w]
+        near = [(p, set(np.argsort(-row, kind="stable")[:AUDIT_NEAREST].tolist())) for p, row in zip(pick[:AUDIT_PLAIN], exact, strict=False)]
         beam = BEAM
-        while beam < len(self.x):
-            found = [set(self.links(queries[p], beam, least)) | {n for _, n in self.nearest(queries[p], beam)} for p in pick]
-            if sum(len(w & f) for w, f in zip(wanted, found, strict=True)) >= RECALL * sum(map(len, wanted)):
-                break
+        while beam <= WIDEST:
+            share = lambda w, found: 1.0 if found is None else len(w.intersection(found)) / len(w)
+            linked = [share(w, self.links(queries[p], beam, least)) for p, w in wanted]
+            plain = [share(w, [n for _, n in self.nearest(queries[p], beam)]) for p, w in near]
+            recall = float(np.mean(linked)) if linked else 1.0
+            if recall >= RECALL and (not plain or np.mean(plain) >= RECALL):
+                return beam, recall
             beam *= 2
-        return beam
+        return 0, 1.0
 
-    def packed(self) -> tuple[bytes, bytes, bytes, bytes, int]:
+    def packed(self) -> tuple[bytes, bytes, int]:
         rows = [(level, n, len(m)) for level, layer in enumerate(self.layers) for n, m in layer.items()]
         flat = [m for layer in self.layers for m in layer.values()]
-        return self.x.tobytes(), np.array(rows, dtype="i4").tobytes(), np.concatenate(flat).astype("i4").tobytes(), b"", self.entry
+        return np.array(rows, dtype="i4").tobytes(), np.concatenate(flat).astype("i4").tobytes(), self.entry
 
     @staticmethod
-    def unpacked(x: bytes, rows: bytes, flat: bytes, dim: int, entry: int) -> Graph:
+    def unpacked(x: np.ndarray, rows: bytes, flat: bytes, entry: int) -> Graph:
         layers: list[dict[int, np.ndarray]] = []
         links, at = np.frombuffer(flat, dtype="i4"), 0
         for level, n, k in np.frombuffer(rows, dtype="i4").reshape(-1, 3).tolist():
@@ -138,7 +149,7 @@ class Graph:
                 layers.append({})
             layers[level][n] = links[at : at + k]
             at += k
-        return Graph(np.frombuffer(x, dtype="f4").reshape(-1, dim), layers, entry)
+        return Graph(x, layers, entry)
 
 
 def _confirmed(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -147,57 +158,83 @@ def _confirmed(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return dot / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b))) >= least
 
 
-def _forest(pairs: np.ndarray, n: int) -> np.ndarray:
-    """Of links between n nodes, as many as their components need."""
-    parent = list(range(n))
+class Links:
+    """Counts of links of the classes of one or two shards, and as many links as their components need."""
 
-    def top(v: int) -> int:
-        while parent[v] != v:
-            parent[v] = parent[parent[v]]
-            v = parent[v]
-        return v
+    def __init__(self, cls: np.ndarray, copies: np.ndarray):
+        self.cls, self.copies, self.degree, self.of, self.need = cls, copies, np.zeros(len(cls), dtype="i8"), np.arange(len(cls)), []
 
-    keep = []
-    for k, (a, b) in enumerate(pairs.tolist()):
-        a, b = top(a), top(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            keep.append(k)
-    return pairs[keep]
-
-
-_OUT = "cls long, links long, to long"
+    def unite(self, i: int, others: np.ndarray) -> None:
+        """A link from i to one node of each group that is not united with i yet."""
+        groups, first = np.unique(self.of[others], return_index=True)
+        apart = groups != self.of[i]
+        if apart.any():
+            self.need += [(i, int(others[k])) for k in first[apart]]
+            self.of[np.isin(self.of, groups)] = self.of[i]
 
+    def rows(self) -> pd.DataFrame:
+        some = np.flatnonzero(self.degree)
+        need = np.array(self.need, dtype="i8").reshape(-1, 2)
+        return pd.concat([pd.DataFrame({"cls": self.cls[some], "links": self.degree[some], "to": self.cls[some]}), pd.DataFrame({"cls": self.cls[need[:, 0]], "links": 0, "to": self.cls[need[:, 1]]})])
 
-def _rows(cls: np.ndarray, copies: np.ndarray, pairs: np.ndarray) -> pd.DataFrame:
-    """One row for each class with links: how many vectors it is linked with; and the links that components need."""
-    degree = np.bincount(pairs[:, 0], copies[pairs[:, 1]], len(cls)) + np.bincount(pairs[:, 1], copies[pairs[:, 0]], len(cls))
-    some = np.flatnonzero(degree)
-    need = _forest(pairs, len(cls))
-    return pd.concat([pd.DataFrame({"cls": cls[some], "links": degree[some].astype("i8"), "to": cls[some]}), pd.DataFrame({"cls": cls[need[:, 0]], "links": 0, "to": cls[need[:, 1]]})])
 
+def _linked(graph: Graph, q: np.ndarray, x: np.ndarray, ids: np.ndarray, least: float, out: Links, base: int) -> None:
+    """Adds the links between rows of q (numbers from 0 in out) and those of the graph's x (numbers from base) to out.
 
-def _searched(graph: Graph, units: np.ndarray, exact_q: np.ndarray, exact_x: np.ndarray, ids: np.ndarray, least: float) -> np.ndarray:
-    beam = graph.audited_beam(units, least - 1e-4, ids)
-    found = [graph.links(q, beam, least - 1e-4) for q in units]
-    pairs = np.column_stack([np.repeat(np.arange(len(units)), [len(f) for f in found]), np.concatenate([np.array(f, dtype="i8") for f in found])]) if found else np.zeros((0, 2), "i8")
-    keep = [_confirmed(exact_q[p[:, 0]], exact_x[p[:, 1]], least) for p in np.array_split(pairs, len(pairs) // 65536 + 1)]
-    return pairs[np.concatenate(keep)]
+    base is 0 if both are the same rows.  Queries whose beam is full of links, and all of a graph whose audit fails, are
+    compared with x in blocks of a matrix product; of these nothing but counts and needed links is kept.
+    """
+    units, same = _units(q), base == 0
+    beam, _ = graph.audited_beam(units, least - 1e-4, ids)
+    found = [graph.links(u, beam, least - 1e-4) for u in units] if beam else [None] * len(q)
+    dense = np.array([f is None for f in found])
+    pairs = np.column_stack([np.repeat(np.arange(len(q)), [len(f or ()) for f in found]), np.concatenate([np.zeros(0, "i8"), *[np.array(f, dtype="i8") for f in found if f]])])
+    keep = [_confirmed(q[p[:, 0]], x[p[:, 1]], least) for p in np.array_split(pairs, len(pairs) // 65536 + 1)]
+    pairs = pairs[np.concatenate(keep)]
+    if same:  # once for both directions, and dense rows count their own
+        pairs = pairs[(pairs[:, 0] != pairs[:, 1]) & ~dense[pairs[:, 1]]]
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+    np.add.at(out.degree, pairs[:, 0], out.copies[base + pairs[:, 1]])
+    np.add.at(out.degree, base + pairs[:, 1], out.copies[pairs[:, 0]])
+    for part in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1) if len(pairs) else ():
+        out.unite(int(part[0, 0]), base + part[:, 1])
+    a, b = (v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None] for v in (q, x))
+    rows = np.flatnonzero(dense)
+    for i in range(0, len(rows), BLOCK):
+        of = rows[i : i + BLOCK]
+        cosine = a[of] @ b.T
+        hit = cosine >= least
+        for r, c in zip(*np.nonzero(np.abs(cosine - least) < 1e-12), strict=True):
+            hit[r, c] = _confirmed(q[of[r]][None], x[c][None], least)[0]
+        if same:
+            hit[np.arange(len(of)), of] = False
+        out.degree[of] += hit @ out.copies[base : base + len(x)]
+        each = hit[:, :].copy()
+        if same:
+            each[:, dense] = False  # they count from their own rows
+        out.degree[base : base + len(x)] += out.copies[of] @ each
+        for k, r in enumerate(of):
+            if hit[k].any():
+                out.unite(int(r), base + np.flatnonzero(hit[k]))
 
 
 def _units(exact: np.ndarray) -> np.ndarray:
     return (exact / np.sqrt(np.einsum("ij,ij->i", exact, exact))[:, None]).astype("f4")
 
 
+_OUT = "cls long, links long, to long"
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, shard: int = SHARD) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row: links are cosines of at least `least` under one label.
 
     Equal vectors of a label are one class with a number of copies.  The classes of a label (and length) are dealt by hash to
-    shards of about `shard` vectors; each shard gets a graph.  Every class queries its own shard and every other shard of
-    its label; a shard's beam widens until an audit against brute force finds RECALL of the wanted vectors, and a query's
-    own beam widens while all that it holds are links.  Found pairs are confirmed in double precision.  A task passes on one
-    count for each class and as many links as components need, so a group of near copies makes rows in proportion to its
-    size.
+    shards of about `shard` vectors; each shard gets a graph.  Every class queries its own shard, and of two shards of a label
+    the classes of one query the other's graph; shards meet by their numbers, so no label is a hot key.  A shard's beam widens
+    until audits against brute force find RECALL of the links and of the nearest vectors; where the widest beam fails, and
+    for a query whose beam holds links alone, blocks are compared whole.  Links are confirmed in double precision.  A task
+    passes on one count for each class and as many links as components need, so a group of near copies makes rows in
+    proportion to its size, and no list of its pairs exists.
 
     Null vectors and labels, empty and zero vectors and those with a null or non-finite component are linked with nothing.
     A null id is linked with nothing, has a null component and is kept.  Repeated rows are copies and count as links of each
@@ -215,42 +252,42 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     dealt = classes.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "cls"), F.col("shards")).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        cls, copies, rep = pdf["cls"].to_numpy(), pdf["copies"].to_numpy(), pdf["rep"].to_numpy()
+        cls, copies = pdf["cls"].to_numpy(), pdf["copies"].to_numpy()
         exact = np.stack(pdf["v"].to_list())
-        units = _units(exact)
-        graph = Graph(units, ids=cls)
-        pairs = _searched(graph, units, exact, exact, cls, least)
-        pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
-        inner = _rows(cls, copies, pairs)
+        graph, out = Graph(_units(exact), ids=cls), Links(cls, copies)
+        _linked(graph, exact, exact, cls, least, out, 0)
         many = int(pdf["shards"].iloc[0]) > 1
-        x, rows, flat, _, entry = graph.packed() if many else (b"", b"", b"", b"", 0)
+        rows, flat, entry = graph.packed() if many else (b"", b"", 0)
+        blob = lambda x: x.tobytes() if many else b""
         return pd.DataFrame({
-            "label": [pdf["label"].iloc[0]], "dim": [exact.shape[1]], "shard": [pdf["shard"].iloc[0]], "many": [many], "inner": [inner.to_dict("records")],
-            "cls": [cls.tolist() if many else []], "copies": [copies.tolist() if many else []], "exact": [exact.tobytes() if many else b""], "x": [x], "rows": [rows], "flat": [flat], "entry": [entry],
+            "label": [pdf["label"].iloc[0]], "dim": [exact.shape[1]], "shard": [pdf["shard"].iloc[0]], "shards": [pdf["shards"].iloc[0]], "inner": [out.rows().to_dict("records")],
+            "cls": [blob(cls)], "copies": [blob(copies)], "exact": [blob(exact)], "rows": [rows], "flat": [flat], "entry": [entry],
         })
 
     kind = dict(classes.dtypes)["label"]
-    made = dealt.groupBy("label", "dim", "shard").applyInPandas(build, f"label {kind}, dim int, shard int, many boolean, inner array<struct<{_OUT.replace(' ', ':').replace(',:', ',')}>>, cls array<long>, copies array<long>, exact binary, x binary, rows binary, flat binary, entry int")
+    made = dealt.groupBy("label", "dim", "shard").applyInPandas(build, f"label {kind}, dim int, shard int, shards int, inner array<struct<{_OUT.replace(' ', ':').replace(',:', ',')}>>, cls binary, copies binary, exact binary, rows binary, flat binary, entry int")
     graphs = written(made, "graphs")
 
-    def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                dim = int(r.dim)
-                graph = Graph.unpacked(r.x, r.rows, r.flat, dim, int(r.entry))
-                q, x = np.frombuffer(r.exact_q).reshape(-1, dim), np.frombuffer(r.exact).reshape(-1, dim)
-                qc, xc = np.asarray(r.cls_q), np.asarray(r.cls)
-                pairs = _searched(graph, _units(q), q, x, qc, least)
-                pairs[:, 1] += len(qc)
-                yield _rows(np.concatenate([qc, xc]), np.concatenate([r.copies_q, r.copies]), pairs)
-
-    many = graphs.where("many").drop("inner")
-    other = many.select("label", "dim", *[F.col(c).alias(f"{c}_q") for c in ("shard", "cls", "copies", "exact")])
+    def cross(pdf: pd.DataFrame) -> pd.DataFrame:
+        asked = pdf["asked"].to_numpy()
+        q, g = pdf[~asked].iloc[0], pdf[asked].iloc[0]
+        read = lambda r, c, kind: np.frombuffer(r[c], dtype=kind)
+        x, y = (read(r, "exact", "f8").reshape(-1, int(r["dim"])) for r in (q, g))
+        ids = read(q, "cls", "i8")
+        out = Links(np.concatenate([ids, read(g, "cls", "i8")]), np.concatenate([read(q, "copies", "i8"), read(g, "copies", "i8")]))
+        _linked(Graph.unpacked(_units(y), g["rows"], g["flat"], int(g["entry"])), x, y, ids, least, out, len(ids))
+        return out.rows()
+
     found = graphs.select(F.explode("inner").alias("l")).select("l.*")
+    many = graphs.where("shards > 1").drop("inner")
     if not many.isEmpty():
-        # every pair of shards of a label once: links have no direction
-        both = other.join(many.select("label", "dim", "shard", "cls", "copies", "exact", "x", "rows", "flat", "entry"), ["label", "dim"]).where("shard_q < shard")
-        found = found.union(both.repartition(F.xxhash64("label", "dim", "shard_q", "shard")).mapInPandas(cross, _OUT))
+        # each two shards of a label once, as links have no direction: shard q asks the half of the others that follow it
+        half = F.floor((F.col("shards") - 1) / 2) + F.when((F.col("shards") % 2 == 0) & (F.col("q") < F.col("shards") / 2), 1).otherwise(0)
+        steps = many.withColumn("k", F.explode(F.sequence(F.lit(1), F.floor(F.col("shards") / 2).cast("int"))))
+        asks = steps.withColumns({"q": F.col("shard"), "t": F.pmod(F.col("shard") + F.col("k"), "shards"), "asked": F.lit(False), "rows": F.lit(b""), "flat": F.lit(b"")})
+        asked = steps.withColumns({"q": F.pmod(F.col("shard") - F.col("k"), "shards"), "t": F.col("shard"), "asked": F.lit(True)})
+        both = asks.unionByName(asked).where(F.col("k") <= half)
+        found = found.union(both.groupBy("label", "dim", "q", "t").applyInPandas(cross, _OUT))
     found = written(found, "vector_links")
     degree = found.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(found.where("cls <> to").select(F.col("cls").alias("a"), F.col("to").alias("b")))
