@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import let
+from tarnwell.llm.common import let, running
 
 #: How a turn is written; the opening mark is broken where a text holds it.
 OPEN, CLOSE, END = "<|", "|>", "<|end|>\n"
@@ -20,15 +20,14 @@ def rendered(role: Column, text: Column) -> Column:
 def _trained(turns: Column, trained_role: str) -> Column:
     """Character runs (s, e) of the rendered turns that are learned: those of the trained role after their opening line."""
     none = F.array().cast("array<struct<s:int,e:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(acc, t):
-        to = acc["at"] + F.length(t["shown"])
-        body = F.struct((acc["at"] + F.instr(t["shown"], "\n")).alias("s"), to.alias("e"))
-        learned = t["role"].eqNullSafe(F.lit(trained_role))
-        return F.struct(to.alias("at"), F.when(learned, F.concat(acc["out"], F.array(body))).otherwise(acc["out"]).alias("out"))
+    def runs(t: Column, end: Column) -> Column:
+        learned = F.filter(F.sequence(F.lit(1), F.size(t)), lambda k: F.element_at(t, k)["role"].eqNullSafe(F.lit(trained_role)))
+        begin = lambda k: F.element_at(end, k) - F.length(F.element_at(t, k)["shown"]) + F.instr(F.element_at(t, k)["shown"], "\n")
+        return F.transform(learned, lambda k: F.struct(begin(k).cast("int").alias("s"), F.element_at(end, k).cast("int").alias("e")))
 
-    return F.aggregate(turns, start, step, lambda acc: acc["out"])
+    ends = lambda t: running(F.transform(t, lambda x: F.length(x["shown"]).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+    return F.when(F.size(turns) > 0, let(turns, lambda t: let(ends(t), lambda end: runs(t, end)))).otherwise(none)
 
 
 def preference_pairs(turns: DataFrame, pair: str, side: str, turn: str = "turn", role: str = "role", text: str = "text", trained_role: str = "assistant") -> DataFrame:

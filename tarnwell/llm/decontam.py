@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import let, small_side, text_key, words, written
+from tarnwell.llm.common import let, merged_runs, small_side, text_key, words, written
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 13
@@ -119,7 +119,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     else:
         every = every.withColumns({"runs": F.lit(None).cast("array<struct<s:int,e:int>>"), "items": F.lit(None).cast("array<string>")})
     none = F.array().cast("array<struct<s:int,e:int>>")
-    out = every.withColumn("spans", _union(F.coalesce("runs", none), none)).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    out = every.withColumn("spans", merged_runs(F.coalesce("runs", none))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + x["e"] - x["s"])
     out = out.withColumns({"n_hit": n_hit, "n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256)})
     out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
@@ -132,12 +132,3 @@ def _run(same: list[Column]) -> Column:
     for x in reversed(same):
         total = F.when(x, total + 1).otherwise(F.lit(0))
     return total
-
-
-def _union(runs: Column, none: Column) -> Column:
-    def add(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when(last["e"] >= x["s"], grown).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(runs, none, add)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import small_side, written
+from tarnwell.llm.common import merged_runs, small_side, written
 from tarnwell.llm.npwords import _R, CHUNK, mix
 
 #: Bytes of the grams whose smallest hash in a window stands for the window.
@@ -318,32 +318,21 @@ def maximal_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     return found, base.select("doc_id", "h1", "h2", "n_bytes")
 
 
-def _merged(spans):
-    """Sorted (s, e) to maximal runs."""
-    empty = F.array().cast("array<struct<s:bigint,e:bigint>>")
-
-    def add(runs, x):
-        last = F.try_element_at(runs, F.lit(-1))
-        grown = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when(F.try_element_at(runs, F.lit(-1))["e"] >= x["s"], grown).otherwise(F.concat(runs, F.array(x)))
-
-    return F.aggregate(spans, empty, add)
-
-
 def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", gathered: int = GATHERED) -> DataFrame:
     """h1, h2, spans: for every text with such bytes the maximal runs (s, e) of bytes that a repeat covers."""
     found, base = maximal_repeats(docs, length, id_col, text_col, gathered)
     whole = base.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("n_bytes").alias("b")).where(f"n > 1 and b >= {length}").select("h1", "h2", F.lit(0).cast("long").alias("s"), F.col("b").alias("e"))
     each = found.groupBy("h1", "h2", F.col("start").alias("s")).agg(F.max(F.col("start") + F.col("length")).alias("e")).union(whole)
-    return written(each.groupBy("h1", "h2").agg(_merged(F.sort_array(F.collect_list(F.struct("s", "e")))).alias("spans")), "spans")
+    return written(each.groupBy("h1", "h2").agg(merged_runs(F.sort_array(F.collect_list(F.struct("s", "e")))).alias("spans")), "spans")
 
 
 def _outside(data, runs):
-    """The bytes of data that lie in none of the runs."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").cast("binary").alias("out"))
-    until = lambda acc, to: F.concat(acc["out"], F.substring(data, (acc["at"] + 1).cast("int"), (to - acc["at"]).cast("int")))
-    step = lambda acc, x: F.struct(x["e"].alias("at"), until(acc, x["s"]).alias("out"))
-    return F.when(F.size(runs) == 0, data).otherwise(F.aggregate(runs, start, step, lambda acc: until(acc, F.octet_length(data))))
+    """The bytes of data that lie in none of the runs; as Latin-1 characters, because only strings can be joined."""
+    piece = lambda at, to: F.decode(F.substring(data, (at + 1).cast("int"), (to - at).cast("int")), "ISO-8859-1")
+    end = lambda k: F.when(k > 0, F.element_at(runs, F.greatest(k, F.lit(1)))["e"]).otherwise(0)
+    start = lambda k: F.when(k < F.size(runs), F.element_at(runs, F.least(k + 1, F.size(runs)))["s"]).otherwise(F.octet_length(data))
+    pieces = F.transform(F.sequence(F.lit(0), F.size(runs)), lambda k: piece(end(k), start(k)))
+    return F.when(F.size(runs) == 0, data).otherwise(F.encode(F.array_join(pieces, ""), "ISO-8859-1"))
 
 
 def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", gathered: int = GATHERED) -> DataFrame:
