@@ -19,6 +19,8 @@ PASSES, BIN, FAR = 20, 1 / 256, 60.0
 #: Hashed byte trigrams of the content view; buckets of language and source of the metadata view.
 TRIGRAMS, BUCKETS = 1024, 16
 ROUNDS, SHARE = 4, 0.05
+#: Rows of features that a task holds as a matrix.
+ROWS = 512
 #: Documents with a smaller probability of good quality are rejected.
 ACCEPT = 0.5
 _N_META = 2 * BUCKETS + 9
@@ -46,7 +48,10 @@ _KINDS[[33, 44, 46, 58, 59, 63, 39, 34, 45, 40, 41]] = 5
 
 
 def metadata_view(data: np.ndarray, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """Language, source, length and layout of the page: shares of kinds of characters, lines and their lengths."""
+    """Language, source, length and layout of the page: shares of kinds of characters, lines and their lengths.
+
+    Layout is read off the text, but no letters or words are: which bytes stand where is left to the other view.
+    """
     out = np.zeros(_N_META)
     out[zlib.crc32((lang or "").encode()) % BUCKETS] = 1
     out[BUCKETS + zlib.crc32((source or "").encode()) % BUCKETS] = 1
@@ -125,15 +130,21 @@ def _cuts(counts: dict[int, int], n_low: int, n_high: int) -> tuple[int, float,
     return *cut(sorted(b for b in counts if b < 0), n_low, 0), *cut(sorted((b for b in counts if b >= 0), reverse=True), n_high, -1)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a bounded number of rows, so that matrices of features stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _summed(table: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """The sum of part(labels, features) over a table of taught documents; each task passes on one vector."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for batch in batches:
-            if batch.num_rows:
-                found = part(np.column_stack([batch.column(k).to_numpy() for k in (0, 1)]), _matrix(batch.column(2)))
-                total = found if total is None else total + found
+        for batch in _blocks(batches):
+            found = part(np.column_stack([batch.column(k).to_numpy() for k in (0, 1)]), _matrix(batch.column(2)))
+            total = found if total is None else total + found
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
@@ -237,10 +248,10 @@ def co_train(x: np.ndarray, y: np.ndarray, pool: DataFrame, rounds: int = ROUNDS
     for _ in range(rounds if size else 0):
 
         def margins(batches: Iterator[pa.RecordBatch], models: list[Logistic] = models, before: list[Round] = tuple(history)) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                z = _matrix(batch.column(1)) if batch.num_rows else np.zeros((0, 1))
-                taught = _taught(z, batch.column(0).to_numpy(), before) if batch.num_rows else []
-                for k, v in enumerate(_split(z) if batch.num_rows else ()):
+            for batch in _blocks(batches):
+                z = _matrix(batch.column(1))
+                taught = _taught(z, batch.column(0).to_numpy(), before)
+                for k, v in enumerate(_split(z)):
                     b, c = np.unique(np.floor(np.clip(models[k].margin(v[taught[1 - k] < 0]), -FAR, FAR) / BIN).astype("i4"), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), k, dtype="i4")), pa.array(b), pa.array(c.astype("i8"))], ["k", "b", "c"])
 
@@ -248,11 +259,10 @@ def co_train(x: np.ndarray, y: np.ndarray, pool: DataFrame, rounds: int = ROUNDS
         history.append((models, [_cuts({r["b"]: r["c"] for r in counted if r["k"] == k}, int(n * (1 - good)), int(n * good)) for k in (0, 1)]))
 
         def rows(batches: Iterator[pa.RecordBatch], before: list[Round] = tuple(history)) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    t = _taught(_matrix(batch.column(1)), batch.column(0).to_numpy(), before)
-                    some = pa.array((t[0] >= 0) | (t[1] >= 0))
-                    yield pa.RecordBatch.from_arrays([pa.array(t[0]), pa.array(t[1]), batch.column(1)], ["t0", "t1", "v"]).filter(some)
+            for batch in _blocks(batches):
+                t = _taught(_matrix(batch.column(1)), batch.column(0).to_numpy(), before)
+                some = pa.array((t[0] >= 0) | (t[1] >= 0))
+                yield pa.RecordBatch.from_arrays([pa.array(t[0]), pa.array(t[1]), batch.column(1)], ["t0", "t1", "v"]).filter(some)
 
         taught = written(pool.mapInArrow(rows, "t0 double, t1 double, v binary"), "taught")
         if not taught.isEmpty():
@@ -263,6 +273,12 @@ def co_train(x: np.ndarray, y: np.ndarray, pool: DataFrame, rounds: int = ROUNDS
     return models[0], models[1]
 
 
+def _odds(models: tuple[Logistic, Logistic], batch: pa.RecordBatch) -> np.ndarray:
+    """The calibrated log-odds of both views for each row."""
+    views = [np.stack(v).astype("f4") for v in zip(*_views(batch), strict=True)]
+    return np.column_stack([m.logit(v) for m, v in zip(models, views, strict=True)])
+
+
 def _views(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     langs, sources, sizes = (batch.column(k).to_pylist() for k in (2, 3, 4))
     for text, lang, source, size in zip(batch.column(1), langs, sources, sizes, strict=True):
@@ -288,12 +304,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = sample.sparkSession.createDataFrame(sample.collect(), "doc_id long, y int")  # `labelled` rows at most
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _blocks(batches):
             both = [np.concatenate(v).astype("f4").tobytes() for v in _views(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), pa.array(both, pa.binary())], ["doc_id", "y", "v"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _blocks(batches):
             both = [np.concatenate(v).astype("f2").tobytes() for v in _views(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(5), pa.array(both, pa.binary())], ["u", "v"])
 
@@ -320,11 +336,8 @@ def score_quality(docs: DataFrame, models: tuple[Logistic, Logistic] | None, id_
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            odds = np.zeros((batch.num_rows, 2))
-            if models:
-                for i, views in enumerate(_views(batch)):
-                    odds[i] = [m.logit(v[None, :].astype("f4"))[0] for m, v in zip(models, views, strict=True)]
+        for batch in _blocks(batches):
+            odds = _odds(models, batch) if models else np.zeros((batch.num_rows, 2))
             p = 1 / (1 + np.exp(-np.column_stack([odds, odds.mean(1)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 2] >= accept)], ["doc_id", "p_content", "p_metadata", "score", "accepted"])
 
@@ -337,11 +350,10 @@ def keep_good(docs: DataFrame, models: tuple[Logistic, Logistic] | None, id_col:
         return docs
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _blocks(batches):
             n = batch.num_columns - 5
             given = pa.RecordBatch.from_arrays(batch.columns[n:], batch.schema.names[n:])
-            odds = [np.mean([m.logit(v[None, :].astype("f4"))[0] for m, v in zip(models, views, strict=True)]) for views in _views(given)]
-            kept = batch.filter(pa.array(1 / (1 + np.exp(-np.array(odds))) >= accept, pa.bool_()))
+            kept = batch.filter(pa.array(1 / (1 + np.exp(-_odds(models, given).mean(1))) >= accept, pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns[:n], [f"c{k}" for k in range(n)])
 
     names = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
