@@ -1,6 +1,7 @@
 """Sharding, contamination, licenses, languages, near-duplicates and repeats against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -8,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwell.llm import langid, queries
+from tarnwell.llm import langid, licenses, queries
 from tarnwell.llm.decontam import decontaminate
 from tarnwell.llm.licenses import scan_licenses
 from tarnwell.llm.near_dups import near_duplicates
@@ -114,10 +115,39 @@ def test_license_base_equals_brute_force(docs, clashing, none):
     assert scan_licenses(none).count() == 0
 
 
-@pytest.mark.parametrize(("text", "label"), [("Licensed under the MIT License. Permission is hereby granted, free of charge, to any person", "mit"), ("licensed under the Apache License, Version 2.0", "apache-2.0"), ("GNU General Public License version 3", "gpl")])
-def test_license_signatures(spark, text, label):
-    got = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert any(x.startswith(label) for x in got.labels.split(",")), got.labels
+def brute_detections(text):
+    """The rule engine in plain Python: all matches, without those inside one of the same or a lower level."""
+    norm = " " + " ".join(words(text)) + " "
+    found = []
+    for k, (_, level, label, key, pattern) in enumerate(licenses.rules()):
+        if key in norm:
+            found += [(m.start(), -m.end(), level, k, label) for m in re.finditer(f"(?<= )(?:{pattern})(?= )", norm, re.ASCII) if m.end() > m.start()]
+    found.sort()
+    kept = [d for i, d in enumerate(found) if not any(o[2] <= d[2] and o[1] <= d[1] for o in found[:i])]
+    return [(s, -e, level, k, label) for s, e, level, k, label in kept]
+
+
+LICENSED = [
+    ("Licensed under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"),
+    ("licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License", "apache-2.0"),
+    ("GNU General Public License version 3, or the GNU Lesser General Public License 2.1", "gpl-3.0"),
+    ("SPDX-License-Identifier: BSD-3-Clause. Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd-3-clause"),
+    ("This work: https://creativecommons.org/licenses/by-nc-sa/4.0/ and CC BY-NC-SA 4.0", "cc-by-nc-sa"),
+    ("Dual licensed under the Mozilla Public License 2.0 and freeware; freeware freeware open source software", "mpl-2.0"),
+]
+
+
+@pytest.mark.parametrize("repeat", [1, 40])
+def test_license_rules_equal_a_plain_rule_engine(spark, docs, repeat):
+    rows = [(i, " and then ".join([t] * repeat)) for i, (t, _) in enumerate(LICENSED)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = df if repeat > 1 else df.union(docs.select("doc_id", "text").where("length(text) < 20000"))
+    for r in df.join(scan_licenses(df.withColumn("doc_id", F.xxhash64("doc_id", "text"))).withColumnRenamed("doc_id", "k"), F.xxhash64("doc_id", "text") == F.col("k")).collect():
+        want = brute_detections(r.text)
+        assert [tuple(d) for d in r.detections] == want
+        assert set(filter(None, r.labels.split(","))) == {d[4] for d in want} | set(filter(None, r.base_labels.split(",")))
+    got = {r.doc_id: r.labels.split(",") for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[i] for i, (_, label) in enumerate(LICENSED))
 
 
 def test_languages_of_held_out_documents(spark, sf_dir, docs, none):
@@ -152,12 +182,14 @@ def brute_near(rows):
     return sorted(((d, len(s), top.get(d), d is None or top[d] == d) for (d, _), s in zip(rows, sets, strict=True)), key=repr)
 
 
+COLUMNS5 = ["doc_id", "n_shingles", "component_id", "kept"]
+
+
 def test_near_duplicates_equal_brute_force(spark, docs, clashing, none):
     want = brute_near([tuple(r) for r in docs.select("doc_id", "text").collect()])
     assert any(not w[3] for w in want)
-    cols = ["doc_id", "n_shingles", "component_id", "kept"]
-    assert rows_of(near_duplicates(docs), *cols) == want
-    assert rows_of(near_duplicates(clashing, block=3, long_list=2), *cols) == want
+    assert rows_of(near_duplicates(docs), *COLUMNS5) == want
+    assert rows_of(near_duplicates(clashing, chunk=3), *COLUMNS5) == want
     assert near_duplicates(none).count() == 0
 
 
@@ -166,7 +198,33 @@ def test_near_duplicates_of_large_groups(spark):
     rows = [(i, common + " " + " ".join(f"u{i}x{j}" for j in range(i % 9))) for i in range(300)]
     rows += [(1000 + i, common + " " + " ".join(f"v{i}x{j}" for j in range(200))) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert rows_of(near_duplicates(df, block=16, long_list=8), "doc_id", "n_shingles", "component_id", "kept") == brute_near(rows)
+    assert rows_of(near_duplicates(df, chunk=16), *COLUMNS5) == brute_near(rows)
+
+
+def test_near_duplicates_about_the_threshold(spark):
+    """Groups whose members are a little more and a little less alike than 0.75, in lists of several chunks."""
+    rng = random.Random(5)
+    rows = []
+    for g, changed in enumerate((1, 2, 3, 3, 4, 5)):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for i in range(90):
+            w = list(base)
+            for k in rng.sample(range(120), changed):
+                w[k] = f"x{rng.randrange(10**9)}"
+            rows.append((1000 * g + i, " ".join(w)))
+    want = brute_near(rows)
+    kept = sum(w[3] for w in want)
+    assert 6 < kept < len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(near_duplicates(df, chunk=20), *COLUMNS5) == want
+    assert rows_of(near_duplicates(df), *COLUMNS5) == want
+
+
+def test_near_duplicates_tell_texts_of_one_id_apart(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, base), (2, base + " more"), (2, "something else entirely that nobody copies"), (None, base), (3, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): (r.kept, r.group_class) for r in near_duplicates(df).collect()}
+    assert got[1, 36][1] == got[2, 37][1] != got[2, 2][1] and got[3, 0][1] is None and got[None, 36][0]
 
 
 def brute_repeats(rows, n=200):
@@ -200,6 +258,23 @@ def test_repeats_equal_brute_force(spark, docs, clashing, none):
     assert remove_repeats(none).count() == 0
 
 
+def test_very_long_texts(spark):
+    """Texts of some MB with many detections, hits and spans take time in proportion to them."""
+    passage = " ".join(f"p{i}" for i in range(13))
+    long = " filler words here ".join([passage + " licensed under the MIT License cc by"] * 20_000)
+    df = spark.createDataFrame([(1, long), (2, passage)], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", passage)], "item_id string, text string")
+    hits = {r.doc_id: r.n_hit for r in decontaminate(df, bench).collect()}
+    assert hits == {1: 13 * 20_000, 2: 13}
+    got = {r.doc_id: (r.n_base, len(r.detections)) for r in scan_licenses(df).collect()}
+    assert got == {1: (20_000, 20_000), 2: (0, 0)}
+    rng = random.Random(1)
+    some = ["".join(rng.choices("abcdefgh ", k=220)) for _ in range(50)]
+    mixed = "".join(some[i % 50] + "".join(rng.choices("abcdefgh ", k=30)) for i in range(8_000))
+    out = {r.doc_id: r for r in remove_repeats(spark.createDataFrame([(1, mixed), (2, "short")], "doc_id long, text string")).collect()}
+    assert out[1].n_spans > 7_000 and out[1].n_removed >= 220 * 8_000 and out[2].n_removed == 0
+
+
 def test_maximal_repeats_name_all_occurrences(spark):
     a, b = "".join(chr(97 + i * i * 7 % 26) + chr(97 + i * 11 % 26) for i in range(150)), "".join(chr(65 + i * i * 5 % 26) + chr(65 + i * 3 % 26) for i in range(150))
     df = spark.createDataFrame([(1, f"1{a}2"), (2, f"3{a}{b}4"), (3, f"5{b}6{a}7")], "doc_id long, text string")
