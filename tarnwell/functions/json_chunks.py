@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import shared_dir, written
+from tarnwell.sources.interim import shared_dir, written
 
 
 def leaves(spark: SparkSession, docs: DataFrame, stop: int | None = None) -> DataFrame:
