@@ -1,64 +1,18 @@
-"""Shared small helpers: written intermediate tables, checked broadcasts and safe column names."""
+"""Shared small helpers: words, keys of texts, running folds and safe column names; interim tables come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwell.sources.interim import dropped, small_side, tidied, written  # noqa: F401
+
 #: Words of the contamination and license contracts: runs of ASCII letters and digits or of any non-ASCII character.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A side of a join is broadcast only if it was written and its rows are no larger than this in memory.
-BROADCAST_BYTES = 32 << 20
 #: Elements of a block of a running fold.
 RUN = 128
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none and runs on this machine alone."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="tarnwell-"))
-    return _own_dir[0]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: lineage is cut, and a lost executor costs only a new read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tarnwell_path = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._tarnwell_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def memory_bytes(df: DataFrame) -> int:
-    """Bytes that df's rows take in memory, counted over all rows."""
-    wide = [F.coalesce(F.octet_length(c) if kind in ("string", "binary") else 8 * F.size(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith("array")]
-    return df.agg(F.sum(sum(wide, F.lit(16 + 8 * len(df.columns))))).first()[0] or 0
-
-
-def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A written table, with a broadcast hint if its rows are within the limit in memory; else Spark shuffles both sides."""
-    return F.broadcast(df) if memory_bytes(df) <= limit else df
-
 
 def lowered(text: Column) -> Column:
     """A-Z to a-z; other letters stay."""

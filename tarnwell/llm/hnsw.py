@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import written
+from tarnwell.llm.common import small_side, tidied, written
 from tarnwell.llm.graph import components
 from tarnwell.llm.npwords import mix
 
@@ -241,6 +241,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     other.  The smallest id names a component, so ties do not occur.  An empty table gives no rows.  Other columns are not
     read.
     """
+    with tidied() as kept:
+        base, known = _known(vectors, id_col, vector_col, label_col, least, shard)
+        kept += [base, known]
+        known = small_side(known)
+    out = base.select("vec_id", "cls").join(known, "cls", "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id").isNull() | (F.col("vec_id") == component)).alias("kept"))
+
+
+def _known(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, least: float, shard: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their classes, and of classes with copies or links n_links and component_id."""
     row = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
@@ -295,6 +306,4 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     known = written(known, "vector_roots")
     least_id = known.where("root is not null").groupBy("root").agg(F.min("rep").alias("component_id"))
     known = known.join(least_id, "root", "left").select("cls", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    out = base.select("vec_id", "cls").join(known, "cls", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id").isNull() | (F.col("vec_id") == component)).alias("kept"))
+    return base, written(known.where("n_links > 0"), "vectors_known")

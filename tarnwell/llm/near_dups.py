@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import small_side, text_key, written
+from tarnwell.llm.common import small_side, text_key, tidied, written
 from tarnwell.llm.graph import components
 from tarnwell.llm.npwords import Hasher, mix, shingle_set
 
@@ -188,6 +188,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing: its component_id is null and it is kept.  Repeated rows get equal results (they are one class).  Ties do not
     occur: the smallest id wins.  An empty table gives no rows.  Other columns of docs are not read.
     """
+    with tidied() as kept:
+        base, labels = _labelled(docs, id_col, text_col, words, percent, chunk)
+        kept += [base, labels]
+        labels = small_side(labels)
+    out = base.select("doc_id", "n_shingles", "cls", "h1", "h2").join(labels, "cls", "left")
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
+    group = F.when(F.col("n_shingles") > 0, F.coalesce("root", "cls"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"), "h1", "h2", group.alias("group_class"))
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their classes, and of classes with copies or links the root and component_id."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), text_key(F.col(text_col)).alias("k"))
     given = given.select("doc_id", "text", "k.h1", "k.h2")
     base = written(given.mapInArrow(_signatures(words), "doc_id long, n_shingles long, cls long, sig array<int>, h1 long, h2 long"), "minhash")
@@ -240,12 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = classes.select("cls", "rep", "copies").join(final.withColumnRenamed("node", "cls"), "cls", "left").where("copies > 1 or root is not null")
     known = written(known, "known")
     least = known.where("root is not null").groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = written(known.join(least, "root", "left").select("cls", "root", F.coalesce("component_id", "rep").alias("component_id")), "labels")
-    out = base.select("doc_id", "n_shingles", "cls", "h1", "h2").join(small_side(labels), "cls", "left")
-    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
-    group = F.when(F.col("n_shingles") > 0, F.coalesce("root", "cls"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"), "h1", "h2", group.alias("group_class"))
+    return base, written(known.join(least, "root", "left").select("cls", "root", F.coalesce("component_id", "rep").alias("component_id")), "labels")
 
 
 def _ids_repeat(base: DataFrame) -> bool:
