@@ -11,13 +11,17 @@ from tarnwell.sources.interim import shared_dir, written
 
 
 def leaves(spark: SparkSession, docs: DataFrame, stop: int | None = None) -> DataFrame:
-    """document_id, path ($.a.b[0]), level and value (VARIANT) of every node below each root.
+    """document_id, path, level, value (VARIANT), parent, key, pos, listed and open of every node below each root.
 
-    Each level is one explode of the level above, as a written table; the loop ends with the deepest document, so that
-    neither the number of nodes nor their depth is bounded.  Arrays of `stop` or more items are nodes, but not entered.
+    Paths are $.a.b[0]; a key that holds a dot, a bracket or a quote stands in brackets as a JSON string.  parent is the path
+    above, key is null for an item of an array, pos the place among the siblings.  listed: an array lies above.  open: no
+    array above holds plain values only or other arrays.  Each level is one explode of the level above, as a written table;
+    the loop ends with the deepest document, so that neither the number of nodes nor their depth is bounded.  Arrays of
+    `stop` or more items are nodes, but not entered.
     """
     path = f"{shared_dir(spark)}/nodes-{uuid.uuid4().hex}"
-    nodes = docs.where("doc is not null").select("document_id", F.lit("$").alias("path"), F.lit(0).alias("level"), F.col("doc").alias("value"))
+    root = {"path": F.lit("$"), "level": F.lit(0), "value": F.col("doc"), "parent": F.lit(None).cast("string"), "key": F.lit(None).cast("string"), "pos": F.lit(0), "listed": F.lit(False), "open": F.lit(True)}
+    nodes = docs.where("doc is not null").select("document_id", *[c.alias(n) for n, c in root.items()])
     schema, level = nodes.schema, 0
     nodes.write.parquet(f"{path}/level={level}")
     while True:
@@ -26,34 +30,46 @@ def leaves(spark: SparkSession, docs: DataFrame, stop: int | None = None) -> Dat
             break
         if stop:
             above = above.where(F.coalesce(array_size(F.col("value")) < stop, F.lit(True)))
+        above = above.withColumn("rich", complex_array(F.col("value")))
         each = above.alias("n").lateralJoin(spark.tvf.variant_explode(F.col("n.value").outer()).alias("e"))
-        step = F.when(F.col("e.key").isNull(), F.concat(F.lit("["), F.col("e.pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("e.key")))
+        key = F.col("e.key")
+        quoted = F.to_json(F.array(key))  # ["key"]
+        step = F.when(key.isNull(), F.concat(F.lit("["), F.col("e.pos").cast("string"), F.lit("]"))).when(key.rlike(r'[.\[\]"]'), quoted).otherwise(F.concat(F.lit("."), key))
         level += 1
-        below = each.where("e.value is not null").select("n.document_id", F.concat("n.path", step).alias("path"), F.lit(level).alias("level"), F.col("e.value").alias("value"))
+        below = each.where("e.value is not null").select(
+            "n.document_id", F.concat("n.path", step).alias("path"), F.lit(level).alias("level"), F.col("e.value").alias("value"), F.col("n.path").alias("parent"), key.alias("key"), F.col("e.pos").cast("int").alias("pos"),
+            (F.col("n.listed") | key.isNull()).alias("listed"), (F.col("n.open") & (key.isNotNull() | (F.col("n.rich") & F.schema_of_variant("e.value").startswith("OBJECT")))).alias("open"),
+        )
         below.write.parquet(f"{path}/level={level}")
     return spark.read.schema(schema).parquet(f"{path}/*")
 
 
+def complex_array(value: Column) -> Column:
+    """Whether one of the first five items of an array is an object or an array; false for any other value."""
+    items = F.slice(F.try_variant_get(value, "$", "array<variant>"), 1, 5)
+    return F.coalesce(F.exists(items, lambda x: F.schema_of_variant(x).startswith("OBJECT") | F.schema_of_variant(x).startswith("ARRAY")), F.lit(False))
+
+
 def array_size(value: Column) -> Column:
     """Items of a variant that is an array; null for any other."""
     return F.when(F.schema_of_variant(value).startswith("ARRAY"), F.size(F.try_variant_get(value, "$", "array<variant>")))
 
 
-def _kind(value: Column) -> Column:
+def kind_of(value: Column) -> Column:
     s = F.schema_of_variant(value)
     return F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "VOID", "null").when(s == "STRING", "text").when(s == "BOOLEAN", "boolean").otherwise("numeric")
 
 
 def profile(nodes: DataFrame) -> DataFrame:
     """Structure of each document: depth, objects, arrays and leaves."""
-    kind = _kind(F.col("value"))
+    kind = kind_of(F.col("value"))  # of the whole document, the root included
     count = lambda c: F.count(F.when(c, 1))
     return nodes.groupBy("document_id").agg(F.max("level").alias("max_depth"), count(kind == "object").alias("objects"), count(kind == "array").alias("arrays"), count(~kind.isin("object", "array")).alias("leaves"))
 
 
 def flat_chunks(nodes: DataFrame, size: int = 10) -> DataFrame:
     """Leaves in path order, so many to a chunk; a chunk is the JSON object of its paths and values."""
-    leaf = nodes.where(~_kind(F.col("value")).isin("object", "array")).withColumn("text", F.to_json("value"))
+    leaf = nodes.where(~kind_of(F.col("value")).isin("object", "array")).withColumn("text", F.to_json("value"))
     at = F.row_number().over(Window.partitionBy("document_id").orderBy("path")) - 1
     cells = leaf.withColumn("chunk", F.floor(at / size))
     pairs = F.sort_array(F.collect_list(F.struct("path", "text")))
@@ -88,7 +104,7 @@ def whole_dimensional_chunks(spark: SparkSession, docs: DataFrame, least: int =
     arrays = items.groupBy("document_id", "path", "slice").agg(F.count("*").alias("items"), F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("content"))
     text = F.to_json("value")
     reference = F.to_json(F.struct(F.struct(F.col("path").alias("original_path"), F.col("n").alias("size")).alias("_large_array_reference")))
-    rest = nodes.where(large | ~_kind(F.col("value")).isin("object", "array") | text.isin("{}", "[]")).select("document_id", "path", F.when(large, reference).otherwise(text).alias("text"))
+    rest = nodes.where(large | ~kind_of(F.col("value")).isin("object", "array") | text.isin("{}", "[]")).select("document_id", "path", F.when(large, reference).otherwise(text).alias("text"))
     placed = positions(rest, ["document_id"], "path").withColumn("slice", F.floor(F.col("pos") / size))
     quoted = F.to_json(F.array("path"))
     pair = F.concat(quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(": "), F.col("text"))
