@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def shared_keys(parts: list[tuple[str, DataFrame]], dimension_columns: set[str]) -> list[str]:
+    """Dimension columns that all parts have."""
+    return [c for c in parts[0][1].columns if c in dimension_columns and all(c in df.columns for _, df in parts)]
+
+
 def merge(parts: list[tuple[str, DataFrame]], dimension_columns: set[str]) -> DataFrame:
     """Full outer join on the dimension columns that all parts have; null keys match each other.
 
@@ -17,7 +22,7 @@ def merge(parts: list[tuple[str, DataFrame]], dimension_columns: set[str]) -> Da
     """
     if len(parts) == 1:
         return parts[0][1]
-    keys = [c for c in parts[0][1].columns if c in dimension_columns and all(c in df.columns for _, df in parts)]
+    keys = shared_keys(parts, dimension_columns)
     if not keys:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df for _, df in parts])
     taken, renamed = set(keys), []

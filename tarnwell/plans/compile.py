@@ -6,18 +6,21 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_, or_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tarnwell.functions.formulas import aggregate, column_of
-from tarnwell.operators.merge import merge, ordered
-from tarnwell.plans.model import Catalog, Dimension, Intent, Table
+from tarnwell.operators.merge import merge, ordered, shared_keys
+from tarnwell.plans.model import Catalog, Dimension, Formula, Intent, Table
 from tarnwell.plans.routing import route
 from tarnwell.plans.rules import Rule, completed, enrich
 
 #: Strings that stand for a missing value in a dimension.
 PLACEHOLDERS = ("-", "N.A.", "NA", "N/A")
+#: Rows fetched from a table where a limit is wanted.
+FETCH_LIMIT = 100
 COMPARE = {">": Column.__gt__, "<": Column.__lt__, ">=": Column.__ge__, "<=": Column.__le__}
 
 
@@ -59,11 +62,18 @@ def _present(df: DataFrame, dim: Dimension) -> Column:
     return c.isNotNull() if plain else c.isNotNull() & ~c.isin(*PLACEHOLDERS)
 
 
+def _offered(formula: Formula, table: Table) -> bool:
+    """A formula that a table doesn't list is there all the same if the table has all of its components."""
+    return bool(formula.components) and set(formula.components) <= set(table.metrics)
+
+
 def compile_table(intent: Intent, table: Table, df: DataFrame, catalog: Catalog, runtime: dict[str, float] | None = None, fetch_limit: int | None = None) -> DataFrame | None:
     """The question's aggregate over one table, or None if the table has nothing of what is asked.
 
     Rows whose grouped dimensions are null or placeholders don't count.  Without dimensions the result is one row, also on an
-    empty table.  `data_as_of` is the latest date behind each row.  fetch_limit bounds the rows only if it is given.
+    empty table.  `data_as_of` is the latest date behind each row.  fetch_limit (FETCH_LIMIT, for example) bounds the rows
+    only if it is given: the first by the question's sort, else by all its metrics and formulas, largest first.  Groups
+    with a gap to a target are ordered by the gap.
     """
     dims = [catalog.dimensions[d] for d in intent.dimensions if d in table.dimensions and catalog.dimensions[d].column]
     sfx, out = catalog.policy.suffix(table), {}
@@ -73,7 +83,7 @@ def compile_table(intent: Intent, table: Table, df: DataFrame, catalog: Catalog,
             if col is not None:
                 out[m + sfx] = col
     for f in intent.formulas:
-        if f in table.metrics and f in catalog.formulas and (col := column_of(catalog.formulas[f], catalog, runtime)) is not None:
+        if f in catalog.formulas and (f in table.metrics or _offered(catalog.formulas[f], table)) and (col := column_of(catalog.formulas[f], catalog, runtime)) is not None:
             out[f.lower().replace(" ", "_") + sfx] = col
     if (intent.metrics or intent.formulas) and not out or intent.dimensions and not dims or not dims and not out:
         return None
@@ -84,10 +94,9 @@ def compile_table(intent: Intent, table: Table, df: DataFrame, catalog: Catalog,
     if table.date_column:
         day = F.to_date(table.date_column)
         if intent.date_range:
-            wheres.append(day.between(*[F.to_date(F.lit(x), "yyyyMMdd") for x in intent.date_range]))
+            wheres.append(catalog.policy.date_filter(table, day, intent.date_range, whole))
         elif table.date_mode == "snapshot":
-            latest = whole.agg(F.max(F.to_date(table.date_column)).alias("d"))
-            wheres.append(day == latest.scalar())
+            wheres.append(catalog.policy.snapshot_filter(table, day, whole))
         out["data_as_of"] = F.max(day)
     if wheres:
         df = df.where(reduce(and_, wheres))
@@ -118,33 +127,48 @@ def compile_table(intent: Intent, table: Table, df: DataFrame, catalog: Catalog,
     if keep is not None:
         res = res.where(keep)
     ties = [F.col(d.column) for d in dims]
-    if fetch_limit:
+    if fetch_limit or gap:
         by = [n for n in out if n != "data_as_of"]
         wanted = [n for n in by if intent.sort and n == intent.sort[0] + sfx]
         first = [F.col("__gap").asc()] if gap else [F.col(n).asc() if intent.sort[1].upper() == "ASC" else F.col(n).desc() for n in wanted] if intent.sort else [F.col(n).desc() for n in by]
-        res = res.orderBy(*first, *ties).limit(fetch_limit)
+        res = res.orderBy(*first, *ties)
+    if fetch_limit:
+        res = res.limit(fetch_limit)
     return res.drop(*hidden)
 
 
-def branches(intent: Intent, catalog: Catalog, frames: dict[str, DataFrame], runtime: dict[str, float] | None = None, fetch_limit: int | None = None) -> list[Branch]:
+def branches(intent: Intent, catalog: Catalog, frames: dict[str, DataFrame], runtime: dict[str, float] | None = None, fetch_limit: int | None = None, errors: list[tuple[str, str]] | None = None) -> list[Branch]:
+    """One branch for each hierarchy level and table; with `errors`, what fails there is noted and the others go on."""
     out = []
     for one in expanded(intent, catalog):
         for name in route(one, catalog):
-            if name in frames and (df := compile_table(one, catalog.tables[name], frames[name], catalog, runtime, fetch_limit)) is not None:
-                out.append(Branch(one.label, catalog.tables[name].channel, name, df))
+            try:
+                if name in frames and (df := compile_table(one, catalog.tables[name], frames[name], catalog, runtime, fetch_limit)) is not None:
+                    df.columns  # noqa: B018  analysed here, so that a faulty branch shows
+                    out.append(Branch(one.label, catalog.tables[name].channel, name, df))
+            except (AnalysisException, ValueError, KeyError) as e:
+                if errors is None:
+                    raise
+                errors.append((name, str(e)))
     return out
 
 
-def answer(intent: Intent, catalog: Catalog, frames: dict[str, DataFrame], rules: list[Rule] = (), runtime: dict[str, float] | None = None, fetch_limit: int | None = None) -> dict[tuple[str | None, str], DataFrame]:
-    """One lazy DataFrame for each (label, channel): rules, routing, aggregates, merge, then the question's sort and limit."""
+def answer(intent: Intent, catalog: Catalog, frames: dict[str, DataFrame], rules: list[Rule] = (), runtime: dict[str, float] | None = None, fetch_limit: int | None = None, errors: list[tuple[str, str]] | None = None, across_channels: bool = False) -> dict[tuple[str | None, str], DataFrame]:
+    """One lazy DataFrame for each (label, channel): rules, routing, aggregates, merge, then the question's sort and limit.
+
+    Parts without a common dimension are stacked under the channel `merged`.  With across_channels, groups that have a
+    channel each are merged into one, too.
+    """
     intent, catalog = enrich(completed(intent, catalog), list(rules), catalog)
     intent = completed(intent, catalog)
-    groups: dict[tuple[str | None, str], list[Branch]] = {}
-    for b in branches(intent, catalog, frames, runtime, fetch_limit):
-        groups.setdefault((b.label, b.channel), []).append(b)
+    groups: dict[tuple[str | None, str], list[tuple[str, DataFrame]]] = {}
+    for b in branches(intent, catalog, frames, runtime, fetch_limit, errors):
+        groups.setdefault((b.label, b.channel), []).append((b.channel, b.df))
     keys = {d.column for d in catalog.dimensions.values() if d.column}
-    out = {}
-    for key, found in groups.items():
-        df = merge([(b.channel, b.df) for b in found], keys)
-        out[key] = ordered(df, intent.sort, intent.limit, [c for c in df.columns if c in keys])
-    return out
+    merged = {}
+    for (label, channel), parts in groups.items():
+        stacked = len(parts) > 1 and not shared_keys(parts, keys)
+        merged[label, "merged" if stacked else channel] = merge(parts, keys)
+    if across_channels and len(merged) > 1 and len({c for _, c in merged}) == len(merged):
+        merged = {(None, "merged"): merge([(c, df) for (_, c), df in merged.items()], keys)}
+    return {k: ordered(df, intent.sort, intent.limit, [c for c in df.columns if c in keys]) for k, df in merged.items()}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -53,6 +54,18 @@ class Table:
     dimensions: tuple[str, ...] = ()
     metrics: tuple[str, ...] = ()
     suffix: str = ""
+    description: str = ""
+
+
+@dataclass(frozen=True)
+class OutputHint:
+    """How an answer is to be shown."""
+
+    format: str = "table"
+    columns: tuple[str, ...] = ()
+    primary_columns: tuple[str, ...] = ()
+    secondary_columns: tuple[str, ...] = ()
+    always_enumerate: bool = False
 
 
 @dataclass(frozen=True)
@@ -81,8 +94,10 @@ class Intent:
     channel_filter: str | None = None
     variant: str | None = None
     display: tuple[str, ...] = ()
-    hints: tuple[str, ...] = ()
+    hint: OutputHint | None = None
     label: str | None = None
+    confidence: float = 1.0
+    applied_rules: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -92,10 +107,30 @@ class Policy:
     default_metrics: tuple[str, ...] = ()
     default_tables: tuple[str, ...] = ()
     default_variant: str | None = None
+    embedding_threshold: float = 0.0  # share of the best similarity that a table needs in routing by meaning
 
     def suffix(self, table: Table) -> str:
         return table.suffix
 
+    def date_filter(self, table: Table, day: Column, date_range: tuple[str, str], whole: DataFrame) -> Column:
+        """Rows of a date range; both ends count."""
+        return day.between(*[F.to_date(F.lit(x), "yyyyMMdd") for x in date_range])
+
+    def snapshot_filter(self, table: Table, day: Column, whole: DataFrame) -> Column:
+        """Rows of a snapshot table without a date range: those of the latest day of the whole table."""
+        return day == whole.agg(F.max(F.to_date(table.date_column)).alias("d")).scalar()
+
+
+@dataclass(frozen=True)
+class LatestInRange(Policy):
+    """Snapshot tables give the latest day of a date range instead of all its days."""
+
+    def date_filter(self, table: Table, day: Column, date_range: tuple[str, str], whole: DataFrame) -> Column:
+        inside = super().date_filter(table, F.to_date(table.date_column), date_range, whole)
+        if table.date_mode != "snapshot":
+            return inside
+        return day == whole.where(inside).agg(F.max(F.to_date(table.date_column)).alias("d")).scalar()
+
 
 @dataclass
 class Catalog:
@@ -117,6 +152,11 @@ class Catalog:
     def canonical(self, name: str) -> str | None:
         return self.aliases.get(name.lower())
 
+    def described(self, kind: str, most: int = 5) -> str:
+        """A line for each dimension, metric or formula, with at most so many aliases."""
+        names = {"dimensions": self.dimensions, "metrics": self.metrics, "formulas": self.formulas}[kind].values()
+        return "\n".join(f"- {x.name}" + (f" ({', '.join(x.aliases[:most])})" if x.aliases else "") for x in names)
+
     def levels(self, hierarchy: str) -> list[Dimension]:
         """Concrete levels of a hierarchy, in declared order."""
         return [d for d in self.dimensions.values() if d.hierarchy == hierarchy and d.column]

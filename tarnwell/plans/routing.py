@@ -18,11 +18,17 @@ def _of_metric(name: str, catalog: Catalog) -> list[tuple[str, ...]]:
 
 
 def route(intent: Intent, catalog: Catalog) -> list[str]:
-    """Names of tables, in declared order.  A narrowing that would leave none is not made."""
+    """Names of tables, in declared order.  A narrowing that would leave none is not made.
+
+    Dimensions and metrics whose declared tables have none in common are answered by no table; where nothing is declared,
+    all tables may answer.
+    """
     dims = [catalog.dimensions[d] for d in intent.dimensions if d in catalog.dimensions]
     measures = [x for m in (*intent.metrics, *intent.formulas) for x in _of_metric(m, catalog)]
     names = _shared([d.primary_tables for d in dims] + measures + [d.tables for d in dims if not d.primary_tables])
-    names = names or _shared([d.tables for d in dims] + measures) or set(catalog.tables)
+    names = names or _shared([d.tables for d in dims] + measures)
+    if names is None:
+        names = set(catalog.tables)
 
     def narrowed(keep) -> set[str]:
         return {n for n in names if n in catalog.tables and keep(catalog.tables[n])} or names
