@@ -166,17 +166,29 @@ def subtree(chunks: DataFrame, path: str, depth: int) -> DataFrame:
     return chunks.where(F.col("path").startswith(path) & (F.col("level") <= len(path.split(".")) + depth)).orderBy("level", "path")
 
 
-def budget(names: dict[str, list[str]], most: int) -> list[str]:
-    """Collections to search: one of each granularity, then even shares, then round-robin; the latest by name first."""
-    take = dict.fromkeys(names, 0)
-    left = min(most, sum(map(len, names.values())))
-    share = [1, max(0, (left - len(names)) // len(names)) if names else 0]
-    for step in share:
-        for g in names:
-            n = min(step, len(names[g]) - take[g], left)
-            take[g], left = take[g] + n, left - n
+def budget(names: dict[str, list[str]], most: int) -> dict[str, list[str]]:
+    """Collections to search, of each granularity the latest by name, `most` in all.
+
+    By name of the granularity: one of each, then an even share of what is left (the first ones get the remainder of that
+    division), then one each in turn while there are any.
+    """
+    grans = sorted(g for g in names if names[g])
+    left = min(most, sum(len(names[g]) for g in grans))
+    if left == sum(len(names[g]) for g in grans):
+        return {g: sorted(names[g]) for g in grans}
+    take = dict.fromkeys(grans, 0)
+
+    def give(gran: str, n: int) -> None:
+        nonlocal left
+        n = min(n, len(names[gran]) - take[gran], left)
+        take[gran], left = take[gran] + n, left - n
+
+    for g in grans:
+        give(g, 1)
+    share, more = divmod(left, len(grans))
+    for k, g in enumerate(grans):
+        give(g, share + (k < more))
     while left:
-        for g in names:
-            if left and take[g] < len(names[g]):
-                take[g], left = take[g] + 1, left - 1
-    return [x for g, xs in names.items() for x in (sorted(xs)[-take[g] :] if take[g] else [])]
+        for g in grans:
+            give(g, 1)
+    return {g: sorted(names[g])[-take[g] :] for g in grans if take[g]}

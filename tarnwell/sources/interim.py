@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 #: A side of a join is broadcast only if it was written and its rows are no larger than this in memory.
 BROADCAST_BYTES = 32 << 20
@@ -50,9 +51,15 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def memory_bytes(df: DataFrame) -> int:
-    """Bytes that df's rows take in memory, counted over all rows."""
-    wide = [F.coalesce(F.octet_length(c) if kind in ("string", "binary") else 8 * F.size(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith("array")]
-    return df.agg(F.sum(sum(wide, F.lit(16 + 8 * len(df.columns))))).first()[0] or 0
+    """Bytes that df's rows take in memory, counted over all rows; an item of an array counts 8 bytes for each of its fields and 16 more."""
+    wide = []
+    for f in df.schema:
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(kind, (StringType, BinaryType)):
+            wide.append(F.octet_length(c))
+        elif isinstance(kind, ArrayType):
+            wide.append((16 + 8 * len(kind.elementType.fields) if isinstance(kind.elementType, StructType) else 8) * F.greatest(F.size(c), F.lit(0)))
+    return df.agg(F.sum(sum([F.coalesce(w, F.lit(0)) for w in wide], F.lit(16 + 8 * len(df.columns))))).first()[0] or 0
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,10 +43,21 @@ def export_chunks(chunks: DataFrame, path: str, kind: str = "jsonl") -> None:
 
 
 def new_vectors(vectors: DataFrame, stored: DataFrame) -> DataFrame:
-    """Vectors whose chunk_id, and whose text within its document, are not stored yet."""
-    fresh = vectors.dropDuplicates(["chunk_id"]).dropDuplicates(["text_hash", "document_id"])
+    """Vectors whose chunk_id, and whose text within its document, are not stored yet.
+
+    Of several new ones with one chunk_id, or one text of a document, the first by chunk_id and all other columns stays.  A
+    null text_hash, document_id or chunk_id is like no other.
+    """
+    cols = [F.col(c) for c in vectors.columns]
+
+    def first_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+        known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("chunk_id", F.to_json(F.struct(*cols))))
+        return rows.where(~known).union(rows.where(known).withColumn("__rank", rank).where("__rank = 1").drop("__rank"))
+
+    fresh = first_of(first_of(vectors, ["chunk_id"]), ["text_hash", "document_id"])
     fresh = fresh.join(stored.select("chunk_id"), "chunk_id", "left_anti")
-    return fresh.join(stored.select("text_hash", "document_id"), ["text_hash", "document_id"], "left_anti")
+    return fresh.join(stored.select("text_hash", "document_id"), ["text_hash", "document_id"], "left_anti").select(*vectors.columns)
 
 
 def namespace_path(root: str, namespace: str) -> str:
