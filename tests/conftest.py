@@ -15,7 +15,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.local.dir": folder, "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"}
+    conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.local.dir": folder, "spark.sql.warehouse.dir": f"{folder}/warehouse", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"}
     session = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -14,7 +14,7 @@ from tarnwell.operators.vectors import balanced, budget, collection_metadata, co
 from tarnwell.plans.compile import answer, compile_table, expanded
 from tarnwell.plans.model import Catalog, Dimension, Formula, Having, Intent, Metric, Policy, Table
 from tarnwell.plans.routing import route
-from tarnwell.plans.rules import Rule, completed, enrich, holds
+from tarnwell.plans.rules import Rule, completed, enrich, gated, holds
 from tarnwell.sources.tables import export_chunks, json_documents, namespace_path, new_vectors
 from tarnwell.streaming.events import append_new, windowed
 
@@ -35,12 +35,12 @@ def test_rules_triggers_and_actions():
     assert holds(("metric_present", "revenue"), it, cat) and not holds(("dimension_present", "region"), it, cat)
     assert holds(("all_of", ("keyword", "stop"), ("metric_category", "absolute")), it, cat) and not holds(("formula_requested",), it, cat)
     rules = [
-        Rule(("keyword", "stop"), (("ensure_metrics", "cost", "profit_margin_pct"), ("ensure_dimensions", "region"), ("create_formula", "x", "SUM({cost})", "cost"), ("output_hint", "h"), ("set_channel", "primary"), ("set_sort", "cost", "ASC"))),
-        Rule(("metric_present", "x"), (("override_formula", "x", "SUM({revenue})", "revenue"), ("set_sort", "revenue", "DESC"))),
+        Rule(("keyword", "stop"), (("ensure_metrics", "cost", "profit_margin_pct"), ("ensure_dimensions", "region"), ("create_formula", "x", "SUM({cost})", "cost"), ("output_hint", "h"), ("set_channel", "primary"), ("set_sort", "cost", "ASC")), "first"),
+        Rule(("metric_present", "x"), (("override_formula", "x", "SUM({revenue})", "revenue"), ("set_sort", "revenue", "DESC")), "second"),
     ]
     out, over = enrich(it, rules, cat)
     assert out.metrics == ("revenue", "cost") and out.formulas == ("profit_margin_pct", "x") and out.sort == ("cost", "ASC") and out.display == ("revenue",)
-    assert over.formulas["x"].template == "SUM({revenue})" and "x" not in cat.formulas and out.hints == ("h",) and out.channels == ("primary",)
+    assert over.formulas["x"].template == "SUM({revenue})" and "x" not in cat.formulas and out.hint.format == "h" and out.applied_rules == ("first", "second") and out.channels == ("primary",)
     moved, _ = enrich(Intent(formulas=("revenue",)), [], cat)
     assert moved.metrics == ("revenue",) and moved.formulas == ()
     done = completed(Intent(limit=3), cat)
@@ -53,6 +53,19 @@ def test_routing_narrows_but_never_to_nothing():
     assert route(Intent(dimensions=("region",), metrics=("quantity",), channels=("variants",)), cat) == ["sales_line_value", "sales_line_volume"]
     assert route(Intent(dimensions=("brand",), metrics=("cost",), channels=("events",)), cat) == ["sales_line"]
     assert route(Intent(dimensions=("brand",), metrics=("quantity",), variant="volume"), cat) == ["sales_line_volume"]
+    assert route(Intent(dimensions=("event_type",), metrics=("cost",)), cat) == []  # no table in common
+    assert route(Intent(), Catalog.of([], [], [], cat.tables.values())) == list(cat.tables)  # nothing declared
+
+
+def test_set_sort_without_a_metric_leaves_the_default():
+    cat = star.catalog()
+    out, _ = enrich(Intent(question="best", limit=3), [Rule(("keyword", "best"), (("set_sort",),))], Catalog(cat.dimensions, cat.metrics, cat.formulas, cat.tables))
+    assert out.sort is None
+    by_first, _ = enrich(Intent(question="best", metrics=("cost",)), [Rule(("keyword", "best"), (("set_sort", None, "ASC"),))], cat)
+    assert by_first.sort == ("cost", "ASC")
+    assert gated("q", lambda q: Intent(confidence=0.9), lambda i: "answer", lambda q: "fallback") == "answer"
+    assert gated("q", lambda q: Intent(confidence=0.6), lambda i: "answer", lambda q: "fallback") == "fallback"
+    assert gated("q", lambda q: 1 / 0, lambda i: "answer", lambda q: "fallback") == "fallback"
 
 
 def test_formula_templates_hold_arithmetic_only():
@@ -81,6 +94,8 @@ def test_placeholders_dates_and_empty_tables(spark):
     top = compile_table(Intent(dimensions=("n",), metrics=("x",), sort=("x", "ASC"), date_range=("20240101", "20240102")), t, df, CAT, fetch_limit=1)
     assert [r.n for r in top.collect()] == [1]
     gap = Having("gap_to_target", (("x", "", "y"),))
+    near = compile_table(Intent(dimensions=("n",), metrics=("x",), having=gap, date_range=("20240101", "20240102")), t, df, CAT)
+    assert [r.n for r in near.collect()] == [1, 2]  # a gap of 3 before one of 6
     assert ask(dimensions=("n",), metrics=("x",), having=gap) == [(1, 5.0), (2, 7.0)]
 
 
@@ -123,7 +138,9 @@ def test_vectors_and_collections(spark):
     assert by[names[0]].dimension == "brand" and by[names[0]].period2_end == 20251130 and by[names[0]].dimension_values == ["x", "y"] and by[names[0]].total_embeddings == 5
     assert by[names[1]].dimension == "a_b" and by[names[2]].dimension == "overall" and by["odd"].time_granularity is None
     assert {r.collection_name for r in overlapping(meta, 20250110, 20250120).collect()} == {names[1], names[2]}
-    assert len(budget({"a": ["a1", "a2", "a3", "a4", "a5"], "b": ["b1"], "c": ["c1", "c2", "c3", "c4", "c5"]}, 7)) == 7 and budget({}, 3) == []
+    many = {"a": ["a1", "a2", "a3", "a4", "a5"], "b": ["b1"], "c": ["c1", "c2", "c3", "c4", "c5"]}
+    assert budget(many, 7) == {"a": ["a2", "a3", "a4", "a5"], "b": ["b1"], "c": ["c4", "c5"]}
+    assert budget(many, 2) == {"a": ["a5"], "b": ["b1"]} and budget(many, 11) == many and budget({}, 3) == {}
     flat = spark.createDataFrame([("a", 1, 0.9), ("a", 2, 0.8)], "gran string, chunk_id long, sim double")
     assert [r.chunk_id for r in balanced(flat, 1, 3).collect()] == [1]
     chunks = spark.createDataFrame([("$.a", 1), ("$.a.b", 2), ("$.c", 1)], "path string, level int")
@@ -155,6 +172,8 @@ def test_sinks_and_streams(spark, sf_dir, tmp_path):
     stored = spark.createDataFrame([("c1", "h1", "d1")], "chunk_id string, text_hash string, document_id string")
     new = spark.createDataFrame([("c1", "h9", "d1"), ("c2", "h1", "d1"), ("c3", "h2", "d1"), ("c3", "h2", "d1")], stored.schema)
     assert [r.chunk_id for r in new_vectors(new, stored).collect()] == ["c3"]
+    odd = spark.createDataFrame([("n1", None, "d1"), ("n2", None, "d1"), ("m2", "h5", "d2"), ("m1", "h5", "d2")], stored.schema)
+    assert {r.chunk_id for r in new_vectors(odd, stored).collect()} == {"n1", "n2", "m1"}
     export_chunks(new, f"{tmp_path}/j", "jsonl")
     assert spark.read.json(f"{tmp_path}/j").count() == 4
     with pytest.raises(ValueError):
