@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 
 from tarnwell.functions.formulas import aggregate, column_of
 from tarnwell.operators.merge import merge, ordered, shared_keys
-from tarnwell.plans.model import Catalog, Dimension, Formula, Intent, Table
+from tarnwell.plans.model import Catalog, Dimension, Formula, Frame, Intent, Table, framed
 from tarnwell.plans.routing import route
 from tarnwell.plans.rules import Rule, completed, enrich
 
@@ -62,12 +62,23 @@ def _present(df: DataFrame, dim: Dimension) -> Column:
     return c.isNotNull() if plain else c.isNotNull() & ~c.isin(*PLACEHOLDERS)
 
 
+def _needed(intent: Intent, table: Table, catalog: Catalog) -> set[str]:
+    """Columns of a table that a question reads."""
+    dims = [catalog.dimensions[d] for d in (*intent.dimensions, *[f for f, _ in intent.filters]) if d in catalog.dimensions]
+    levels = [x for d in dims for x in ([d] if d.column else catalog.levels(d.hierarchy)) if x.name in table.dimensions]
+    names = {*intent.metrics, *intent.formulas, *[x for a, _, b in (intent.having.conditions if intent.having else ()) for x in (a, b)]}
+    for _ in range(2):  # a metric may stand for a formula, and a formula for metrics
+        names |= {catalog.metrics[n].formula for n in names if n in catalog.metrics and catalog.metrics[n].formula}
+        names |= {c for n in names if n in catalog.formulas for c in catalog.formulas[n].components}
+    return {x.column for x in levels} | {catalog.metrics[n].column for n in names if n in catalog.metrics and catalog.metrics[n].column} | ({table.date_column} if table.date_column else set())
+
+
 def _offered(formula: Formula, table: Table) -> bool:
     """A formula that a table doesn't list is there all the same if the table has all of its components."""
     return bool(formula.components) and set(formula.components) <= set(table.metrics)
 
 
-def compile_table(intent: Intent, table: Table, df: DataFrame, catalog: Catalog, runtime: dict[str, float] | None = None, fetch_limit: int | None = None) -> DataFrame | None:
+def compile_table(intent: Intent, table: Table, frame: Frame, catalog: Catalog, runtime: dict[str, float] | None = None, fetch_limit: int | None = None) -> DataFrame | None:
     """The question's aggregate over one table, or None if the table has nothing of what is asked.
 
     Rows whose grouped dimensions are null or placeholders don't count.  Without dimensions the result is one row, also on an
@@ -88,15 +99,15 @@ def compile_table(intent: Intent, table: Table, df: DataFrame, catalog: Catalog,
     if (intent.metrics or intent.formulas) and not out or intent.dimensions and not dims or not dims and not out:
         return None
 
-    whole = df
+    df = framed(frame, _needed(intent, table, catalog))
     wheres = [x for d, v in intent.filters if d in catalog.dimensions and (x := _filter(df, catalog.dimensions[d], v, table, catalog)) is not None]
     wheres += [_present(df, d) for d in dims]
     if table.date_column:
         day = F.to_date(table.date_column)
         if intent.date_range:
-            wheres.append(catalog.policy.date_filter(table, day, intent.date_range, whole))
+            wheres.append(catalog.policy.date_filter(table, day, intent.date_range, frame))
         elif table.date_mode == "snapshot":
-            wheres.append(catalog.policy.snapshot_filter(table, day, whole))
+            wheres.append(catalog.policy.snapshot_filter(table, day, frame))
         out["data_as_of"] = F.max(day)
     if wheres:
         df = df.where(reduce(and_, wheres))
@@ -116,7 +127,7 @@ def compile_table(intent: Intent, table: Table, df: DataFrame, catalog: Catalog,
             name = next((x for x in ([h.conditions[0][0]] if h.conditions else intent.metrics) if x in known), None)
             if name:
                 hidden["__a0"] = aggregate(known[name])
-                mean = whole.agg(F.avg(known[name].column).alias("m")).scalar()
+                mean = framed(frame, {known[name].column}).agg(F.avg(known[name].column).alias("m")).scalar()
                 keep = COMPARE[h.operator or (">" if h.polarity == "above" else "<")](F.col("__a0"), mean)
         elif h.kind == "gap_to_target" and h.conditions and h.conditions[0][0] in known and h.conditions[0][2] in known:
             hidden["__gap"] = F.abs(aggregate(known[h.conditions[0][2]]) - aggregate(known[h.conditions[0][0]]))
@@ -137,7 +148,7 @@ def compile_table(intent: Intent, table: Table, df: DataFrame, catalog: Catalog,
     return res.drop(*hidden)
 
 
-def branches(intent: Intent, catalog: Catalog, frames: dict[str, DataFrame], runtime: dict[str, float] | None = None, fetch_limit: int | None = None, errors: list[tuple[str, str]] | None = None) -> list[Branch]:
+def branches(intent: Intent, catalog: Catalog, frames: dict[str, Frame], runtime: dict[str, float] | None = None, fetch_limit: int | None = None, errors: list[tuple[str, str]] | None = None) -> list[Branch]:
     """One branch for each hierarchy level and table; with `errors`, what fails there is noted and the others go on."""
     out = []
     for one in expanded(intent, catalog):
@@ -153,7 +164,7 @@ def branches(intent: Intent, catalog: Catalog, frames: dict[str, DataFrame], run
     return out
 
 
-def answer(intent: Intent, catalog: Catalog, frames: dict[str, DataFrame], rules: list[Rule] = (), runtime: dict[str, float] | None = None, fetch_limit: int | None = None, errors: list[tuple[str, str]] | None = None, across_channels: bool = False) -> dict[tuple[str | None, str], DataFrame]:
+def answer(intent: Intent, catalog: Catalog, frames: dict[str, Frame], rules: list[Rule] = (), runtime: dict[str, float] | None = None, fetch_limit: int | None = None, errors: list[tuple[str, str]] | None = None, across_channels: bool = False) -> dict[tuple[str | None, str], DataFrame]:
     """One lazy DataFrame for each (label, channel): rules, routing, aggregates, merge, then the question's sort and limit.
 
     Parts without a common dimension are stacked under the channel `merged`.  With across_channels, groups that have a

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: A table, or what makes it from the columns that are wanted (all without any).
+Frame = DataFrame | Callable[[set[str] | None], DataFrame]
+
+
+def framed(frame: Frame, columns: set[str] | None = None) -> DataFrame:
+    return frame if isinstance(frame, DataFrame) else frame(columns)
+
+
 @dataclass(frozen=True)
 class Dimension:
     name: str
@@ -112,24 +120,24 @@ class Policy:
     def suffix(self, table: Table) -> str:
         return table.suffix
 
-    def date_filter(self, table: Table, day: Column, date_range: tuple[str, str], whole: DataFrame) -> Column:
+    def date_filter(self, table: Table, day: Column, date_range: tuple[str, str], whole: Frame) -> Column:
         """Rows of a date range; both ends count."""
         return day.between(*[F.to_date(F.lit(x), "yyyyMMdd") for x in date_range])
 
-    def snapshot_filter(self, table: Table, day: Column, whole: DataFrame) -> Column:
+    def snapshot_filter(self, table: Table, day: Column, whole: Frame) -> Column:
         """Rows of a snapshot table without a date range: those of the latest day of the whole table."""
-        return day == whole.agg(F.max(F.to_date(table.date_column)).alias("d")).scalar()
+        return day == framed(whole, {table.date_column}).agg(F.max(F.to_date(table.date_column)).alias("d")).scalar()
 
 
 @dataclass(frozen=True)
 class LatestInRange(Policy):
     """Snapshot tables give the latest day of a date range instead of all its days."""
 
-    def date_filter(self, table: Table, day: Column, date_range: tuple[str, str], whole: DataFrame) -> Column:
+    def date_filter(self, table: Table, day: Column, date_range: tuple[str, str], whole: Frame) -> Column:
         inside = super().date_filter(table, F.to_date(table.date_column), date_range, whole)
         if table.date_mode != "snapshot":
             return inside
-        return day == whole.where(inside).agg(F.max(F.to_date(table.date_column)).alias("d")).scalar()
+        return day == framed(whole, {table.date_column}).where(inside).agg(F.max(F.to_date(table.date_column)).alias("d")).scalar()
 
 
 @dataclass
@@ -165,7 +173,7 @@ class Catalog:
         """A copy for one question; the declared catalog never changes."""
         return Catalog(self.dimensions, self.metrics, self.formulas | {formula.name: formula}, self.tables, self.policy)
 
-    def problems(self, frames: dict[str, DataFrame] | None = None) -> list[str]:
+    def problems(self, frames: dict[str, Frame] | None = None) -> list[str]:
         """References to what is not declared, and with frames also columns that tables don't have."""
         out = [f"metric {m.name}: no formula {m.formula}" for m in self.metrics.values() if m.formula and m.formula not in self.formulas]
         out += [f"formula {f.name}: no component {c}" for f in self.formulas.values() for c in f.components if c not in self.metrics]
@@ -173,6 +181,7 @@ class Catalog:
             out += [f"table {t.name}: no dimension {d}" for d in t.dimensions if d not in self.dimensions]
             out += [f"table {t.name}: no metric {m}" for m in t.metrics if m not in self.metrics and m not in self.formulas]
             if frames and t.name in frames:
+                columns = framed(frames[t.name]).columns
                 wanted = [self.dimensions[d].column for d in t.dimensions if d in self.dimensions] + [self.metrics[m].column for m in t.metrics if m in self.metrics] + [t.date_column]
-                out += [f"table {t.name}: no column {c}" for c in wanted if c and c not in frames[t.name].columns]
+                out += [f"table {t.name}: no column {c}" for c in wanted if c and c not in columns]
         return out

@@ -69,8 +69,8 @@ for _f in star.FORMULAS:
     _sql = _f.template.format_map({c: _c.metrics[c].column for c in _f.components} | {"days_elapsed": "15", "total_days": "30", "days_remaining": "15"})
     ask(f"fm_{_f.name}", Intent(dimensions=("region",), formulas=(_f.name,), channels=("primary",)), f" select region, round({_sql}, 4) as {_f.name}, {AS_OF} from {P} group by 1", runtime={"days_elapsed": 15, "total_days": 30, "days_remaining": 15})
 for _how in ("and", "or"):
-    _having = Having("metric_comparison", (("revenue", "<", "target_revenue"), ("quantity", ">", "cost")), _how.upper())
-    ask(f"having_compare_{_how}", Intent(dimensions=("brand",), metrics=("revenue", "target_revenue"), channels=("primary",), having=_having), f" select brand, {_sum('revenue', 'target_revenue')}, {AS_OF} from {P} group by 1 having sum(revenue) < sum(target_revenue) {_how} sum(quantity) > sum(cost)")
+    _having = Having("metric_comparison", (("revenue", "<", "target_revenue"), ("quantity", "<" if _how == "and" else ">", "cost")), _how.upper())
+    ask(f"having_compare_{_how}", Intent(dimensions=("brand",), metrics=("revenue", "target_revenue"), channels=("primary",), having=_having), f" select brand, {_sum('revenue', 'target_revenue')}, {AS_OF} from {P} group by 1 having sum(revenue) < sum(target_revenue) {_how} sum(quantity) {'<' if _how == 'and' else '>'} sum(cost)")
 ask("having_vs_average", Intent(dimensions=("brand",), metrics=("revenue",), channels=("primary",), having=Having("vs_average", polarity="above")), f" select brand, {_sum('revenue')}, {AS_OF} from {P} group by 1 having sum(revenue) > (select avg(revenue) from {P})")
 ask("gap_to_target", Intent(dimensions=("nation",), metrics=("revenue",), channels=("primary",), having=Having("gap_to_target", (("revenue", "", "target_revenue"),))), f" select nation, {_sum('revenue')}, {AS_OF} from {P} group by 1 having abs(sum(target_revenue) - sum(revenue)) > 0")
 ask("rule_margin_keyword", Intent(question="profit margin by region", metrics=("revenue",), **by_region), f" select region, {_sum('revenue')}, round((sum(revenue) - sum(cost)) / nullif(sum(revenue), 0) * 100, 4) as profit_margin_pct, {AS_OF} from {P} group by 1", star.RULES)

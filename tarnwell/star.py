@@ -4,32 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwell.plans.model import Catalog, Dimension, Formula, Metric, Policy, Table
+from tarnwell.plans.model import Catalog, Dimension, Formula, Frame, Metric, Policy, Table
 from tarnwell.plans.rules import Rule
 
 #: The day as of which period measures are taken, so that every engine sees the same periods.
 AS_OF = "2001-06-15"
 
-#: Spark SQL and DuckDB both run these views.
-LINE_SQL = f"""
-select r.r_name as region, n.n_name as nation, p.p_type as part_type, p.p_brand as brand, c.c_mktsegment as segment, o.o_orderpriority as priority,
-       l.l_returnflag as return_flag, l.l_orderkey as order_id, l.l_quantity as quantity, cast(l.l_shipdate as date) as ship_day,
-       l.l_extendedprice * (1 - l.l_discount) as revenue, p.p_retailprice * l.l_quantity * 0.6e0 as cost, l.l_extendedprice * l.l_discount as discount,
-       case when l.l_returnflag = 'R' then l.l_extendedprice * (1 - l.l_discount) else 0e0 end as returns_value,
-       l.l_extendedprice * (0.90e0 + 0.01e0 * (p.p_partkey % 11)) as target_revenue,
-       case when l.l_shipdate < date '{AS_OF}' - interval '365' day then l.l_extendedprice * (1 - l.l_discount) else 0e0 end as prev_revenue,
-       case when cast(l.l_shipdate as date) between date '2001-06-01' and date '{AS_OF}' then l.l_extendedprice * (1 - l.l_discount) else 0e0 end as mtd_revenue,
-       case when cast(l.l_shipdate as date) between date '2000-06-01' and date '2000-06-15' then l.l_extendedprice * (1 - l.l_discount) else 0e0 end as prev_mtd_revenue,
-       case when cast(l.l_shipdate as date) between date '2001-01-01' and date '{AS_OF}' then l.l_extendedprice * (1 - l.l_discount) else 0e0 end as ytd_revenue,
-       case when cast(l.l_shipdate as date) between date '2000-01-01' and date '2000-06-15' then l.l_extendedprice * (1 - l.l_discount) else 0e0 end as prev_ytd_revenue
-from lineitem l join orders o on l.l_orderkey = o.o_orderkey join customer c on o.o_custkey = c.c_custkey join nation n on c.c_nationkey = n.n_nationkey
-     join region r on n.n_regionkey = r.r_regionkey join part p on l.l_partkey = p.p_partkey
-"""
-ORDER_SQL = """
-select r.r_name as region, n.n_name as nation, c.c_mktsegment as segment, o.o_orderpriority as priority, o.o_orderkey as order_id, cast(o.o_orderdate as date) as order_day,
-       o.o_totalprice as revenue, o.o_totalprice * 0.95e0 as target_revenue
-from orders o join customer c on o.o_custkey = c.c_custkey join nation n on c.c_nationkey = n.n_nationkey join region r on n.n_regionkey = r.r_regionkey
-"""
+_LINE_REVENUE = "l.l_extendedprice * (1 - l.l_discount)"
+_WHEN = lambda test: f"case when {test} then {_LINE_REVENUE} else 0e0 end"
+_DAY = "cast(l.l_shipdate as date)"
+#: Columns of a view, each with the table from which it comes.
+LINE_COLUMNS = {
+    "region": ("r", "r.r_name"), "nation": ("n", "n.n_name"), "part_type": ("p", "p.p_type"), "brand": ("p", "p.p_brand"), "segment": ("c", "c.c_mktsegment"), "priority": ("o", "o.o_orderpriority"), "return_flag": ("l", "l.l_returnflag"),
+    "order_id": ("l", "l.l_orderkey"), "quantity": ("l", "l.l_quantity"), "ship_day": ("l", _DAY), "revenue": ("l", _LINE_REVENUE), "cost": ("p", "p.p_retailprice * l.l_quantity * 0.6e0"), "discount": ("l", "l.l_extendedprice * l.l_discount"),
+    "returns_value": ("l", _WHEN("l.l_returnflag = 'R'")), "target_revenue": ("l", "l.l_extendedprice * (0.90e0 + 0.01e0 * (l.l_partkey % 11))"), "prev_revenue": ("l", _WHEN(f"l.l_shipdate < date '{AS_OF}' - interval '365' day")),
+    "mtd_revenue": ("l", _WHEN(f"{_DAY} between date '2001-06-01' and date '{AS_OF}'")), "prev_mtd_revenue": ("l", _WHEN(f"{_DAY} between date '2000-06-01' and date '2000-06-15'")),
+    "ytd_revenue": ("l", _WHEN(f"{_DAY} between date '2001-01-01' and date '{AS_OF}'")), "prev_ytd_revenue": ("l", _WHEN(f"{_DAY} between date '2000-01-01' and date '2000-06-15'")),
+}
+ORDER_COLUMNS = {
+    "region": ("r", "r.r_name"), "nation": ("n", "n.n_name"), "segment": ("c", "c.c_mktsegment"), "priority": ("o", "o.o_orderpriority"), "order_id": ("o", "o.o_orderkey"), "order_day": ("o", "cast(o.o_orderdate as date)"), "revenue": ("o", "o.o_totalprice"), "target_revenue": ("o", "o.o_totalprice * 0.95e0"),
+}
+#: How a table is reached: the one before it, and the join.
+_JOINS = {"o": ("l", "orders o on l.l_orderkey = o.o_orderkey"), "c": ("o", "customer c on o.o_custkey = c.c_custkey"), "n": ("c", "nation n on c.c_nationkey = n.n_nationkey"), "r": ("n", "region r on n.n_regionkey = r.r_regionkey"), "p": ("l", "part p on l.l_partkey = p.p_partkey")}
+
+
+def view_sql(columns: dict[str, tuple[str, str]], fact: str, wanted: set[str] | None = None) -> str:
+    """The view with the wanted columns (all without any) and the joins that they need; Spark SQL and DuckDB both run it.
+
+    Keys of the fact table have a row in each dimension table, so a join that brings no column changes nothing.
+    """
+    names = [c for c in columns if wanted is None or c in wanted] or [next(iter(columns))]
+    mark, needed = fact[0], set()
+    for c in names:
+        at = columns[c][0]
+        while at != mark:
+            needed.add(at)
+            at = _JOINS[at][0]
+    joins = [f"join {text}" for t, (_, text) in _JOINS.items() if t in needed]
+    return " ".join([f"select {', '.join(f'{columns[c][1]} as {c}' for c in names)} from {fact} {mark}", *joins])
+
+
+LINE_SQL, ORDER_SQL = view_sql(LINE_COLUMNS, "lineitem"), view_sql(ORDER_COLUMNS, "orders")
 EVENT_SQL = "select event_type, user_id, event_id, cast(ts as date) as day, value from events"
 
 _LINES = ("sales_line", "sales_line_value", "sales_line_volume")
@@ -54,6 +69,7 @@ METRICS = [
     Metric("event_value", "value", tables=("events_daily",)),
     Metric("events_count", "event_id", "COUNT", tables=("events_daily",)),
 ]
+# Names and expressions of the formula catalogue.
 FORMULAS = [
     _pct("profit_margin_pct", "(SUM({revenue}) - SUM({cost})) / NULLIF(SUM({revenue}), 0) * 100", "revenue", "cost"),
     _pct("revenue_growth_pct", "(SUM({revenue}) / NULLIF(SUM({prev_revenue}), 0) - 1) * 100", "revenue", "prev_revenue"),
@@ -92,13 +108,20 @@ def catalog() -> Catalog:
     return Catalog.of(DIMENSIONS, METRICS, FORMULAS, TABLES, Policy(("revenue",), ("sales_line",)))
 
 
-def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The flat views; joins are left to Catalyst, which broadcasts sides by their measured size."""
+def frames(spark: SparkSession, sf_dir: str) -> dict[str, Frame]:
+    """The flat views, made from those tables that a question's columns need; joins are left to Catalyst."""
     args = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "orders", "customer", "nation", "region", "part", "events")}
-    sql = lambda text, *names: spark.sql(_named(text, names), **{n: args[n] for n in names})
-    line = sql(LINE_SQL, "lineitem", "orders", "customer", "nation", "region", "part")
-    order = sql(ORDER_SQL, "orders", "customer", "nation", "region")
-    return {"sales_line": line, "sales_line_value": line, "sales_line_volume": line, "sales_order": order, "events_daily": sql(EVENT_SQL, "events")}
+
+    def view(columns: dict[str, tuple[str, str]], fact: str) -> Frame:
+        def made(wanted: set[str] | None = None) -> DataFrame:
+            sql = view_sql(columns, fact, wanted)
+            names = tuple(n for n in args if f"from {n} " in sql or f"join {n} " in sql)
+            return spark.sql(_named(sql, names), **{n: args[n] for n in names})
+
+        return made
+
+    line, order = view(LINE_COLUMNS, "lineitem"), view(ORDER_COLUMNS, "orders")
+    return {"sales_line": line, "sales_line_value": line, "sales_line_volume": line, "sales_order": order, "events_daily": spark.sql(_named(EVENT_SQL, ("events",)), events=args["events"])}
 
 
 def _named(text: str, names: tuple[str, ...]) -> str:
