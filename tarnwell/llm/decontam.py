@@ -69,7 +69,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     that the items have, too, at most WINDOW - 1.
 
     Null texts have no words; documents without words are not contaminated; items without words match nothing.  Null ids and
-    repeated rows are rows as any other.  Items with the same id count once.  Empty tables give no rows or no hits.  Other
+    repeated rows are rows as any other.  Items with the same id count once; words of an item without an id are hit, but it is no item of
+    n_items and items.  Empty tables give no rows or no hits.  Other
     columns are not read.
     """
     hashed = lambda c: F.transform(c, lambda w: F.xxhash64(w))
@@ -115,7 +116,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         for p in parts[1:]:
             hits = hits.union(p)
         hits = hits.groupBy("h1", "h2").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("items"))
-        every = every.join(hits, ["h1", "h2"], "left")
+        every = every.join(small_side(written(hits, "hits")), ["h1", "h2"], "left")
     else:
         every = every.withColumns({"runs": F.lit(None).cast("array<struct<s:int,e:int>>"), "items": F.lit(None).cast("array<string>")})
     none = F.array().cast("array<struct<s:int,e:int>>")
