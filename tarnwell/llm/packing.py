@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Entries of a worker's word cache; it starts anew beyond them, so its memory is bounded.
 CACHE_WORDS = 400_000
-#: Tokens gathered before they are packed together: so many sequences are open at a time in a task.
+#: Sequences that are open at a time in a task.  Descending order and lowest cost hold among them.
 OPEN_SEQUENCES = 256
 
 
@@ -96,11 +96,11 @@ def balanced(lengths: np.ndarray, size: int, linear: float, quadratic: float) ->
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 
 
-def pack(docs: DataFrame, json_path: str, rank_path: str, pattern: str, size: int = 2048, end_id: int = 1, linear: float = 1.0, quadratic: float = 1.0 / 2048, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, json_path: str, rank_path: str, pattern: str, size: int = 2048, end_id: int = 1, linear: float = 1.0, quadratic: float = 1.0 / 2048, with_ids: bool = False, open_sequences: int = OPEN_SEQUENCES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of a document in a sequence of at most `size` tokens.
 
     A document is its text's ids and end_id; a null or empty text is end_id alone.  Every id lies in exactly one piece.  Each
-    task packs its own rows, OPEN_SEQUENCES sequences at a time, so nothing is shuffled, a hot source is as good as any
+    task packs its own rows, open_sequences sequences at a time (more of them balance costs better and need more memory), so nothing is shuffled, a hot source is as good as any
     other, and each batch leaves less than one sequence of padding.  sequence_id is the task's number in the upper bits and a
     running number below.  Null ids and repeated rows are documents like others; other columns are not read; an empty table
     gives no rows.  with_ids adds the ids themselves (array<long>).
@@ -142,7 +142,7 @@ def pack(docs: DataFrame, json_path: str, rank_path: str, pattern: str, size: in
                 keys.append(key)
                 ids.append(got)
                 total += len(got)
-                if total >= OPEN_SEQUENCES * size:
+                if total >= open_sequences * size:
                     yield flush()
         if ids:
             yield flush()
