@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwell import star
 from tarnwell.functions.chunk_text import chunk_text, content_type, semantic_density, value_types
+from tarnwell.functions.ingest import ingested
 from tarnwell.functions.json_analysis import content, decided, discovered, structure
 from tarnwell.functions.json_chunks import dimension_value, leaves, worth_storing
 from tarnwell.functions.json_strategies import flat, hierarchical, hybrid, sections, semantic
@@ -180,6 +181,17 @@ def json_discovered_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovered(_nodes(spark, sf_dir)).select("key_type", F.array_join("keys", ",").alias("keys"))
 
 
+#: The text of an order's only chunk, hashed.
+INGEST_SQL = """ select document_id::varchar as document_id, 'flat' as strategy, 6::bigint as key_count, round((2 + 0.5 * n) / (5 + 3 * n), 6) as semantic_density, sha256('In section ''flat_chunk_0'', this structure has customer containing name ''' || name || ''', segment ''' || segment || ''', has id with value ' || document_id
+ || ', includes lines with ' || said || ', has price with value ' || price || ', has status set to ''' || status || '''.') as text_hash from d"""
+
+
+@query(ORDER_SQL + INGEST_SQL)
+def json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders from documents to chunks with text and hash."""
+    return ingested(spark, order_documents(spark, sf_dir)).select("document_id", "strategy", "key_count", "text_hash", F.round("semantic_density", 6).alias("semantic_density"))
+
+
 # --- collections and statistics ---------------------------------------------------------------------------------------
 #: Texts as stored chunks.
 CHUNKS = "select doc_id as chunk_id, lang as collection_name, source as document_id, case when n_chars > 2000 then 'hierarchical' else 'flat' end as strategy, case when n_chars % 2 = 0 then 'text' else 'mixed' end as content_type, (n_chars % 10) / 10e0 as semantic_density, (n_chars % 4) / 4e0 as confidence, n_chars as text_length from documents"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -192,3 +192,8 @@ def budget(names: dict[str, list[str]], most: int) -> dict[str, list[str]]:
         for g in grans:
             give(g, 1)
     return {g: sorted(names[g])[-take[g] :] for g in grans if take[g]}
+
+
+def search_text(vectors: DataFrame, text: str, encoder: Callable[[list[str]], list[list[float]]], k: int | None = 10, threshold: float = 0.0, **options) -> DataFrame:
+    """search() for a text, by an encoder of lists of texts."""
+    return search(vectors, encoder([text])[0], k, threshold, **options)

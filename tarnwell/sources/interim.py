@@ -13,6 +13,8 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 #: A side of a join is broadcast only if it was written and its rows are no larger than this in memory.
 BROADCAST_BYTES = 32 << 20
+#: Rows of a batch that is sent to a Python task while an interim table is written.
+BATCH_ROWS = 2000
 
 _own_dir: list[str] = []
 _open: list[list[DataFrame]] = []
@@ -30,11 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to Python tasks in batches of BATCH_ROWS at most: texts are long, and a task holds some batches at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, min(int(old), BATCH_ROWS) if int(old) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: lineage is cut, and a lost executor costs only a new read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tarnwell_path = path
     if _open:

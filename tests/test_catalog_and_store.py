@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwell.functions.chunk_text import chunk_text
+from tarnwell.functions.ingest import batch_requests, batch_results, ingested
 from tarnwell.functions.json_analysis import content, decided, structure
 from tarnwell.functions.json_chunks import leaves
 from tarnwell.functions.json_strategies import flat, hierarchical, hybrid, semantic
 from tarnwell.operators import charts, collections, store
+from tarnwell.operators.vectors import search_text
 from tarnwell.plans.compile import answer, branches
 from tarnwell.plans.meaning import TableIndex, route_by_meaning, table_documents
 from tarnwell.plans.model import Catalog, Dimension, Intent, Metric, Policy, Table
@@ -202,3 +204,27 @@ def test_charts_and_text(spark):
     assert listed.split("\n\n")[0] == "### ZSM (2 rows total)\n  [TWO]\n    1. | a: 2\n  ... 1 more" and listed.endswith("### ONE (1 rows)\n  4. | a: 1")
     assert charts.enumeration([]) == "No data returned." and charts.sections("QUICK SUMMARY: short\nANALYSIS: long") == ("short", "long") and charts.sections("a\n\nb") == ("a", "b")
     assert charts.about_the_engine("Help me") and not charts.about_the_engine("revenue by zone")
+
+
+def test_documents_are_ingested_by_the_strategy_that_fits(spark):
+    docs = {"plain": {"name": "a long enough name", "note": "words that say something"}, "deep": {"a": {"b": {"c": {"d": {"e": "some text far below"}}}}}, "rows": {"items": [{"text": f"row number {i}"} for i in range(60)]}, "none": None}
+    df = spark.createDataFrame([(k, json.dumps(v) if v else None) for k, v in docs.items()], "document_id string, t string").select("document_id", F.try_parse_json("t").alias("doc"))
+    got = ingested(spark, df).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.document_id, []).append(r)
+        assert r.text.startswith("In section") or r.text.startswith("At the root") and r.text_length >= 10 and r.semantic_density >= 0.1 and len(r.text_hash) == 64
+    assert set(by) == {"plain", "deep", "rows"} and by["plain"][0].strategy == "flat" and by["deep"][0].strategy == "hierarchical"
+    forced = ingested(spark, df, forced="dimensional").collect()
+    assert {r.strategy for r in forced} == {"dimensional"} and sum(len(json.loads(r.content)) for r in forced if r.contains_arrays and r.document_id == "rows") == 60
+    own = ingested(spark, df, {"mine": lambda spark, docs, nodes: flat(nodes, 1)}, lambda nodes: nodes.where("level = 0").select("document_id", F.lit("mine").alias("strategy"), F.lit(0.5).alias("confidence"))).collect()
+    assert {r.strategy for r in own} == {"mine"} and sum(r.document_id == "plain" for r in own) == 2
+    assert ingested(spark, df.where("doc is null")).count() == 0
+    chunks = spark.createDataFrame([("x", "one"), ("y", "two"), ("z", "three")], "chunk_id string, text string")
+    lines = [json.loads(r.value) for r in batch_requests(chunks, "m").collect()]
+    assert {x["custom_id"] for x in lines} == {"chunk_x", "chunk_y", "chunk_z"} and lines[0]["body"]["model"] == "m"
+    answer_line = lambda c, code: json.dumps({"custom_id": c, "response": {"status_code": code, "body": {"data": [{"embedding": [1.0, 2.0]}]}}})
+    results = spark.createDataFrame([(answer_line("chunk_x", 200),), (answer_line("chunk_x", 200),), (answer_line("chunk_y", 500),), ("{bad",)], "value string")
+    assert [(r.chunk_id, r.embedding) for r in batch_results(chunks, results).collect()] == [("x", [1.0, 2.0])]
+    vectors = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "chunk_id string, embedding array<float>")
+    assert [r.chunk_id for r in search_text(vectors, "q", lambda ts: [[0.0, 2.0] for _ in ts], 1).collect()] == ["y"]
