@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import merged_runs, small_side, written
+from tarnwell.llm.common import merged_runs, small_side, tidied, written
 from tarnwell.llm.npwords import _R, CHUNK, mix
 
 #: Bytes of the grams whose smallest hash in a window stands for the window.
@@ -199,7 +199,25 @@ def intervals(lcp: np.ndarray, left: np.ndarray, length: int) -> tuple[list[tupl
 
 
 def _groups(length: int):
-    """Contexts, sorted by fingerprint, to the occurrences of maximal repeats."""
+    """Contexts, sorted by fingerprint, to the occurrences of maximal repeats in each and the runs of bytes that they cover."""
+
+    def gathered(rows, starts, lengths, numbers, outer, pick):
+        """One row for each context with occurrences, however many these are."""
+        row, start, size, number = (np.array(x, dtype="i8") for x in (rows, starts, lengths, numbers))
+        order = np.lexsort((start, row))
+        row, start, size, number = row[order], start[order], size[order], number[order]
+        above = pa.array([outer[k] for k in order], pa.int64())
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        bounds = pa.array(np.append(first, len(row)), pa.int32())
+        wide = int((start + size).max(initial=0)) + 1  # keeps the contexts apart in one running maximum
+        far = np.maximum.accumulate(row * wide + start + size) if len(row) else row
+        opens = np.flatnonzero(np.concatenate(([True], (row * wide + start)[1:] > far[:-1]))) if len(row) else row
+        ends = far[np.append(opens[1:], len(row)) - 1] - row[opens] * wide if len(row) else row
+        cuts = pa.array(np.append(np.searchsorted(opens, first), len(opens)), pa.int32())
+        struct = lambda names, *cols: pa.StructArray.from_arrays([pa.array(c) for c in cols], names=names)
+        occurrences = pa.ListArray.from_arrays(bounds, struct(["number", "outer", "length", "start"], number, above, size, start))
+        runs = pa.ListArray.from_arrays(cuts, struct(["s", "e"], start[opens], ends))
+        return pa.RecordBatch.from_arrays([*pick(row[first]), occurrences, runs], ["fp", "h1", "h2", "occurrences", "runs"])
 
     def repeats(fp, h1, h2, first, ctx):
         slots: dict[tuple[int, bytes], list[int]] = {}
@@ -242,9 +260,7 @@ def _groups(length: int):
                     lengths.append(height)
                     numbers.append(number + int(own[at]))
                     outer.append(number + parent if parent >= 0 else None)
-        pick = lambda x: pa.array([x[r] for r in rows], pa.int64())
-        cols = [pick(fp), pa.array(numbers, pa.int64()), pa.array(outer, pa.int64()), pa.array(lengths, pa.int64()), pick(h1), pick(h2), pa.array(starts, pa.int64())]
-        return pa.RecordBatch.from_arrays(cols, ["fp", "number", "outer", "length", "h1", "h2", "start"])
+        return gathered(rows, starts, lengths, numbers, outer, lambda at: [pa.array([x[r] for r in at.tolist()], pa.int64()) for x in (fp, h1, h2)])
 
     def _regrams(c: bytes, length: int) -> bool:
         """Whether a window can occur twice in a context of no more windows than grams: the last gram of its first window then does, too."""
@@ -287,17 +303,20 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), text.cast("binary").alias("text"))
 
 
-def maximal_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", gathered: int = GATHERED) -> tuple[DataFrame, DataFrame]:
-    """Maximal repeats of at least `length` bytes among the distinct texts, and the table of the texts themselves.
+_OCCURRENCES = "array<struct<number: bigint, outer: bigint, length: bigint, start: bigint>>"
+_RUNS = "array<struct<s: bigint, e: bigint>>"
 
-    First table: fp, number (a repeat's name within fp and task), outer (the repeat of which it is an extension, or null),
-    length, h1, h2 (a text's key), start.  Each occurrence has one row, under the longest of its repeats; it is one of the
-    outer ones, too, so a repeat's occurrences are its own rows and those of the repeats inside it.  Second table: doc_id, h1, h2, n_bytes of every row.  Every window of `length` bytes belongs to the fingerprint of its smallest gram, so
-    equal windows meet under one fingerprint wherever they stand.  Texts are cut into segments of neighbouring windows with
-    one fingerprint; fingerprints that occur once are left out, and for the others the segments' bytes get suffix arrays
-    whose interval trees yield the repeats.  A segment's ends count as left-diverse, so repeats that run over several
-    segments come out piece by piece and their union is whole.  Copies of a text count once.  A fingerprint of more than
-    `gathered` segments is not gathered in a task: its windows are counted by hash over all tasks (repeats of `length`).
+
+def repeated_contexts(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", gathered: int = GATHERED) -> tuple[DataFrame, DataFrame]:
+    """fp, h1, h2, occurrences and runs of every context with repeats, and the table of the texts themselves.
+
+    Every window of `length` bytes belongs to the fingerprint of its smallest gram, so equal windows meet under one
+    fingerprint wherever they stand.  Texts are cut into segments of neighbouring windows with one fingerprint; fingerprints
+    that occur once are left out, and for the others the segments' bytes (contexts) get suffix arrays whose interval trees
+    yield the repeats.  A context's occurrences and the runs (s, e) that they cover are one row, so rows grow with the
+    contexts alone.  Copies of a text count once.  A fingerprint of more than `gathered` segments is not gathered in a task:
+    its windows are counted by hash over all tasks (repeats of `length`, a row for each).
+    Second table: doc_id, h1, h2, n_bytes of every row.
     """
     base = written(keyed(docs, id_col, text_col).select("doc_id", "h1", "h2", "text").mapInArrow(_segments(length), "doc_id long, h1 long, h2 long, n_bytes long, fp array<long>, first array<int>, windows array<int>, again array<boolean>"), "segments")
     copies = written(base.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "copies")
@@ -307,23 +326,42 @@ def maximal_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     wanted = segments.join(repeated.select("fp", (F.col("n") > gathered).alias("hot")), "fp")
     lists = wanted.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.collect_set(F.struct("first", "windows", "fp", "hot")).alias("segments"))
     lists = written(lists, "candidates")
-    texts = keyed(docs, id_col, text_col).join(small_side(lists), ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("rep")))
+    # by text and the id that stands for it, so that copies of a text don't meet; shuffled at any size
+    every, one = keyed(docs, id_col, text_col).alias("t"), lists.alias("l")
+    mine = (F.col("t.h1") == F.col("l.h1")) & (F.col("t.h2") == F.col("l.h2")) & F.col("t.doc_id").eqNullSafe(F.col("l.rep"))
+    texts = every.join(one.hint("merge"), mine).select("t.doc_id", "t.h1", "t.h2", "t.text", "l.segments")
     context_type = "fp long, h1 long, h2 long, first int, ctx binary"
     part = lambda hot: texts.select("h1", "h2", "text", F.filter("segments", lambda s: s["hot"] == F.lit(hot)).alias("s")).where(F.size("s") > 0).select("h1", "h2", "text", F.transform("s", lambda s: F.struct(s["first"], s["windows"], s["fp"])).alias("s")).mapInArrow(_contexts(length), context_type)
-    found = part(False).repartition("fp").sortWithinPartitions("fp").mapInArrow(_groups(length), "fp long, number long, outer long, length long, h1 long, h2 long, start long")
+    found = part(False).repartition("fp").sortWithinPartitions("fp").mapInArrow(_groups(length), f"fp long, h1 long, h2 long, occurrences {_OCCURRENCES}, runs {_RUNS}")
     if not lists.where(F.exists("segments", lambda s: s["hot"])).isEmpty():
         windows = part(True).mapInArrow(_window_hashes(length), "fp long, h1 long, h2 long, w long, start long")
         twice = windows.groupBy("fp", "w").agg(F.count("*").alias("n"), F.min("start").alias("s0"), F.max("start").alias("s1"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi or s0 <> s1").select("fp", "w")
-        found = found.union(windows.join(twice, ["fp", "w"]).select("fp", F.col("w").alias("number"), F.lit(None).cast("long").alias("outer"), F.lit(length).cast("long").alias("length"), "h1", "h2", "start"))
+        one = F.array(F.struct(F.col("w").alias("number"), F.lit(None).cast("long").alias("outer"), F.lit(length).cast("long").alias("length"), F.col("start").alias("start")))
+        run = F.array(F.struct(F.col("start").alias("s"), (F.col("start") + length).alias("e")))
+        found = found.union(windows.join(twice, ["fp", "w"]).select("fp", "h1", "h2", one.cast(_OCCURRENCES), run.cast(_RUNS)))
     return found, base.select("doc_id", "h1", "h2", "n_bytes")
 
 
+def maximal_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", gathered: int = GATHERED) -> tuple[DataFrame, DataFrame]:
+    """Maximal repeats of at least `length` bytes among the distinct texts, and the table of the texts themselves.
+
+    First table: fp, number (a repeat's name within fp and task), outer (the repeat of which it is an extension, or null),
+    length, h1, h2 (a text's key), start.  Each occurrence has one row, under the longest of its repeats; it is one of the
+    outer ones, too, so a repeat's occurrences are its own rows and those of the repeats inside it.  A segment's ends count as
+    left-diverse, so repeats that run over several segments come out piece by piece and their union is whole.
+    """
+    found, base = repeated_contexts(docs, length, id_col, text_col, gathered)
+    return found.select("fp", "h1", "h2", F.explode("occurrences").alias("o")).select("fp", "o.number", "o.outer", "o.length", "h1", "h2", "o.start"), base
+
+
 def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", gathered: int = GATHERED) -> DataFrame:
     """h1, h2, spans: for every text with such bytes the maximal runs (s, e) of bytes that a repeat covers."""
-    found, base = maximal_repeats(docs, length, id_col, text_col, gathered)
-    whole = base.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("n_bytes").alias("b")).where(f"n > 1 and b >= {length}").select("h1", "h2", F.lit(0).cast("long").alias("s"), F.col("b").alias("e"))
-    each = found.groupBy("h1", "h2", F.col("start").alias("s")).agg(F.max(F.col("start") + F.col("length")).alias("e")).union(whole)
-    return written(each.groupBy("h1", "h2").agg(merged_runs(F.sort_array(F.collect_list(F.struct("s", "e")))).alias("spans")), "spans")
+    with tidied() as kept:
+        found, base = repeated_contexts(docs, length, id_col, text_col, gathered)
+        whole = base.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("n_bytes").alias("b")).where(f"n > 1 and b >= {length}").select("h1", "h2", F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("b").alias("e"))).alias("runs"))
+        each = found.select("h1", "h2", "runs").union(whole).groupBy("h1", "h2").agg(F.flatten(F.collect_list("runs")).alias("runs"))  # the runs of one text
+        kept.append(written(each.select("h1", "h2", merged_runs(F.sort_array("runs")).alias("spans")), "spans"))
+    return kept[0]
 
 
 def _outside(data, runs):
