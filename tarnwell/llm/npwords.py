@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are hashed together; longer texts are cut at white space, so a text's length does not decide the memory.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 _R = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype="u8")
 

@@ -349,16 +349,12 @@ def keep_good(docs: DataFrame, models: tuple[Logistic, Logistic] | None, id_col:
     if not models:
         return docs
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _blocks(batches):
-            n = batch.num_columns - 5
-            given = pa.RecordBatch.from_arrays(batch.columns[n:], batch.schema.names[n:])
-            kept = batch.filter(pa.array(1 / (1 + np.exp(-_odds(models, given).mean(1))) >= accept, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(kept.columns[:n], [f"c{k}" for k in range(n)])
+    @F.arrow_udf("boolean")
+    def good(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            batch = pa.RecordBatch.from_arrays([columns[1], *columns], ["id", "text", "lang", "source", "n_chars"])
+            found = [1 / (1 + np.exp(-_odds(models, b).mean(1))) >= accept for b in _blocks([batch])]
+            yield pa.array(np.concatenate([np.zeros(0, bool), *found]), pa.bool_())
 
-    names = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
     col = lambda c, kind: (F.col(c) if c in docs.columns else F.lit(None)).cast(kind)
-    views = [F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")), col("lang", "string"), col("source", "string"), col("n_chars", "long")]
-    both = docs.select(*names, *[v.alias(f"v{k}") for k, v in enumerate(views)])
-    kinds = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema))
-    return both.mapInArrow(rows, kinds).toDF(*docs.columns)
+    return docs.where(good(F.coalesce(F.col(text_col).cast("string"), F.lit("")), col("lang", "string"), col("source", "string"), col("n_chars", "long")))
