@@ -140,13 +140,19 @@ def suffix_order(data: np.ndarray, end: np.ndarray, starts: np.ndarray) -> tuple
     for i in range(8):
         key = (key << np.uint64(8)) | np.where(left > i, padded[i : n + i], np.uint64(0))
     order = np.lexsort((np.minimum(left, 8), key))
-    step = np.empty(n, dtype="i8")
+    step = np.empty(n, dtype="i4")
     step[order] = np.cumsum(np.concatenate(([1], (np.diff(key[order]) != 0) | (np.diff(np.minimum(left, 8)[order]) != 0)))) if n else 0
+    del padded, key, order
     ranks, width, longest = [step], 8, int(left.max(initial=0))
     while width < longest:
-        second = np.where(left > width, ranks[-1][np.minimum(np.arange(n) + width, n - 1)], 0)
-        _, rank = np.unique(ranks[-1] * (n + 1) + second, return_inverse=True)
-        ranks.append(rank + 1)
+        both = ranks[-1].astype("i8") * (n + 1)
+        both[: max(0, n - width)] += np.where(left[: max(0, n - width)] > width, ranks[-1][width:], 0)
+        order = np.argsort(both, kind="stable")
+        both = both[order]
+        rank = np.empty(n, dtype="i4")
+        rank[order] = np.cumsum(np.concatenate(([1], both[1:] != both[:-1])), dtype="i4")
+        del order, both
+        ranks.append(rank)
         width *= 2
     sa = starts[np.argsort(ranks[-1][starts], kind="stable")]
     i, j = sa[:-1], sa[1:]
@@ -198,26 +204,27 @@ def intervals(lcp: np.ndarray, left: np.ndarray, length: int) -> tuple[list[tupl
     return list(zip(heights, parents, strict=True)), own
 
 
-def _groups(length: int):
-    """Contexts, sorted by fingerprint, to the occurrences of maximal repeats in each and the runs of bytes that they cover."""
+def _groups(length: int, named: bool):
+    """Contexts, sorted by fingerprint, to the occurrences of maximal repeats in each (if `named`) and the runs of bytes that they cover."""
 
-    def gathered(rows, starts, lengths, numbers, outer, pick):
+    def gathered(row, start, size, number, outer, pick):
         """One row for each context with occurrences, however many these are."""
-        row, start, size, number = (np.array(x, dtype="i8") for x in (rows, starts, lengths, numbers))
         order = np.lexsort((start, row))
-        row, start, size, number = row[order], start[order], size[order], number[order]
-        above = pa.array([outer[k] for k in order], pa.int64())
+        row, start, size = row[order], start[order], size[order]
         first = np.flatnonzero(np.diff(row, prepend=-1))
-        bounds = pa.array(np.append(first, len(row)), pa.int32())
         wide = int((start + size).max(initial=0)) + 1  # keeps the contexts apart in one running maximum
         far = np.maximum.accumulate(row * wide + start + size) if len(row) else row
         opens = np.flatnonzero(np.concatenate(([True], (row * wide + start)[1:] > far[:-1]))) if len(row) else row
         ends = far[np.append(opens[1:], len(row)) - 1] - row[opens] * wide if len(row) else row
         cuts = pa.array(np.append(np.searchsorted(opens, first), len(opens)), pa.int32())
         struct = lambda names, *cols: pa.StructArray.from_arrays([pa.array(c) for c in cols], names=names)
-        occurrences = pa.ListArray.from_arrays(bounds, struct(["number", "outer", "length", "start"], number, above, size, start))
         runs = pa.ListArray.from_arrays(cuts, struct(["s", "e"], start[opens], ends))
-        return pa.RecordBatch.from_arrays([*pick(row[first]), occurrences, runs], ["fp", "h1", "h2", "occurrences", "runs"])
+        if named:
+            above = pa.array(outer[order], pa.int64(), mask=outer[order] < 0)
+            of = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), struct(["number", "outer", "length", "start"], number[order], above, size, start))
+        else:
+            of = pa.nulls(len(first), pa.list_(pa.struct([(n, pa.int64()) for n in ("number", "outer", "length", "start")])))
+        return pa.RecordBatch.from_arrays([*pick(row[first]), of, runs], ["fp", "h1", "h2", "occurrences", "runs"])
 
     def repeats(fp, h1, h2, first, ctx):
         slots: dict[tuple[int, bytes], list[int]] = {}
@@ -226,16 +233,13 @@ def _groups(length: int):
         variants: dict[int, int] = {}
         for f, _ in slots:
             variants[f] = variants.get(f, 0) + 1
-        rows, starts, lengths, numbers, outer, number = [], [], [], [], [], 0
+        whole = [(at, len(c)) for (_, c), at in slots.items() if len(at) > 1]  # repeats as a whole, the contexts' ends being open
+        places, number = np.array(first, dtype="i8"), len(whole)
+        times = np.array([len(at) for at, _ in whole], dtype="i8")
+        rows = np.array([r for at, _ in whole for r in at], dtype="i8")
+        parts = [(rows, places[rows], np.repeat(np.array([n for _, n in whole], dtype="i8"), times), np.repeat(np.arange(number), times), np.full(len(rows), -1))]
         strings, members = [], []
         for (f, c), at in slots.items():
-            if len(at) > 1:  # a repeat as a whole, the context's ends being open
-                rows += at
-                starts += [first[r] for r in at]
-                lengths += [len(c)] * len(at)
-                numbers += [number] * len(at)
-                outer += [None] * len(at)
-                number += 1
             if variants[f] > 1 or len(c) > 2 * length - GRAM or _regrams(c, length):
                 strings.append(c)
                 members.append(at)
@@ -250,17 +254,16 @@ def _groups(length: int):
             begin = (ends - size)[owner[sa]]
             left = np.where(sa == begin, -1, data[np.maximum(sa - 1, 0)].astype("i8"))
             tree, own = intervals(lcp, left, length)
-            for at in np.flatnonzero(own >= 0).tolist():
-                s, (height, parent) = int(sa[at]), tree[own[at]]
-                o = owner[s]
-                shift = s - int(ends[o] - size[o])
-                for r in members[o]:
-                    rows.append(r)
-                    starts.append(first[r] + shift)
-                    lengths.append(height)
-                    numbers.append(number + int(own[at]))
-                    outer.append(number + parent if parent >= 0 else None)
-        return gathered(rows, starts, lengths, numbers, outer, lambda at: [pa.array([x[r] for r in at.tolist()], pa.int64()) for x in (fp, h1, h2)])
+            at = np.flatnonzero(own >= 0)
+            many = np.array([len(m) for m in members])
+            flat, offset = np.array([r for m in members for r in m], dtype="i8"), np.cumsum(many) - many
+            mine, shift, node = owner[sa[at]], (sa - begin)[at], own[at]
+            copies = many[mine]
+            each = np.repeat(np.arange(len(at)), copies)  # an occurrence in each text that has the string
+            rows = flat[offset[mine][each] + np.arange(len(each)) - np.repeat(np.cumsum(copies) - copies, copies)]
+            heights, above = (np.array([t[k] for t in tree], dtype="i8") for k in (0, 1))
+            parts.append((rows, places[rows] + shift[each], heights[node][each], number + node[each], np.where(above < 0, -1, number + above)[node][each]))
+        return gathered(*(np.concatenate([p[k] for p in parts]) for k in range(5)), lambda at: [pa.array([x[r] for r in at.tolist()], pa.int64()) for x in (fp, h1, h2)])
 
     def _regrams(c: bytes, length: int) -> bool:
         """Whether a window can occur twice in a context of no more windows than grams: the last gram of its first window then does, too."""
@@ -307,8 +310,8 @@ _OCCURRENCES = "array<struct<number: bigint, outer: bigint, length: bigint, star
 _RUNS = "array<struct<s: bigint, e: bigint>>"
 
 
-def repeated_contexts(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", gathered: int = GATHERED) -> tuple[DataFrame, DataFrame]:
-    """fp, h1, h2, occurrences and runs of every context with repeats, and the table of the texts themselves.
+def repeated_contexts(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", gathered: int = GATHERED, named: bool = True) -> tuple[DataFrame, DataFrame]:
+    """fp, h1, h2, occurrences (null unless `named`) and runs of every context with repeats, and the table of the texts themselves.
 
     Every window of `length` bytes belongs to the fingerprint of its smallest gram, so equal windows meet under one
     fingerprint wherever they stand.  Texts are cut into segments of neighbouring windows with one fingerprint; fingerprints
@@ -332,7 +335,7 @@ def repeated_contexts(docs: DataFrame, length: int = 200, id_col: str = "doc_id"
     texts = every.join(one.hint("merge"), mine).select("t.doc_id", "t.h1", "t.h2", "t.text", "l.segments")
     context_type = "fp long, h1 long, h2 long, first int, ctx binary"
     part = lambda hot: texts.select("h1", "h2", "text", F.filter("segments", lambda s: s["hot"] == F.lit(hot)).alias("s")).where(F.size("s") > 0).select("h1", "h2", "text", F.transform("s", lambda s: F.struct(s["first"], s["windows"], s["fp"])).alias("s")).mapInArrow(_contexts(length), context_type)
-    found = part(False).repartition("fp").sortWithinPartitions("fp").mapInArrow(_groups(length), f"fp long, h1 long, h2 long, occurrences {_OCCURRENCES}, runs {_RUNS}")
+    found = part(False).repartition("fp").sortWithinPartitions("fp").mapInArrow(_groups(length, named), f"fp long, h1 long, h2 long, occurrences {_OCCURRENCES}, runs {_RUNS}")
     if not lists.where(F.exists("segments", lambda s: s["hot"])).isEmpty():
         windows = part(True).mapInArrow(_window_hashes(length), "fp long, h1 long, h2 long, w long, start long")
         twice = windows.groupBy("fp", "w").agg(F.count("*").alias("n"), F.min("start").alias("s0"), F.max("start").alias("s1"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi or s0 <> s1").select("fp", "w")
@@ -357,7 +360,7 @@ def maximal_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
 def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", gathered: int = GATHERED) -> DataFrame:
     """h1, h2, spans: for every text with such bytes the maximal runs (s, e) of bytes that a repeat covers."""
     with tidied() as kept:
-        found, base = repeated_contexts(docs, length, id_col, text_col, gathered)
+        found, base = repeated_contexts(docs, length, id_col, text_col, gathered, named=False)
         whole = base.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("n_bytes").alias("b")).where(f"n > 1 and b >= {length}").select("h1", "h2", F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("b").alias("e"))).alias("runs"))
         each = found.select("h1", "h2", "runs").union(whole).groupBy("h1", "h2").agg(F.flatten(F.collect_list("runs")).alias("runs"))  # the runs of one text
         kept.append(written(each.select("h1", "h2", merged_runs(F.sort_array("runs")).alias("spans")), "spans"))
