@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -275,26 +279,43 @@ NOTICES = [
 #: Certainty of a detection by its rule's level.
 CERTAINTY = {1: 1.0, 2: 0.9, 3: 0.7, 4: 0.4}
 _MARK = "\x01"
+#: Word parts that many patterns need: texts without them are not searched for those patterns' keywords.
+GATES = ("licen", "software", "permi", "copyright", "distribut", "creativecommons", "public", "purposes", "prohibited", "notice", "code", "use")
+
+
+def _gate(pattern: str) -> str:
+    """A common word part that every match of a pattern holds, or nothing: what stays without optional groups, if no other group or choice is left."""
+    must, before = pattern, ""
+    while must != before:
+        must, before = re.sub(r"\(\?:[^()]*\)(?:\?|\{0,\d+\})", "", must), must
+    return "" if "|" in must or "(" in must else next((g for g in GATES if g in must), "")
+
+
+def _gated_rules() -> list[tuple[str, int, str, str, str, str]]:
+    framed = [(f"{label}/{part}", level, label, key, frame.format(name), _gate(name)) for level, part, frame in FRAMES for label, key, name in FAMILIES]
+    noted = [(f"{label}/notice-{k}", level, label, key, p, _gate(p)) for k, (level, label, key, p) in enumerate(NOTICES)]
+    return sorted(framed + noted, key=lambda r: r[1])
 
 
 def rules() -> list[tuple[str, int, str, str, str]]:
     """(name, level, label, keyword, pattern) in order: earlier rules win over equal later ones."""
-    framed = [(f"{label}/{part}", level, label, key, frame.format(name)) for level, part, frame in FRAMES for label, key, name in FAMILIES]
-    noted = [(f"{label}/notice-{k}", level, label, key, p) for k, (level, label, key, p) in enumerate(NOTICES)]
-    return sorted(framed + noted, key=lambda r: r[1])
+    return [r[:5] for r in _gated_rules()]
 
 
-def _marked(norm: Column) -> Column:
+def _marked(norm: str) -> Column:
     """Of the rules whose keyword a text holds, those that match, each with the text in which its matches are marked.
 
-    Patterns are literals, so each is compiled once in a task; the rules of one keyword stand behind one test for it.
+    Patterns are literals, so each is compiled once in a task; the rules of one keyword stand behind one test for it, and
+    keywords behind a test for a word part that all of their matches hold.  The expression is written as SQL, because it has
+    thousands of parts; norm names the text's column.
     """
-    by: dict[str, list[Column]] = {}
-    for k, (_, level, label, key, pattern) in enumerate(rules()):
-        marked = F.regexp_replace(norm, f"(?<= )(?:{pattern})(?= )", f"{_MARK}$0{_MARK}")
-        by.setdefault(key, []).append(F.struct(F.lit(k).alias("rule"), F.lit(level).alias("level"), F.lit(label).alias("label"), marked.alias("marked")))
-    kept = [F.when(F.contains(norm, F.lit(key)), F.filter(F.array(*made), lambda r: F.contains(r["marked"], F.lit(_MARK)))) for key, made in by.items()]
-    return F.flatten(F.array_compact(F.array(*kept)))
+    by: dict[str, dict[str, list[str]]] = {}
+    for k, (_, level, label, key, pattern, gate) in enumerate(_gated_rules()):
+        by.setdefault(gate, {}).setdefault(key, []).append(f"named_struct('rule', {k}, 'level', {level}, 'label', '{label}', 'marked', regexp_replace(n, r'(?<= )(?:{pattern})(?= )', '{_MARK}$0{_MARK}'))")
+    found = lambda made: f"filter(array({', '.join(made)}), r -> contains(r.marked, '{_MARK}'))"
+    several = lambda keys: f"flatten(array_compact(array({', '.join(f"case when contains(n, '{key}') then {found(made)} end" for key, made in keys.items())})))"
+    kept = [f"case when contains(n, '{gate}') then {several(keys)} end" if gate else several(keys) for gate, keys in by.items()]
+    return F.expr(f"transform(array({norm}), n -> flatten(array_compact(array({', '.join(kept)}))))[0]")
 
 
 def _spans(r: Column) -> Column:
@@ -327,35 +348,28 @@ def _outermost(found: Column) -> Column:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and detections of every row of docs.
 
-    A text's lower-cased words, joined by spaces, are what the rules see.  A text without any rule's keyword costs one look
-    for the gates' words; for the others each rule whose keyword occurs is matched everywhere, and a detection inside one of
-    a rule of the same or a higher rank is suppressed.  detections: (s, e) in that joined text, level, rule (a number in
-    rules()) and label.  score: the certainty of the best detection; a base phrase counts 0.5 at least.  Base labels stay
-    whatever is suppressed.  Everything happens within the row: no shuffle, and no group can be hot.
+    A text's lower-cased words, joined by spaces, are what the rules see.  A text costs one look for each keyword; each rule
+    whose keyword occurs is matched everywhere, and a detection inside one of a rule of the same or a higher rank is
+    suppressed.  detections: (s, e) in that joined text, level, rule (a number in rules()) and label.  score: the certainty
+    of the best detection; a base phrase counts 0.5 at least.  Base labels stay whatever is suppressed.  Everything happens
+    within the row: no shuffle, and no group can be hot.
 
     Null and empty texts have no words, no labels and score 0.  Null ids and repeated rows are rows as any other; an empty
     table gives no rows; other columns are not read.
     """
-    gates = sorted({key for _, _, _, key, _ in rules()})
 
-    def place(w: Column, norm: Column, phrase: str) -> Column:
+    def place(phrase: str) -> Column:
         parts = phrase.split(" ")
-        at = lambda i: [F.element_at(w, i + k + 1) == p for k, p in enumerate(parts)]
-        both = lambda i: at(i)[0] & at(i)[1] & (at(i)[2] if len(parts) > 2 else F.lit(True))
+        at = lambda i: reduce(and_, [F.element_at("w", i + k + 1) == p for k, p in enumerate(parts)])
         none = F.array().cast("array<int>")
-        return F.when(F.contains(norm, F.lit(f" {phrase} ")), F.filter(F.sequence(F.lit(0), F.size(w) - len(parts)), both)).otherwise(none)
-
-    def scan(w: Column, norm: Column) -> Column:
-        gated = F.lit(False)
-        for g in gates:
-            gated = gated | F.contains(norm, F.lit(g))
-        none = F.array().cast("array<struct<s:int,e:int,level:int,rule:int,label:string>>")
-        found = F.when(gated, _outermost(F.flatten(F.transform(_marked(norm), _spans)))).otherwise(none)
-        return F.struct(F.size(w).alias("n"), *[place(w, norm, p).alias(label) for p, label in BASE.items()], found.alias("found"))
+        return F.when(F.contains("norm", F.lit(f" {phrase} ")), F.filter(F.sequence(F.lit(0), F.size("w") - len(parts)), at)).otherwise(none)
 
-    text = words(F.col(text_col).cast("string"))
-    seen = let(text, lambda w: let(F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")), lambda norm: scan(w, norm)))
-    row = docs.select(F.col(id_col).alias("doc_id"), seen.alias("x"))
+    row = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col).cast("string")).alias("w"))
+    row = row.select("doc_id", "w", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("norm"))
+    row = row.select("doc_id", F.size("w").alias("n"), *[place(p).alias(f"at_{label}") for p, label in BASE.items()], _marked("norm").alias("marked"))
+    none = F.array().cast("array<struct<s:int,e:int,level:int,rule:int,label:string>>")
+    found = F.when(F.size("marked") > 0, _outermost(F.flatten(F.transform("marked", _spans)))).otherwise(none)
+    row = row.select("doc_id", F.struct("n", *[F.col(f"at_{label}").alias(label) for label in BASE.values()], found.alias("found")).alias("x"))
     places = F.concat(*[F.col("x")[label] for label in BASE.values()])
     base = F.array_compact(F.array(*[F.when(F.size(F.col("x")[label]) > 0, F.lit(label)) for label in sorted(BASE.values())]))
     row = row.select("doc_id", F.col("x.n").cast("long").alias("n_words"), places.alias("places"), base.alias("base"), F.col("x.found").alias("detections"))
