@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import langid, quality
+from tarnwell.llm import langid, linecrf, quality
+from tarnwell.llm.align import cross_alignment
 from tarnwell.llm.chat import preference_pairs, runs_text
 from tarnwell.llm.decontam import decontaminate
 from tarnwell.llm.hnsw import near_vectors
@@ -15,6 +16,7 @@ from tarnwell.llm.near_dups import near_duplicates
 from tarnwell.llm.packing import pack
 from tarnwell.llm.repeats import remove_repeats
 from tarnwell.llm.ring import bounded_ring_shards
+from tarnwell.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,5 +100,19 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {"op1_ring_shards": op1_ring_shards, "op2_winnowing": op2_winnowing, "op3_license_scan": op3_license_scan, "op4_compression_langid": op4_compression_langid, "op5_minhash_near_dups": op5_minhash_near_dups, "op6_quality_cotraining": op6_quality_cotraining, "op7_preference_pairs": op7_preference_pairs, "op8_cost_packing": op8_cost_packing, "op9_hnsw_near_dups": op9_hnsw_near_dups, "op10_suffix_repeats": op10_suffix_repeats}
+def op11_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return linecrf.rule_lines(docs, linecrf.train(docs, table(spark, sf_dir, "labels"))).drop("boilerplate")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return cross_alignment(table(spark, sf_dir, "documents"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
+
+
+QUERIES = {"op1_ring_shards": op1_ring_shards, "op2_winnowing": op2_winnowing, "op3_license_scan": op3_license_scan, "op4_compression_langid": op4_compression_langid, "op5_minhash_near_dups": op5_minhash_near_dups, "op6_quality_cotraining": op6_quality_cotraining, "op7_preference_pairs": op7_preference_pairs, "op8_cost_packing": op8_cost_packing, "op9_hnsw_near_dups": op9_hnsw_near_dups, "op10_suffix_repeats": op10_suffix_repeats, "op11_line_labels": op11_line_labels, "op12_whitening": op12_whitening, "op13_token_alignment": op13_token_alignment}
 ORACLE_SQL: dict[str, str] = {"op7_preference_pairs": OP7_SQL}
