@@ -9,54 +9,79 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.functions.chunk_text import chunk_text, content_type, semantic_density, value_types
-from tarnwell.functions.json_analysis import content, decided, structure
-from tarnwell.functions.json_chunks import dimension_value, leaves, text_hash, whole_dimensional_chunks, worth_storing
-from tarnwell.functions.json_strategies import flat, hierarchical, hybrid, semantic
-from tarnwell.sources.interim import written
+from tarnwell.functions.json_analysis import analysed, decided
+from tarnwell.functions.json_chunks import as_text, dimension_value, leaves, text_hash, worth_storing
+from tarnwell.functions.json_strategies import CHUNK, dimensional, flat, hierarchical, hybrid, semantic
+from tarnwell.sources.interim import small_side, written
 
 #: A chunker makes chunks (see json_strategies) from the session, documents (document_id, doc) and their nodes.
 Chunker = Callable[[SparkSession, DataFrame, DataFrame], DataFrame]
 
-
-def _dimensional(spark: SparkSession, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    sliced = whole_dimensional_chunks(spark, docs)
-    return sliced.select(
-        "document_id", F.concat_ws("_", "document_id", "kind", "path", "slice").alias("chunk_id"), F.lit("dimensional").alias("chunk_type"), F.coalesce("path", F.lit("$")).alias("path"), F.lit(1).alias("level"), F.lit(None).cast("string").alias("parent_id"),
-        F.octet_length("content").cast("long").alias("size"), F.col("items").cast("long").alias("key_count"), (F.col("kind") == "array").alias("contains_arrays"), F.array().cast("array<string>").alias("tags"), "content",
-    )
-
-
 #: Strategies by name; a caller's own stand beside them or instead of them.
 STRATEGIES: dict[str, Chunker] = {
-    "flat": lambda spark, docs, nodes: flat(nodes),
-    "hierarchical": lambda spark, docs, nodes: hierarchical(nodes),
-    "semantic": lambda spark, docs, nodes: semantic(nodes),
-    "dimensional": _dimensional,
-    "hybrid": lambda spark, docs, nodes: hybrid(spark, nodes),
+    "flat": lambda spark, docs, nodes: flat(docs),
+    "hierarchical": lambda spark, docs, nodes: hierarchical(docs),
+    "semantic": lambda spark, docs, nodes: semantic(docs),
+    "dimensional": lambda spark, docs, nodes: dimensional(docs),
+    "hybrid": lambda spark, docs, nodes: hybrid(docs),
 }
 
 
-def ingested(spark: SparkSession, docs: DataFrame, strategies: dict[str, Chunker] | None = None, analysis: Callable[[DataFrame], DataFrame] | None = None, forced: str | None = None, mode: str = "contextual_description", shortest: int = 10, density: float = 0.1) -> DataFrame:
+def sql_chunker(function: str) -> Chunker:
+    """A chunker that calls a table function registered in SQL on the JSON text of each document.
+
+    The function gives path and content of each chunk, and whatever else of a chunk's columns it knows; others are filled in.
+    """
+    blank = {
+        "chunk_id": F.concat_ws("_", "document_id", F.lit(function), "path"), "chunk_type": F.lit(function), "level": F.lit(1), "parent_id": F.lit(None).cast("string"), "size": F.octet_length("content").cast("long"),
+        "key_count": F.lit(None).cast("long"), "contains_arrays": F.contains("content", F.lit("[")), "tags": F.array().cast("array<string>"),
+    }
+
+    def chunker(spark: SparkSession, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+        made = spark.sql(f"select d.document_id, c.* from {{docs}} d, lateral {function}(d.t) c", docs=as_text(docs))
+        return made.withColumns({n: c for n, c in blank.items() if n not in made.columns}).select(*CHUNK.split(", "))
+
+    return chunker
+
+
+def sql_analysis(function: str) -> Callable[[DataFrame], DataFrame]:
+    """An analysis by a table function registered in SQL, called with the nodes of each document as its partition.
+
+    The function gives document_id, strategy and confidence.
+    """
+
+    def analysis(nodes: DataFrame) -> DataFrame:
+        return nodes.sparkSession.sql(f"select document_id, strategy, confidence from {function}(table({{nodes}}) partition by document_id)", nodes=nodes)
+
+    return analysis
+
+
+def ingested(spark: SparkSession, docs: DataFrame, strategies: dict[str, Chunker | str] | None = None, analysis: Callable[[DataFrame], DataFrame] | str | None = None, forced: str | None = None, mode: str = "contextual_description", shortest: int = 10, density: float = 0.1) -> DataFrame:
     """Chunks of document_id and doc (VARIANT) with strategy, confidence, text, text_hash, semantic_density and types.
 
     Each document is chunked by the strategy that decided() names, or all by `forced`.  strategies: chunkers of one's own by
-    name; analysis: nodes to document_id, strategy and confidence instead of decided().  Chunks whose text is shorter than
+    name, or names of table functions (sql_chunker); analysis: nodes to document_id, strategy and confidence instead of
+    decided(), or the name of a table function (sql_analysis).  Documents are walked within their rows, once for the analysis
+    and once for the chunks; only the documents with their strategies are written in between, by strategy.  Chunks whose text is shorter than
     `shortest` or says less than `density` are left out.  Documents that are null have no chunks; ids are read as text.
     """
     docs = docs.select(F.col("document_id").cast("string").alias("document_id"), "doc")
-    nodes = leaves(spark, docs)
     if forced:
-        fits = docs.where("doc is not null").select("document_id", F.lit(forced).alias("strategy"), F.lit(1.0).alias("confidence"))
+        chosen = docs.where("doc is not null").withColumns({"strategy": F.lit(forced), "confidence": F.lit(1.0)})
     else:
-        fits = analysis(nodes) if analysis else decided(structure(nodes).join(content(nodes), "document_id"))
-    fits = written(fits.select("document_id", "strategy", "confidence"), "strategies")
-    known, made = STRATEGIES | (strategies or {}), []
-    for (name,) in fits.select("strategy").distinct().collect():  # a row for each strategy
-        mine = fits.where(F.col("strategy") == name)
-        made.append(known[name](spark, docs.join(mine.select("document_id"), "document_id"), nodes.join(mine.select("document_id"), "document_id")).drop("section"))
+        nodes, own = leaves(spark, docs), sql_analysis(analysis) if isinstance(analysis, str) else analysis
+        fits = written((own(nodes) if own else decided(analysed(nodes))).select("document_id", "strategy", "confidence"), "strategies")
+        chosen = docs.where("doc is not null").join(small_side(fits), "document_id")
+    chosen = written(chosen.select("document_id", "doc", "confidence", "strategy"), "chosen", "strategy")
+    known, made = STRATEGIES | {n: sql_chunker(c) if isinstance(c, str) else c for n, c in (strategies or {}).items()}, []
+    for (name,) in chosen.select("strategy").distinct().collect():  # a row for each strategy
+        mine = chosen.where(F.col("strategy") == name).select("document_id", "doc")
+        made.append(known[name](spark, mine, leaves(spark, mine)).drop("section").withColumn("strategy", F.lit(name)))
     if not made:
         return spark.createDataFrame([], "document_id string, chunk_id string, strategy string, confidence double, chunk_type string, path string, level int, parent_id string, size long, key_count long, contains_arrays boolean, tags array<string>, content string, text string, text_hash string, text_length int, semantic_density double, content_type string, value_types array<string>, dimension_value string")
-    chunks = reduce(DataFrame.unionByName, made).join(fits, "document_id")
+    sure = chosen.groupBy("document_id").agg(F.max("confidence").alias("confidence"))
+    chunks = reduce(DataFrame.unionByName, made)
+    chunks = chunks.withColumn("confidence", F.lit(1.0)) if forced else chunks.join(small_side(written(sure, "confidence")), "document_id")
     place = F.nullif(F.regexp_replace("path", r"^\$\.?", ""), F.lit(""))
     body = F.col("content")
     out = chunks.select("document_id", "chunk_id", "strategy", "confidence", "chunk_type", "path", "level", "parent_id", "size", "key_count", "contains_arrays", "tags", "content", chunk_text(body, place, mode).alias("text"), semantic_density(body).alias("semantic_density"), content_type(body).alias("content_type"), value_types(body).alias("value_types"), dimension_value(F.col("path")).alias("dimension_value"))

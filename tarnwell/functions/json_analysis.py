@@ -8,8 +8,6 @@ from operator import add, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.functions.json_chunks import array_size, kind_of
-
 # Words and patterns by which documents are told apart, and the weights and thresholds of the decision.
 DRILL_DOWN = ("drill_down", "breakdown", "hierarchical_analysis", "detailed_view", "sub_analysis", "nested_data")
 KEY_TYPES = {"identifiers": ("id", "key", "uuid", "guid"), "names": ("name", "title", "label"), "values": ("value", "amount", "price", "cost"), "descriptions": ("description", "summary", "detail"), "categories": ("type", "category", "class", "group")}
@@ -74,28 +72,28 @@ def _counts(name: str, of: Column, kinds: tuple[str, ...]) -> Column:
     return F.map_filter(each, lambda _, v: v > 0).alias(name)
 
 
-def _uniform(value: Column) -> Column:
-    """Whether an array has several items of one type, and objects the same keys."""
-    shape = lambda x: F.when(F.schema_of_variant(x).startswith("OBJECT"), F.array_join(F.map_keys(F.try_variant_get(x, "$", "map<string,variant>")), "\x01")).otherwise(F.regexp_extract(F.schema_of_variant(x), "^[A-Z]+", 0))
-    kinds = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.concat(kind_of(x), F.lit("\x02"), shape(x)))
-    return (F.size(kinds) > 1) & (F.size(F.array_distinct(kinds)) == 1)
-
-
 def structure(nodes: DataFrame) -> DataFrame:
     """Size, depth, counts, flags, repeating patterns and complexity of each document.
 
     max_depth: 0 where the root holds plain values only.  size: bytes of the compact JSON text, chars its characters.
     """
-    kind, value = kind_of(F.col("value")), F.col("value")
-    rows = nodes.withColumns({"kind": kind, "n": array_size(value), "text": F.when(kind == "text", F.try_variant_get(value, "$", "string")), "json": F.when(F.col("level") == 0, F.to_json(value))})
+    out = nodes.groupBy("document_id").agg(*_structural())
+    return _shaped(out)
+
+
+def _structural() -> list[Column]:
     count = lambda c: F.count(F.when(c, 1))
-    array = F.col("kind") == "array"
-    out = rows.groupBy("document_id").agg(
-        F.max(F.octet_length("json")).cast("long").alias("size"), F.max(F.length("json")).cast("long").alias("chars"), F.greatest(F.max("level") - 1, F.lit(0)).alias("max_depth"), F.count("key").alias("keys"), count(array).alias("arrays"),
-        count(F.col("kind") == "object").alias("objects"), count(~F.col("kind").isin("object", "array")).alias("leaves"), F.coalesce(F.max(_any(DRILL_DOWN, F.lower("text"))), F.lit(False)).alias("drill_down"),
-        F.coalesce(F.max(array & ~F.col("listed") & (F.col("n") > 10)), F.lit(False)).alias("large_array"), F.coalesce(F.max(F.when(array & ~F.col("listed"), _uniform(value))), F.lit(False)).alias("uniform_array"),
-        F.coalesce(F.max(F.when(F.col("level") == 0, F.col("kind") == "object")), F.lit(False)).alias("root_is_object"),
-    )
+    kind, root = F.col("kind"), F.col("level") == 0
+    array = kind == "array"
+    return [
+        F.max(F.when(root, F.col("bytes"))).alias("size"), F.max(F.when(root, F.col("chars"))).cast("long").alias("chars"), F.greatest(F.max("level") - 1, F.lit(0)).alias("max_depth"), F.count("key").alias("keys"), count(array).alias("arrays"),
+        count(kind == "object").alias("objects"), count(~kind.isin("object", "array")).alias("leaves"), F.coalesce(F.max(_any(DRILL_DOWN, F.lower("text"))), F.lit(False)).alias("drill_down"),
+        F.coalesce(F.max(array & ~F.col("listed") & (F.col("n") > 10)), F.lit(False)).alias("large_array"), F.coalesce(F.max(F.when(array & ~F.col("listed"), F.col("uniform"))), F.lit(False)).alias("uniform_array"),
+        F.coalesce(F.max(F.when(root, kind == "object")), F.lit(False)).alias("root_is_object"),
+    ]
+
+
+def _shaped(out: DataFrame) -> DataFrame:
     ratio = F.when(F.col("objects") > 0, F.col("keys") / F.col("objects")).otherwise(0.0)
     out = out.withColumns({"branching": ratio, "array_dominance": F.coalesce(F.col("arrays") / F.nullif(F.col("arrays") + F.col("objects"), F.lit(0)) > 0.6, F.lit(False))})
     patterns = F.array_compact(F.array(F.when(F.col("large_array"), F.lit("large_array")), F.when(F.col("uniform_array"), F.lit("uniform_array"))))
@@ -107,10 +105,22 @@ def structure(nodes: DataFrame) -> DataFrame:
 
 def content(nodes: DataFrame) -> DataFrame:
     """Types of keys and texts, domain, metrics, sections, entities and flags of each document."""
-    kind, value, key = kind_of(F.col("value")), F.col("value"), F.col("key")
-    shape = F.schema_of_variant(value)
-    rows = nodes.select("document_id", "level", "key", "parent", kind.alias("kind"), F.when(kind == "text", F.try_variant_get(value, "$", "string")).alias("text"), F.lower("key").alias("low"), shape.alias("shape"))
-    rows = rows.withColumns({"key_type": key_type(key), "key_pattern": key_pattern(key), "text_pattern": text_pattern(F.col("text")), "low_text": F.lower("text"), "long": F.when(_words(F.col("text")) > 5, F.lower("text"))})
+    return _told(_worded(nodes).groupBy("document_id").agg(*_contentual()))
+
+
+def analysed(nodes: DataFrame) -> DataFrame:
+    """structure() and content() of each document, by one aggregate over its nodes."""
+    return _told(_shaped(_worded(nodes).groupBy("document_id").agg(*_structural(), *_contentual())))
+
+
+def _worded(nodes: DataFrame) -> DataFrame:
+    key = F.col("key")
+    rows = nodes.withColumn("low", F.lower("key"))
+    return rows.withColumns({"key_type": key_type(key), "key_pattern": key_pattern(key), "text_pattern": text_pattern(F.col("text")), "low_text": F.lower("text"), "long": F.when(_words(F.col("text")) > 5, F.lower("text"))})
+
+
+def _contentual() -> list[Column]:
+    key = F.col("key")
     count = lambda c: F.count(F.when(c, 1))
     holds = lambda words, *texts: F.coalesce(F.max(F.coalesce(_any(words, *[F.coalesce(t, F.lit("")) for t in texts]), F.lit(False))), F.lit(False))
     low, texts = F.col("low"), F.col("low_text")
@@ -118,7 +128,7 @@ def content(nodes: DataFrame) -> DataFrame:
     inner = F.col("parent").isin(*[f"$.{c}" for c in COLLECTIONS])
     found = lambda words, of: F.array_compact(F.array(*[F.when(holds((w,), of), F.lit(w)) for w in words]))
     types, written = (*KEY_TYPES, "numeric_key", "constant", "snake_case", "camelCase", "other"), ("snake_case", "camelCase", "UPPER_CASE", "lowercase", "kebab-case", "mixed")
-    out = rows.groupBy("document_id").agg(
+    return [
         _counts("entity_types", F.col("key_type"), types), _counts("key_patterns", F.col("key_pattern"), written),
         _counts("text_patterns", F.col("text_pattern"), ("date_iso", "numeric_string", "long_text", "sentence", "uppercase_text", "short_text")),
         F.array_compact(F.array(*[F.when(F.max(F.coalesce(low.rlike(p), F.lit(False))), F.lit(n)) for n, p in METRIC_PATTERNS.items()])).alias("named_metrics"),
@@ -127,8 +137,11 @@ def content(nodes: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when((F.col("level") == 1) & _any(METADATA, low), key))).alias("metadata_sections"),
         F.array_sort(F.collect_set(F.when(((F.col("level") == 1) | inner) & entity, key))).alias("business_entities"),
         count(F.col("shape") == "BOOLEAN").alias("booleans"), count(F.col("kind") == "text").alias("texts"), count(F.col("kind").isin("numeric", "boolean")).alias("numbers"),
-        count(F.col("shape").rlike("^(DECIMAL|DOUBLE|FLOAT)")).alias("floats"), holds(("metric",), low).alias("has_metric"), *[reduce(add, [holds((w,), low, texts).cast("int") for w in words]).alias(f"_{d}") for d, words in DOMAINS.items()],
-    )
+        count(F.col("shape").isin("DECIMAL", "DOUBLE")).alias("floats"), holds(("metric",), low).alias("has_metric"), *[reduce(add, [holds((w,), low, texts).cast("int") for w in words]).alias(f"_{d}") for d, words in DOMAINS.items()],
+    ]
+
+
+def _told(out: DataFrame) -> DataFrame:
     has = lambda c, k: F.coalesce(F.try_element_at(c, F.lit(k)), F.lit(0)) > 0
     numeric = has("text_patterns", "numeric_string")
     bonus = {
@@ -149,7 +162,7 @@ def content(nodes: DataFrame) -> DataFrame:
 def decided(analysed: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
     """The chunking strategy of each document with its confidence, all scores, two alternatives and warnings.
 
-    analysed: structure() joined with content().  Ties go to the strategy named first; below the least confidence it is hybrid.
+    analysed: structure() and content() of each document.  Ties go to the strategy named first; below the least confidence it is hybrid.
     """
     t = THRESHOLDS | (thresholds or {})
     c, one = F.col, F.lit(1.0)

@@ -1,91 +1,83 @@
-"""JSON documents as rows: traversal, profile, chunking and text, on VARIANT columns."""
+"""JSON documents as rows: the nodes of each, its profile, and the places of rows in large groups."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnwell.sources.interim import shared_dir, written
+from tarnwell.functions.json_walk import Walk, dimensional_chunks
+from tarnwell.sources.interim import written
 
+#: What leaves() tells of a node, beside document_id.
+NODE = "path string, level int, parent string, key string, pos int, kind string, shape string, n int, text string, chars int, bytes long, listed boolean, open boolean, rich boolean, uniform boolean, deepest int, keys long, arrays boolean, own array<string>, json string"
+#: Nodes of a batch that a task passes on.
+BATCH_NODES = 50_000
 
-def leaves(spark: SparkSession, docs: DataFrame, stop: int | None = None) -> DataFrame:
-    """document_id, path, level, value (VARIANT), parent, key, pos, listed and open of every node below each root.
 
-    Paths are $.a.b[0]; a key that holds a dot, a bracket or a quote stands in brackets as a JSON string.  parent is the path
-    above, key is null for an item of an array, pos the place among the siblings.  listed: an array lies above.  open: no
-    array above holds plain values only or other arrays.  Each level is one explode of the level above, as a written table;
-    the loop ends with the deepest document, so that neither the number of nodes nor their depth is bounded.  Arrays of
-    `stop` or more items are nodes, but not entered.
+def as_text(docs: DataFrame) -> DataFrame:
+    """document_id and t, the compact JSON of the documents (VARIANT) that are not null."""
+    return docs.where("doc is not null").select("document_id", F.to_json("doc").alias("t"))
+
+
+def leaves(spark: SparkSession, docs: DataFrame, top: int = -1) -> DataFrame:
+    """Every node of each document, the root included: one row each, made in one pass over the document within its row.
+
+    path is $.a.b[0]; a key that holds a dot, a bracket or a quote stands in brackets as a JSON string.  parent is the path
+    above, key is null for an item of an array, pos the place among the siblings.  kind is object, array, text, numeric,
+    boolean or null, shape the type that a number has (a decimal without fraction counts as a whole number), n the number of
+    keys or items, own the keys.  text is the value of a text, chars and bytes (the root's) the length of the compact JSON,
+    json that JSON itself for levels up to `top`.  listed: an array lies above.  rich: one of the first five items is an
+    object or an array.  open: no array above holds plain values only or other arrays.  uniform: an array of several items
+    of one type, objects with the same keys.  deepest, keys and arrays tell of the nodes below: the deepest level, how many
+    have a key, and whether there is an array.
     """
-    path = f"{shared_dir(spark)}/nodes-{uuid.uuid4().hex}"
-    root = {"path": F.lit("$"), "level": F.lit(0), "value": F.col("doc"), "parent": F.lit(None).cast("string"), "key": F.lit(None).cast("string"), "pos": F.lit(0), "listed": F.lit(False), "open": F.lit(True)}
-    nodes = docs.where("doc is not null").select("document_id", *[c.alias(n) for n, c in root.items()])
-    schema, level = nodes.schema, 0
-    nodes.write.parquet(f"{path}/level={level}")
-    while True:
-        above = spark.read.schema(schema).parquet(f"{path}/level={level}")
-        if above.isEmpty():
-            break
-        if stop:
-            above = above.where(F.coalesce(array_size(F.col("value")) < stop, F.lit(True)))
-        above = above.withColumn("rich", complex_array(F.col("value")))
-        each = above.alias("n").lateralJoin(spark.tvf.variant_explode(F.col("n.value").outer()).alias("e"))
-        key = F.col("e.key")
-        quoted = F.to_json(F.array(key))  # ["key"]
-        step = F.when(key.isNull(), F.concat(F.lit("["), F.col("e.pos").cast("string"), F.lit("]"))).when(key.rlike(r'[.\[\]"]'), quoted).otherwise(F.concat(F.lit("."), key))
-        level += 1
-        below = each.where("e.value is not null").select(
-            "n.document_id", F.concat("n.path", step).alias("path"), F.lit(level).alias("level"), F.col("e.value").alias("value"), F.col("n.path").alias("parent"), key.alias("key"), F.col("e.pos").cast("int").alias("pos"),
-            (F.col("n.listed") | key.isNull()).alias("listed"), (F.col("n.open") & (key.isNotNull() | (F.col("n.rich") & F.schema_of_variant("e.value").startswith("OBJECT")))).alias("open"),
-        )
-        below.write.parquet(f"{path}/level={level}")
-    return spark.read.schema(schema).parquet(f"{path}/*")
-
-
-def complex_array(value: Column) -> Column:
-    """Whether one of the first five items of an array is an object or an array; false for any other value."""
-    items = F.slice(F.try_variant_get(value, "$", "array<variant>"), 1, 5)
-    return F.coalesce(F.exists(items, lambda x: F.schema_of_variant(x).startswith("OBJECT") | F.schema_of_variant(x).startswith("ARRAY")), F.lit(False))
-
-
-def array_size(value: Column) -> Column:
-    """Items of a variant that is an array; null for any other."""
-    return F.when(F.schema_of_variant(value).startswith("ARRAY"), F.size(F.try_variant_get(value, "$", "array<variant>")))
-
-
-def kind_of(value: Column) -> Column:
-    s = F.schema_of_variant(value)
-    return F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "VOID", "null").when(s == "STRING", "text").when(s == "BOOLEAN", "boolean").otherwise("numeric")
+    given = as_text(docs)
+    kind = given.schema["document_id"].dataType.simpleString()
+    names = ["document_id", *[c.split()[0] for c in NODE.split(", ")]]
+    of_arrow = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    kinds = [of_arrow[c.split()[1]] for c in NODE.split(", ")]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, documents = [[] for _ in kinds], []
+
+            def flush(columns: list[list], documents: list[int], ids: pa.Array = batch.column(0)) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(documents, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
+
+            for row, text in enumerate(batch.column(1)):
+                w = Walk(text.as_py())
+                size = len(w)
+                parents = [None, *[w.path[p] for p in w.parent[1:]]]
+                chars = [e - s for s, e in zip(w.start, w.end, strict=True)]
+                own = [w.own.get(i, []) if w.kind[i] == "object" else None for i in range(size)]
+                shown = [w.part(i) if w.level[i] <= top else None for i in range(size)] if top >= 0 else [None] * size
+                made = (w.path, w.level, parents, w.key, w.pos, w.kind, w.shape, w.n, w.text, chars, [w.bytes(0)] + [None] * (size - 1), w.listed, w.open, w.rich, w.uniform, w.deepest, w.keys, w.arrays, own, shown)
+                for c, x in zip(columns, made, strict=True):
+                    c += x
+                documents += [row] * size
+                if len(documents) >= BATCH_NODES:
+                    yield flush(columns, documents)
+                    columns, documents = [[] for _ in kinds], []
+            if documents:
+                yield flush(columns, documents)
+
+    return given.mapInArrow(rows, f"document_id {kind}, {NODE}")
 
 
 def profile(nodes: DataFrame) -> DataFrame:
     """Structure of each document: depth, objects, arrays and leaves."""
-    kind = kind_of(F.col("value"))  # of the whole document, the root included
+    kind = F.col("kind")  # of the whole document, the root included
     count = lambda c: F.count(F.when(c, 1))
     return nodes.groupBy("document_id").agg(F.max("level").alias("max_depth"), count(kind == "object").alias("objects"), count(kind == "array").alias("arrays"), count(~kind.isin("object", "array")).alias("leaves"))
 
 
-def flat_chunks(nodes: DataFrame, size: int = 10) -> DataFrame:
-    """Leaves in path order, so many to a chunk; a chunk is the JSON object of its paths and values."""
-    leaf = nodes.where(~kind_of(F.col("value")).isin("object", "array")).withColumn("text", F.to_json("value"))
-    at = F.row_number().over(Window.partitionBy("document_id").orderBy("path")) - 1
-    cells = leaf.withColumn("chunk", F.floor(at / size))
-    pairs = F.sort_array(F.collect_list(F.struct("path", "text")))
-    made = cells.groupBy("document_id", "chunk").agg(F.transform(pairs, lambda x: F.concat(F.to_json(F.array(x["path"])).substr(F.lit(2), F.length(F.to_json(F.array(x["path"]))) - 2), F.lit(": "), x["text"])).alias("p"), F.count("*").alias("key_count"))
-    content = F.concat(F.lit("{"), F.array_join("p", ", "), F.lit("}"))
-    return made.select("document_id", F.concat_ws("_", "document_id", F.lit("flat"), "chunk").alias("chunk_id"), "key_count", content.alias("content"))
-
-
-def dimensional_chunks(docs: DataFrame, path: str, least: int = 50) -> DataFrame:
-    """Slices of a document's large array: a tenth of it, but 10 to 100 items; smaller arrays give no slice."""
-    items = F.try_variant_get("doc", path, "array<variant>")
-    large = docs.select("document_id", items.alias("items")).where(F.size("items") >= least)
-    size = F.least(F.lit(100), F.greatest(F.lit(10), F.floor(F.size("items") / 10)))
-    each = large.select("document_id", size.alias("size"), F.posexplode("items").alias("pos", "item")).withColumn("slice", F.floor(F.col("pos") / F.col("size")))
-    rows = F.transform(F.sort_array(F.collect_list(F.struct("pos", F.to_json("item").alias("item")))), lambda x: x["item"])
-    return each.groupBy("document_id", "slice").agg(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")).alias("content"), F.count("*").alias("items"))
+def called(docs: DataFrame, function, **options: object) -> DataFrame:
+    """document_id and what a table function gives of each document's JSON text, as a lateral join."""
+    given = as_text(docs).alias("d")
+    return given.lateralJoin(function(F.col("d.t").outer(), **{n: F.lit(v) for n, v in options.items()}).alias("c")).select("d.document_id", "c.*")
 
 
 def whole_dimensional_chunks(spark: SparkSession, docs: DataFrame, least: int = 50, size: int = 10) -> DataFrame:
@@ -95,23 +87,7 @@ def whole_dimensional_chunks(spark: SparkSession, docs: DataFrame, least: int =
     `remaining`: what is in no large array, `size` leaves to a chunk in path order, as the JSON object of their paths and
     values; empty objects and arrays are leaves, and a large array leaves a reference.
     """
-    nodes = leaves(spark, docs, least).withColumn("n", array_size(F.col("value")))
-    large = F.coalesce(F.col("n") >= least, F.lit(False))
-    step = F.least(F.lit(100), F.greatest(F.lit(10), F.floor(F.col("n") / 10)))
-    each = nodes.where(large).withColumn("size", step).alias("n").lateralJoin(spark.tvf.variant_explode(F.col("n.value").outer()).alias("e"))
-    items = each.select("n.document_id", "n.path", F.floor(F.col("e.pos") / F.col("n.size")).alias("slice"), "e.pos", F.to_json("e.value").alias("text"))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
-    arrays = items.groupBy("document_id", "path", "slice").agg(F.count("*").alias("items"), F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("content"))
-    text = F.to_json("value")
-    reference = F.to_json(F.struct(F.struct(F.col("path").alias("original_path"), F.col("n").alias("size")).alias("_large_array_reference")))
-    rest = nodes.where(large | ~kind_of(F.col("value")).isin("object", "array") | text.isin("{}", "[]")).select("document_id", "path", F.when(large, reference).otherwise(text).alias("text"))
-    placed = positions(rest, ["document_id"], "path").withColumn("slice", F.floor(F.col("pos") / size))
-    quoted = F.to_json(F.array("path"))
-    pair = F.concat(quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(": "), F.col("text"))
-    pairs = F.transform(F.sort_array(F.collect_list(F.struct("pos", pair.alias("pair")))), lambda x: x["pair"])
-    remaining = placed.groupBy("document_id", "slice").agg(F.count("*").alias("items"), F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")).alias("content"))
-    shape = ["document_id", "kind", "path", "slice", "items", "content"]
-    return arrays.withColumn("kind", F.lit("array")).select(*shape).union(remaining.withColumns({"kind": F.lit("remaining"), "path": F.lit(None).cast("string")}).select(*shape))
+    return called(docs, dimensional_chunks, least=least, size=size)
 
 
 #: Rows of a range, on average, when positions in large groups are found.
@@ -121,24 +97,19 @@ RANGE_ROWS = 50_000
 def positions(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     """rows with pos, the place in its group by `order` (nulls last), and total, the group's rows.
 
-    No group is gathered: rows are counted by group and range of `order`, the counts are summed up, and only the rows of
-    one range of one group are put in order together.
+    No group is gathered: rows are dealt out by ranges of group and order, so that a large group lies in many ranges; rows
+    are counted by group and range, the counts are summed up, and only a range's rows of a group are put in order together.
     """
-    rows = written(rows, "placed")
-    whole, ranges = Window.partitionBy(*by), max(1, -(-rows.count() // RANGE_ROWS))
-    bounds = rows.where(F.col(order).isNotNull()).select(order).repartitionByRange(ranges, order).groupBy(F.spark_partition_id().alias("p")).agg(F.max(order).alias("m")) if ranges > 1 else None
-    tops = sorted({r["m"] for r in bounds.collect()})[:-1] if bounds else []  # one value of each range
-    place = F.when(F.col(order).isNull(), F.lit(len(tops) + 1))
-    kind = rows.schema[order].dataType
-    if tops:
-        place = place.otherwise(F.size(F.filter(F.array(*[F.lit(t).cast(kind) for t in tops]), lambda t: t < F.col(order))))
-    rows = rows.withColumn("__range", F.coalesce(place, F.lit(0)))
-    counts = rows.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    ranges = max(1, -(-rows.count() // RANGE_ROWS))
+    dealt = rows.repartitionByRange(ranges, *[F.asc_nulls_last(c) for c in (*by, order)]) if ranges > 1 else rows.coalesce(1)
+    placed = written(dealt.withColumn("__range", F.spark_partition_id()), "placed")
+    whole = Window.partitionBy(*by)
+    counts = placed.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
     counts = counts.withColumns({"__before": F.coalesce(F.sum("__n").over(whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("__n").over(whole)})
     keys = [*by, "__range"]
     at = counts.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(keys)], "__before", "total")
     same = [F.col(c).eqNullSafe(F.col(f"__c{i}")) for i, c in enumerate(keys)]
-    found = rows.join(at, same).withColumn("pos", F.col("__before") + F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last(order))) - 1)
+    found = placed.join(at, same).withColumn("pos", F.col("__before") + F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last(order))) - 1)
     return found.drop("__range", "__before", *[f"__c{i}" for i in range(len(keys))])
 
 

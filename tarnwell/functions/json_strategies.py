@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import json
-import re
 from functools import reduce
 from operator import add, or_
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from tarnwell.functions.json_analysis import DOMAINS, PERFORMANCE, REASONING
-from tarnwell.functions.json_chunks import array_size, complex_array, kind_of, leaves, positions, whole_dimensional_chunks
+from tarnwell.functions.json_chunks import called, leaves, whole_dimensional_chunks
+from tarnwell.functions.json_walk import STEP, flat_chunks, hierarchical_chunks, object_rows, semantic_regions
 
 # Words by which chunks are tagged and scored.
 PLACE_TAGS = {"domain:user_management": ("user", "customer", "client"), "domain:product_catalog": ("product", "catalog", "inventory"), "domain:transaction": ("order", "transaction", "payment"), "domain:configuration": ("config", "setting", "preference")}
@@ -30,28 +27,12 @@ SECTION_WORDS = ("description", "reasoning", "analysis", "explanation", "insight
 CONFIG_WORDS = ("config", "setting", "option", "preference", "parameter")
 # End of the fixed values.
 CHUNK = "document_id, chunk_id, chunk_type, path, level, parent_id, size, key_count, contains_arrays, tags, content"
-_STEP = r'(\.[^.\[\]"]+|\["(?:[^"\\]|\\.)*"\]|\[\d+\])'
-
-
-def prefixes(path: Column) -> Column:
-    """The paths of all nodes above a node, the root first."""
-    steps = F.regexp_extract_all(path, F.lit(_STEP), F.lit(1))
-    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.concat(F.lit("$"), F.array_join(F.slice(steps, F.lit(1), k - 1), "")))
-    return F.when(F.size(steps) > 0, above).otherwise(F.array().cast("array<string>"))
 
 
 def _has(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
 
 
-def _own_keys(value: Column) -> Column:
-    return F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
-
-
-def _own_values(value: Column) -> Column:
-    return F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
-
-
 def tags(path: Column, keys: Column) -> Column:
     """What a chunk is about, by the words of its place (the first that fits) and of its keys."""
     place, names = F.lower(path), F.lower(F.array_join(keys, " "))
@@ -59,198 +40,118 @@ def tags(path: Column, keys: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(first, *[F.when(_has(names, words), F.lit(tag)) for tag, words in KEY_TAGS.items()])))
 
 
-@F.pandas_udf(StringType())
-def nested(paths: pd.Series, texts: pd.Series) -> pd.Series:
-    """Paths and JSON values, rebuilt as one object."""
-
-    def build(names, values) -> str:
-        out: dict = {}
-        for name, value in zip(names, values, strict=True):
-            keys = [a or json.loads(b) for a, b in re.findall(r'\.([^.\[\]"]+)|\[("(?:[^"\\]|\\.)*")\]', name)] or ["items"]
-            at = out
-            for k in keys[:-1]:
-                at = at.setdefault(k, {})
-            at[keys[-1]] = json.loads(value)
-        return json.dumps(out, ensure_ascii=False, separators=(",", ":"))
-
-    return pd.Series([build(a, b) for a, b in zip(paths, texts, strict=True)])
-
-
-def flat(nodes: DataFrame, size: int = 10) -> DataFrame:
+def flat(docs: DataFrame, size: int = 10) -> DataFrame:
     """The values of objects at any depth, `size` to a chunk in path order and nested again; arrays stay whole.
 
     A document that is an array is one value under the key `items`.  Empty objects have no values.
     """
-    kind = kind_of(F.col("value"))
-    whole = nodes.where(~F.col("listed") & (kind != "object")).select("document_id", "path", F.to_json("value").alias("text"), (kind == "array").alias("array"))
-    placed = positions(whole, ["document_id"], "path").withColumn("chunk", F.floor(F.col("pos") / size))
-    made = placed.groupBy("document_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("pos", "path", "text"))).alias("x"), F.count("*").alias("key_count"), F.max("array").alias("contains_arrays"))  # `size` values at most
-    made = made.withColumn("content", nested(F.col("x.path"), F.col("x.text")))
-    depth = F.array_max(F.transform("x", lambda e: F.size(prefixes(e["path"]))))
+    made = called(docs, flat_chunks, size=size)
     return made.select(
-        "document_id", F.concat_ws("_", "document_id", F.lit("flat"), "chunk").alias("chunk_id"), F.lit("flat").alias("chunk_type"), F.concat(F.lit("flat_chunk_"), "chunk").alias("path"), depth.alias("level"), F.lit(None).cast("string").alias("parent_id"),
-        F.octet_length("content").cast("long").alias("size"), "key_count", "contains_arrays", tags(F.lit(""), F.transform("x", lambda e: e["path"])).alias("tags"), "content",
+        "document_id", F.concat_ws("_", "document_id", F.lit("flat"), "chunk").alias("chunk_id"), F.lit("flat").alias("chunk_type"), F.concat(F.lit("flat_chunk_"), "chunk").alias("path"), "level", F.lit(None).cast("string").alias("parent_id"),
+        F.octet_length("content").cast("long").alias("size"), "key_count", "contains_arrays", tags(F.lit(""), F.col("paths")).alias("tags"), "content",
     )
 
 
-def _subtrees(nodes: DataFrame) -> DataFrame:
-    """document_id, path, deepest, keys, arrays: of every node with nodes below, their deepest level and counts."""
-    below = nodes.select("document_id", "level", "key", kind_of(F.col("value")).alias("kind"), F.explode(prefixes(F.col("path"))).alias("path"))
-    return below.groupBy("document_id", "path").agg(F.max("level").alias("deepest"), F.count("key").alias("keys"), F.max(F.col("kind") == "array").alias("arrays"))
-
-
-def hierarchical(nodes: DataFrame, max_bytes: int = 100_000, depth: int = 3, max_tokens: int = 7600, skipped_levels: tuple[int, ...] = (0, 1)) -> DataFrame:
+def hierarchical(docs: DataFrame, max_bytes: int = 100_000, depth: int = 3, max_tokens: int = 7600, skipped_levels: tuple[int, ...] = (0, 1)) -> DataFrame:
     """Objects that are large, deep, wide or mixed are chunks, each with its nearest chunk above as its parent.
 
     Objects in arrays take part if one of the array's first five items is an object or an array; plain arrays of more than ten
     items are chunks under their key.  Chunks of the skipped levels are left out beyond max_tokens (four characters each);
     what is below them then belongs to the next chunk above.  An object is compared by its compact JSON text.
     """
-    value = F.col("value")
-    rows = nodes.join(_subtrees(nodes), ["document_id", "path"], "left").withColumns({"kind": kind_of(value), "json": F.to_json("value")})
-    types = F.array_distinct(F.transform(_own_values(value), lambda v: F.when(kind_of(v) == "boolean", "numeric").otherwise(kind_of(v))))
-    mixed = (F.size(types) > 2) & (F.array_contains(types, "object") | F.array_contains(types, "array"))
-    wide = F.size(_own_keys(value))
-    objects = rows.where(F.col("open") & (F.col("kind") == "object") & (wide > 0)).where((F.octet_length("json") > max_bytes) | (F.col("deepest") - F.col("level") >= depth) | (wide >= 10) | mixed)
-    arrays = rows.where(F.col("open") & (F.col("kind") == "array") & ~complex_array(value) & (array_size(value) > 10) & F.col("key").isNotNull())
-    as_object = F.concat(F.lit("{"), F.substring_index(F.substring(F.to_json(F.create_map("key", F.lit(0))), 2, 1 << 30), ":0}", 1), F.lit(":"), F.col("json"), F.lit("}"))
-    both = objects.select("document_id", "path", "level", F.col("json").alias("content"), "keys", F.coalesce("arrays", F.lit(False)).alias("has_arrays"), _own_keys(value).alias("own"), F.lit(True).alias("object"))
-    both = both.union(arrays.select("document_id", "path", "level", as_object, F.coalesce("keys", F.lit(0)) + 1, F.lit(True), F.array("key"), F.lit(False)))
-    both = both.where(~(F.col("level").isin(*skipped_levels) & (F.floor(F.length("content") / 4) > max_tokens)))
-    named = both.withColumn("chunk_id", F.concat_ws("_", "document_id", F.lit("hier"), "level", "path"))
-    above = named.where("object").select("document_id", F.col("path").alias("up"), F.col("level").alias("up_level"), F.col("chunk_id").alias("up_id"))
-    parents = named.select("document_id", "path", F.explode(prefixes(F.col("path"))).alias("up")).join(above, ["document_id", "up"]).groupBy("document_id", "path").agg(F.max_by("up_id", "up_level").alias("parent_id"))
-    return named.join(parents, ["document_id", "path"], "left").select(
-        "document_id", "chunk_id", F.lit("hierarchical").alias("chunk_type"), "path", "level", "parent_id", F.octet_length("content").cast("long").alias("size"), F.col("keys").alias("key_count"), F.col("has_arrays").alias("contains_arrays"), tags(F.col("path"), F.col("own")).alias("tags"), "content"
+    made = called(docs, hierarchical_chunks, max_bytes=max_bytes, depth=depth, max_tokens=max_tokens, skipped_levels=list(skipped_levels))
+    named = lambda level, path: F.concat_ws("_", "document_id", F.lit("hier"), level, path)
+    return made.select(
+        "document_id", named("level", "path").alias("chunk_id"), F.lit("hierarchical").alias("chunk_type"), "path", "level", F.when(F.col("up").isNotNull(), named("up_level", "up")).alias("parent_id"),
+        F.octet_length("content").cast("long").alias("size"), "key_count", "contains_arrays", tags(F.col("path"), F.col("own")).alias("tags"), "content",
     )
 
 
-def scored(nodes: DataFrame) -> DataFrame:
+def scored(docs: DataFrame) -> DataFrame:
     """Objects with what they tell: score, content type and keywords."""
-    value, json_text = F.col("value"), F.lower(F.to_json("value"))
-    keys, values = _own_keys(value), _own_values(value)
-    texts = F.transform(F.filter(values, lambda v: kind_of(v) == "text"), lambda v: F.try_variant_get(v, "$", "string"))
-    hits = lambda words: reduce(add, [F.contains(F.col("json"), F.lit(w)).cast("int") for w in words])
-    figures = F.exists(values, lambda v: kind_of(v).isin("numeric", "boolean")) | F.exists(F.col("texts"), lambda t: t.rlike(r"\d+%|\d+\.\d+"))
-    context = figures & F.exists(F.col("texts"), lambda t: F.length(t) > 20)
-    rows = nodes.where(kind_of(value) == "object").withColumns({"json": json_text, "own": keys, "texts": texts})
-    score = hits(PERFORMANCE) + 1.5 * hits(REASONING) + 0.5 * hits(tuple(w for words in DOMAINS.values() for w in words)) + F.when(F.arrays_overlap("own", F.array(*map(F.lit, TELLING))), 2).otherwise(0)
+    rows = called(docs, object_rows).withColumn("low", F.lower("json"))
+    hits = lambda words: reduce(add, [F.contains(F.col("low"), F.lit(w)).cast("int") for w in words])
+    figures = F.exists("kinds", lambda k: k.isin("numeric", "boolean")) | F.exists("texts", lambda t: t.rlike(r"\d+%|\d+\.\d+"))
+    context = figures & F.exists("texts", lambda t: F.length(t) > 20)
+    every = tuple(w for words in DOMAINS.values() for w in words)
+    score = hits(PERFORMANCE) + 1.5 * hits(REASONING) + 0.5 * hits(every) + F.when(F.arrays_overlap("own", F.array(*map(F.lit, TELLING))), 2).otherwise(0)
     score = score + F.size(F.filter("texts", lambda t: F.length(t) > 50)) + context.cast("int")
     of = lambda name: F.arrays_overlap("own", F.array(*map(F.lit, CONTENT_TYPES[name])))
-    rates = F.exists(values, lambda v: F.to_json(v).rlike(r"\d+%|\d+\.\d+%|ratio|rate|percentage"))
+    rates = F.exists("parts", lambda v: v.rlike(r"\d+%|\d+\.\d+%|ratio|rate|percentage"))
     kind = F.when(of("reasoning"), "reasoning").when(rates, "performance_metrics")
     for name in ("descriptive", "configuration", "entity", "temporal"):
         kind = kind.when(of(name), name)
-    named = [F.when(F.contains(F.col("json"), F.lit(w)), F.lit(w)) for w in dict.fromkeys((*PERFORMANCE, *REASONING, *[w for words in DOMAINS.values() for w in words]))]
+    named = [F.when(F.contains(F.col("low"), F.lit(w)), F.lit(w)) for w in dict.fromkeys((*PERFORMANCE, *REASONING, *every))]
     long_keys = F.transform(F.filter("own", lambda k: (F.length(k) > 3) & ~F.lower(k).isin("data", "info", "item")), F.lower)
-    return rows.select("document_id", "path", "level", F.to_json("value").alias("content"), score.cast("double").alias("score"), kind.otherwise("general").alias("content_type"), F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*named)), long_keys))).alias("keywords"))
-
-
-def _regions(limit: int):
-    """The telling objects of one document, joined where they are related and, while small, where they are similar."""
+    return rows.select("document_id", "path", "level", F.col("json").alias("content"), score.cast("double").alias("score"), kind.otherwise("general").alias("content_type"), F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*named)), long_keys))).alias("keywords"))
 
-    def alike(a: dict, b: dict) -> float:
-        words, both = a["keywords"] | b["keywords"], a["keywords"] & b["keywords"]
-        steps = [re.findall(_STEP, x["path"]) for x in (a, b)]
-        same = next((k for k, (x, y) in enumerate(zip(*steps)) if x != y), min(map(len, steps)))  # noqa: B905
-        return min(1.0, 0.3 * (a["content_type"] == b["content_type"]) + (0.5 * len(both) / len(words) if a["keywords"] and b["keywords"] else 0) + (0.2 * same / max(map(len, steps)) if all(steps) else 0))
 
-    def related(a: dict, b: dict) -> bool:
-        tops = [re.findall(_STEP, x["path"])[:1] for x in (a, b)]
-        return (a["content_type"] == b["content_type"] != "general") or len(a["keywords"] & b["keywords"]) >= 2 or (tops[0] == tops[1] != [])
-
-    def joined(a: dict, b: dict, name: str) -> dict:
-        return a | {"content": a["content"] | {name: b["content"]}, "score": a["score"] + b["score"], "keywords": a["keywords"] | b["keywords"], "parts": a["parts"] + 1}
-
-    def regions(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = [r | {"content": json.loads(r["content"]), "keywords": set(r["keywords"]), "parts": 1} for r in pdf.sort_values("path").to_dict("records")]
-        groups, left = [], nodes
-        while left:
-            first, rest, group = left[0], [], left[0]
-            for other in left[1:]:
-                if related(first, other):
-                    group = joined(group, other, f"node_{group['parts']}")
-                else:
-                    rest.append(other)
-            groups.append(group)
-            left = rest
-        size, out, used = (lambda r: len(json.dumps(r["content"]))), [], set()
-        for i, r in enumerate(groups):
-            if i in used:
-                continue
-            best, at = 0.0, None
-            if size(r) < limit // 2:
-                for j in range(i + 1, len(groups)):
-                    if j not in used and size(r) + size(groups[j]) <= limit and (s := alike(r, groups[j])) > max(0.3, best):
-                        best, at = s, j
-            if at is not None:
-                used.add(at)
-                r = joined(r, groups[at], f"merged_content_{at}")
-            out.append(r)
-        return pd.DataFrame([{k: r[k] for k in ("document_id", "path", "level", "score", "content_type")} | {"keywords": sorted(r["keywords"]), "content": json.dumps(r["content"], ensure_ascii=False, separators=(",", ":")), "number": k} for k, r in enumerate(out)])
-
-    return regions
-
-
-def semantic(nodes: DataFrame, least: float = 3.0, limit: int = 2048) -> DataFrame:
+def semantic(docs: DataFrame, least: float = 3.0, limit: int = 2048) -> DataFrame:
     """The topmost objects that tell enough, related ones together; a document without any is chunked by its top level.
 
-    What a document's telling objects are put together from is one document, which is read as a whole in one task.
+    A document's telling objects go through one table function in path order, which holds what it puts together: a document,
+    which is one row of the input anyway.
     """
-    found = scored(nodes).where(F.col("score") >= least)
-    covered = found.select("document_id", "path", F.explode(prefixes(F.col("path"))).alias("up")).join(found.select("document_id", F.col("path").alias("up")), ["document_id", "up"]).select("document_id", "path").distinct()
-    top = found.join(covered, ["document_id", "path"], "left_anti")
-    kind = dict(nodes.dtypes)["document_id"]
-    made = top.groupBy("document_id").applyInPandas(_regions(limit), f"document_id {kind}, path string, level int, score double, content_type string, keywords array<string>, content string, number int")
+    found = scored(docs).where(F.col("score") >= least)
+    made = semantic_regions(found.asTable().partitionBy("document_id").orderBy("path"), F.lit(limit))
     told = made.select(
         "document_id", F.concat_ws("_", "document_id", F.lit("semantic"), "number").alias("chunk_id"), F.lit("semantic").alias("chunk_type"), "path", "level", F.lit(None).cast("string").alias("parent_id"), F.octet_length("content").cast("long").alias("size"),
         F.regexp_count("content", F.lit('":')).cast("long").alias("key_count"), F.contains("content", F.lit("[")).alias("contains_arrays"), F.concat(F.array(F.concat(F.lit("content_type:"), "content_type")), F.transform(F.slice("keywords", 1, 5), lambda w: F.concat(F.lit("keyword:"), w))).alias("tags"), "content",
     )
-    value = F.col("value")
-    plain = nodes.where((F.col("level") == 1) & F.col("key").isNotNull() & kind_of(value).isin("object", "array") & ~F.to_json("value").isin("{}", "[]")).join(top.select("document_id").distinct(), "document_id", "left_anti")
-    content = nested(F.array("path"), F.array(F.to_json("value")))
-    rest = plain.withColumn("content", content).select(
+    without = docs.join(found.select("document_id").distinct(), "document_id", "left_anti")
+    plain = leaves(docs.sparkSession, without, 1).where((F.col("level") == 1) & F.col("key").isNotNull() & (F.col("n") > 0))
+    rest = plain.withColumn("content", keyed(F.col("key"), F.col("json"))).select(
         "document_id", F.concat_ws("_", "document_id", F.lit("fallback"), "key").alias("chunk_id"), F.lit("semantic_fallback").alias("chunk_type"), "path", "level", F.lit(None).cast("string").alias("parent_id"), F.octet_length("content").cast("long").alias("size"),
         F.regexp_count("content", F.lit('":')).cast("long").alias("key_count"), F.contains("content", F.lit("[")).alias("contains_arrays"), F.array().cast("array<string>").alias("tags"), "content",
     )
     return told.union(rest)
 
 
-def sections(nodes: DataFrame, flat_depth: int = 2, large: int = 10_000, array_ratio: float = 0.4, telling: float = 2.0) -> DataFrame:
+def keyed(key: Column, value: Column) -> Column:
+    """The JSON object of one key and a value's JSON."""
+    quoted = F.to_json(F.array(key))
+    return F.concat(F.lit("{"), quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(":"), value, F.lit("}"))
+
+
+def dimensional(docs: DataFrame, rest: str = "$") -> DataFrame:
+    """whole_dimensional_chunks() in the form of the other strategies; what is in no large array has the path `rest`."""
+    return whole_dimensional_chunks(docs.sparkSession, docs).select(
+        "document_id", F.concat_ws("_", "document_id", "kind", "path", "slice").alias("chunk_id"), F.lit("dimensional").alias("chunk_type"), F.coalesce("path", F.lit(rest)).alias("path"), F.lit(1).alias("level"), F.lit(None).cast("string").alias("parent_id"),
+        F.octet_length("content").cast("long").alias("size"), F.col("items").cast("long").alias("key_count"), (F.col("kind") == "array").alias("contains_arrays"), F.array().cast("array<string>").alias("tags"), "content",
+    )
+
+
+def sections(docs: DataFrame, flat_depth: int = 2, large: int = 10_000, array_ratio: float = 0.4, telling: float = 2.0) -> DataFrame:
     """document_id, section, strategy and JSON of every top-level key; a small plain document is one section by itself."""
-    top = F.regexp_extract_all("path", F.lit(_STEP), F.lit(1))
-    rows = nodes.withColumns({"top": F.try_element_at(top, F.lit(1)), "kind": kind_of(F.col("value")), "level0": F.when(F.col("level") <= 1, F.to_json("value"))})
-    whole = rows.groupBy("document_id").agg(F.max("level").alias("deep"), F.max(F.length("level0")).alias("chars"), F.count(F.when(F.col("kind") == "array", 1)).alias("arrays"))
-    each = rows.where("level > 0").groupBy("document_id", "top").agg(
-        F.max("level").alias("depth"), F.max(F.when(F.col("level") == 1, F.col("level0"))).alias("json"), F.max(F.when(F.col("level") == 1, F.col("key"))).alias("key"), F.count("*").alias("items"), F.count(F.when(F.col("kind") == "array", 1)).alias("arrays"),
-        F.max(F.when((F.col("level") == 1) & (F.col("kind") == "object"), F.lower(F.array_join(_own_keys(F.col("value")), " ")))).alias("inner"), F.max(F.when(F.col("level") == 1, F.col("kind"))).alias("kind"),
+    nodes = leaves(docs.sparkSession, docs, 1)
+    array = F.count(F.when(F.col("kind") == "array", 1))
+    top = F.try_element_at(F.regexp_extract_all("path", F.lit(STEP.pattern), F.lit(1)), F.lit(1))
+    each = nodes.groupBy("document_id", top.alias("top")).agg(
+        F.max("level").alias("depth"), F.max(F.when(F.col("level") <= 1, F.col("json"))).alias("json"), F.max(F.when(F.col("level") == 1, F.col("key"))).alias("key"), F.count("*").alias("items"), array.alias("arrays"),
+        F.max(F.when((F.col("level") == 1) & (F.col("kind") == "object"), F.lower(F.array_join("own", " ")))).alias("inner"), F.max(F.when(F.col("level") <= 1, F.col("kind"))).alias("kind"), F.max(F.when(F.col("level") <= 1, F.col("chars"))).alias("longest"),
     )
+    of = Window.partitionBy("document_id")  # the sections of a document, with its root
+    each = each.withColumns({"deep": F.max("depth").over(of), "chars": F.max("longest").over(of), "all_arrays": F.sum("arrays").over(of)})
     text = F.lower("json")
     score = F.when(F.col("kind").isin("object", "array"), reduce(add, [F.contains(text, F.lit(w)).cast("int") for w in SECTION_WORDS]) + (F.length("json") > 1000).cast("int")).otherwise(0)
     config = F.coalesce((F.col("kind") == "object") & (_has(F.lower("key"), CONFIG_WORDS) | _has(F.col("inner"), CONFIG_WORDS)), F.lit(False))
     chosen = (
         F.when((F.col("arrays") > 0) & (F.col("arrays") / F.col("items") >= array_ratio), "dimensional").when(score >= telling, "semantic").when(F.col("depth") > flat_depth, "hierarchical").when(config & (F.col("depth") <= 3), "flat").when(F.col("depth") > 2, "hierarchical").otherwise("flat")
     )
-    small = (F.col("deep") + 1 <= flat_depth) & (F.col("chars") < large) & (F.col("arrays") == 0)
-    plain = whole.where(small).join(nodes.where("level = 0"), "document_id").select("document_id", F.lit("entire_document").alias("section"), F.lit("flat").alias("strategy"), F.to_json("value").alias("json"))
-    parts = each.where("key is not null").join(whole.where(~small).select("document_id"), "document_id").select("document_id", F.col("key").alias("section"), chosen.alias("strategy"), nested(F.array(F.concat(F.lit("$"), "top")), F.array("json")).alias("json"))
-    return plain.union(parts)
+    small = (F.col("deep") + 1 <= flat_depth) & (F.col("chars") < large) & (F.col("all_arrays") == 0)
+    root = F.col("top").isNull()
+    shown = F.when(root, F.col("json")).otherwise(keyed(F.col("key"), F.col("json")))
+    wanted = (small & root) | (~small & ~root & F.col("key").isNotNull())
+    return each.where(wanted).select("document_id", F.coalesce("key", F.lit("entire_document")).alias("section"), F.when(root, "flat").otherwise(chosen).alias("strategy"), shown.alias("json"))
 
 
-def hybrid(spark: SparkSession, nodes: DataFrame, small: int = 500, few_keys: int = 5, large: int = 100_000) -> DataFrame:
+def hybrid(docs: DataFrame, small: int = 500, few_keys: int = 5, large: int = 100_000) -> DataFrame:
     """Each section's chunks by the strategy that fits it; neighbouring small chunks are joined and very large ones cut flat."""
-    parts = sections(nodes).withColumn("part", F.concat_ws("_", "document_id", "section"))
-    as_docs = parts.select(F.struct("document_id", "section", "strategy").alias("document_id"), F.try_parse_json("json").alias("doc"))
-    inner = leaves(spark, as_docs)
-    of = lambda s: inner.where(F.col("document_id.strategy") == s).withColumn("document_id", F.struct(F.concat_ws("_", "document_id.document_id", "document_id.section").alias("name"), "document_id.document_id", "document_id.section"))
-    made = [_unpacked(f(_renamed(of(s))), s) for s, f in (("flat", flat), ("hierarchical", hierarchical), ("semantic", semantic))]
-    docs = as_docs.where(F.col("document_id.strategy") == "dimensional").withColumn("document_id", F.to_json(F.struct("document_id.document_id", "document_id.section")))
-    sliced = whole_dimensional_chunks(spark, docs)
-    dims = sliced.select(
-        "document_id", F.concat_ws("_", "document_id", "kind", "path", "slice").alias("chunk_id"), F.lit("dimensional").alias("chunk_type"), F.coalesce("path", F.lit("remaining")).alias("path"), F.lit(1).alias("level"), F.lit(None).cast("string").alias("parent_id"),
-        F.octet_length("content").cast("long").alias("size"), F.col("items").cast("long").alias("key_count"), (F.col("kind") == "array").alias("contains_arrays"), F.array().cast("array<string>").alias("tags"), "content",
-    )
-    chunks = reduce(DataFrame.unionByName, [*made, _unpacked(dims, "dimensional")])
+    named = F.to_json(F.struct("document_id", "section"))
+    parts = sections(docs).select(named.alias("document_id"), "strategy", F.try_parse_json("json").alias("doc"))
+    of = lambda s: parts.where(F.col("strategy") == s).select("document_id", "doc")
+    made = [_unpacked(f(of(s)), s) for s, f in (("flat", flat), ("hierarchical", hierarchical), ("semantic", semantic), ("dimensional", lambda d: dimensional(d, "remaining")))]
+    chunks = reduce(DataFrame.unionByName, made)
     w = Window.partitionBy("document_id").orderBy("section", "path", "chunk_id")
     tiny = (F.col("size") < small) & (F.col("key_count") < few_keys)
     runs = chunks.withColumn("tiny", tiny).withColumn("run", F.sum(F.when(F.col("tiny") & F.lag("tiny", 1, False).over(w), 0).otherwise(1)).over(w))
@@ -265,19 +166,12 @@ def hybrid(spark: SparkSession, nodes: DataFrame, small: int = 500, few_keys: in
         "level", F.when(~several, F.col("x.parent_id")).alias("parent_id"), "size", "key_count", "contains_arrays", "tags", F.when(several, joined).otherwise(F.col("x.content")).alias("content"),
     )
     big = one.where(F.col("size") > large)
-    if big.isEmpty():
-        return one
-    cut = flat(leaves(spark, big.select(F.to_json(F.struct("document_id", "chunk_id", "chunk_type")).alias("document_id"), F.try_parse_json("content").alias("doc"))))
+    cut = flat(big.select(F.to_json(F.struct("document_id", "chunk_id", "chunk_type")).alias("document_id"), F.try_parse_json("content").alias("doc")))
     back = F.from_json("document_id", f"document_id {dict(one.dtypes)['document_id']}, chunk_id string, chunk_type string")
     cut = cut.withColumn("b", back).withColumns({"chunk_id": F.concat_ws("_", "b.chunk_id", F.substring_index("chunk_id", "_", -1)), "chunk_type": F.concat("b.chunk_type", F.lit("_split")), "document_id": F.col("b.document_id"), "tags": F.concat("tags", F.array(F.lit("split_from_large_chunk")))}).drop("b")
     return one.where(F.col("size") <= large).unionByName(cut)
 
 
-def _renamed(nodes: DataFrame) -> DataFrame:
-    """Sections as documents: an id that is text, from which document and section can be read again."""
-    return nodes.withColumn("document_id", F.to_json(F.struct("document_id.document_id", "document_id.section")))
-
-
 def _unpacked(chunks: DataFrame, strategy: str) -> DataFrame:
     """Chunks of sections as chunks of their documents, tagged with section and strategy."""
     at = F.from_json("document_id", "document_id string, section string")

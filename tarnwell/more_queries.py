@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarnwell import star
 from tarnwell.functions.chunk_text import chunk_text, content_type, semantic_density, value_types
 from tarnwell.functions.ingest import ingested
-from tarnwell.functions.json_analysis import content, decided, discovered, structure
+from tarnwell.functions.json_analysis import analysed, content, decided, discovered, structure
 from tarnwell.functions.json_chunks import dimension_value, leaves, worth_storing
 from tarnwell.functions.json_strategies import flat, hierarchical, hybrid, sections, semantic
 from tarnwell.operators import charts, collections, store
@@ -125,8 +125,7 @@ select document_id, 'flat' as strategy, round(flat, 6) as confidence, round(hier
        array_to_string(list_transform(list_sort([{'s': a1, 'n': 'flat'}, {'s': a2, 'n': 'hierarchical'}, {'s': 0.4, 'n': 'semantic'}, {'s': 1 / k, 'n': 'dimensional'}, {'s': a5, 'n': 'hybrid'}], 'desc')[2:3], lambda x: x.n), ',') as alternatives, true as valid, case when size < 100 then 'very small' else '' end as warnings from s"""
 )
 def json_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir)
-    d = decided(structure(nodes).join(content(nodes), "document_id"))
+    d = decided(analysed(_nodes(spark, sf_dir)))
     six = lambda c: F.round(c, 6).alias(c)
     return d.select("document_id", "strategy", six("confidence"), six("hierarchical_score"), six("semantic_score"), six("dimensional_score"), F.array_join("alternatives", ",").alias("alternatives"), "valid", F.array_join("warnings", ",").alias("warnings"))
 
@@ -140,7 +139,7 @@ FLAT_SQL = (
 
 @query(FLAT_SQL + " select document_id, document_id || '_flat_' || chunk as chunk_id, key_count, chunk = 0 as contains_arrays, content from c")
 def json_flat_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(_nodes(spark, sf_dir), 4).select("document_id", "chunk_id", "key_count", "contains_arrays", "content")
+    return flat(order_documents(spark, sf_dir), 4).select("document_id", "chunk_id", "key_count", "contains_arrays", "content")
 
 
 @query(
@@ -150,30 +149,30 @@ def json_flat_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
  round(case when chunk = 0 then (2 + 0.5 * n) / (3 + 3 * n) else 0 end, 6) as density, 'mixed' as content_type, case when chunk = 0 then 'array,integer,object' else 'integer,string' end as value_types, chunk = 0 as stored from c"""
 )
 def json_chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = flat(_nodes(spark, sf_dir), 4)
+    c = flat(order_documents(spark, sf_dir), 4)
     made = c.select("document_id", F.substring_index("chunk_id", "_", -1).cast("int").alias("chunk"), chunk_text(F.col("content"), F.lit("orders.flat")).alias("text"), F.round(semantic_density("content"), 6).alias("density"), content_type(F.col("content")).alias("content_type"), F.array_join(value_types(F.col("content")), ",").alias("value_types"))
     return made.withColumn("stored", worth_storing(F.col("text"), F.col("density")))
 
 
 @query(ORDER_SQL + " select document_id, document_id || '_hier_0_$' as chunk_id, '$' as path, 0 as level, null::varchar as parent_id, strlen(doc) as size, 7 + 3 * n as key_count, true as contains_arrays, 'structure:entity' as tags, doc as content from d union all select document_id, document_id || '_hier_1_$.lines', '$.lines', 1, null, 0, 0, true, '', '' from d where false")
 def json_hierarchical_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = hierarchical(_nodes(spark, sf_dir))
+    h = hierarchical(order_documents(spark, sf_dir))
     return h.select("document_id", "chunk_id", "path", "level", "parent_id", "size", "key_count", "contains_arrays", F.array_join("tags", ",").alias("tags"), "content")
 
 
 @query(ORDER_SQL + " select document_id, unnest(['customer', 'lines']) as section, 'semantic_fallback' as chunk_type, unnest(['{\"customer\":' || customer || '}', '{\"lines\":' || lines || '}']) as content from d")
 def json_semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return semantic(_nodes(spark, sf_dir)).select("document_id", F.substring_index("chunk_id", "_", -1).alias("section"), "chunk_type", "content")
+    return semantic(order_documents(spark, sf_dir)).select("document_id", F.substring_index("chunk_id", "_", -1).alias("section"), "chunk_type", "content")
 
 
 @query(ORDER_SQL + " select document_id, unnest(['customer', 'id', 'lines', 'price', 'status']) as section, unnest(['flat', 'flat', 'hierarchical', 'flat', 'flat']) as strategy from d")
 def json_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections(_nodes(spark, sf_dir)).select("document_id", "section", "strategy")
+    return sections(order_documents(spark, sf_dir)).select("document_id", "section", "strategy")
 
 
 @query(None)
 def json_hybrid_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid(spark, _nodes(spark, sf_dir)).select("document_id", "chunk_id", "chunk_type", "path", "size", "key_count", "content")
+    return hybrid(order_documents(spark, sf_dir)).select("document_id", "chunk_id", "chunk_type", "path", "size", "key_count", "content")
 
 
 @query(" select * from (values ('camelCase', 'customer,lines,part,quantity,returned,segment,status'), ('identifiers', 'id'), ('names', 'name'), ('values', 'price')) t(key_type, keys)")
