@@ -76,14 +76,6 @@ ask("gap_to_target", Intent(dimensions=("nation",), metrics=("revenue",), channe
 ask("rule_margin_keyword", Intent(question="profit margin by region", metrics=("revenue",), **by_region), f" select region, {_sum('revenue')}, round((sum(revenue) - sum(cost)) / nullif(sum(revenue), 0) * 100, 4) as profit_margin_pct, {AS_OF} from {P} group by 1", star.RULES)
 ask("rule_category_growth", Intent(dimensions=("segment",), metrics=("mtd_revenue",)), f" select segment, {_sum('mtd_revenue')}, round((sum(mtd_revenue) / nullif(sum(prev_mtd_revenue), 0) - 1) * 100, 4) as mtd_growth_pct, {AS_OF} from {P} group by 1", star.RULES)
 ask("rule_sort_first_wins", Intent(question="best nations", dimensions=("nation",), channels=("primary",), sort=("revenue", "ASC"), limit=3), f" select nation, {_sum('revenue')}, {AS_OF} from {P} group by 1 order by sum(revenue) desc, nation limit 3", star.RULES)
-ask(
-    "hierarchy_expand_dim", Intent(dimensions=("location",), metrics=("revenue",), channels=("primary",)),
-    f" select region, null as nation, {_sum('revenue')}, {AS_OF}, 'region' as label, 'primary' as channel from {P} group by 1 union all select null, nation, round(sum(revenue), 4), max(ship_day), 'nation', 'primary' from {P} group by 2",
-)
-ask(
-    "hierarchy_expand_filter", Intent(metrics=("revenue",), filters=(("location", "ASIA"),), channels=("primary",)),
-    f" select region, cast(null as varchar) as nation, {_sum('revenue')}, {AS_OF}, 'region' as label, 'primary' as channel from {P} where region = 'ASIA' group by 1 union all select null, nation, round(sum(revenue), 4), max(ship_day), 'nation', 'primary' from {P} where nation ilike '%ASIA%' group by 2",
-)
 ask(
     "merge_full_outer_variants", Intent(dimensions=("brand",), metrics=("quantity",), channels=("variants",)),
     f" select brand, round(sum(quantity), 4) as quantity_val, round(sum(quantity), 4) as quantity_vol from {P} group by 1",
@@ -232,15 +224,6 @@ def json_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile(leaves(spark, docs))
 
 
-@query(" select user_id as document_id, floor((row_number() over (partition by user_id order by event_id) - 1) / least(100, greatest(10, floor(count(*) over (partition by user_id) / 10)))) as slice, event_id from events qualify count(*) over (partition by user_id) >= 50")
-def json_dimensional_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = positions(_table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), "event_id"), ["document_id"], "event_id").where("total >= 50")
-    size = F.least(F.lit(100), F.greatest(F.lit(10), F.floor(F.col("total") / 10)))
-    items = F.transform(F.sort_array(F.collect_list(F.struct("pos", "event_id"))), lambda x: x["event_id"])
-    chunks = e.withColumn("slice", F.floor(F.col("pos") / size)).groupBy("document_id", "slice").agg(F.to_json(items).alias("content"))  # 100 items at most
-    return chunks.select("document_id", F.col("slice").cast("double").alias("slice"), F.explode(F.from_json("content", "array<bigint>")).alias("event_id"))
-
-
 WHOLE_SQL = """
 with e as (select user_id, event_id, row_number() over (partition by user_id order by event_id) - 1 as pos, count(*) over (partition by user_id) as n from events),
      p as (select *, '$.rows[' || pos || ']' as path from e where n < 50)

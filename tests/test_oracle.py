@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from tarnwell import more_queries, queries  # noqa: F401
+from tarnwell import feature_queries, queries  # noqa: F401
 
 
 @pytest.fixture(scope="module")
