@@ -16,6 +16,8 @@ from tarnwell.llm.npwords import _R, CHUNK, mix
 GRAM = 32
 #: Bytes of contexts that get one suffix array; a fingerprint's contexts stay together.
 ARRAY_BYTES = 1 << 20
+#: Windows of a segment; longer runs under one fingerprint (texts of a short period) are cut, so that equal pieces meet as such.
+MOST_WINDOWS = 4096
 #: A fingerprint of more segments is not gathered: its windows are counted by hash instead, over all tasks.
 GATHERED = 20_000
 
@@ -63,27 +65,36 @@ class Windows:
                 part, cuts = data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]
                 found = self.smallest(part) if len(part) >= self.length else None
                 for o, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    yield self._cut(found[0][o : e - self.length + 1], found[1][o : e - self.length + 1]) if e - o >= self.length else self._cut(np.zeros(0, "u8"), np.zeros(0, "i8"))
+                    yield self._again(self._cut(found[0][o : e - self.length + 1], found[1][o : e - self.length + 1]) if e - o >= self.length else _NONE)
             at = to
 
     def _long(self, data: np.ndarray):
-        prints, places = [np.zeros(0, "u8")], [np.zeros(0, "i8")]
+        parts = [_NONE]
         for i in range(0, max(0, len(data) - self.length + 1), CHUNK):
-            f, p = self.smallest(data[i : i + CHUNK + self.length - 1])
-            prints.append(f)
-            places.append(p + i)
-        return self._cut(np.concatenate(prints), np.concatenate(places))
+            fp, start, count, moved = self._cut(*self.smallest(data[i : i + CHUNK + self.length - 1]))
+            parts.append((fp, start + i, count, moved))
+        return self._again(tuple(np.concatenate([p[k] for p in parts]) for k in range(4)))
 
     @staticmethod
-    def _cut(prints: np.ndarray, places: np.ndarray):
-        if not len(prints):
-            return prints.view("i8"), places.astype("i4"), places.astype("i4"), np.zeros(0, bool)
+    def _cut(prints: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Segments of windows with one fingerprint, MOST_WINDOWS at most: fingerprint, first, number, and whether its gram moves."""
         start = np.flatnonzero(np.diff(prints, prepend=~prints[:1]))
         count = np.diff(start, append=len(prints))
-        fp = prints[start]
+        pieces = -(-count // MOST_WINDOWS)
+        if len(start) and pieces.max() > 1:
+            nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            left = np.repeat(count, pieces) - nth * MOST_WINDOWS
+            start, count = np.repeat(start, pieces) + nth * MOST_WINDOWS, np.minimum(left, MOST_WINDOWS)
+        return prints[start], start, count, places[start] != places[start + count - 1]
+
+    @staticmethod
+    def _again(found: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]):
+        fp, start, count, moved = found
         _, group, times = np.unique(fp, return_inverse=True, return_counts=True)
-        again = (times[group] > 1) | (places[start] != places[start + count - 1])
-        return fp.view("i8"), start.astype("i4"), count.astype("i4"), again
+        return fp.view("i8"), start.astype("i4"), count.astype("i4"), (times[group] > 1) | moved
+
+
+_NONE = (np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, bool))
 
 
 def _segments(length: int):
@@ -314,7 +325,7 @@ def repeated_contexts(docs: DataFrame, length: int = 200, id_col: str = "doc_id"
     """fp, h1, h2, occurrences (null unless `named`) and runs of every context with repeats, and the table of the texts themselves.
 
     Every window of `length` bytes belongs to the fingerprint of its smallest gram, so equal windows meet under one
-    fingerprint wherever they stand.  Texts are cut into segments of neighbouring windows with one fingerprint; fingerprints
+    fingerprint wherever they stand.  Texts are cut into segments of at most MOST_WINDOWS neighbouring windows with one fingerprint; fingerprints
     that occur once are left out, and for the others the segments' bytes (contexts) get suffix arrays whose interval trees
     yield the repeats.  A context's occurrences and the runs (s, e) that they cover are one row, so rows grow with the
     contexts alone.  Copies of a text count once.  A fingerprint of more than `gathered` segments is not gathered in a task:
