@@ -7,7 +7,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.sources.interim import dropped, written
+from tarnwell.sources.interim import dropped, small_side, written
 from tarnwell.sources.tables import namespace_path, new_vectors
 
 #: Columns of a namespace's table; it is partitioned by collection.
@@ -72,14 +72,23 @@ def _rewritten(spark: SparkSession, namespace: str, touched: Column, change) ->
     if not counts:
         return 0
     new = written(change(old.where(F.col("collection_name").isin(*counts))).select(*old.columns), "rewritten")
-    left = {r[0] for r in new.select("collection_name").distinct().collect()}
+    _swapped(spark, table, new, set(counts))
+    dropped(new)
+    return sum(counts.values())
+
+
+def _swapped(spark: SparkSession, table: str, new: DataFrame, collections: set[str]) -> None:
+    """A table's partitions of these collections, written anew; those without a row are dropped.
+
+    Partitions are overwritten one after the other when the job commits, and emptied ones dropped afterwards: a failure in
+    between leaves some old and some new, which the same change done again puts right.
+    """
+    left = {r[0] for r in new.select("collection_name").distinct().collect()}  # names of collections
     place = spark.sql(f"describe formatted {table}").where("col_name = 'Location'").first()["data_type"]
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection_name").parquet(place)
     spark.catalog.refreshTable(table)
-    for c in set(counts) - left:
+    for c in collections - left:
         spark.sql(f"alter table {table} drop partition (collection_name = {_quoted(c)})")
-    dropped(new)
-    return sum(counts.values())
 
 
 def _quoted(value: str) -> str:
@@ -111,6 +120,21 @@ def replace_document(spark: SparkSession, namespace: str, document_id: str, vect
     return insert(spark, namespace, vectors)
 
 
+def replace_documents(spark: SparkSession, namespace: str, documents: DataFrame, vectors: DataFrame | None) -> int:
+    """Rows of all these documents (document_id) go, in one rewrite of the collections that hold any, and the given ones come
+    instead; the number of rows that came.  Doing it again changes nothing."""
+    table = table_name(namespace)
+    new = written(vectors, "new") if vectors is not None else None  # made before the old rows go
+    ids = small_side(written(documents.select("document_id").distinct(), "ids"))
+    old = spark.table(table)
+    touched = [r[0] for r in old.join(ids, "document_id", "left_semi").select("collection_name").distinct().collect()]  # names of collections
+    if touched:
+        kept = written(old.where(F.col("collection_name").isin(*touched)).join(ids, "document_id", "left_anti").select(*old.columns), "rewritten")
+        _swapped(spark, table, kept, set(touched))
+        dropped(kept)
+    return insert(spark, namespace, new) if new is not None else 0
+
+
 def migrate(spark: SparkSession, source: str, target: str, mode: str = "copy") -> int:
     """Copy a namespace to a new one, rows counted; a move leaves the source as a backup under another name."""
     if mode not in ("copy", "move"):
