@@ -9,20 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell import star
-from tarnwell.functions.json_chunks import whole_dimensional_chunks
+from tarnwell.functions.ingest import batch_requests, batch_results
+from tarnwell.functions.json_chunks import leaves, whole_dimensional_chunks
+from tarnwell.functions.json_configs import Configurations, domains_by_config
 from tarnwell.functions.sketches import DISTINCT_ERROR, RANK_ERROR, answered, sketched
+from tarnwell.operators import charts, store
 from tarnwell.operators.cohorts import cohort
 from tarnwell.operators.timejoins import asof_join, overlap_join
 from tarnwell.operators.vector_index import VectorIndex, build, recall, search_index
 from tarnwell.operators.vectors import collection_metadata, search_all
-from tarnwell.more_queries import _DUCK, _named
+from tarnwell.more_queries import _DUCK, ORDER_SQL, _named, order_documents
 from tarnwell.plans.compile import answer
 from tarnwell.plans.levels import answer_levels
 from tarnwell.plans.model import Intent
 from tarnwell.plans.periods import framed_by_days, runtime_days, with_periods
 from tarnwell.plans.predicates import parsed, where
 from tarnwell.queries import AS_OF, ORACLE_SQL, PAIRS, QUERIES, VIEWS, P, _queries, _rounded, _sum, _table, query
+from tarnwell.sources import manifest
 from tarnwell.sources.interim import shared_dir, written
+from tarnwell.sources.request_files import _opened, read_lines, write_lines
 from tarnwell.streaming.sessions import session_windows
 
 # --- vector index -----------------------------------------------------------------------------------------------------
@@ -237,3 +242,119 @@ def json_dimensional_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(one)).alias("orders"))  # a customer's orders are one document
     docs = orders.select(F.col("o_custkey").alias("document_id"), F.parse_json(F.to_json(F.struct(F.col("o_custkey").alias("customer"), "orders"))).alias("doc"))
     return whole_dimensional_chunks(spark, docs, 10).withColumn("items", F.col("items").cast("long"))
+
+
+#: Words of one configuration on top of another.
+_WORDS = {"domain_patterns": {"sales": ["customer"], "goods": ["part"]}, "metric_patterns": {"count": "quantity|count"}}, {"domain_patterns": {"sales": ["PRICE"], "goods": ["quant"], "none": ["nowhere"]}}
+
+
+@query(
+    ORDER_SQL
+    + """, h as (select document_id, 2 + (lower(name) like '%customer%' or lower(name) like '%price%')::int + (lower(segment) like '%customer%' or lower(segment) like '%price%')::int as sales, 2 * n + (lower(name) like '%part%' or lower(name) like '%quant%')::int + (lower(segment) like '%part%')::int as goods from d)
+select document_id, case when goods > sales then 'goods' else 'sales' end as domain, greatest(goods, sales)::bigint as hits, 'sales,goods' as domains, 'count' as metrics from h"""
+)
+def json_domains_by_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' documents under a configuration that was merged of two."""
+    known = Configurations()
+    for k, words in enumerate(_WORDS):
+        known.put(f"part{k}", words)
+    found = domains_by_config(leaves(spark, order_documents(spark, sf_dir)), known.merge("part0", "part1"))
+    return found.select("document_id", "domain", "hits", *[F.array_join(c, ",").alias(c) for c in ("domains", "metrics")])
+
+
+# --- files and stores -------------------------------------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    """ select s_suppkey::varchar as document_id, (s_acctbal + case when s_suppkey % 5 = 0 then 1 else 0 end)::decimal(20, 2)::varchar as text, 2::bigint as runs from supplier where s_suppkey % 7 <> 0"""
+)
+def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file for each supplier, ingested; then some files change and some go, and the second run brings the namespace up to date."""
+    folder, log, space = _scratch(spark, "files"), _scratch(spark, "log"), f"q_{uuid.uuid4().hex}"
+    suppliers = _table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").cast("decimal(20,2)").cast("double").alias("balance"))
+
+    def put(rows) -> None:  # the tasks write the files
+        fs, root = _opened(folder)
+        fs.create_dir(root, recursive=True)
+        for r in rows:
+            at = f"{root}/{r['s_suppkey']}.json"
+            if r["balance"] is None:
+                fs.delete_file(at)
+            else:
+                with fs.open_output_stream(at) as f:
+                    f.write(f'{{"balance": "{r["balance"]:.2f}"}}'.encode())
+
+    def chunks(docs: DataFrame) -> DataFrame:
+        return docs.select(F.col("document_id").alias("chunk_id"), "document_id", F.variant_get("doc", "$.balance", "string").alias("text"))
+
+    store.create(spark, space)
+    suppliers.foreachPartition(put)
+    manifest.ingest_changes(spark, folder, log, space, chunks)
+    changed = F.when(F.col("s_suppkey") % 7 != 0, F.col("balance") + F.when(F.col("s_suppkey") % 5 == 0, 1).otherwise(0))
+    suppliers.where("s_suppkey % 5 = 0 or s_suppkey % 7 = 0").withColumn("balance", changed).foreachPartition(put)
+    manifest.ingest_changes(spark, folder, log, space, chunks)
+    runs = manifest._log(spark, log).agg(F.max("run").alias("runs"))
+    found = written(spark.table(store.table_name(space)).select("document_id", "text").crossJoin(F.broadcast(runs)), "found")  # one row of runs
+    store.drop(spark, space, confirm=True)
+    return found
+
+
+@query(" select 'chunk_' || doc_id as custom_id, sha256(text) as input, true as within from documents where text is not null and doc_id is not null")
+def batch_requests_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as requests in committed batch files, read again; no file has more than its lines."""
+    path = _scratch(spark, "requests")
+    docs = _table(spark, sf_dir, "documents").where("text is not null and doc_id is not null").select(F.col("doc_id").alias("chunk_id"), "text")
+    for _ in range(2):  # the second time its batch is there already
+        write_lines(batch_requests(docs, "encoder"), path, "requests", max_lines=500)
+    lines = read_lines(spark, path)
+    most = lines.groupBy("file").count().agg((F.max("count") <= 500).alias("within"))
+    return lines.select(F.from_json("value", "custom_id string, body struct<input: string>").alias("r")).select("r.custom_id", F.sha2("r.body.input", 256).alias("input")).crossJoin(F.broadcast(most))  # one row
+
+
+@query(" select doc_id as chunk_id, n_chars::double as first, doc_id::double as second from documents where doc_id is not null and doc_id % 7 <> 0")
+def batch_results_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result lines of batch files, joined with their chunks; requests that failed have no vector."""
+    path = _scratch(spark, "results")
+    docs = _table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("float").alias("n"))
+    body = F.struct(F.array(F.struct(F.array("n", F.col("chunk_id").cast("float")).alias("embedding"))).alias("data"))
+    answer_ = F.struct(F.when(F.col("chunk_id") % 7 == 0, 500).otherwise(200).alias("status_code"), body.alias("body"))
+    write_lines(docs.select(F.to_json(F.struct(F.concat(F.lit("chunk_"), F.col("chunk_id").cast("string")).alias("custom_id"), answer_.alias("response"))).alias("value")), path, max_lines=500)
+    found = batch_results(docs.select("chunk_id"), read_lines(spark, path).select("value"))
+    return found.select("chunk_id", *[F.element_at("embedding", k).cast("double").alias(n) for k, n in ((1, "first"), (2, "second"))])
+
+
+@query(
+    """ with d as (select doc_id::varchar as chunk_id, source as document_id, coalesce(lang, 'default') as collection_name, sha256(text) as h from documents where doc_id is not null),
+ f as (select * from (select *, row_number() over (partition by h, document_id order by chunk_id) as rn from d) where rn = 1 or h is null or document_id is null)
+select chunk_id, document_id, collection_name, case when chunk_id = '12' then 'changed' end as strategy from f where collection_name <> 'fr' and document_id is distinct from 'src5' and not (document_id is not distinct from 'src3' and collection_name = 'de')
+union all select 'new' || k, 'src5', 'renewed', null from (select unnest([1, 2]) as k)"""
+)
+def namespace_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A namespace of all documents: inserted without repeats, parts deleted, a chunk updated, a document replaced, and all copied."""
+    space, copy = f"q_{uuid.uuid4().hex}", f"c_{uuid.uuid4().hex}"
+    docs = _table(spark, sf_dir, "documents").where("doc_id is not null")
+    rows = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("document_id"), F.col("lang").alias("collection_name"), F.sha2("text", 256).alias("text_hash"))
+    store.create(spark, space)
+    store.insert(spark, space, rows)
+    store.delete(spark, space, "fr")
+    store.delete(spark, space, "de", "src3")
+    store.update(spark, space, "12", strategy="changed", nothing=1)
+    fresh = spark.range(1, 3).select(F.concat(F.lit("new"), F.col("id").cast("string")).alias("chunk_id"), F.lit("src5").alias("document_id"), F.lit("renewed").alias("collection_name"))
+    store.replace_document(spark, space, "src5", fresh)
+    store.migrate(spark, space, copy)
+    found = written(spark.table(store.table_name(copy)).select("chunk_id", "document_id", "collection_name", "strategy"), "found")
+    for name in (space, copy):
+        store.drop(spark, name, confirm=True)
+    return found
+
+
+@query(" select 'o_orderstatus' as y, 'o_orderpriority' as color, 'o_totalprice' as x")
+def chart_bar_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The channels of a bar chart over two nominal columns and a number, from one aggregate of distinct counts."""
+    o = _table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus", "o_totalprice")
+    found = charts.bar_encoding(o)
+    return spark.createDataFrame([(found["y"], found["color"], found["x"])], "y string, color string, x string")

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.operators.merge import average_distinct, unpivoted
+from tarnwell.operators.merge import unpivoted
 
 # What a column's type is in a chart, by the start of its type's name (the first that fits), and the marks.
 CHART_TYPES = {"decimal": "quantitative", "double": "quantitative", "float": "quantitative", "real": "quantitative", "interval": "nominal", "int": "quantitative", "bigint": "quantitative", "smallint": "quantitative", "tinyint": "quantitative", "timestamp": "temporal", "date": "temporal"}
@@ -60,24 +60,30 @@ def values_and_volumes_long(df: DataFrame) -> DataFrame:
 def bar_encoding(df: DataFrame, types: dict[str, str] | None = None) -> dict[str, str]:
     """Which column is y, color and x of a bar chart with two or more nominal columns; nothing for fewer.
 
-    The column that varies most within the groups of the others is the color, and the others' most varied one is y; a column
-    of more than LEGEND values is y itself, and the most varied of the others that fits a legend is the color (else the
-    least varied).  Two small aggregates for each column; only their numbers reach the driver.
+    How much a column varies within the groups of the others is the number of different rows over that of the others alone,
+    so one aggregate of distinct counts gives all that is needed.  The column that varies most is the color, unless it has
+    more than LEGEND values: then it is y, and the most varied of the others that fits a legend is the color (the least
+    varied, if none fits).  Otherwise y is the others' column with most values.  x is the number with most values.  Of equals
+    the first column counts.
     """
     types = types or chart_types(df)
-    nominal, numbers = [c for c in df.columns if types[c] == "nominal"], [c for c in df.columns if types[c] == "quantitative"]
+    nominal, numbers = ([c for c in df.columns if types[c] == kind] for kind in ("nominal", "quantitative"))
     if len(nominal) < 2:
         return {}
-    distinct = df.agg(*[F.count_distinct(F.struct(F.col(c))).alias(c) for c in (*nominal, *numbers)]).first().asDict()
-    varies = {c: average_distinct(df.withColumn("__f", F.struct(F.col(c))), "__f", [o for o in nominal if o != c]).first()[0] or 0.0 for c in nominal}
-    inner = max(nominal, key=varies.get)
+    different = lambda columns: F.count_distinct(F.struct(*[F.col(c) for c in columns]))
+    counted = df.agg(different(nominal), *[different([c]) for c in (*nominal, *numbers)], *[different([o for o in nominal if o != c]) for c in nominal]).first()
+    whole, values = counted[0], dict(zip((*nominal, *numbers), counted[1:], strict=False))
+    apart = dict(zip(nominal, counted[-len(nominal) :], strict=True))
+    place = {c: -k for k, c in enumerate(df.columns)}
+    most = lambda columns, by: max(columns, key=lambda c: (by(c), place[c]))
+    inner = most(nominal, lambda c: whole / apart[c] if apart[c] else 0.0)
     outer = [c for c in nominal if c != inner]
-    if distinct[inner] <= LEGEND:
-        y, color = max(outer, key=distinct.get), inner
+    fits = [c for c in outer if values[c] <= LEGEND]
+    if values[inner] <= LEGEND:
+        y, color = most(outer, values.get), inner
     else:
-        fit = [c for c in outer if distinct[c] <= LEGEND]
-        y, color = inner, max(fit, key=distinct.get) if fit else min(outer, key=distinct.get)
-    return {"y": y, "color": color} | ({"x": max(numbers, key=distinct.get)} if numbers else {})
+        y, color = inner, most(fits, values.get) if fits else most(outer, lambda c: -values[c])
+    return {"y": y, "color": color} | ({"x": most(numbers, values.get)} if numbers else {})
 
 
 def chart(df: DataFrame, mark: str, encoding: dict[str, str], title: str = "") -> dict:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import time
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -196,26 +197,67 @@ def subdivided(chunks: DataFrame, most: int = 7500, text: str = "text") -> DataF
     return chunks.select("*", F.posexplode(parts(F.col(text))).alias("part", "__piece")).drop(text).withColumnRenamed("__piece", text)
 
 
-def embedded(chunks: DataFrame, encoder: Callable[[list[str]], list[list[float]]], per_request: int = 8000, text: str = "text") -> DataFrame:
+#: Tries of a request, seconds of the longest wait before another try, and requests after which a task rests.
+TRIES, LONGEST_WAIT, RESTS_AFTER = 3, 60.0, 5
+
+
+class EncoderFailed(RuntimeError):
+    """An encoder gave no vectors for a request, however often it was asked."""
+
+
+def _asked(encoder: Callable[[list[str]], list[list[float]]], texts: list[str], tries: int, wait: Callable[[float], None]) -> list[list[float]]:
+    """The encoder's vectors; after a failure it is asked again, each time after twice the wait."""
+    last: Exception | None = None
+    for k in range(tries):
+        if k:
+            wait(min(2.0 ** (k - 1), LONGEST_WAIT))
+        try:
+            vectors = encoder(texts)
+        except Exception as e:  # noqa: BLE001  whatever an encoder raises
+            last = e
+            continue
+        if len(vectors) == len(texts):
+            return vectors
+        last = ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
+    raise EncoderFailed(f"no vectors after {tries} tries: {last}")
+
+
+def embedded(
+    chunks: DataFrame, encoder: Callable[[list[str]], list[list[float]]], per_request: int = 8000, text: str = "text", per_text: int | None = None, tries: int = TRIES, rest: float = 0.0, rests_after: int = RESTS_AFTER, wait: Callable[[float], None] = time.sleep,
+) -> DataFrame:
     """chunks with embedding (array<float>) by an encoder of lists of texts; no request holds more than per_request tokens.
 
-    Texts of more tokens go alone.  Null texts have a null embedding.  The encoder is sent to the tasks.
+    Texts of more tokens than a request go alone; those of more than per_text (if it is given) are not sent and have a null
+    embedding, as null texts have.  A request that fails is tried again after 1, 2, 4 ... seconds (LONGEST_WAIT at most) and fails the task after
+    `tries`; a task rests for `rest` seconds after every rests_after requests.  The encoder is sent to the tasks.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema) + ", embedding array<float>"
+    longest = per_text or math.inf
+
+    def requests(texts: pd.Series) -> Iterator[list[int]]:
+        batch, held = [], 0
+        for i, t in enumerate(texts):
+            n = math.ceil(len(t) / 4) if t is not None else 0
+            if t is None or n > longest:
+                continue
+            if batch and held + n > per_request:
+                yield batch
+                batch, held = [], 0
+            batch.append(i)
+            held += n
+        if batch:
+            yield batch
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sent = 0
         for pdf in frames:
             out: list = [None] * len(pdf)
-            batch, held = [], 0
-            for i, t in enumerate([*pdf[text], None]):
-                n = math.ceil(len(t) / 4) if t is not None else 0
-                if batch and (held + n > per_request or i == len(pdf)):
-                    for k, v in zip(batch, encoder([pdf[text].iloc[k] for k in batch]), strict=True):
-                        out[k] = v
-                    batch, held = [], 0
-                if t is not None:
-                    batch.append(i)
-                    held += n
+            for batch in requests(pdf[text]):
+                if rest and sent and sent % rests_after == 0:
+                    wait(rest)
+                for k, v in zip(batch, _asked(encoder, [pdf[text].iloc[k] for k in batch], tries, wait), strict=True):
+                    out[k] = v
+                sent += 1
             yield pdf.assign(embedding=out)
 
     return chunks.mapInPandas(rows, schema)

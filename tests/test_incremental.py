@@ -99,3 +99,100 @@ def test_a_stream_writes_each_batch_once(spark, tmp_path):
     assert sorted(int(r.value) for r in read_lines(spark, path).collect()) == list(range(30))
     stream_lines(spark.readStream.schema("value string").parquet(folder), path, f"{tmp_path}/cp2", "mine", 4).awaitTermination(120)  # without its checkpoint the batch has the same id
     assert read_lines(spark, path).count() == 30
+
+
+def test_encoders_are_asked_again_and_long_texts_left_out(spark):
+    from tarnwell.operators.collections import EncoderFailed, _asked, embedded
+
+    calls, waits = [], []
+
+    def shaky(texts):
+        calls.append(len(texts))
+        if len(calls) < 3:
+            raise TimeoutError("busy")
+        return [[1.0]] * len(texts)
+
+    assert _asked(shaky, ["a", "b"], 5, waits.append) == [[1.0], [1.0]] and waits == [1.0, 2.0]
+    with pytest.raises(EncoderFailed, match="1 vectors for 2 texts"):
+        _asked(lambda texts: [[1.0]], ["a", "b"], 2, waits.append)
+    texts = spark.createDataFrame([(1, "x" * 40), (2, "y" * 4), (3, None), (4, "z" * 400)], "i int, text string").coalesce(1)
+    got = {r.i: r.embedding for r in embedded(texts, lambda ts: [[float(len(t))] for t in ts], per_request=20, per_text=50).collect()}
+    assert got == {1: [40.0], 2: [4.0], 3: None, 4: None}
+    alone = {r.i: r.embedding for r in embedded(texts, lambda ts: [[float(sum(map(len, ts)))] for _ in ts], per_request=20).collect()}
+    assert alone == {1: [44.0], 2: [44.0], 3: None, 4: [400.0]}
+
+
+def test_configurations_are_merged_checked_and_applied(spark, tmp_path):
+    from tarnwell.functions.json_chunks import leaves
+    from tarnwell.functions.json_configs import Configurations, checked, domains_by_config, merged
+
+    assert merged({"a": [1], "b": {"x": [1], "y": 2}, "extends": "p", "c": 1}, {"a": [1, 2], "b": {"x": [3], "z": 4}, "c": [5]}) == {"a": [1, 1, 2], "b": {"x": [1, 3], "y": 2, "z": 4}, "c": [5]}
+    bad = checked({"domain_patterns": {"d": "word", "e": []}, "metric_patterns": []})
+    assert not bad.valid and len(bad.errors) == 2 and bad.warnings == ["domain e has no words"] and checked({}).warnings and checked({}).valid
+    assert checked({"domain_patterns": {str(i): ["w"] for i in range(21)}}).suggestions[0].startswith("split")
+    put = lambda name, value: (tmp_path / name).write_text(value if isinstance(value, str) else json.dumps(value))
+    put("base.json", {"description": "b", "domain_patterns": {"shop": ["cart"]}})
+    put("child.json", {"extends": "base.json", "domain_patterns": {"shop": ["order"], "web": ["url"]}})
+    put("of_default.json", {"extends": "default", "domain_patterns": {"web": ["url"]}})
+    put("loop.json", {"extends": "loop.json"})
+    put("broken.json", "{")
+    put("wrong.json", {"domain_patterns": ["x"]})
+    put("orphan.json", {"extends": "nowhere.json"})
+    known = Configurations()
+    names, wrong = known.take_in(spark, str(tmp_path), "c_")
+    assert names == ["c_base", "c_child", "c_of_default"] and set(wrong) == {"c_loop", "c_broken", "c_wrong", "c_orphan"}
+    assert known.get("c_child")["domain_patterns"] == {"shop": ["cart", "order"], "web": ["url"]} and "analytics" in known.get("c_of_default")["domain_patterns"]
+    both = known.merge("c_base", "c_child", into="both")
+    assert both["merged_from"] == ["c_base", "c_child"] and known.get("both")["domain_patterns"]["shop"] == ["cart", "cart", "order"]
+    docs = spark.createDataFrame([(1, '{"Cart": {"url": "an ORDER"}}'), (2, '{"q": 1}'), (3, "{}"), (4, None), (5, '{"url": 1, "urls": 2, "cart": 3}')], "document_id long, t string").select("document_id", F.try_parse_json("t").alias("doc"))
+    got = {r.document_id: (r.domain, r.hits, list(r.domains)) for r in domains_by_config(leaves(spark, docs), known.get("c_child")).collect()}
+    assert got == {1: ("shop", 2, ["shop", "web"]), 2: ("general", 0, []), 3: ("general", 0, []), 5: ("web", 2, ["shop", "web"])}
+    assert {r.domain for r in domains_by_config(leaves(spark, docs), {}).collect()} == {"general"}
+    known.forget()
+    assert set(known.known) == {"default"}
+    with pytest.raises(KeyError):
+        known.get("both")
+
+
+def test_deployments_and_scoped_tables(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    from tarnwell.plans.deployments import deployment, scoped_frames
+    from tarnwell.plans.model import Catalog, Policy, Table
+
+    meta = tmp_path / "config/metadata"
+    meta.mkdir(parents=True)
+    files = {"dimensions": {"dimensions": []}, "metrics": {"metrics": []}, "formulas": {"formulas": []}, "tables": {"tables": []}, "business_rules": {"rules": []}}
+    for name, value in files.items():
+        (meta / f"{name}.json").write_text(json.dumps(value))
+    with pytest.raises(FileNotFoundError):
+        deployment(spark, str(tmp_path))
+    (tmp_path / "manifest.json").write_text(json.dumps({"name": "mine", "charts": True}))
+    plain = deployment(spark, str(tmp_path))
+    assert plain.name == "mine" and plain.mode == "sql" and type(plain.policy) is Policy and not plain.answers("suffix") and plain.settings["charts"]
+    (tmp_path / "policy.py").write_text("from tarnwell.plans.model import Policy, LatestInRange\n\nclass Mine(Policy):\n    def suffix(self, table):\n        return '_mine'\n")
+    own = deployment(spark, str(tmp_path))
+    assert type(own.policy).__name__ == "Mine" and own.answers("suffix") and not own.answers("date_filter") and own.metadata.catalog.policy.suffix(None) == "_mine"
+    (tmp_path / "policy.py").write_text("raise ValueError('no')")
+    assert type(deployment(spark, str(tmp_path)).policy) is Policy and deployment(spark, str(tmp_path)).warnings
+    (tmp_path / "manifest.json").write_text(json.dumps({"mode": "embedding"}))
+    assert deployment(spark, str(tmp_path)).metadata is None
+    (tmp_path / "manifest.json").write_text(json.dumps({"mode": "other"}))
+    with pytest.raises(ValueError):
+        deployment(spark, str(tmp_path))
+
+    def read(name):
+        if name not in ("a", "z"):
+            raise AnalysisException(f"no {name}")
+        return spark.range(1)
+
+    found, missing = scoped_frames(spark, Catalog.of([], [], [], [Table("a"), Table("b")]), read)
+    assert set(found) == {"a"} and missing == ["b"]
+    assert set(scoped_frames(spark, Catalog.of([], [], [], [Table("b")]), read, ["a", "z"])[0]) == {"a", "z"}
+    spark.sql("create database scoped")
+    spark.range(3).write.saveAsTable("scoped.one")
+    try:
+        found, missing = scoped_frames(spark, Catalog.of([], [], [], [Table("one"), Table("two")]), "scoped")
+        assert found["one"].count() == 3 and missing == ["two"]
+    finally:
+        spark.sql("drop database scoped cascade")
