@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarnwell import star
 from tarnwell.functions.ingest import batch_requests, batch_results
 from tarnwell.functions.json_chunks import leaves, whole_dimensional_chunks
+from tarnwell.functions.json_strategies import hybrid, semantic
 from tarnwell.functions.json_configs import Configurations, domains_by_config
 from tarnwell.functions.sketches import DISTINCT_ERROR, RANK_ERROR, answered, sketched
 from tarnwell.operators import charts, store
@@ -262,6 +263,35 @@ def json_domains_by_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("document_id", "domain", "hits", *[F.array_join(c, ",").alias(c) for c in ("domains", "metrics")])
 
 
+#: A document for each customer: two objects that explain, one that comments at length, and one that tells nothing.
+_FIRST, _LATER, _SAID = "'plain words about ' || lower(c_mktsegment)", "'more words about ' || lower(c_mktsegment)", "'what somebody has said at some length about all of the ' || lower(c_mktsegment)"
+
+
+@query(
+    f""" with c as (select c_custkey, {_FIRST} as one, {_LATER} as two, {_SAID} as said from customer)
+select c_custkey as document_id, unnest([0, 1])::int as number, 'semantic' as chunk_type, unnest(['$.a', '$.b']) as path, unnest(['content_type:reasoning,keyword:explanation', 'content_type:descriptive,keyword:comment']) as tags,
+ unnest(['{{"explanation":"' || one || '","node_1":{{"explanation":"' || two || '"}}}}', '{{"comment":"' || said || '"}}']) as content from c"""
+)
+def json_semantic_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telling objects of documents, of which related ones come together as a region."""
+    inner = lambda name, text: F.struct(F.expr(text).alias(name))
+    doc = F.struct(inner("explanation", _FIRST).alias("a"), inner("comment", _SAID).alias("b"), F.struct(F.col("c_custkey").alias("q")).alias("c"), inner("explanation", _LATER).alias("d"))
+    docs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), F.parse_json(F.to_json(doc)).alias("doc"))
+    return semantic(docs).select("document_id", F.substring_index("chunk_id", "_", -1).cast("int").alias("number"), "chunk_type", "path", F.array_join("tags", ",").alias("tags"), "content")
+
+
+@query(
+    ORDER_SQL
+    + """, s as (select document_id, n, unnest([1, 2, 3, 4, 5]) as k, unnest(['customer', 'id', 'lines', 'price', 'status']) as section, unnest(['{"customer":' || customer || '}', '{"id":' || document_id || '}', '{"lines":' || lines || '}', '{"price":' || price || '}', '{"status":"' || status || '"}']) as content,
+  unnest([2, 1, 1 + 3 * n, 1, 1]) as key_count from d),
+ t as (select *, case when n = 1 then 1 when k < 3 then 1 when k = 3 then 2 else 3 end as run, row_number() over (partition by document_id, case when n = 1 then 1 when k < 3 then 1 when k = 3 then 2 else 3 end order by k) - 1 as nth, strlen(content) as size from s)
+select document_id::varchar as document_id, case when count(*) > 1 then document_id || '_hybrid_merged_' || run else document_id || '_lines_hier_0_$' end as chunk_id, case when count(*) > 1 then 'hybrid_merged' else 'hybrid_hierarchical' end as chunk_type, case when count(*) > 1 then 'merged_small_chunks' else '$' end as path,
+ sum(size)::bigint as size, sum(key_count)::bigint as key_count, case when count(*) > 1 then '{' || string_agg('"merged_section_' || nth || '":' || content, ',' order by nth) || '}' else any_value(content) end as content from t group by document_id, run"""
+)
+def json_hybrid_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid(order_documents(spark, sf_dir)).select("document_id", "chunk_id", "chunk_type", "path", "size", "key_count", "content")
+
+
 # --- files and stores -------------------------------------------------------------------------------------------------
 
 

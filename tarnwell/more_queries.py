@@ -12,7 +12,7 @@ from tarnwell.functions.chunk_text import chunk_text, content_type, semantic_den
 from tarnwell.functions.ingest import ingested
 from tarnwell.functions.json_analysis import analysed, content, decided, discovered, structure
 from tarnwell.functions.json_chunks import dimension_value, leaves, worth_storing
-from tarnwell.functions.json_strategies import flat, hierarchical, hybrid, sections, semantic
+from tarnwell.functions.json_strategies import flat, hierarchical, sections, semantic
 from tarnwell.operators import charts, collections, store
 from tarnwell.operators.vectors import collection_metadata, subtree
 from tarnwell.plans.compile import FETCH_LIMIT, answer
@@ -170,11 +170,6 @@ def json_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections(order_documents(spark, sf_dir)).select("document_id", "section", "strategy")
 
 
-@query(None)
-def json_hybrid_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid(order_documents(spark, sf_dir)).select("document_id", "chunk_id", "chunk_type", "path", "size", "key_count", "content")
-
-
 @query(" select * from (values ('camelCase', 'customer,lines,part,quantity,returned,segment,status'), ('identifiers', 'id'), ('names', 'name'), ('values', 'price')) t(key_type, keys)")
 def json_discovered_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovered(_nodes(spark, sf_dir)).select("key_type", F.array_join("keys", ",").alias("keys"))
