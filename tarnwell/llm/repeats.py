@@ -14,8 +14,8 @@ from tarnwell.llm.npwords import _R, CHUNK, mix
 
 #: Bytes of the grams whose smallest hash in a window stands for the window.
 GRAM = 32
-#: Bytes of contexts that get one suffix array; a fingerprint's contexts stay together.
-ARRAY_BYTES = 1 << 20
+#: Bytes of different contexts that get one suffix array.  A fingerprint with more of them is parted by longer grams.
+ARRAY_BYTES = 1 << 19
 #: Windows of a segment; longer runs under one fingerprint (texts of a short period) are cut, so that equal pieces meet as such.
 MOST_WINDOWS = 4096
 #: A fingerprint of more segments is not gathered: its windows are counted by hash instead, over all tasks.
@@ -25,8 +25,8 @@ GATHERED = 20_000
 class Windows:
     """Cuts the windows of `length` bytes of a text into segments of neighbours with the same smallest gram."""
 
-    def __init__(self, length: int):
-        self.length, self.span = length, length - GRAM + 1
+    def __init__(self, length: int, gram: int = GRAM):
+        self.length, self.gram, self.span = length, gram, length - gram + 1
         n = CHUNK + 2 * length
         steps = np.full(n + 1, _R)
         steps[0] = 1
@@ -42,7 +42,7 @@ class Windows:
 
     def smallest(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each window the hash of its smallest gram and the (leftmost) gram's place."""
-        g = self.hashes(data, GRAM)
+        g = self.hashes(data, self.gram)
         best = (g & np.uint64(~0xFFFFFFF & (2**64 - 1))) | np.arange(len(g), dtype="u8")
         width = 1
         while 2 * width <= self.span:
@@ -237,48 +237,90 @@ def _groups(length: int, named: bool):
             of = pa.nulls(len(first), pa.list_(pa.struct([(n, pa.int64()) for n in ("number", "outer", "length", "start")])))
         return pa.RecordBatch.from_arrays([*pick(row[first]), of, runs], ["fp", "h1", "h2", "occurrences", "runs"])
 
+    cutters: dict[int, Windows] = {}
+
+    def recut(strings: dict[bytes, list], gram: int) -> Iterator[dict[bytes, list]]:
+        """The windows of strings under one fingerprint, parted by their smallest grams of `gram` bytes: equal windows stay together."""
+        windows = cutters.setdefault(gram, Windows(length, gram))
+        parted: dict[int, dict[bytes, list]] = {}
+        for c, at in strings.items():
+            data = np.frombuffer(c, dtype="u1")
+            for f, start, count, _ in windows.segments(data, np.array([0, len(data)])):
+                for x, i, n in zip(f.tolist(), start.tolist(), count.tolist(), strict=True):
+                    parted.setdefault(x, {}).setdefault(c[i : i + n + length - 1], []).extend((r, o + i) for r, o in at)
+        yield from parted.values()
+
     def repeats(fp, h1, h2, first, ctx):
-        slots: dict[tuple[int, bytes], list[int]] = {}
+        """Strings are held with the places where they stand: (rows of the contexts, offset in these)."""
+        under: dict[int, dict[bytes, list[int]]] = {}
         for r, (f, c) in enumerate(zip(fp, ctx, strict=True)):
-            slots.setdefault((f, c), []).append(r)
-        variants: dict[int, int] = {}
-        for f, _ in slots:
-            variants[f] = variants.get(f, 0) + 1
-        whole = [(at, len(c)) for (_, c), at in slots.items() if len(at) > 1]  # repeats as a whole, the contexts' ends being open
-        places, number = np.array(first, dtype="i8"), len(whole)
-        times = np.array([len(at) for at, _ in whole], dtype="i8")
-        rows = np.array([r for at, _ in whole for r in at], dtype="i8")
-        parts = [(rows, places[rows], np.repeat(np.array([n for _, n in whole], dtype="i8"), times), np.repeat(np.arange(number), times), np.full(len(rows), -1))]
-        strings, members = [], []
-        for (f, c), at in slots.items():
-            if variants[f] > 1 or len(c) > 2 * length - GRAM or _regrams(c, length):
-                strings.append(c)
-                members.append(at)
-        if strings:
-            data = np.frombuffer(b"".join(strings), dtype="u1")
-            size = np.array([len(s) for s in strings])
-            ends = np.cumsum(size)
-            owner = np.repeat(np.arange(len(strings)), size)
-            end = ends[owner]
-            where = np.flatnonzero(end - np.arange(len(data)) >= length)
-            sa, lcp = suffix_order(data, end, where)
-            begin = (ends - size)[owner[sa]]
-            left = np.where(sa == begin, -1, data[np.maximum(sa - 1, 0)].astype("i8"))
-            tree, own = intervals(lcp, left, length)
-            at = np.flatnonzero(own >= 0)
-            many = np.array([len(m) for m in members])
-            flat, offset = np.array([r for m in members for r in m], dtype="i8"), np.cumsum(many) - many
-            mine, shift, node = owner[sa[at]], (sa - begin)[at], own[at]
-            copies = many[mine]
-            each = np.repeat(np.arange(len(at)), copies)  # an occurrence in each text that has the string
-            rows = flat[offset[mine][each] + np.arange(len(each)) - np.repeat(np.cumsum(copies) - copies, copies)]
-            heights, above = (np.array([t[k] for t in tree], dtype="i8") for k in (0, 1))
-            parts.append((rows, places[rows] + shift[each], heights[node][each], number + node[each], np.where(above < 0, -1, number + above)[node][each]))
-        return gathered(*(np.concatenate([p[k] for p in parts]) for k in range(5)), lambda at: [pa.array([x[r] for r in at.tolist()], pa.int64()) for x in (fp, h1, h2)])
-
-    def _regrams(c: bytes, length: int) -> bool:
+            under.setdefault(f, {}).setdefault(c, []).append(r)
+        places, parts, number = np.array(first, dtype="i8"), [], 0
+        held, size = [], 0
+
+        def spread(at: list) -> tuple[np.ndarray, np.ndarray]:
+            rows = np.concatenate([np.asarray(r, dtype="i8") for r, _ in at])
+            return rows, np.repeat(np.array([o for _, o in at], dtype="i8"), [len(r) for r, _ in at])
+
+        def whole(c: bytes, at: list) -> None:
+            """A string that stands in several places repeats as a whole, its ends being open."""
+            nonlocal number
+            rows, offset = spread(at)
+            if len(rows) > 1:
+                parts.append((rows, places[rows] + offset, np.full(len(rows), len(c)), np.full(len(rows), number), np.full(len(rows), -1)))
+                number += 1
+
+        def arrayed() -> None:
+            nonlocal held, size, number
+            if held:
+                data = np.frombuffer(b"".join(c for c, _ in held), dtype="u1")
+                sizes = np.array([len(c) for c, _ in held])
+                ends = np.cumsum(sizes)
+                owner = np.repeat(np.arange(len(held), dtype="i4"), sizes)
+                end = ends[owner]
+                where = np.flatnonzero(end - np.arange(len(data)) >= length)
+                sa, lcp = suffix_order(data, end, where)
+                begin = (ends - sizes)[owner[sa]]
+                left = np.where(sa == begin, -1, data[np.maximum(sa - 1, 0)].astype("i8"))
+                tree, own = intervals(lcp, left, length)
+                at = np.flatnonzero(own >= 0)
+                spreads = [spread(x) for _, x in held]
+                many = np.array([len(r) for r, _ in spreads])
+                flat, offset = (np.concatenate([x[k] for x in spreads]) for k in (0, 1))
+                from_ = np.cumsum(many) - many
+                mine, shift, node = owner[sa[at]], (sa - begin)[at], own[at]
+                copies = many[mine]
+                each = np.repeat(np.arange(len(at)), copies)  # an occurrence in each text that has the string
+                pick = from_[mine][each] + np.arange(len(each)) - np.repeat(np.cumsum(copies) - copies, copies)
+                heights, above = (np.array([t[k] for t in tree], dtype="i8") for k in (0, 1))
+                parts.append((flat[pick], places[flat[pick]] + offset[pick] + shift[each], heights[node][each], number + node[each], np.where(above < 0, -1, number + above)[node][each]))
+                number += len(tree)
+            held, size = [], 0
+
+        def put(strings: dict[bytes, list], gram: int) -> None:
+            nonlocal size
+            some = {c: at for c, at in strings.items() if len(strings) > 1 or len(c) > 2 * length - gram or _regrams(c, gram)}
+            total = sum(map(len, some))
+            if total > ARRAY_BYTES and gram < length:
+                for part in recut(strings, min(2 * gram, length)):
+                    put(part, min(2 * gram, length))
+                return
+            for c, at in strings.items():
+                whole(c, at)
+            if size and size + total > ARRAY_BYTES:
+                arrayed()
+            held.extend(some.items())
+            size += total
+
+        for strings in under.values():
+            put({c: [(r, 0)] for c, r in strings.items()}, GRAM)
+        arrayed()
+        none = (np.zeros(0, "i8"),) * 5
+        return gathered(*(np.concatenate([p[k] for p in [none, *parts]]) for k in range(5)), lambda at: [pa.array([x[r] for r in at.tolist()], pa.int64()) for x in (fp, h1, h2)])
+
+    def _regrams(c: bytes, gram: int) -> bool:
         """Whether a window can occur twice in a context of no more windows than grams: the last gram of its first window then does, too."""
-        tail = c[length - GRAM : length]
+        tail = c[length - gram : length]
         return c.find(tail) != c.rfind(tail)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,6 +47,21 @@ def test_cut_segments_equal_brute_force(monkeypatch):
             assert all((g == w).all() for g, w in zip(covered(texts), brute(texts), strict=True))
 
 
+def test_fingerprints_parted_by_longer_grams_equal_brute_force(monkeypatch):
+    chance = random.Random(11)
+    for most in (1 << 19, 3000, 500):
+        monkeypatch.setattr(repeats, "ARRAY_BYTES", most)
+        for _ in range(2):
+            base, texts = chance.randbytes(1200), []
+            for _ in range(12):  # near copies: one passage, changed here and there
+                t = bytearray(base)
+                for _ in range(chance.randint(0, 4)):
+                    t[chance.randrange(len(t))] = chance.randrange(256)
+                texts.append(bytes(t[chance.randint(0, 300) :]) + chance.randbytes(chance.randint(0, 80)))
+            texts += [b"xyz" * 400 + base[:230], chance.randbytes(150) * 5, texts[0][:700] + b"xyz" * 300]
+            assert all((g == w).all() for g, w in zip(covered(texts), brute(texts), strict=True))
+
+
 def test_fifty_megabytes_of_one_byte_and_of_a_short_period(spark):
     docs = spark.createDataFrame([(1, 50_000_000, "z"), (2, 3_000_000, "abcdefg"), (3, 1, "once")], "doc_id long, n long, piece string").selectExpr("doc_id", "repeat(piece, cast(n as int)) as text")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()}
