@@ -31,7 +31,7 @@ def leaves(spark: SparkSession, docs: DataFrame, top: int = -1) -> DataFrame:
     keys or items, own the keys.  text is the value of a text, chars and bytes (the root's) the length of the compact JSON,
     json that JSON itself for levels up to `top`.  listed: an array lies above.  rich: one of the first five items is an
     object or an array.  open: no array above holds plain values only or other arrays.  uniform: an array of several items
-    of one type, objects with the same keys.  deepest, keys and arrays tell of the nodes below: the deepest level, how many
+    of one kind, objects with the same keys.  deepest, keys and arrays tell of the nodes below: the deepest level, how many
     have a key, and whether there is an array.
     """
     given = as_text(docs)

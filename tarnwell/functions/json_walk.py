@@ -111,7 +111,7 @@ class Walk:
                     self.rich[p] = True
                 if self.shape[i] == "OBJECT":  # its keys are known when all nodes are read
                     continue
-                form = self.shape[i]
+                form = self.kind[i]  # the text of a number does not tell 5.0 from 5
                 if first.setdefault(p, form) != form:
                     alike[p] = False
         own: dict[int, list[str]] = {}

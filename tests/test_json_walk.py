@@ -64,8 +64,8 @@ def test_walk_has_no_depth_cap():
 
 
 def test_shapes_of_numbers_and_uniform_arrays():
-    w = Walk('{"a":[1,2,3],"b":[1,2.5],"c":[{"x":1},{"x":[]}],"d":[{"x":1},{"y":1}],"e":[7],"f":[99999999999999999999,1e5],"g":[[1],[]]}')
-    assert [w.uniform[w.path.index(f"$.{k}")] for k in "abcdefg"] == [True, False, True, False, False, False, True]
+    w = Walk('{"a":[1,2,3],"b":[1,2.5],"c":[{"x":1},{"x":[]}],"d":[{"x":1},{"y":1}],"e":[7],"f":[99999999999999999999,1e5],"g":[[1],[]],"h":[1,"x"],"i":[true,1]}')
+    assert [w.uniform[w.path.index(f"$.{k}")] for k in "abcdefghi"] == [True, True, True, False, False, True, True, False, False]
     assert [w.shape[w.path.index(p)] for p in ("$.a[0]", "$.b[1]", "$.f[0]", "$.f[1]")] == ["BIGINT", "DECIMAL", "DECIMAL", "DOUBLE"]
 
 
