@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import langid, linecrf, quality
+from tarnwell.llm import langid, linecrf, oracles, quality
 from tarnwell.llm.align import cross_alignment
 from tarnwell.llm.chat import preference_pairs, runs_text
 from tarnwell.llm.decontam import decontaminate
@@ -46,7 +46,7 @@ def op4_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("h1", "h2", "group_class")
 
 
 def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,4 +115,4 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_ring_shards": op1_ring_shards, "op2_winnowing": op2_winnowing, "op3_license_scan": op3_license_scan, "op4_compression_langid": op4_compression_langid, "op5_minhash_near_dups": op5_minhash_near_dups, "op6_quality_cotraining": op6_quality_cotraining, "op7_preference_pairs": op7_preference_pairs, "op8_cost_packing": op8_cost_packing, "op9_hnsw_near_dups": op9_hnsw_near_dups, "op10_suffix_repeats": op10_suffix_repeats, "op11_line_labels": op11_line_labels, "op12_whitening": op12_whitening, "op13_token_alignment": op13_token_alignment}
-ORACLE_SQL: dict[str, str] = {"op7_preference_pairs": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_winnowing": oracles.WINNOWING, "op5_minhash_near_dups": oracles.NEAR_DUPLICATES, "op7_preference_pairs": OP7_SQL, "op9_hnsw_near_dups": oracles.NEAR_VECTORS, "op10_suffix_repeats": oracles.REPEATS}
