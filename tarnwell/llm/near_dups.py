@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.llm.common import small_side, text_key, tidied, written
@@ -225,16 +225,15 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     sets = texts.mapInArrow(_sets(words), "cls long, shingles binary")
     # of an id that stands on rows with several texts, _sets keeps those of the class itself
     sets = written((sets.dropDuplicates(["cls"]) if _ids_repeat(base) else sets).join(ids.select("cls", "n", "sig"), "cls"), "sets")
-    total = lists.agg(F.sum("shingles")).first()[0] or 0
 
-    def dealt(rows: DataFrame, links, *keys: str) -> DataFrame:
-        """Lists with signatures and sets, several to a group of bounded size."""
-        groups = max(1, total // GROUP_SHINGLES)
+    def dealt(rows: DataFrame, total: Column, of: DataFrame, links, *keys: str) -> DataFrame:
+        """Lists with signatures and sets, several to a group of bounded size; total: the shingles that rows bring, summed over `of`."""
+        groups = max(1, (of.agg(F.sum(total)).first()[0] or 0) // GROUP_SHINGLES)
         return rows.join(sets, "cls").withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(groups))).repartition(groups, "bucket").groupBy("bucket").applyInArrow(links, _LINKS)
 
     inner = posted.where("cls <> first or chunks = 1").select("cls", "token", "chunk", (F.col("cls") == F.col("first")).alias("leader"))
     leaders = lists.where("chunks > 1").select(F.col("first").alias("cls"), "token", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("leader"))
-    links = written(dealt(inner.union(leaders), _within(percent), "token", "chunk"), "links")
+    links = written(dealt(inner.union(leaders), F.col("shingles"), lists, _within(percent), "token", "chunk"), "links")
 
     long = posted.where("chunks > 1")
     if not long.isEmpty():
@@ -247,7 +246,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
         cols = ["cls", "token", "root"]
         queries = own.where("asks").select(*cols, F.pmod(F.xxhash64(F.lit(5), "cls"), F.col("queries")).cast("int").alias("query"), every("chunks").alias("chunk"), F.lit(True).alias("asks"))
         others = own.select(*cols, "chunk", every("queries").alias("query"), F.lit(False).alias("asks")).select(*queries.columns)
-        links = written(links.union(dealt(queries.union(others), _between(percent), "token", "query", "chunk")), "links")
+        sent = F.col("n") * (F.col("queries") + F.when(F.col("asks"), F.col("chunks")).otherwise(0))  # a member goes to each query, one that asks to each chunk
+        links = written(links.union(dealt(queries.union(others), sent, own, _between(percent), "token", "query", "chunk")), "links")
     final = written(components(links), "roots")
 
     known = classes.select("cls", "rep", "copies").join(final.withColumnRenamed("node", "cls"), "cls", "left").where("copies > 1 or root is not null")
