@@ -21,6 +21,8 @@ TRIGRAMS, BUCKETS = 1024, 16
 ROUNDS, SHARE = 4, 0.05
 #: Rows of features that a task holds as a matrix.
 ROWS = 512
+#: Vectors of sums that the driver adds up at most; those of more tasks are added up in tasks first.
+FAN = 128
 #: Documents with a smaller probability of good quality are rejected.
 ACCEPT = 0.5
 _N_META = 2 * BUCKETS + 9
@@ -138,7 +140,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.
 
 
 def _summed(table: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum of part(labels, features) over a table of taught documents; each task passes on one vector."""
+    """The sum of part(labels, features) over a table of taught documents; each task passes on one vector.
+
+    The vectors of more than FAN tasks are added up in FAN tasks first, so at most FAN of them come to the driver.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -148,7 +153,19 @@ def _summed(table: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarra
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-    return np.sum([np.frombuffer(r["total"], dtype="f8") for r in table.mapInArrow(rows, "total binary").collect()], axis=0)  # a vector of each task
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for t in batch.column(0):
+                v = np.frombuffer(t.as_buffer(), dtype="f8")
+                total = v if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    sums = table.mapInArrow(rows, "total binary")
+    if table.rdd.getNumPartitions() > FAN:
+        sums = sums.repartition(FAN).mapInArrow(added, "total binary")
+    return np.sum([np.frombuffer(r["total"], dtype="f8") for r in sums.collect()], axis=0)  # FAN vectors at most
 
 
 def _moments(t: np.ndarray, x: np.ndarray) -> np.ndarray:
