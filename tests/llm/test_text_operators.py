@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwell.llm import langid, licenses, queries, ring
+from tarnwell.llm import langid, licenses, near_dups, queries, ring
 from tarnwell.llm.decontam import decontaminate
 from tarnwell.llm.licenses import scan_licenses
 from tarnwell.llm.near_dups import near_duplicates
@@ -90,6 +91,21 @@ def test_registered_shards_equal_brute_force(spark, sf_dir):
         assert r["size"] == len(texts[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id])
 
 
+def test_equal_rows_are_dealt_from_each_task(spark):
+    """Rows that are equal in all columns, in many tasks, with others of the same key between them."""
+    rows = [(None, None)] * 3000 + [(None, "other")] * 5 + [(7, "x")] * 1000 + [(k, "y") for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(11)
+    got = bounded_ring_shards(df, "doc_id").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(rows, key=repr)
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert sorted(map(len, by.values())) == sorted(len(rows) // 8 + (s < len(rows) % 8) for s in range(8))
+    again = bounded_ring_shards(df.repartition(3), "doc_id").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
+
+
 def brute_contaminated(docs, items):
     found = []
     windows = defaultdict(set)
@@ -237,6 +253,27 @@ def test_near_duplicates_of_large_groups(spark):
     assert rows_of(near_duplicates(df, chunk=16), *COLUMNS5) == brute_near(rows)
 
 
+def test_groups_of_the_second_pass_are_bounded(spark, monkeypatch, tmp_path):
+    """Members that link with nothing go to each chunk of their list, and the groups they make are as small as the first pass's."""
+    real = near_dups._between
+
+    def counted(percent):
+        links = real(percent)
+
+        def noted(rows):
+            (tmp_path / uuid.uuid4().hex).write_text(str(sum(rows["n"].to_pylist())))
+            return links(rows)
+
+        return noted
+
+    monkeypatch.setattr(near_dups, "_between", counted)
+    monkeypatch.setattr(near_dups, "GROUP_SHINGLES", 1 << 13)
+    rows = [(i, " ".join([f"c{k}" for k in range(60)] + [f"u{i}x{k}" for k in range(30)])) for i in range(200)]
+    assert rows_of(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), chunk=10), *COLUMNS5) == brute_near(rows)
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert len(sizes) > 20 and max(sizes) < 6 * (1 << 13)
+
+
 def test_near_duplicates_about_the_threshold(spark):
     """Groups whose members are a little more and a little less alike than 0.75, in lists of several chunks."""
     rng = random.Random(5)

@@ -1,5 +1,6 @@
 """Models learn from every document that they may learn from."""
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -28,3 +29,13 @@ def test_dictionaries_hold_every_sampled_document_and_its_end(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     d = langid.train(docs, sample=100, size=128 << 10)["en"].decode()
     assert all(f"tail{chr(97 + i // 26)}{chr(97 + i % 26)}" in d for i in range(100))
+
+
+def test_sums_of_many_tasks_are_added_up_in_tasks(spark, monkeypatch):
+    rows = np.arange(400, dtype="f2").reshape(100, 4)
+    table = spark.createDataFrame([(0.0, 1.0, r.tobytes()) for r in rows], "a double, b double, v binary").repartition(9)
+    part = lambda t, x: np.concatenate([x.astype("f8").sum(0), t.sum(0)])
+    want = [*rows.astype("f8").sum(0), 0, 100]
+    assert quality._summed(table, part).tolist() == want
+    monkeypatch.setattr(quality, "FAN", 2)
+    assert quality._summed(table, part).tolist() == want
