@@ -7,14 +7,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.udtf import UserDefinedTableFunction
 
 from tarnwell.functions.json_walk import Walk, dimensional_chunks
 from tarnwell.sources.interim import written
 
 #: What leaves() tells of a node, beside document_id.
 NODE = "path string, level int, parent string, key string, pos int, kind string, shape string, n int, text string, chars int, bytes long, listed boolean, open boolean, rich boolean, uniform boolean, deepest int, keys long, arrays boolean, own array<string>, json string"
-#: Nodes of a batch that a task passes on.
-BATCH_NODES = 50_000
+#: Nodes or chunks of a batch that a task passes on, and characters of the documents that it is made of.
+BATCH_NODES, BATCH_CHARS = 50_000, 8 << 20
+OF_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
 
 
 def as_text(docs: DataFrame) -> DataFrame:
@@ -37,8 +39,7 @@ def leaves(spark: SparkSession, docs: DataFrame, top: int = -1) -> DataFrame:
     given = as_text(docs)
     kind = given.schema["document_id"].dataType.simpleString()
     names = ["document_id", *[c.split()[0] for c in NODE.split(", ")]]
-    of_arrow = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
-    kinds = [of_arrow[c.split()[1]] for c in NODE.split(", ")]
+    kinds = [OF_ARROW[c.split()[1]] for c in NODE.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,10 +75,44 @@ def profile(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("document_id").agg(F.max("level").alias("max_depth"), count(kind == "object").alias("objects"), count(kind == "array").alias("arrays"), count(~kind.isin("object", "array")).alias("leaves"))
 
 
-def called(docs: DataFrame, function, **options: object) -> DataFrame:
-    """document_id and what a table function gives of each document's JSON text, as a lateral join."""
-    given = as_text(docs).alias("d")
-    return given.lateralJoin(function(F.col("d.t").outer(), **{n: F.lit(v) for n, v in options.items()}).alias("c")).select("d.document_id", "c.*")
+def called(docs: DataFrame, function: UserDefinedTableFunction, **options: object) -> DataFrame:
+    """document_id and what a table function gives of each document's JSON text; documents go to it in Arrow batches.
+
+    A table function that is not made by json_walk.table_function is called by a lateral join.
+    """
+    given = as_text(docs)
+    if not hasattr(function, "called"):
+        made = function(F.col("d.t").outer(), **{n: F.lit(v) for n, v in options.items()})
+        return given.alias("d").lateralJoin(made.alias("c")).select("d.document_id", "c.*")
+    schema, chunks, defaults = function.called
+    if unknown := set(options) - set(defaults):
+        raise ValueError(f"no option {', '.join(sorted(unknown))}; there are {', '.join(defaults)}")
+    given_options = defaults | options
+    columns = [c.split() for c in (schema(**given_options) if callable(schema) else schema).split(", ")]
+    kind = given.schema["document_id"].dataType.simpleString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, documents, held = [], [], 0
+            for row, text in enumerate(batch.column(1)):
+                t = text.as_py()
+                for c in chunks(Walk(t), **given_options):
+                    made.append(c)
+                    documents.append(row)
+                held += len(t)
+                if len(made) >= BATCH_NODES or held >= BATCH_CHARS:
+                    yield _batch(batch.column(0), documents, made, columns)
+                    made, documents, held = [], [], 0
+            if made:
+                yield _batch(batch.column(0), documents, made, columns)
+
+    return given.mapInArrow(rows, f"document_id {kind}, {', '.join(f'`{n}` {k.replace('long', 'bigint')}' for n, k in columns)}")
+
+
+def _batch(ids: pa.Array, documents: list[int], made: list[tuple], columns: list[list[str]]) -> pa.RecordBatch:
+    """Rows of documents, whose ids are taken from theirs."""
+    values = zip(*made, strict=True) if made else [()] * len(columns)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(documents, pa.int64())), *[pa.array(v, OF_ARROW[k]) for v, (_, k) in zip(values, columns, strict=True)]], ["document_id", *[n for n, _ in columns]])
 
 
 def whole_dimensional_chunks(spark: SparkSession, docs: DataFrame, least: int = 50, size: int = 10) -> DataFrame:
