@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnwell import star
 from tarnwell.functions.ingest import batch_requests, batch_results
-from tarnwell.functions.json_chunks import leaves, whole_dimensional_chunks
+from tarnwell.functions.json_chunks import whole_dimensional_chunks
 from tarnwell.functions.json_strategies import hybrid, semantic
 from tarnwell.functions.json_configs import Configurations, domains_by_config
 from tarnwell.functions.sketches import DISTINCT_ERROR, RANK_ERROR, answered, sketched
@@ -259,7 +259,7 @@ def json_domains_by_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = Configurations()
     for k, words in enumerate(_WORDS):
         known.put(f"part{k}", words)
-    found = domains_by_config(leaves(spark, order_documents(spark, sf_dir)), known.merge("part0", "part1"))
+    found = domains_by_config(order_documents(spark, sf_dir), known.merge("part0", "part1"))
     return found.select("document_id", "domain", "hits", *[F.array_join(c, ",").alias(c) for c in ("domains", "metrics")])
 
 

@@ -69,8 +69,8 @@ def ingested(spark: SparkSession, docs: DataFrame, strategies: dict[str, Chunker
     if forced:
         chosen = docs.where("doc is not null").withColumns({"strategy": F.lit(forced), "confidence": F.lit(1.0)})
     else:
-        nodes, own = leaves(spark, docs), sql_analysis(analysis) if isinstance(analysis, str) else analysis
-        fits = written((own(nodes) if own else decided(analysed(nodes))).select("document_id", "strategy", "confidence"), "strategies")
+        own = sql_analysis(analysis) if isinstance(analysis, str) else analysis
+        fits = written((own(leaves(spark, docs)) if own else decided(analysed(docs))).select("document_id", "strategy", "confidence"), "strategies")
         chosen = docs.where("doc is not null").join(small_side(fits), "document_id")
     chosen = written(chosen.select("document_id", "doc", "confidence", "strategy"), "chosen", "strategy")
     known, made = STRATEGIES | {n: sql_chunker(c) if isinstance(c, str) else c for n, c in (strategies or {}).items()}, []

@@ -1,4 +1,8 @@
-"""What a JSON document is like: structure, content, the chunking strategy that fits it, and warnings.  One row a document."""
+"""What a JSON document is like: structure, content, the chunking strategy that fits it, and warnings.  One row a document.
+
+structure(), content(), analysed() and discovered() take nodes (json_chunks.leaves), which they group, or documents
+(document_id, doc), which are told within their rows: nothing is shuffled.
+"""
 
 from __future__ import annotations
 
@@ -8,26 +12,9 @@ from operator import add, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Words and patterns by which documents are told apart, and the weights and thresholds of the decision.
-DRILL_DOWN = ("drill_down", "breakdown", "hierarchical_analysis", "detailed_view", "sub_analysis", "nested_data")
-KEY_TYPES = {"identifiers": ("id", "key", "uuid", "guid"), "names": ("name", "title", "label"), "values": ("value", "amount", "price", "cost"), "descriptions": ("description", "summary", "detail"), "categories": ("type", "category", "class", "group")}
-DOMAINS = {
-    "analytics": ("metric", "analysis", "performance", "trend"),
-    "configuration": ("config", "setting", "parameter", "option"),
-    "business_data": ("customer", "product", "order", "transaction"),
-    "temporal": ("time", "date", "period", "timestamp"),
-    "geographical": ("location", "region", "country", "geo"),
-}
-METRIC_PATTERNS = {"percentage": "percent|%|ratio|rate", "change": "change|delta|diff|growth|decline", "count": "count|total|sum|number|quantity", "average": "average|mean|avg", "comparison": r"vs|versus|compare|period\d+"}
-TEMPORAL = r"\d{4}-\d{2}-\d{2}|time|date"
-PERFORMANCE = ("performance", "metric", "score", "rate", "change", "growth")
-REASONING = ("reason", "because", "due", "analysis", "explanation")
-METADATA = ("meta", "config", "info", "header", "settings")
-COLLECTIONS = ("data", "items", "entities", "records", "results")
-TECHNICAL = ("id", "type", "count", "total", "sum", "max", "min", "config", "meta", "info", "data", "key", "value")
-STRATEGIES = ("flat", "hierarchical", "semantic", "dimensional", "hybrid")
-THRESHOLDS = {"max_flat_depth": 3, "max_flat_keys": 20, "min_hierarchical_depth": 4, "dimensional_array_ratio": 0.4, "large_document_size": 1_000_000, "min_confidence": 0.4}
-# End of the fixed values.
+from tarnwell.functions.json_chunks import called
+from tarnwell.functions.json_parts import facts, key_rows
+from tarnwell.functions.json_words import COLLECTIONS, DOMAINS, DRILL_DOWN, KEY_TYPES, METADATA, METRIC_PATTERNS, PERFORMANCE, REASONING, STRATEGIES, TECHNICAL, TEMPORAL, TEXTS, THRESHOLDS, TYPES, WRITTEN
 
 
 def _any(words: tuple[str, ...], *texts: Column) -> Column:
@@ -72,13 +59,24 @@ def _counts(name: str, of: Column, kinds: tuple[str, ...]) -> Column:
     return F.map_filter(each, lambda _, v: v > 0).alias(name)
 
 
+def _facts(docs: DataFrame) -> DataFrame:
+    """What _structural() and _contentual() aggregate, of documents."""
+    out = called(docs, facts)
+    counts = {"entity_types": ("types", TYPES), "key_patterns": ("written", WRITTEN), "text_patterns": ("forms", TEXTS)}
+    maps = {name: F.map_filter(F.map_from_arrays(F.array(*map(F.lit, kinds)), F.col(c)), lambda _, v: v > 0) for name, (c, kinds) in counts.items()}
+    domains = {f"_{d}": F.col("hits")[k].cast("int") for k, d in enumerate(DOMAINS)}
+    return out.withColumns(maps | domains).drop("types", "written", "forms", "hits")
+
+
 def structure(nodes: DataFrame) -> DataFrame:
     """Size, depth, counts, flags, repeating patterns and complexity of each document.
 
     max_depth: 0 where the root holds plain values only.  size: bytes of the compact JSON text, chars its characters.
     """
-    out = nodes.groupBy("document_id").agg(*_structural())
-    return _shaped(out)
+    if "doc" in nodes.columns:
+        names = ("size", "chars", "max_depth", "keys", "arrays", "objects", "leaves", "drill_down", "large_array", "uniform_array", "root_is_object")
+        return _shaped(_facts(nodes).select("document_id", *names))
+    return _shaped(nodes.groupBy("document_id").agg(*_structural()))
 
 
 def _structural() -> list[Column]:
@@ -105,11 +103,15 @@ def _shaped(out: DataFrame) -> DataFrame:
 
 def content(nodes: DataFrame) -> DataFrame:
     """Types of keys and texts, domain, metrics, sections, entities and flags of each document."""
+    if "doc" in nodes.columns:
+        return _told(_facts(nodes).drop("size", "chars", "max_depth", "keys", "arrays", "objects", "leaves", "drill_down", "large_array", "uniform_array", "root_is_object"))
     return _told(_worded(nodes).groupBy("document_id").agg(*_contentual()))
 
 
 def analysed(nodes: DataFrame) -> DataFrame:
     """structure() and content() of each document, by one aggregate over its nodes."""
+    if "doc" in nodes.columns:
+        return _told(_shaped(_facts(nodes)))
     return _told(_shaped(_worded(nodes).groupBy("document_id").agg(*_structural(), *_contentual())))
 
 
@@ -127,10 +129,9 @@ def _contentual() -> list[Column]:
     entity = (F.length("key") >= 2) & ~low.isin(*TECHNICAL)
     inner = F.col("parent").isin(*[f"$.{c}" for c in COLLECTIONS])
     found = lambda words, of: F.array_compact(F.array(*[F.when(holds((w,), of), F.lit(w)) for w in words]))
-    types, written = (*KEY_TYPES, "numeric_key", "constant", "snake_case", "camelCase", "other"), ("snake_case", "camelCase", "UPPER_CASE", "lowercase", "kebab-case", "mixed")
     return [
-        _counts("entity_types", F.col("key_type"), types), _counts("key_patterns", F.col("key_pattern"), written),
-        _counts("text_patterns", F.col("text_pattern"), ("date_iso", "numeric_string", "long_text", "sentence", "uppercase_text", "short_text")),
+        _counts("entity_types", F.col("key_type"), TYPES), _counts("key_patterns", F.col("key_pattern"), WRITTEN),
+        _counts("text_patterns", F.col("text_pattern"), TEXTS),
         F.array_compact(F.array(*[F.when(F.max(F.coalesce(low.rlike(p), F.lit(False))), F.lit(n)) for n, p in METRIC_PATTERNS.items()])).alias("named_metrics"),
         F.coalesce(F.max(F.coalesce(low.rlike(TEMPORAL), F.lit(False)) | F.coalesce(texts.rlike(TEMPORAL), F.lit(False))), F.lit(False)).alias("temporal_data"),
         found(PERFORMANCE, low).alias("performance_metrics"), found(REASONING, F.col("long")).alias("reasoning_content"),
@@ -206,4 +207,5 @@ def decided(analysed: DataFrame, thresholds: dict[str, float] | None = None) ->
 
 def discovered(nodes: DataFrame) -> DataFrame:
     """key_type, keys: the different keys of all documents under what they name; the start of a configuration of one's own."""
-    return nodes.where("key is not null").select("key").distinct().groupBy(key_type(F.col("key")).alias("key_type")).agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    keys = called(nodes, key_rows) if "doc" in nodes.columns else nodes.where("key is not null")
+    return keys.select("key").distinct().groupBy(key_type(F.col("key")).alias("key_type")).agg(F.array_sort(F.collect_set("key")).alias("keys"))

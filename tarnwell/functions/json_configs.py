@@ -9,7 +9,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.functions.json_analysis import DOMAINS, METRIC_PATTERNS
+from tarnwell.functions.json_chunks import called
+from tarnwell.functions.json_parts import config_hits
+from tarnwell.functions.json_words import DOMAINS, METRIC_PATTERNS
 
 #: A configuration's own sections, and how many domains it had better not exceed.
 SECTIONS, MOST_DOMAINS = ("domain_patterns", "metric_patterns"), 20
@@ -127,14 +129,21 @@ def domains_by_config(nodes: DataFrame, config: dict) -> DataFrame:
 
     hits of a domain: the nodes whose key or text holds one of its words, in any case of letters; domain is the one with most
     (of several the first of the configuration; `general` without any), domains all with a hit, metrics the kinds of metric
-    whose pattern a key matches.
+    whose pattern a key matches.  nodes may be documents (document_id, doc), too; these are counted within their rows.
     """
     words = {d: [w.lower() for w in ws] for d, ws in config.get("domain_patterns", {}).items()}
-    key, text = F.lower(F.coalesce("key", F.lit(""))), F.lower(F.coalesce("text", F.lit("")))
-    holds = lambda ws: F.exists(F.array(*map(F.lit, ws)), lambda w: F.contains(key, w) | F.contains(text, w)) if ws else F.lit(False)
-    hits = [F.count(F.when(holds(ws), 1)).alias(f"d{k}") for k, ws in enumerate(words.values())]
-    kinds = [F.coalesce(F.max(F.coalesce(F.lower("key").rlike(p), F.lit(False))), F.lit(False)).alias(f"m{k}") for k, p in enumerate(config.get("metric_patterns", {}).values())]
-    out = nodes.groupBy("document_id").agg(F.count("*").alias("nodes"), *hits, *kinds)
+    patterns = config.get("metric_patterns", {})
+    if "doc" in nodes.columns:
+        found = called(nodes, config_hits, domains=list(words.values()))
+        matched = lambda p: F.exists("keys", lambda x: F.lower(x).rlike(p))
+        kinds = [matched(p).alias(f"m{k}") for k, p in enumerate(patterns.values())]
+        out = found.select("document_id", *[F.col("hits")[k].alias(f"d{k}") for k in range(len(words))], *kinds)
+    else:
+        key, text = F.lower(F.coalesce("key", F.lit(""))), F.lower(F.coalesce("text", F.lit("")))
+        holds = lambda ws: F.exists(F.array(*map(F.lit, ws)), lambda w: F.contains(key, w) | F.contains(text, w)) if ws else F.lit(False)
+        hits = [F.count(F.when(holds(ws), 1)).alias(f"d{k}") for k, ws in enumerate(words.values())]
+        kinds = [F.coalesce(F.max(F.coalesce(F.lower("key").rlike(p), F.lit(False))), F.lit(False)).alias(f"m{k}") for k, p in enumerate(patterns.values())]
+        out = nodes.groupBy("document_id").agg(F.count("*").alias("nodes"), *hits, *kinds)
     ranked = [F.struct(F.col(f"d{k}").alias("hits"), F.lit(-k).alias("place"), F.lit(d).alias("domain")) for k, d in enumerate(words)]
     best = F.array_max(F.array(*ranked)) if ranked else F.struct(F.lit(0).cast("long").alias("hits"), F.lit(0).alias("place"), F.lit("general").alias("domain"))
     none = F.array().cast("array<string>")
