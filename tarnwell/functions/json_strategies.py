@@ -3,28 +3,21 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add, or_
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.functions.json_analysis import DOMAINS, PERFORMANCE, REASONING
-from tarnwell.functions.json_chunks import called, leaves, whole_dimensional_chunks
-from tarnwell.functions.json_walk import STEP, flat_chunks, hierarchical_chunks, object_rows, semantic_regions
+from tarnwell.functions.json_chunks import called, whole_dimensional_chunks
+from tarnwell.functions.json_parts import LEAST_SCORE, REGION_CHARS, mixed_chunks, scored_objects, section_rows, told_chunks
+from tarnwell.functions.json_walk import flat_chunks, hierarchical_chunks
 
-# Words by which chunks are tagged and scored.
+# Words by which chunks are tagged.
 PLACE_TAGS = {"domain:user_management": ("user", "customer", "client"), "domain:product_catalog": ("product", "catalog", "inventory"), "domain:transaction": ("order", "transaction", "payment"), "domain:configuration": ("config", "setting", "preference")}
 KEY_TAGS = {
     "structure:entity": ("id", "uuid", "identifier"), "structure:named_entity": ("name", "title", "label"), "structure:temporal": ("date", "time", "created", "updated"), "structure:metadata": ("meta", "metadata", "info"),
     "semantic:descriptive": ("description", "comment", "note", "reason"), "semantic:quantitative": ("metric", "measure", "value", "count"),
 }
-TELLING = ("description", "reasoning", "analysis", "explanation", "comment")
-CONTENT_TYPES = {
-    "reasoning": ("reasoning", "explanation", "analysis", "insight", "conclusion"), "descriptive": ("description", "comment", "note", "summary"), "configuration": ("config", "setting", "option", "parameter"),
-    "entity": ("id", "name", "title", "type"), "temporal": ("date", "time", "created", "updated", "period"),
-}
-SECTION_WORDS = ("description", "reasoning", "analysis", "explanation", "insight", "performance", "metric", "trend", "growth")
-CONFIG_WORDS = ("config", "setting", "option", "preference", "parameter")
 # End of the fixed values.
 CHUNK = "document_id, chunk_id, chunk_type, path, level, parent_id, size, key_count, contains_arrays, tags, content"
 
@@ -69,48 +62,19 @@ def hierarchical(docs: DataFrame, max_bytes: int = 100_000, depth: int = 3, max_
 
 def scored(docs: DataFrame) -> DataFrame:
     """Objects with what they tell: score, content type and keywords."""
-    rows = called(docs, object_rows).withColumn("low", F.lower("json"))
-    hits = lambda words: reduce(add, [F.contains(F.col("low"), F.lit(w)).cast("int") for w in words])
-    figures = F.exists("kinds", lambda k: k.isin("numeric", "boolean")) | F.exists("texts", lambda t: t.rlike(r"\d+%|\d+\.\d+"))
-    context = figures & F.exists("texts", lambda t: F.length(t) > 20)
-    every = tuple(w for words in DOMAINS.values() for w in words)
-    score = hits(PERFORMANCE) + 1.5 * hits(REASONING) + 0.5 * hits(every) + F.when(F.arrays_overlap("own", F.array(*map(F.lit, TELLING))), 2).otherwise(0)
-    score = score + F.size(F.filter("texts", lambda t: F.length(t) > 50)) + context.cast("int")
-    of = lambda name: F.arrays_overlap("own", F.array(*map(F.lit, CONTENT_TYPES[name])))
-    rates = F.exists("parts", lambda v: v.rlike(r"\d+%|\d+\.\d+%|ratio|rate|percentage"))
-    kind = F.when(of("reasoning"), "reasoning").when(rates, "performance_metrics")
-    for name in ("descriptive", "configuration", "entity", "temporal"):
-        kind = kind.when(of(name), name)
-    named = [F.when(F.contains(F.col("low"), F.lit(w)), F.lit(w)) for w in dict.fromkeys((*PERFORMANCE, *REASONING, *every))]
-    long_keys = F.transform(F.filter("own", lambda k: (F.length(k) > 3) & ~F.lower(k).isin("data", "info", "item")), F.lower)
-    return rows.select("document_id", "path", "level", F.col("json").alias("content"), score.cast("double").alias("score"), kind.otherwise("general").alias("content_type"), F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*named)), long_keys))).alias("keywords"))
-
-
-def semantic(docs: DataFrame, least: float = 3.0, limit: int = 2048) -> DataFrame:
+    return called(docs, scored_objects)
+
+
+def semantic(docs: DataFrame, least: float = LEAST_SCORE, limit: int = REGION_CHARS) -> DataFrame:
     """The topmost objects that tell enough, related ones together; a document without any is chunked by its top level.
 
-    A document's telling objects go through one table function in path order, which holds what it puts together: a document,
-    which is one row of the input anyway.
+    A document is scored and put together within its row, in one pass.
     """
-    found = scored(docs).where(F.col("score") >= least)
-    made = semantic_regions(found.asTable().partitionBy("document_id").orderBy("path"), F.lit(limit))
-    told = made.select(
-        "document_id", F.concat_ws("_", "document_id", F.lit("semantic"), "number").alias("chunk_id"), F.lit("semantic").alias("chunk_type"), "path", "level", F.lit(None).cast("string").alias("parent_id"), F.octet_length("content").cast("long").alias("size"),
-        F.regexp_count("content", F.lit('":')).cast("long").alias("key_count"), F.contains("content", F.lit("[")).alias("contains_arrays"), F.concat(F.array(F.concat(F.lit("content_type:"), "content_type")), F.transform(F.slice("keywords", 1, 5), lambda w: F.concat(F.lit("keyword:"), w))).alias("tags"), "content",
+    name = F.when(F.col("chunk_type") == "semantic", "semantic").otherwise("fallback")
+    return called(docs, told_chunks, least=least, limit=limit).select(
+        "document_id", F.concat_ws("_", "document_id", name, "name").alias("chunk_id"), "chunk_type", "path", "level", F.lit(None).cast("string").alias("parent_id"), F.octet_length("content").cast("long").alias("size"),
+        F.regexp_count("content", F.lit('":')).cast("long").alias("key_count"), F.contains("content", F.lit("[")).alias("contains_arrays"), "tags", "content",
     )
-    without = docs.join(found.select("document_id").distinct(), "document_id", "left_anti")
-    plain = leaves(docs.sparkSession, without, 1).where((F.col("level") == 1) & F.col("key").isNotNull() & (F.col("n") > 0))
-    rest = plain.withColumn("content", keyed(F.col("key"), F.col("json"))).select(
-        "document_id", F.concat_ws("_", "document_id", F.lit("fallback"), "key").alias("chunk_id"), F.lit("semantic_fallback").alias("chunk_type"), "path", "level", F.lit(None).cast("string").alias("parent_id"), F.octet_length("content").cast("long").alias("size"),
-        F.regexp_count("content", F.lit('":')).cast("long").alias("key_count"), F.contains("content", F.lit("[")).alias("contains_arrays"), F.array().cast("array<string>").alias("tags"), "content",
-    )
-    return told.union(rest)
-
-
-def keyed(key: Column, value: Column) -> Column:
-    """The JSON object of one key and a value's JSON."""
-    quoted = F.to_json(F.array(key))
-    return F.concat(F.lit("{"), quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(":"), value, F.lit("}"))
 
 
 def dimensional(docs: DataFrame, rest: str = "$") -> DataFrame:
@@ -123,59 +87,17 @@ def dimensional(docs: DataFrame, rest: str = "$") -> DataFrame:
 
 def sections(docs: DataFrame, flat_depth: int = 2, large: int = 10_000, array_ratio: float = 0.4, telling: float = 2.0) -> DataFrame:
     """document_id, section, strategy and JSON of every top-level key; a small plain document is one section by itself."""
-    nodes = leaves(docs.sparkSession, docs, 1)
-    array = F.count(F.when(F.col("kind") == "array", 1))
-    top = F.try_element_at(F.regexp_extract_all("path", F.lit(STEP.pattern), F.lit(1)), F.lit(1))
-    each = nodes.groupBy("document_id", top.alias("top")).agg(
-        F.max("level").alias("depth"), F.max(F.when(F.col("level") <= 1, F.col("json"))).alias("json"), F.max(F.when(F.col("level") == 1, F.col("key"))).alias("key"), F.count("*").alias("items"), array.alias("arrays"),
-        F.max(F.when((F.col("level") == 1) & (F.col("kind") == "object"), F.lower(F.array_join("own", " ")))).alias("inner"), F.max(F.when(F.col("level") <= 1, F.col("kind"))).alias("kind"), F.max(F.when(F.col("level") <= 1, F.col("chars"))).alias("longest"),
-    )
-    of = Window.partitionBy("document_id")  # the sections of a document, with its root
-    each = each.withColumns({"deep": F.max("depth").over(of), "chars": F.max("longest").over(of), "all_arrays": F.sum("arrays").over(of)})
-    text = F.lower("json")
-    score = F.when(F.col("kind").isin("object", "array"), reduce(add, [F.contains(text, F.lit(w)).cast("int") for w in SECTION_WORDS]) + (F.length("json") > 1000).cast("int")).otherwise(0)
-    config = F.coalesce((F.col("kind") == "object") & (_has(F.lower("key"), CONFIG_WORDS) | _has(F.col("inner"), CONFIG_WORDS)), F.lit(False))
-    chosen = (
-        F.when((F.col("arrays") > 0) & (F.col("arrays") / F.col("items") >= array_ratio), "dimensional").when(score >= telling, "semantic").when(F.col("depth") > flat_depth, "hierarchical").when(config & (F.col("depth") <= 3), "flat").when(F.col("depth") > 2, "hierarchical").otherwise("flat")
-    )
-    small = (F.col("deep") + 1 <= flat_depth) & (F.col("chars") < large) & (F.col("all_arrays") == 0)
-    root = F.col("top").isNull()
-    shown = F.when(root, F.col("json")).otherwise(keyed(F.col("key"), F.col("json")))
-    wanted = (small & root) | (~small & ~root & F.col("key").isNotNull())
-    return each.where(wanted).select("document_id", F.coalesce("key", F.lit("entire_document")).alias("section"), F.when(root, "flat").otherwise(chosen).alias("strategy"), shown.alias("json"))
+    return called(docs, section_rows, flat_depth=flat_depth, large=large, array_ratio=array_ratio, telling=telling)
 
 
 def hybrid(docs: DataFrame, small: int = 500, few_keys: int = 5, large: int = 100_000) -> DataFrame:
-    """Each section's chunks by the strategy that fits it; neighbouring small chunks are joined and very large ones cut flat."""
-    named = F.to_json(F.struct("document_id", "section"))
-    parts = sections(docs).select(named.alias("document_id"), "strategy", F.try_parse_json("json").alias("doc"))
-    of = lambda s: parts.where(F.col("strategy") == s).select("document_id", "doc")
-    made = [_unpacked(f(of(s)), s) for s, f in (("flat", flat), ("hierarchical", hierarchical), ("semantic", semantic), ("dimensional", lambda d: dimensional(d, "remaining")))]
-    chunks = reduce(DataFrame.unionByName, made)
-    w = Window.partitionBy("document_id").orderBy("section", "path", "chunk_id")
-    tiny = (F.col("size") < small) & (F.col("key_count") < few_keys)
-    runs = chunks.withColumn("tiny", tiny).withColumn("run", F.sum(F.when(F.col("tiny") & F.lag("tiny", 1, False).over(w), 0).otherwise(1)).over(w))
-    one = runs.groupBy("document_id", "run").agg(
-        F.count("*").alias("n"), F.min_by(F.struct("chunk_id", "chunk_type", "path", "parent_id", "content"), F.struct("section", "path", "chunk_id")).alias("x"), F.max("level").alias("level"), F.sum("size").alias("size"), F.sum("key_count").alias("key_count"), F.max("contains_arrays").alias("contains_arrays"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"), F.sort_array(F.collect_list(F.struct("section", "path", "chunk_id", "content"))).alias("all"),
-    )
-    joined = F.concat(F.lit("{"), F.array_join(F.transform("all", lambda c, k: F.concat(F.lit('"merged_section_'), k.cast("string"), F.lit('":'), c["content"])), ","), F.lit("}"))
-    several = F.col("n") > 1
-    one = one.select(
-        "document_id", F.when(several, F.concat_ws("_", "document_id", F.lit("hybrid_merged"), "run")).otherwise(F.col("x.chunk_id")).alias("chunk_id"), F.when(several, "hybrid_merged").otherwise(F.col("x.chunk_type")).alias("chunk_type"), F.when(several, "merged_small_chunks").otherwise(F.col("x.path")).alias("path"),
-        "level", F.when(~several, F.col("x.parent_id")).alias("parent_id"), "size", "key_count", "contains_arrays", "tags", F.when(several, joined).otherwise(F.col("x.content")).alias("content"),
+    """Each section's chunks by the strategy that fits it; neighbouring small chunks are joined and very large ones cut flat.
+
+    A document's sections, their chunks and what is joined of them are made within its row, in one pass.
+    """
+    made = called(docs, mixed_chunks, small=small, few_keys=few_keys, large=large)
+    own = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("_", "document_id", c))
+    about = F.concat(F.flatten(F.transform("places", lambda p: tags(p, F.array().cast("array<string>")))), tags(F.lit(""), F.col("names")), F.col("marks"))
+    return made.select(
+        F.col("document_id").cast("string").alias("document_id"), own("name").alias("chunk_id"), "chunk_type", "path", "level", own("parent").alias("parent_id"), "size", "key_count", "contains_arrays", F.concat(F.array_sort(F.array_distinct(about)), "last").alias("tags"), "content",
     )
-    big = one.where(F.col("size") > large)
-    cut = flat(big.select(F.to_json(F.struct("document_id", "chunk_id", "chunk_type")).alias("document_id"), F.try_parse_json("content").alias("doc")))
-    back = F.from_json("document_id", f"document_id {dict(one.dtypes)['document_id']}, chunk_id string, chunk_type string")
-    cut = cut.withColumn("b", back).withColumns({"chunk_id": F.concat_ws("_", "b.chunk_id", F.substring_index("chunk_id", "_", -1)), "chunk_type": F.concat("b.chunk_type", F.lit("_split")), "document_id": F.col("b.document_id"), "tags": F.concat("tags", F.array(F.lit("split_from_large_chunk")))}).drop("b")
-    return one.where(F.col("size") <= large).unionByName(cut)
-
-
-def _unpacked(chunks: DataFrame, strategy: str) -> DataFrame:
-    """Chunks of sections as chunks of their documents, tagged with section and strategy."""
-    at = F.from_json("document_id", "document_id string, section string")
-    of = chunks.withColumn("at", at)
-    mine = F.array(F.concat(F.lit("hybrid_strategy:"), F.lit(strategy)), F.concat(F.lit("hybrid_section:"), F.col("at.section")))
-    own = lambda c: F.replace(c, F.col("document_id"), F.concat_ws("_", "at.document_id", "at.section"))
-    return of.select(F.col("at.document_id").alias("document_id"), F.col("at.section").alias("section"), own(F.col("chunk_id")).alias("chunk_id"), F.lit(f"hybrid_{strategy}").alias("chunk_type"), "path", "level", own(F.col("parent_id")).alias("parent_id"), "size", "key_count", "contains_arrays", F.concat("tags", mine).alias("tags"), "content")

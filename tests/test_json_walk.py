@@ -179,3 +179,38 @@ def test_telling_objects_and_fallbacks(spark):
     chunks = semantic(docs).collect()
     assert {(c.document_id, c.chunk_type) for c in chunks} == {("told", "semantic"), ("flat", "semantic_fallback")}
     assert [json.loads(c.content) for c in chunks if c.document_id == "flat"] == [{"a": {"b": 1}}] and json.loads(next(c.content for c in chunks if c.document_id == "told")) == rows[0][1]
+
+
+def test_documents_told_in_their_rows_equal_their_grouped_nodes(spark):
+    from tarnwell.functions.json_analysis import content, decided, discovered, structure
+    from tarnwell.functions.json_configs import domains_by_config
+
+    chance = random.Random(8)
+    telling = [{"metric_id": 5, "Total_Count": "12%", "Überschrift": "2024-01-05 because of the growth in every region of the land"}, {"data": [{"price": 1.5, "orderTime": "X"}], "META": {}, "a-b": "ABC"}, {"items": {"name": "7", "12": "due to a time that was"}}, ["percent", {"Config": True}], {"": 1, "x\n": "1\n"}, "breakdown"]
+    docs = documents(spark, [(str(k), made_up(chance)) for k in range(150)] + [(f"t{k}", v) for k, v in enumerate(telling)] + [("null", ...)])
+    nodes = leaves(spark, docs)
+    for of in (structure, content, analysed, lambda x: decided(analysed(x)), discovered, lambda x: domains_by_config(x, {"domain_patterns": {"d": ["a", "Met"], "e": []}, "metric_patterns": {"m": "^a|count"}})):
+        within, grouped = of(docs), of(nodes)
+        assert sorted(within.columns) == sorted(grouped.columns) and dict(within.dtypes) == dict(grouped.dtypes)
+        shown = lambda df: sorted(str(sorted(r.asDict(True).items(), key=lambda x: x[0])) for r in df.collect())
+        assert shown(within) == shown(grouped)
+
+
+def test_documents_are_chunked_without_a_shuffle(spark):
+    from tarnwell.functions.json_analysis import decided
+    from tarnwell.functions.json_strategies import flat, hierarchical, hybrid, sections
+
+    docs = documents(spark, [("a", {"x": {"y": 1}})])
+    for df in (flat(docs), hierarchical(docs), semantic(docs), sections(docs), hybrid(docs), scored(docs), decided(analysed(docs))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_sections_with_an_empty_key_and_large_merged_chunks(spark):
+    from tarnwell.functions.json_strategies import hybrid, sections
+
+    docs = documents(spark, [("a", {"": {"x": {"y": {"z": 1}}}, "b": [1, 2], "c": 3})])
+    assert sorted((r.section, r.strategy, r.json) for r in sections(docs).collect()) == [("", "hierarchical", '{"":{"x":{"y":{"z":1}}}}'), ("b", "flat", '{"b":[1,2]}'), ("c", "flat", '{"c":3}')]
+    long = {"n": [{"k": i} for i in range(60)], "p": "x y"}
+    cut = hybrid(documents(spark, [("d", long)]), large=40).orderBy("chunk_id").collect()
+    assert all(r.chunk_type.endswith("_split") and r.tags[-1] == "split_from_large_chunk" for r in cut if "_split" in r.chunk_type) and any(r.chunk_type.endswith("_split") for r in cut) and all(json.loads(r.content) for r in cut)
