@@ -265,3 +265,19 @@ def test_sessions_of_a_stream_with_late_rows_and_a_restart(spark, tmp_path):
                 assert all(types[r.user_id, r.start] == (by_time[r.user_id, r.start], by_time[r.user_id, r["last"]]) for r in want.collect())
     finally:
         spark.conf.unset(provider)
+
+
+def test_equal_vectors_tie_wherever_they_stand_in_a_block():
+    from tarnwell.operators.vectors import best_of
+
+    chance = np.random.default_rng(11)
+    q, one, other = (x / np.sqrt((x * x).sum()) for x in chance.standard_normal((3, 67)))
+    seen = set()
+    for size in (3, 17, 64, 301):
+        m = np.tile(other, (size, 1))
+        m[::2] = one
+        p, near = best_of(q, m, m @ q + chance.uniform(-1e-15, 1e-15, size), np.arange(size), 1)
+        same = m[p[0]]
+        assert p.tolist() == [i for i in range(size) if (m[i] == same).all()] and len(set(near)) == 1
+        seen.add(float(near[0]))
+    assert len(seen) == 1
