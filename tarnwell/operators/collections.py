@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,6 +174,10 @@ def within_limit(chunks: DataFrame, most: int = 7500, text: str = "text") -> Dat
     return chunks.where(tokens(F.col(text)) <= most)
 
 
+#: Texts that a task holds as Python strings at a time, with their pieces, while it cuts them.
+CUT_ROWS = 64
+
+
 def subdivided(chunks: DataFrame, most: int = 7500, text: str = "text") -> DataFrame:
     """chunks with part: texts of too many tokens in pieces that end with a sentence or a word; no character is lost or twice."""
 
@@ -183,16 +188,21 @@ def subdivided(chunks: DataFrame, most: int = 7500, text: str = "text") -> DataF
         while at < len(t):
             to = min(len(t), at + max(1, min(len(t) // n, most * 4)))
             if to < len(t):
-                ends = [m.end() for m in re.finditer(r"[.!?]\s|\s", t[at:to])]
-                stops = [m.end() for m in re.finditer(r"[.!?]\s", t[at:to])]
-                to = at + (stops or ends or [to - at])[-1]
+                stop = end = 0
+                for m in re.finditer(r"[.!?]?\s", t[at:to]):
+                    end = m.end()
+                    stop = end if m.end() - m.start() > 1 else stop
+                to = at + (stop or end or to - at)
             out.append(t[at:to])
             at = to
         return out
 
-    @F.pandas_udf("array<string>")
-    def parts(s: pd.Series) -> pd.Series:
-        return s.map(cut)
+    kind = pa.list_(pa.string())
+
+    @F.arrow_udf("array<string>")
+    def parts(column: pa.Array) -> pa.Array:
+        each = [pa.array([cut(t) for t in column.slice(k, CUT_ROWS).to_pylist()], kind) for k in range(0, len(column), CUT_ROWS)]
+        return pa.concat_arrays(each) if each else pa.array([], kind)
 
     return chunks.select("*", F.posexplode(parts(F.col(text))).alias("part", "__piece")).drop(text).withColumnRenamed("__piece", text)
 

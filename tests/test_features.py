@@ -281,3 +281,36 @@ def test_equal_vectors_tie_wherever_they_stand_in_a_block():
         assert p.tolist() == [i for i in range(size) if (m[i] == same).all()] and len(set(near)) == 1
         seen.add(float(near[0]))
     assert len(seen) == 1
+
+
+def test_a_task_holds_few_texts_while_it_cuts_them(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tarnwell.operators import collections
+
+    made = []
+
+    def taken(kind):
+        return lambda f: made.append(f) or (lambda c: F.array())
+
+    class Chunks:
+        def select(self, *_):
+            return self
+
+        drop = withColumnRenamed = select
+
+    monkeypatch.setattr(collections.F, "arrow_udf", taken)
+    monkeypatch.setattr(collections.F, "posexplode", lambda c: F)
+    monkeypatch.setattr(collections.F, "col", lambda c: c)
+    monkeypatch.setattr(collections.F, "array", lambda: F)
+    monkeypatch.setattr(collections.F, "alias", lambda *_: None, raising=False)
+    collections.subdivided(Chunks(), 100)
+    texts = pa.array([("A sentence of words. " * 50 + str(k)) for k in range(3000)] + [None, ""])
+    tracemalloc.start()
+    out = made[0](texts)
+    assert tracemalloc.get_traced_memory()[1] < texts.nbytes / 8  # all texts as strings take more than texts.nbytes
+    tracemalloc.stop()
+    assert ["".join(x) for x in out.to_pylist()[:50]] == texts.to_pylist()[:50] and out.to_pylist()[-2:] == [[None], [""]]
+    assert made[0](texts[:0]).to_pylist() == [] and max(len(x) for x in out.to_pylist()[0]) <= 400
