@@ -15,6 +15,8 @@ from tarnwell.sources.interim import dropped, small_side, written
 ENTRY = "path string, document_id string, length long, modified timestamp, hash string, gone boolean, run long"
 #: Files that are read and stored together; a failure loses one such block at most.
 BLOCK_FILES = 10_000
+#: Tasks that look up the files of a block.
+LISTING_TASKS = 32
 
 
 def _root(spark: SparkSession, folder: str) -> str:
@@ -64,8 +66,18 @@ def blocks(changed: DataFrame, size: int = BLOCK_FILES) -> Iterator[list[str]]:
 
 
 def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, hash and body (text) of these files; Spark deals them out to tasks by their sizes."""
-    read = spark.read.format("binaryFile").load([p.replace("{", "\\{").replace("[", "\\[").replace("*", "\\*").replace("?", "\\?") for p in paths])
+    """path, hash and body (text) of these files; Spark deals them out to tasks by their sizes.
+
+    Spark looks up the paths in as many tasks as there are paths, each of which sends the driver far more than its file's
+    entry; here LISTING_TASKS look up all of them.
+    """
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    old = spark.conf.get(key)
+    spark.conf.set(key, min(int(old), LISTING_TASKS))
+    try:
+        read = spark.read.format("binaryFile").load([p.replace("{", "\\{").replace("[", "\\[").replace("*", "\\*").replace("?", "\\?") for p in paths])
+    finally:
+        spark.conf.set(key, old)
     return read.select("path", F.sha2("content", 256).alias("hash"), F.col("content").cast("string").alias("body"))
 
 

@@ -196,3 +196,20 @@ def test_deployments_and_scoped_tables(spark, tmp_path):
         assert found["one"].count() == 3 and missing == ["two"]
     finally:
         spark.sql("drop database scoped cascade")
+
+
+def test_paths_of_a_block_are_looked_up_in_few_tasks(spark, tmp_path):
+    for k in range(120):
+        (tmp_path / f"f{k} [x].json").write_text(str(k))
+    key, jobs = "spark.sql.sources.parallelPartitionDiscovery.parallelism", f"listing {tmp_path}"
+    before = spark.conf.get(key)
+    spark.sparkContext.setJobGroup(jobs, jobs)
+    try:
+        found = manifest.contents(spark, [f"file:{tmp_path}/f{k} [x].json" for k in range(120)])
+        tracker = spark.sparkContext.statusTracker()
+        tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(jobs) for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(name, None)
+    assert tasks and max(tasks) <= manifest.LISTING_TASKS and spark.conf.get(key) == before
+    assert sorted(int(r.body) for r in found.select("body").collect()) == list(range(120))
