@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from tarnwell.llm.common import small_side, written
 
-#: Entries of a worker's cache of words; it starts anew beyond them, so its memory is bounded.  Longer words are not kept.
+#: Entries of each of the two halves of a worker's cache of words, so its memory is bounded.  Longer words are not kept.
 CACHE_WORDS, CACHE_CHARACTERS = 200_000, 64
-#: Tokens of A that are aligned together; a longer text is aligned in several blocks of whole words.
+#: Characters, and so tokens in about, that are aligned together; a longer text is aligned in several blocks of whole words.
 BLOCK_TOKENS = 1 << 16
 #: Linked pairs of a batch of results.
 BATCH_PAIRS = 1 << 20
@@ -29,7 +29,11 @@ B_IDS = 1 << 20
 
 
 class Words:
-    """Ids of both tokenizers for a space and a word; None where the bytes of either do not give these characters again."""
+    """Ids of both tokenizers for a space and a word.
+
+    New words of a block are encoded as one text.  A full cache becomes the older half, of which words that occur again are
+    taken over, so frequent words stay known.
+    """
 
     def __init__(self, rank_path: str, pattern: str, piece_path: str):
         import sentencepiece
@@ -44,21 +48,50 @@ class Words:
         self.a_sizes = np.zeros(max(self.a_bytes) + 1, dtype="i8")
         self.a_sizes[list(self.a_bytes)] = [len(b) for b in self.a_bytes.values()]
         self.b_sizes = np.array([len(b) for b in self.b_bytes], dtype="i8")
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def ids(self, word: str) -> tuple[bytes, bytes] | None:
-        if word in self.known:
-            return self.known[word]
-        raw = (" " + word).encode()
-        a, b = self.bpe.encode_ordinary(" " + word), self.pieces.encode(word, num_threads=1)
-        whole = raw == b"".join(map(self.a_bytes.__getitem__, a)) == b"".join(map(self.b_bytes.__getitem__, b))
-        out = (np.array(a, dtype="<u4").tobytes(), np.array(b, dtype="<u4").tobytes()) if whole else None
-        if len(word) <= CACHE_CHARACTERS:
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            self.known[word] = out
+        self.known: dict[str, tuple[bytes, ...]] = {}
+        self.older: dict[str, tuple[bytes, ...]] = {}
+
+    def ids(self, words: list[str]) -> list[tuple[bytes, ...]] | None:
+        """Each word's ids; None where the bytes of either tokenizer do not give the characters of all words again."""
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = self._new(list(dict.fromkeys(w for w, ids in zip(words, found, strict=True) if ids is None)))
+            found = [new[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        return found if all(found) else None
+
+    def _new(self, words: list[str]) -> dict[str, tuple[bytes, ...]]:
+        """Ids of words that are not known; () for one that is not given again."""
+        out = dict(zip(words, map(self.older.get, words), strict=True))
+        asked = [w for w, ids in out.items() if ids is None]
+        if asked:
+            out.update(zip(asked, self._encoded(asked), strict=True))
+        for word, ids in out.items():
+            if len(word) <= CACHE_CHARACTERS:
+                if len(self.known) >= CACHE_WORDS:
+                    self.known, self.older = {}, self.known
+                self.known[word] = ids
         return out
 
+    def _encoded(self, words: list[str]) -> list[tuple[bytes, ...]]:
+        """Ids of words, encoded as one text; if that cannot be cut into these words again, each half of them by itself."""
+        text, parts = " ".join(words), []
+        if len(words) == 1 or CUT.split(text) == words:
+            raw, until = (" " + text).encode(), np.cumsum([len(w.encode()) + 1 for w in words])
+            for ids, sizes, shown in ((self.bpe.encode_ordinary(" " + text), self.a_sizes, self.a_bytes), (self.pieces.encode(text), self.b_sizes, self.b_bytes)):
+                if b"".join(map(shown.__getitem__, ids)) != raw:
+                    break
+                found = np.array(ids, dtype="u4")
+                ends = np.cumsum(sizes[found])
+                last = np.searchsorted(ends, until)
+                if (ends[last] != until).any():
+                    break
+                flat, cuts = found.tobytes(), [0, *(4 * (last + 1)).tolist()]
+                parts.append([flat[i:j] for i, j in zip(cuts, cuts[1:], strict=False)])
+        if len(parts) == 2:
+            return list(zip(*parts, strict=True))
+        half = len(words) // 2
+        return self._encoded(words[:half]) + self._encoded(words[half:]) if half else [()]
+
 
 def aligned(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Groups and links of two rows of tokens, of these sizes in bytes, that cover the same bytes.
@@ -112,39 +145,36 @@ class Aligner:
     def text(self, text: str) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """Tokens of A and B, groups, links, the digest of the groups, and the distinct pairs of linked ids with their numbers."""
         sha, counts, pairs, times = hashlib.sha256(), np.zeros(4, dtype="i8"), [], []
-        a, b, size = [], [], 0
-
-        def block() -> None:
-            ids = [np.frombuffer(b"".join(x), dtype="<u4").astype("i8") for x in (a, b)]
+        for words in _blocks(text):
+            found = self.words.ids(words)
+            if found is None:
+                return 0, 0, 0, 0, "", np.zeros(0, "i8"), np.zeros(0, "i8")
+            ids = [np.frombuffer(b"".join(x), dtype="u4").astype("i8") for x in zip(*found, strict=True)]
             order, side, group, of_a, of_b = aligned(self.words.a_sizes[ids[0]], self.words.b_sizes[ids[1]])
             if counts[2]:
                 sha.update(b";")
             by_group = np.argsort(2 * group + side, kind="stable")
             sha.update(self.numbers.shown(np.concatenate(ids)[order][by_group], side[by_group], group[by_group]))
-            counts[:] += [len(ids[0]), len(ids[1]), group[-1] + 1, len(of_a)]
+            counts += [len(ids[0]), len(ids[1]), group[-1] + 1, len(of_a)]
             pair, n = np.unique(ids[0][of_a] * B_IDS + ids[1][of_b], return_counts=True)
             pairs.append(pair)
             times.append(n)
-
-        at = 0
-        for cut in [*(m.start() for m in CUT.finditer(text)), len(text)] if text else []:
-            found = self.words.ids(text[at:cut])
-            if found is None:
-                return 0, 0, 0, 0, "", np.zeros(0, "i8"), np.zeros(0, "i8")
-            a.append(found[0])
-            b.append(found[1])
-            at, size = cut + 1, size + len(found[0]) // 4
-            if size >= BLOCK_TOKENS:
-                block()
-                a, b, size = [], [], 0
-                if len(pairs) > 16:
-                    pairs, times = [[x] for x in _merged(pairs, times)]
-        if a:
-            block()
+            if len(pairs) > 16:
+                pairs, times = [[x] for x in _merged(pairs, times)]
         pair, n = _merged(pairs, times)
         return *counts.tolist(), sha.hexdigest() if counts[0] else "", pair, n
 
 
+def _blocks(text: str) -> Iterator[list[str]]:
+    """The words of a text, in blocks that end at the first cut after BLOCK_TOKENS characters."""
+    at = 0
+    while at < len(text):
+        cut = CUT.search(text, at + BLOCK_TOKENS) if len(text) - at > BLOCK_TOKENS else None
+        end = cut.start() if cut else len(text)
+        yield CUT.split(text[at:end])
+        at = end + 1
+
+
 def _merged(pairs: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if len(pairs) == 1:
         return pairs[0], times[0]

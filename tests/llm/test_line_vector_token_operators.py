@@ -244,3 +244,17 @@ def test_long_texts_align_in_blocks(monkeypatch):
     monkeypatch.setattr(align, "CACHE_WORDS", 5)
     parts = align.Aligner(*paths()).text(text)
     assert whole[:5] == parts[:5] and (whole[5] == parts[5]).all() and (whole[6] == parts[6]).all()
+
+
+def test_new_words_are_encoded_together_and_frequent_ones_stay_known(monkeypatch):
+    words, asked = align.Aligner(*paths()).words, []
+    encode = words._encoded
+    monkeypatch.setattr(words, "_encoded", lambda new: asked.append(list(new)) or encode(new))
+    monkeypatch.setattr(align, "CACHE_WORDS", 4)
+    for k in range(20):
+        assert words.ids([f"rare{k}", "the", f"once{k}", "the"])[1:] == words.ids(["the", f"once{k}", "the"])
+    assert asked == [["rare0", "the", "once0"]] + [[f"rare{k}", f"once{k}"] for k in range(1, 20)]
+    assert len(words.known) <= 4 and len(words.older) <= 4
+    odd = [" a", "b ", "▁c", "d\n", "a\x00b", "water", "中文"]
+    together = words._encoded(odd)
+    assert together == [encode([w])[0] for w in odd] and together[5] and not together[2]
