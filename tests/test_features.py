@@ -56,6 +56,19 @@ def test_index_finds_neighbours_in_the_probed_cells(spark, tmp_path):
     assert vector_index.search_index(none, asked, 3).count() == 0 and vector_index.search_index(index, asked.limit(0), 3, exact=True).count() == 0
 
 
+def test_asking_vectors_are_not_sent_to_the_driver(spark, tmp_path):
+    chance = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, chance.standard_normal(8).tolist()) for i in range(400)] + [(1000 + i, [1.0] * 8) for i in range(50)], "chunk_id long, embedding array<double>")
+    asked = df.where("chunk_id % 10 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    index = vector_index.build(df, f"{tmp_path}/i", cells=6)
+    first = vector_index.fitted(df, 450, steps=0)
+    assert len(first) == 401 == len({tuple(c) for c in first.tolist()})
+    found = vector_index._compared(index, vector_index._asked(index, asked, 2), 5, None)
+    assert found.collect()
+    done = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in done and "Broadcast" not in done
+
+
 # --- hierarchies ------------------------------------------------------------------------------------------------------
 
 
