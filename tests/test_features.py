@@ -56,6 +56,16 @@ def test_index_finds_neighbours_in_the_probed_cells(spark, tmp_path):
     assert vector_index.search_index(none, asked, 3).count() == 0 and vector_index.search_index(index, asked.limit(0), 3, exact=True).count() == 0
 
 
+def test_calibration_holds_for_rows_that_no_centre_started_from(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(6000, 32)))], "chunk_id long, embedding array<float>").repartition(8).cache()
+    asked = df.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    index = vector_index.build(df, f"{tmp_path}/i", cells=256)  # as many centres as calibration rows
+    (one,) = vector_index.recall(vector_index.search_index(index, asked, 10), search_all(df, asked, 10)).collect()
+    assert (one.queries, one.neighbours) == (300, 3000) and one.recall >= 0.95 and index.probes < 256
+    df.unpersist()
+
+
 def test_asking_vectors_are_not_sent_to_the_driver(spark, tmp_path):
     chance = np.random.default_rng(5)
     df = spark.createDataFrame([(i, chance.standard_normal(8).tolist()) for i in range(400)] + [(1000 + i, [1.0] * 8) for i in range(50)], "chunk_id long, embedding array<double>")
