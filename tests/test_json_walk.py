@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from tarnwell.functions import json_walk
+from tarnwell.functions import json_parts, json_walk
 from tarnwell.functions.ingest import ingested
 from tarnwell.functions.json_analysis import analysed
 from tarnwell.functions.json_chunks import leaves, profile
@@ -214,3 +214,20 @@ def test_sections_with_an_empty_key_and_large_merged_chunks(spark):
     long = {"n": [{"k": i} for i in range(60)], "p": "x y"}
     cut = hybrid(documents(spark, [("d", long)]), large=40).orderBy("chunk_id").collect()
     assert all(r.chunk_type.endswith("_split") and r.tags[-1] == "split_from_large_chunk" for r in cut if "_split" in r.chunk_type) and any(r.chunk_type.endswith("_split") for r in cut) and all(json.loads(r.content) for r in cut)
+
+
+def test_sections_share_the_walk_of_their_document():
+    doc = {"customer": {"name": "ü", "at": {"x.y": [1, 2.5, {"a": None}]}}, "id": 7, "lines": [{"part": 1, "returned": True}, []], 'q"t': {"": {"b": "text"}}}
+    w = json_walk.Walk(json.dumps(doc, ensure_ascii=False, separators=(",", ":")))
+    tops = w.below(0)
+    for t, end in zip(tops, [*tops[1:], len(w)], strict=True):
+        text = json_parts.keyed(w.key[t], w.part(t))
+        own, read = w.section(t, end, text), json_walk.Walk(text)
+        for name in ("json", "parent", "key", "pos", "kind", "shape", "start", "end", "n", "text", "path", "level", "keys", "deepest"):
+            assert getattr(own, name) == getattr(read, name)
+
+
+def test_empty_keys_are_nested_under_their_own_names():
+    w = json_walk.Walk('{"a":{"":{"b":1},"c":2},"":3}')
+    (chunk,) = json_walk._flat(w, 10)
+    assert json.loads(chunk[-1]) == {"a": {"": {"b": 1}, "c": 2}, "": 3}
