@@ -79,6 +79,18 @@ def test_asking_vectors_are_not_sent_to_the_driver(spark, tmp_path):
     assert "SortMergeJoin" in done and "Broadcast" not in done
 
 
+def test_a_query_is_sent_once_to_each_part_that_it_asks_for(spark, tmp_path, monkeypatch):
+    chance = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, chance.standard_normal(8).tolist()) for i in range(600)], "chunk_id long, embedding array<double>").repartition(3).cache()
+    asked = df.where("chunk_id % 10 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    index = vector_index.build(df, f"{tmp_path}/i", cells=24)
+    assert vector_index._asked(index, asked, 24).count() == 60  # not a row for each cell
+    monkeypatch.setattr(vector_index, "PART_CELLS", 5)
+    near = lambda d: [(q, c, round(s, 9)) for q, c, s in rows(d.select("query_id", "chunk_id", "similarity"))]
+    assert near(vector_index.search_index(index, asked, 7, probes=2, exact=True)) == near(search_all(df, asked, 7))
+    df.unpersist()
+
+
 # --- hierarchies ------------------------------------------------------------------------------------------------------
 
 
