@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.functions.chunk_text import chunk_text, content_type, semantic_density, value_types
+from tarnwell.functions.chunk_text import content_type, text_and_density, value_types
 from tarnwell.functions.json_analysis import analysed, decided
+from tarnwell.functions.json_analysis import chosen as decided_texts
 from tarnwell.functions.json_chunks import as_text, dimension_value, leaves, text_hash, worth_storing
 from tarnwell.functions.json_strategies import CHUNK, dimensional, flat, hierarchical, hybrid, semantic
 from tarnwell.sources.interim import small_side, written
@@ -62,29 +63,36 @@ def ingested(spark: SparkSession, docs: DataFrame, strategies: dict[str, Chunker
     Each document is chunked by the strategy that decided() names, or all by `forced`.  strategies: chunkers of one's own by
     name, or names of table functions (sql_chunker); analysis: nodes to document_id, strategy and confidence instead of
     decided(), or the name of a table function (sql_analysis).  Documents are walked within their rows, once for the analysis
-    and once for the chunks; only the documents with their strategies are written in between, by strategy.  Chunks whose text is shorter than
+    and once for the chunks; only the documents with their strategies are written in between, by strategy.  Without chunkers or an
+    analysis of one's own nothing is joined: JSON text, strategy and confidence stay in one row, so ids may repeat.  Chunks whose text is shorter than
     `shortest` or says less than `density` are left out.  Documents that are null have no chunks; ids are read as text.
     """
     docs = docs.select(F.col("document_id").cast("string").alias("document_id"), "doc")
-    if forced:
+    simple = not (forced or strategies or analysis)
+    if simple:
+        chosen = decided_texts(as_text(docs))
+    elif forced:
         chosen = docs.where("doc is not null").withColumns({"strategy": F.lit(forced), "confidence": F.lit(1.0)})
     else:
         own = sql_analysis(analysis) if isinstance(analysis, str) else analysis
         fits = written((own(leaves(spark, docs)) if own else decided(analysed(docs))).select("document_id", "strategy", "confidence"), "strategies")
         chosen = docs.where("doc is not null").join(small_side(fits), "document_id")
-    chosen = written(chosen.select("document_id", "doc", "confidence", "strategy"), "chosen", "strategy")
+    chosen = written(chosen.select("document_id", "t" if simple else "doc", "confidence", "strategy"), "chosen", "strategy")
     known, made = STRATEGIES | {n: sql_chunker(c) if isinstance(c, str) else c for n, c in (strategies or {}).items()}, []
     for (name,) in chosen.select("strategy").distinct().collect():  # a row for each strategy
-        mine = chosen.where(F.col("strategy") == name).select("document_id", "doc")
+        mine = chosen.where(F.col("strategy") == name).select("document_id", *(["t", "confidence"] if simple else ["doc"]))
         made.append(known[name](spark, mine, leaves(spark, mine)).drop("section").withColumn("strategy", F.lit(name)))
     if not made:
         return spark.createDataFrame([], "document_id string, chunk_id string, strategy string, confidence double, chunk_type string, path string, level int, parent_id string, size long, key_count long, contains_arrays boolean, tags array<string>, content string, text string, text_hash string, text_length int, semantic_density double, content_type string, value_types array<string>, dimension_value string")
-    sure = chosen.groupBy("document_id").agg(F.max("confidence").alias("confidence"))
     chunks = reduce(DataFrame.unionByName, made)
-    chunks = chunks.withColumn("confidence", F.lit(1.0)) if forced else chunks.join(small_side(written(sure, "confidence")), "document_id")
+    if forced:
+        chunks = chunks.withColumn("confidence", F.lit(1.0))
+    elif not simple:
+        sure = chosen.groupBy("document_id").agg(F.max("confidence").alias("confidence"))
+        chunks = chunks.join(small_side(written(sure, "confidence")), "document_id")
     place = F.nullif(F.regexp_replace("path", r"^\$\.?", ""), F.lit(""))
     body = F.col("content")
-    out = chunks.select("document_id", "chunk_id", "strategy", "confidence", "chunk_type", "path", "level", "parent_id", "size", "key_count", "contains_arrays", "tags", "content", chunk_text(body, place, mode).alias("text"), semantic_density(body).alias("semantic_density"), content_type(body).alias("content_type"), value_types(body).alias("value_types"), dimension_value(F.col("path")).alias("dimension_value"))
+    out = chunks.withColumn("__said", text_and_density(body, place, mode)).select("document_id", "chunk_id", "strategy", "confidence", "chunk_type", "path", "level", "parent_id", "size", "key_count", "contains_arrays", "tags", "content", F.col("__said.text").alias("text"), F.col("__said.density").alias("semantic_density"), content_type(body).alias("content_type"), value_types(body).alias("value_types"), dimension_value(F.col("path")).alias("dimension_value"))
     return out.where(worth_storing(F.col("text"), F.col("semantic_density"), shortest, density)).withColumns({"text_hash": text_hash(F.col("text")), "text_length": F.length("text")})
 
 

@@ -59,9 +59,9 @@ def _counts(name: str, of: Column, kinds: tuple[str, ...]) -> Column:
     return F.map_filter(each, lambda _, v: v > 0).alias(name)
 
 
-def _facts(docs: DataFrame) -> DataFrame:
+def _facts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """What _structural() and _contentual() aggregate, of documents."""
-    out = called(docs, facts)
+    out = called(docs, facts, keep)
     counts = {"entity_types": ("types", TYPES), "key_patterns": ("written", WRITTEN), "text_patterns": ("forms", TEXTS)}
     maps = {name: F.map_filter(F.map_from_arrays(F.array(*map(F.lit, kinds)), F.col(c)), lambda _, v: v > 0) for name, (c, kinds) in counts.items()}
     domains = {f"_{d}": F.col("hits")[k].cast("int") for k, d in enumerate(DOMAINS)}
@@ -160,7 +160,12 @@ def _told(out: DataFrame) -> DataFrame:
     }).drop("named_metrics", "has_metric", "booleans", "floats", *[f"_{d}" for d in DOMAINS])
 
 
-def decided(analysed: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
+def chosen(texts: DataFrame) -> DataFrame:
+    """document_id, t, strategy and confidence of documents' compact JSON (document_id, t): analysed() and decided() within their rows."""
+    return decided(_told(_shaped(_facts(texts, ("t",)))), keep=("t",)).select("document_id", "t", "confidence", "strategy")
+
+
+def decided(analysed: DataFrame, thresholds: dict[str, float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """The chunking strategy of each document with its confidence, all scores, two alternatives and warnings.
 
     analysed: structure() and content() of each document.  Ties go to the strategy named first; below the least confidence it is hybrid.
@@ -201,7 +206,7 @@ def decided(analysed: DataFrame, thresholds: dict[str, float] | None = None) ->
     return out.select(
         "document_id", F.when(weak, "hybrid").otherwise(best["strategy"]).alias("strategy"), F.when(weak, t["min_confidence"]).otherwise(best["score"]).alias("confidence"),
         *[v.alias(f"{n}_score") for n, v in scores.items()], F.transform(F.slice(second, 2, 2), lambda s: s["strategy"]).alias("alternatives"), c("root_is_object").alias("valid"),
-        F.array_compact(F.array(*[F.when(test, F.lit(text)) for test, text in warn])).alias("warnings"),
+        F.array_compact(F.array(*[F.when(test, F.lit(text)) for test, text in warn])).alias("warnings"), *keep,
     )
 
 

@@ -20,8 +20,8 @@ OF_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "doubl
 
 
 def as_text(docs: DataFrame) -> DataFrame:
-    """document_id and t, the compact JSON of the documents (VARIANT) that are not null."""
-    return docs.where("doc is not null").select("document_id", F.to_json("doc").alias("t"))
+    """document_id and t, the compact JSON of the documents (VARIANT) that are not null; documents may have come to t before."""
+    return docs.select("document_id", "t") if "doc" not in docs.columns else docs.where("doc is not null").select("document_id", F.to_json("doc").alias("t"))
 
 
 def leaves(spark: SparkSession, docs: DataFrame, top: int = -1) -> DataFrame:
@@ -75,12 +75,13 @@ def profile(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("document_id").agg(F.max("level").alias("max_depth"), count(kind == "object").alias("objects"), count(kind == "array").alias("arrays"), count(~kind.isin("object", "array")).alias("leaves"))
 
 
-def called(docs: DataFrame, function: UserDefinedTableFunction, **options: object) -> DataFrame:
+def called(docs: DataFrame, function: UserDefinedTableFunction, keep: tuple[str, ...] = (), **options: object) -> DataFrame:
     """document_id and what a table function gives of each document's JSON text; documents go to it in Arrow batches.
 
+    keep: columns that stand beside the JSON text `t` (or that text itself) and go along into each row.
     A table function that is not made by json_walk.table_function is called by a lateral join.
     """
-    given = as_text(docs)
+    given = docs.select("document_id", "t", *[F.col(c).alias(f"__{c}") for c in keep]) if keep else as_text(docs)
     if not hasattr(function, "called"):
         made = function(F.col("d.t").outer(), **{n: F.lit(v) for n, v in options.items()})
         return given.alias("d").lateralJoin(made.alias("c")).select("d.document_id", "c.*")
@@ -90,6 +91,13 @@ def called(docs: DataFrame, function: UserDefinedTableFunction, **options: objec
     given_options = defaults | options
     columns = [c.split() for c in (schema(**given_options) if callable(schema) else schema).split(", ")]
     kind = given.schema["document_id"].dataType.simpleString()
+    kept = "".join(f", `{c}` {given.schema[f'__{c}'].dataType.simpleString()}" for c in keep)
+
+    def flushed(batch: pa.RecordBatch, documents: list[int], made: list[tuple]) -> pa.RecordBatch:
+        out, at = _batch(batch.column(0), documents, made, columns), pa.array(documents, pa.int64())
+        for k, c in enumerate(keep):
+            out = out.append_column(c, batch.column(2 + k).take(at))
+        return out
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,12 +109,12 @@ def called(docs: DataFrame, function: UserDefinedTableFunction, **options: objec
                     documents.append(row)
                 held += len(t)
                 if len(made) >= BATCH_NODES or held >= BATCH_CHARS:
-                    yield _batch(batch.column(0), documents, made, columns)
+                    yield flushed(batch, documents, made)
                     made, documents, held = [], [], 0
             if made:
-                yield _batch(batch.column(0), documents, made, columns)
+                yield flushed(batch, documents, made)
 
-    return given.mapInArrow(rows, f"document_id {kind}, {', '.join(f'`{n}` {k.replace('long', 'bigint')}' for n, k in columns)}")
+    return given.mapInArrow(rows, f"document_id {kind}, {', '.join(f'`{n}` {k.replace('long', 'bigint')}' for n, k in columns)}{kept}")
 
 
 def _batch(ids: pa.Array, documents: list[int], made: list[tuple], columns: list[list[str]]) -> pa.RecordBatch:
@@ -115,14 +123,14 @@ def _batch(ids: pa.Array, documents: list[int], made: list[tuple], columns: list
     return pa.RecordBatch.from_arrays([ids.take(pa.array(documents, pa.int64())), *[pa.array(v, OF_ARROW[k]) for v, (_, k) in zip(values, columns, strict=True)]], ["document_id", *[n for n, _ in columns]])
 
 
-def whole_dimensional_chunks(spark: SparkSession, docs: DataFrame, least: int = 50, size: int = 10) -> DataFrame:
+def whole_dimensional_chunks(spark: SparkSession, docs: DataFrame, least: int = 50, size: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
     """document_id, kind, path, slice, items and content of all chunks of each document; every value is in one chunk.
 
     kind `array`: the slices of each large array, wherever it stands (one inside of another goes with that).  kind
     `remaining`: what is in no large array, `size` leaves to a chunk in path order, as the JSON object of their paths and
     values; empty objects and arrays are leaves, and a large array leaves a reference.
     """
-    return called(docs, dimensional_chunks, least=least, size=size)
+    return called(docs, dimensional_chunks, keep, least=least, size=size)
 
 
 #: Rows of a range, on average, when positions in large groups are found.

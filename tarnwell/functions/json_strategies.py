@@ -22,6 +22,11 @@ KEY_TAGS = {
 CHUNK = "document_id, chunk_id, chunk_type, path, level, parent_id, size, key_count, contains_arrays, tags, content"
 
 
+def _kept(docs: DataFrame) -> tuple[str, ...]:
+    """The confidence of documents that were decided on goes along into their chunks."""
+    return ("confidence",) if "confidence" in docs.columns else ()
+
+
 def _has(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
 
@@ -38,10 +43,10 @@ def flat(docs: DataFrame, size: int = 10) -> DataFrame:
 
     A document that is an array is one value under the key `items`.  Empty objects have no values.
     """
-    made = called(docs, flat_chunks, size=size)
+    made = called(docs, flat_chunks, _kept(docs), size=size)
     return made.select(
         "document_id", F.concat_ws("_", "document_id", F.lit("flat"), "chunk").alias("chunk_id"), F.lit("flat").alias("chunk_type"), F.concat(F.lit("flat_chunk_"), "chunk").alias("path"), "level", F.lit(None).cast("string").alias("parent_id"),
-        F.octet_length("content").cast("long").alias("size"), "key_count", "contains_arrays", tags(F.lit(""), F.col("paths")).alias("tags"), "content",
+        F.octet_length("content").cast("long").alias("size"), "key_count", "contains_arrays", tags(F.lit(""), F.col("paths")).alias("tags"), "content", *_kept(docs),
     )
 
 
@@ -52,11 +57,11 @@ def hierarchical(docs: DataFrame, max_bytes: int = 100_000, depth: int = 3, max_
     items are chunks under their key.  Chunks of the skipped levels are left out beyond max_tokens (four characters each);
     what is below them then belongs to the next chunk above.  An object is compared by its compact JSON text.
     """
-    made = called(docs, hierarchical_chunks, max_bytes=max_bytes, depth=depth, max_tokens=max_tokens, skipped_levels=list(skipped_levels))
+    made = called(docs, hierarchical_chunks, _kept(docs), max_bytes=max_bytes, depth=depth, max_tokens=max_tokens, skipped_levels=list(skipped_levels))
     named = lambda level, path: F.concat_ws("_", "document_id", F.lit("hier"), level, path)
     return made.select(
         "document_id", named("level", "path").alias("chunk_id"), F.lit("hierarchical").alias("chunk_type"), "path", "level", F.when(F.col("up").isNotNull(), named("up_level", "up")).alias("parent_id"),
-        F.octet_length("content").cast("long").alias("size"), "key_count", "contains_arrays", tags(F.col("path"), F.col("own")).alias("tags"), "content",
+        F.octet_length("content").cast("long").alias("size"), "key_count", "contains_arrays", tags(F.col("path"), F.col("own")).alias("tags"), "content", *_kept(docs),
     )
 
 
@@ -71,17 +76,17 @@ def semantic(docs: DataFrame, least: float = LEAST_SCORE, limit: int = REGION_CH
     A document is scored and put together within its row, in one pass.
     """
     name = F.when(F.col("chunk_type") == "semantic", "semantic").otherwise("fallback")
-    return called(docs, told_chunks, least=least, limit=limit).select(
+    return called(docs, told_chunks, _kept(docs), least=least, limit=limit).select(
         "document_id", F.concat_ws("_", "document_id", name, "name").alias("chunk_id"), "chunk_type", "path", "level", F.lit(None).cast("string").alias("parent_id"), F.octet_length("content").cast("long").alias("size"),
-        F.regexp_count("content", F.lit('":')).cast("long").alias("key_count"), F.contains("content", F.lit("[")).alias("contains_arrays"), "tags", "content",
+        F.regexp_count("content", F.lit('":')).cast("long").alias("key_count"), F.contains("content", F.lit("[")).alias("contains_arrays"), "tags", "content", *_kept(docs),
     )
 
 
 def dimensional(docs: DataFrame, rest: str = "$") -> DataFrame:
     """whole_dimensional_chunks() in the form of the other strategies; what is in no large array has the path `rest`."""
-    return whole_dimensional_chunks(docs.sparkSession, docs).select(
+    return whole_dimensional_chunks(docs.sparkSession, docs, keep=_kept(docs)).select(
         "document_id", F.concat_ws("_", "document_id", "kind", "path", "slice").alias("chunk_id"), F.lit("dimensional").alias("chunk_type"), F.coalesce("path", F.lit(rest)).alias("path"), F.lit(1).alias("level"), F.lit(None).cast("string").alias("parent_id"),
-        F.octet_length("content").cast("long").alias("size"), F.col("items").cast("long").alias("key_count"), (F.col("kind") == "array").alias("contains_arrays"), F.array().cast("array<string>").alias("tags"), "content",
+        F.octet_length("content").cast("long").alias("size"), F.col("items").cast("long").alias("key_count"), (F.col("kind") == "array").alias("contains_arrays"), F.array().cast("array<string>").alias("tags"), "content", *_kept(docs),
     )
 
 
@@ -95,9 +100,9 @@ def hybrid(docs: DataFrame, small: int = 500, few_keys: int = 5, large: int = 10
 
     A document's sections, their chunks and what is joined of them are made within its row, in one pass.
     """
-    made = called(docs, mixed_chunks, small=small, few_keys=few_keys, large=large)
+    made = called(docs, mixed_chunks, _kept(docs), small=small, few_keys=few_keys, large=large)
     own = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("_", "document_id", c))
     about = F.concat(F.flatten(F.transform("places", lambda p: tags(p, F.array().cast("array<string>")))), tags(F.lit(""), F.col("names")), F.col("marks"))
     return made.select(
-        F.col("document_id").cast("string").alias("document_id"), own("name").alias("chunk_id"), "chunk_type", "path", "level", own("parent").alias("parent_id"), "size", "key_count", "contains_arrays", F.concat(F.array_sort(F.array_distinct(about)), "last").alias("tags"), "content",
+        F.col("document_id").cast("string").alias("document_id"), own("name").alias("chunk_id"), "chunk_type", "path", "level", own("parent").alias("parent_id"), "size", "key_count", "contains_arrays", F.concat(F.array_sort(F.array_distinct(about)), "last").alias("tags"), "content", *_kept(docs),
     )

@@ -231,3 +231,12 @@ def test_empty_keys_are_nested_under_their_own_names():
     w = json_walk.Walk('{"a":{"":{"b":1},"c":2},"":3}')
     (chunk,) = json_walk._flat(w, 10)
     assert json.loads(chunk[-1]) == {"a": {"": {"b": 1}, "c": 2}, "": 3}
+
+
+def test_ids_may_repeat_and_a_text_is_made_once(spark):
+    docs = spark.createDataFrame([(1, '{"name":"one of them"}'), (1, '{"name":"another one"}'), (2, '{"name":"the last"}'), (3, None)], "document_id long, t string").select("document_id", F.try_parse_json("t").alias("doc"))
+    out = ingested(spark, docs)
+    assert sorted((r.document_id, r.content) for r in out.collect()) == [("1", '{"name":"another one"}'), ("1", '{"name":"one of them"}'), ("2", '{"name":"the last"}')]
+    assert {(r.strategy, r.confidence > 0.4) for r in out.collect()} == {("flat", True)}
+    done = out.select("document_id", "text_hash", "semantic_density")._jdf.queryExecution().executedPlan().toString()
+    assert done.count("ArrowEvalPython") == 1 and "Join" not in done
